@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat_format, exact_dedup, quality_rules
+from threadloom.llm import chat_format, exact_dedup, language_id, license_scan, quality_rules
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_chat_formatting": chat_format.op5_chat_formatting,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_license_scan": license_scan.op9_license_scan,
 }
 
 ORACLE_SQL = {
