@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, quality_rules
+from threadloom.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, quality_rules, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_store": token_store.op4_token_store,
     "op5_chat_formatting": chat_format.op5_chat_formatting,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_language_id": language_id.op8_language_id,
