@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, quality_rules, token_store
+from threadloom.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
