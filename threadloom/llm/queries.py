@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat_format, exact_dedup, html_extract, language_id, license_scan, packing, quality_rules, token_store
+from threadloom.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_store": token_store.op4_token_store,
     "op5_chat_formatting": chat_format.op5_chat_formatting,
