@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WHITE_CLASS
+from threadloom.llm.common import WHITE_CLASS, materialize
 
 
 def normalized(text: Column) -> Column:
@@ -61,10 +61,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier choice keeps; all columns stay."""
+    """docs without the rows whose text another row keeps; all columns stay.
+
+    Only the ids of dropped rows are joined back: Spark sends them out up to its broadcast threshold and shuffles
+    beyond it.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
+    gone = materialize(gone, "exact-gone")
+    sha = F.unhex(F.sha2(normalized(docs[text_col]), 256))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
 
 
 def op3_exact_dedup(spark, sf_dir):

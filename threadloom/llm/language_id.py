@@ -250,6 +250,21 @@ def label(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang string, first_word int, n_words int>>")
 
 
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is `und` or scores under least_score; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            got = [x for a, b in chunks(texts) for x in m.label(texts[a:b])]
+            yield batch.filter(pa.array([g[0] != "und" and g[1] >= least_score for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
