@@ -1,23 +1,133 @@
 """Whole-text encoding with a file of the tokenizers library, as ids in little-endian unsigned 32-bit bytes.
 
-Byte-level BPE works word by word, and a blank before a non-blank always begins a word. So a text is cut there, and
-the library encodes each distinct piece once for as long as a worker's cache (CACHE_PIECES entries, then emptied)
-holds it. The ids are those of encoding the whole text, which the tests check.
+A byte-level BPE with the usual word pattern works word by word, and these places always lie between two words: before
+a blank that a non-blank follows, between a line feed that no other white space surrounds and what follows, between a letter and . , ; : ! or ?. Texts are
+cut there into units, with numpy on their bytes, and a worker keeps the ids of the units that it has met in a hash
+table; the library encodes the others, strung together as whole text, and the bytes that each id stands for tell where
+a unit ends. Units are told apart by 64-bit hashes. The ids are those of encoding the whole text, as the tests check.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-_CUT = re.compile(r" (?=\S)")
-CACHE_PIECES = 400_000
-BATCH_TEXTS = 500
+#: Units that the table holds before it is emptied; a bound on memory, not on what is encoded.
+TABLE_UNITS = 1 << 20
+BATCH_TEXTS, BATCH_BYTES = 1000, 2_000_000
+
+_SPACE, _BREAK, _LETTER, _MARK, _PLAIN = (np.zeros(256, bool) for _ in range(5))
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+_MARK[list(b".,;:!?")] = True
+_PLAIN[33:127] = True  # surely not white space; so are most characters of two bytes, by their first byte
+_PLAIN[0xC3:0xE0] = True
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, never 0, of each of the consecutive runs of bytes that make up data."""
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(begin, end - begin).astype(np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mixed(data + (place << np.uint64(8)) + np.uint64(1)), out=total[1:])
+    return mixed(total[end] - total[begin] + (end - begin).astype(np.uint64)) | np.uint64(1)
+
+
+class Units:
+    """Texts (UTF-8) cut into units: data, begin and end of each unit in it, its hash, and the first unit of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        first = np.cumsum(size) - size
+        d, n = self.data, len(self.data)
+        cut = np.zeros(n + 1, bool)
+        if n > 1:
+            before, now = d[:-1], d[1:]
+            plain = _PLAIN[now]
+            cut[2:n] = _PLAIN[d[:-2]] & (before[1:] == 10) & plain[1:]  # before what follows a single line feed
+            letter = _LETTER[before]
+            letter[1:] |= (d[:-2] == 0xC3) & (before[1:] != 0x97) & (before[1:] != 0xB7) & (before[1:] >= 0x80)
+            cut[1:n] |= letter & _MARK[now]
+            cut[: n - 1] |= (before == 32) & plain  # before a blank that a non-blank follows
+        cut[first[size > 0]] = True
+        cut[n] = False
+        self.begin = np.flatnonzero(cut)
+        self.end = np.append(self.begin[1:], n) if len(self.begin) else self.begin
+        self.first = np.searchsorted(self.begin, np.append(first, n))
+        if len(size) and n:
+            self.first = np.where(np.append(size, 0) > 0, self.first, np.searchsorted(self.begin, np.append(first, n), "left"))
+        self.hash = hashes(d, self.begin, self.end)
+
+    def text(self, i: int) -> bytes:
+        return self.data[self.begin[i] : self.end[i]].tobytes()
+
+
+def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices begin[0], begin[0] + 1, ... of all runs, one after another."""
+    total = np.cumsum(count)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - (total - count), count)
+
+
+class Table:
+    """A hash table from units to runs of ids, probed for many units at once."""
+
+    def __init__(self, bits: int = 22):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hash = np.zeros(1 << bits, np.uint64)
+        self.slot = np.zeros(1 << bits, np.int32)
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.size = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 for those that aren't there."""
+        at = (h >> np.uint64(20)) & self.mask
+        there = self.hash[at]
+        out = np.where(there == h, self.slot[at], -1)
+        todo = np.flatnonzero((there != h) & (there != 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + np.uint64(1)) & self.mask
+            there = self.hash[at]
+            hit = there == h[todo]
+            out[todo[hit]] = self.slot[at[hit]]
+            go = ~hit & (there != 0)
+            todo, at = todo[go], at[go]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Adds distinct units that aren't there."""
+        n = len(h)
+        while self.size + n > len(self.begin):
+            self.begin, self.count = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.count, np.zeros_like(self.count))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.begin[self.size : self.size + n] = self.used + np.cumsum(count) - count
+        self.count[self.size : self.size + n] = count
+        self.ids[self.used : self.used + len(ids)] = ids
+        number = np.arange(self.size, self.size + n, dtype=np.int32)
+        at, todo = (h >> np.uint64(20)) & self.mask, np.arange(n)
+        while len(todo):
+            free = self.hash[at] == 0
+            slot, who = np.unique(at[free], return_index=True)  # one unit takes a slot, others move on
+            took = np.flatnonzero(free)[who]
+            self.hash[slot], self.slot[slot] = h[todo[took]], number[todo[took]]
+            go = np.ones(len(todo), bool)
+            go[took] = False
+            todo, at = todo[go], (at[go] + np.uint64(1)) & self.mask
+        self.size += n
+        self.used += len(ids)
 
 
 class Encoder:
-    """Encodes lists of texts; `data` is the content of the tokenizer's file."""
+    """Encodes lists of texts; `data` is the content of the file of a byte-level tokenizer."""
 
     def __init__(self, data: bytes):
         import os
@@ -27,27 +137,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cut = [_CUT.split(t) for t in texts]
-        heads = self._ids([c[0] for c in cut])
-        new = list(set().union(*cut) - self.cache.keys())
-        self.cache.update(zip(new, self._ids([" " + p for p in new])))
-        known = self.cache.__getitem__
-        return [b"".join([h, *map(known, c[1:])]) for h, c in zip(heads, cut)]
-
-
-def slices(texts: list[str], count: int = BATCH_TEXTS, chars: int = 4_000_000):
-    """Index ranges with a bounded number of texts and, but for a longer single text, of characters."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # byte level: one character stands for one byte
+        self.table = Table()
+
+    def _learn(self, u: Units, new: np.ndarray) -> None:
+        """Encodes units in one go: those that begin with a blank or follow a letter stand apart when strung together."""
+        lead = u.data[u.begin[new]]
+        long = u.end[new] - u.begin[new] > 1
+        # " word" and its like begin at a blank that a non-blank follows, wherever they stand.
+        after = u.data[np.minimum(u.begin[new] + 1, len(u.data) - 1)]
+        tied = (lead == 32) & long & _PLAIN[after]
+        for group, apart in ((new[tied], False), (new[~tied], True)):
+            for k in range(0, len(group), 5000):
+                g = group[k : k + 5000]
+                size = u.end[g] - u.begin[g]
+                if apart:
+                    found = self.tokenizer.encode_batch_fast([u.text(i).decode("utf-8", "replace") for i in g], add_special_tokens=False)
+                    ids = [x.ids for x in found]
+                    count = np.array([len(x) for x in ids], np.int32)
+                    ids = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+                else:
+                    text = u.data[ragged(u.begin[g], size)].tobytes().decode("utf-8", "replace")
+                    (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+                    ids = np.array(found.ids, np.uint32)
+                    ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size)) + 1
+                    count = np.diff(ends, prepend=0).astype(np.int32)
+                self.table.add(u.hash[g], ids, count)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, as views of one array."""
+        u = Units(texts)
+        if self.table.size > TABLE_UNITS:
+            self.table = Table()
+        number = self.table.find(u.hash)
+        if (missing := np.flatnonzero(number < 0)).size:
+            _, at = np.unique(u.hash[missing], return_index=True)
+            self._learn(u, missing[at])
+            number[missing] = self.table.find(u.hash[missing])
+        count = self.table.count[number].astype(np.int64)
+        ids = self.table.ids[ragged(self.table.begin[number], count)]
+        cuts = np.concatenate([[0], np.cumsum(count)])[u.first]
+        return [ids[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
+def slices(texts, count: int = BATCH_TEXTS, most: int = BATCH_BYTES):
+    """Index ranges with a bounded number of texts and, but for a longer single text, of bytes."""
     begin = size = 0
     for i, t in enumerate(texts):
-        if i > begin and (i - begin >= count or size + len(t) > chars):
+        if i > begin and (i - begin >= count or size + len(t) > most):
             yield begin, i
             begin, size = i, 0
         size += len(t)

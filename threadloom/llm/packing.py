@@ -138,13 +138,12 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
         part, row, windows = TaskContext.get().partitionId(), 0, 0
         ranks = np.zeros(window, np.int64)
         encoder = encoder_of(*shared.value)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 out = []
-                for raw in encoder.encode(texts[a:b]):
-                    raw += end
+                for ids in encoder.encode(texts[a:b]):
+                    raw = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()
                     n = len(raw) // 4
                     full, rest = divmod(n, window)
                     crcs = [zlib.crc32(raw[4 * window * k : 4 * window * (k + 1)]) for k in range(full)]
@@ -157,7 +156,7 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
                     ["doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "rest_crc", "ids"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, part int, row long, n long, rest long, rank long, windows long, crcs array<long>, rest_crc long, ids binary")
 
 

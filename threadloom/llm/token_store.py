@@ -26,7 +26,7 @@ from threadloom.llm.common import fresh_path, materialize, read_table, remove_pa
 from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
 
 END_ID = 0
-WINDOW, MIN_CHUNK, MAX_CHUNK, CUT_BITS = 16, 128, 4096, 9
+WINDOW, MIN_CHUNK, MAX_CHUNK, CUT_BITS = 12, 128, 4096, 9
 CRC_POLY = 0xEDB88320
 
 
@@ -101,14 +101,14 @@ def encode_and_cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col:
 
         part, row, first = TaskContext.get().partitionId(), 0, 0
         encoder = encoder_of(*shared.value)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 out = []
-                for raw in encoder.encode(texts[a:b]):
-                    raw += end
-                    cuts = [4 * c for c in chunk_ends(np.frombuffer(raw, "<u4"))]
+                for ids in encoder.encode(texts[a:b]):
+                    ids = np.append(ids, np.uint32(END_ID))
+                    raw = ids.astype("<u4").tobytes()
+                    cuts = [4 * c for c in chunk_ends(ids)]
                     parts = [raw[i:j] for i, j in zip([0, *cuts], cuts)]
                     keys = [hashlib.sha256(p).digest() for p in parts]
                     out.append((part, row, len(raw) // 4, merkle_root(keys), first, [{"key": k, "end": c // 4, "ids": p} for k, c, p in zip(keys, cuts, parts)]))
@@ -120,7 +120,7 @@ def encode_and_cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col:
                     ["part", "row", "doc_id", "n_tokens", "root", "first", "chunks"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "part int, row long, doc_id long, n_tokens long, root binary, first long, chunks array<struct<key binary, end long, ids binary>>")
 
 
