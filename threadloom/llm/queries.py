@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_store
+from threadloom.llm import bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_store": token_store.op4_token_store,
     "op5_chat_formatting": chat_format.op5_chat_formatting,
+    "op6_bpe": bpe.op6_bpe,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
