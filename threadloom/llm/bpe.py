@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import read_table
 from threadloom.llm.encoding import Table, Units, hashes, ragged, slices
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 BUCKETS_A_PARTITION = 4
 
 
@@ -189,56 +189,67 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         marks = {m for t in (texts, words) for m in t["mark"].to_pylist() if m is not None}
         if wanted != [total] or (count < 0).any() or len(marks) > 1:
             raise ValueError("the words and the texts of a block come from different inputs")
-        doc_ids, out = [], []
-        for docs_, counts, refs in zip(texts["ids"].to_pylist(), texts["counts"].to_pylist(), texts["refs"].to_pylist()):
+        out = []
+        for docs_, counts, refs in zip(texts["ids"], texts["counts"], texts["refs"]):
+            docs_, counts, refs = docs_.as_py(), counts.as_py(), refs.as_py()
             if docs_ is None:
                 continue
             refs = unpacked(refs)
             c = count[refs]
             got = ids[ragged(begin[refs], c)]
             ends = np.concatenate([[0], np.cumsum(c)])[np.concatenate([[0], np.cumsum(unpacked(counts).astype(np.int64))])].tolist()
-            doc_ids += docs_
-            out += [got[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+            own = [got[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
+            out.append(pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(own, pa.binary())], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     dealt = rows.mapInArrow(words, "block long, bucket int, numbers binary, sizes binary, words binary, mark long").repartition(parts, "bucket")
     encoded = dealt.mapInArrow(encode_words, "block long, numbers binary, counts binary, ids binary, mark long")
     numbered = rows.mapInArrow(texts, "block long, ids array<long>, counts binary, refs binary, n_words long, mark long")
     return numbered.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids binary")
 
 
+def _token_bytes(spark, ranks_path: str):
+    """The table of token bytes, one entry an id: a fixed vocabulary, so it is sent to every task."""
+    return spark.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
+
+
+def _decoded(raw: bytes, table: dict[int, bytes]) -> tuple[list[int], bytes]:
+    ids = np.frombuffer(raw, "<u4").tolist()
+    return ids, b"".join(map(table.__getitem__, ids))
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, ids) with the bytes that the ids stand for, as decoded."""
-    table = encoded.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
+    table = _token_bytes(encoded.sparkSession, ranks_path)
 
     def run(batches):
-        look = table.value.__getitem__
         for batch in batches:
-            got = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
+            got = [_decoded(x, table.value)[1] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
+def digest(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens and the SHA-256 of the decimal ids and of the decoded bytes, in the pass that decodes."""
+    table = _token_bytes(encoded.sparkSession, ranks_path)
+
     def run(batches):
-        text: dict[int, bytes] = {}
+        text = {i: b"%d" % i for i in table.value}.__getitem__
         for batch in batches:
-            n, hexes = [], []
-            for x in batch.column(1).to_pylist():
-                ids = np.frombuffer(x, "<u4").tolist()
-                for i in set(ids) - text.keys():
-                    text[i] = b"%d" % i
-                n.append(len(ids))
-                hexes.append(hashlib.sha256(b",".join(map(text.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hexes, pa.string()), batch.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
+            rows = []
+            for x in batch.column(1):
+                ids, raw = _decoded(x.as_py(), table.value)
+                rows.append((len(ids), hashlib.sha256(b",".join(map(text, ids))).hexdigest(), hashlib.sha256(raw).hexdigest()))
+            n, a, b = list(zip(*rows)) or ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digest(decode(encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return digest(encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
