@@ -30,7 +30,7 @@ def diagnostics(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Five counts of work."""
     r = runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "in_progress").alias("runs_in_progress"))
     j = jobs.agg(F.count("*").alias("jobs"), F.count_if((F.col("status") == "failed") & ~F.col("resolved")).alias("unresolved_failures"), F.count_if(F.col("status") == "deferred").alias("deferred_jobs"))
-    return r.join(F.broadcast(j))
+    return r.select("*", j.select(F.struct("*")).scalar().alias("j")).select("runs", "runs_in_progress", "j.*")
 
 
 def unresolved_by_family(jobs: DataFrame) -> DataFrame:

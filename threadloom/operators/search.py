@@ -153,8 +153,7 @@ def _matches(tree, hits: dict[Phrase, Column]) -> Column:
 def keyword_search(threads: DataFrame, tree, eligible: Column | None = None) -> DataFrame:
     """threads that match, with bm25 (smaller is better); statistics are over all threads.
 
-    One pass counts each phrase in each thread; the statistics are one aggregated row, joined back by broadcast
-    because an aggregate without keys is one row whatever the size of the input.
+    One pass counts each phrase in each thread; the statistics come from a scalar subquery of one aggregated row.
     """
     if tree is None:
         return threads.withColumn("bm25", F.lit(None).cast("double")).where(F.lit(False))
@@ -167,12 +166,13 @@ def keyword_search(threads: DataFrame, tree, eligible: Column | None = None) ->
         counts.append(sum(parts[1:], parts[0]).alias(f"_f{i}"))
     rows = rows.select("*", (F.size("_t") + F.size("_b")).alias("_len"), *counts).drop("_t", "_b")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(phrases))])
-    joined = rows.join(F.broadcast(stats))
+    joined = rows.select("*", stats.select(F.struct("*")).scalar().alias("_s"))
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        idf = F.greatest(F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)), F.lit(LEAST_IDF))
+        n, d = F.col("_s._n"), F.col(f"_s._d{i}")
+        idf = F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
         f = F.col(f"_f{i}").cast("double")
-        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+        score = score + idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_s._avg")))
     hit = _matches(tree, {p: F.col(f"_f{i}") for i, p in enumerate(phrases)})
     found = joined.where(hit if eligible is None else hit & eligible)
     return found.select(*threads.columns, (-score).alias("bm25"))
