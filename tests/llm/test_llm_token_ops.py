@@ -343,3 +343,64 @@ def test_pipeline_against_brute_force(spark, sf, plain_ids):
     assert set(texts(frames[3])) == {i for _, i in best.values()}
     assert set(texts(frames[4])) == {c for *_, c in brute_components(list(texts(frames[3]).items()), 5, 80)}
     assert check_packing(frames[5].collect(), list(texts(frames[4]).items()), plain_ids) < 1024
+
+
+def test_folded_bitmaps_are_those_of_fewer_bits():
+    rng = np.random.default_rng(4)
+    s = np.unique(rng.integers(0, 1 << 62, 500).astype(np.uint64))
+    wide = int.from_bytes(jaccard_join.own_bitmap(s), "little")
+    for width in (512, 256, 64):
+        assert jaccard_join.folded(wide, 512, width) == int.from_bytes(jaccard_join.bitmaps([s], width)[0].tobytes(), "little")
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bitmaps_exclude_no_link(percent):
+    rng = np.random.default_rng(6)
+    excluded = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.6, 0.9, 0.97])], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        if len(b):
+            maybe = jaccard_join.plausible(len(a), int.from_bytes(jaccard_join.own_bitmap(a), "little"), len(b), int.from_bytes(jaccard_join.own_bitmap(b), "little"), percent)
+            assert maybe or not jaccard_join.linked(a, b, percent)
+            excluded += not maybe
+    assert excluded
+
+
+def test_shared_keys_are_found_once_dealt(spark, monkeypatch):
+    """Keys that many documents share, in one task and over tasks, keep all their nodes."""
+    monkeypatch.setattr(jaccard_join, "DEAL_KEYS", 50)
+    rows = [(i, [7] + [1000 + i, 2000 + i // 3] + ([8] if i % 50 == 0 else [])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, keys array<bigint>").repartition(5)
+    got = jaccard_join.shared_keys(df).collect()
+    assert {(r["key"], r["node"]) for r in got} == {(k, i) for i, ks in rows for k in ks if k < 1000 or k >= 2000}
+    # Each key's nodes hang together by their centres.
+    import collections
+
+    near = collections.defaultdict(set)
+    for r in got:
+        near[r["key"], r["node"]].add(r["centre"])
+        near[r["key"], r["centre"]].add(r["node"])
+    reached, todo = set(), [(7, 0)]
+    while todo:
+        x = todo.pop()
+        if x not in reached:
+            reached.add(x)
+            todo += [(7, n) for n in near[x]]
+    assert len(reached) == 300
+
+
+def test_large_keys_are_cut_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    rows = [(1, n, n if n % 3 else 0) for n in range(30)] + [(2, 100, 100), (2, 101, 101), (3, 5, 9), (3, 6, 9)]
+    tiles = jaccard_join.open_tiles(spark.createDataFrame(rows, "key bigint, node bigint, root bigint")).collect()
+    root = {n: r for k, n, r in rows if k == 1}
+    met = set()
+    by = defaultdict(list)
+    for t in tiles:
+        by[t["grp"], t["tile"]].append((t["node"], t["side"]))
+    for (g, _), members in by.items():
+        met |= {(g, *sorted((a, b))) for a, s in members for b, u in members if a != b and (s < 0 or s != u)}
+    assert {(1, a, b) for a in range(30) for b in range(a + 1, 30) if root[a] != root[b]} <= met
+    assert (2, 100, 101) in met and not [m for m in met if m[0] == 3]

@@ -47,14 +47,3 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.transform(F.array(value), body)[0]
-
-
-def free_name(taken, wanted: str) -> str:
-    """wanted, or wanted with underscores, so that no column of the caller is shadowed."""
-    while wanted.lower() in {t.lower() for t in taken}:
-        wanted = f"_{wanted}"
-    return wanted
-
-
-def sorted_stably(columns) -> Column:
-    return F.struct(*columns)
