@@ -141,3 +141,35 @@ def op7_quality_rules(spark, sf_dir):
     return judge(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def sql_of(rules=RULES) -> str:
+    """The same threshold table as DuckDB SQL."""
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    bad = " OR ".join(f"{r.metric} {op} {bound}" for r in rules for op, bound in (("<", r.low), (">", r.high)) if bound is not None)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), (VALUES (0), (1), (2)) v(k)
+  WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, greatest(len(lines), 1) AS n_lines,
+         len(list_filter(w, lambda x: rtrim(lower(x), '.,;:!?') IN ({stop}))) AS n_stop_words,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines
+  FROM w LEFT JOIN rep USING (doc_id)),
+r AS (
+  SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+         coalesce(n_stop_words / nullif(n_words, 0), 0) AS stop_word_ratio, n_dup_lines / n_lines AS dup_line_ratio,
+         coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio, n_bullet_lines / n_lines AS bullet_line_ratio,
+         n_ellipsis_lines / n_lines AS ellipsis_line_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept FROM r
+"""

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_chat_formatting": chat_format.OP5_SQL,
+    "op7_quality_rules": quality_rules.sql_of(),
 }
