@@ -404,3 +404,31 @@ def test_large_keys_are_cut_into_tiles(spark, monkeypatch):
         met |= {(g, *sorted((a, b))) for a, s in members for b, u in members if a != b and (s < 0 or s != u)}
     assert {(1, a, b) for a in range(30) for b in range(a + 1, 30) if root[a] != root[b]} <= met
     assert (2, 100, 101) in met and not [m for m in met if m[0] == 3]
+
+
+def test_false_candidates_hide_no_link(spark):
+    """Two components: a pair that the bitmaps can't exclude but that is no link comes first, the one true link after it."""
+    rng = np.random.default_rng(8)
+    drawn = lambda n: np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+    own = lambda s: (len(s), int.from_bytes(jaccard_join.own_bitmap(s), "little"))
+    for _ in range(1000):
+        base = drawn(250)
+        sets = {1: base, 2: np.unique(np.concatenate([base[14:], drawn(14)]))}
+        if not jaccard_join.linked(sets[1], sets[2], 90) and jaccard_join.plausible(*own(sets[1]), *own(sets[2]), 90):
+            break
+    base = drawn(300)
+    sets |= {3: base, 4: np.append(base[:-2], base[-1]), 5: base[: 280]}
+    roots = {1: 1, 2: 2, 3: 1, 4: 2, 5: 2}
+    assert not jaccard_join.linked(sets[1], sets[2], 90) and jaccard_join.linked(sets[3], sets[4], 90)
+    shared = spark.createDataFrame([(7, n, 1) for n in sets], "key bigint, node bigint, centre bigint")
+    of_roots = spark.createDataFrame([(n, r) for n, r in roots.items() if n != r], "node bigint, root bigint")
+    maps = spark.createDataFrame([(n, len(s), bytearray(jaccard_join.own_bitmap(s))) for n, s in sets.items()], "node bigint, n bigint, s binary")
+    places = jaccard_join.candidate_places(shared, of_roots, maps, maps.select("node", "n"), 90).collect()
+    by = defaultdict(list)
+    for r in places:
+        by[r["grp"], r["tile"]].append(r)
+    links = set()
+    for rows in by.values():
+        columns = (np.array([r[c] for r in rows]) for c in ("node", "root", "side"))
+        links |= {tuple(sorted(x)) for x in jaccard_join.tile_links(*columns, [sets[r["node"]] for r in rows], 90)}
+    assert links and links <= {(3, 4), (3, 5)}

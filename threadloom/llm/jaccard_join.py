@@ -11,7 +11,7 @@
 3. Stars. Each node is compared with the centre of the keys it shares most; components so found need no further
    comparison inside, which keeps large groups of near copies linear.
 4. Size-banded tiles. Nodes of a key that lie in different components are compared by hashed bitmaps: the bits in
-   which two differ bound their overlap from above. What the bound can't exclude makes candidate groups, which are cut
+   which two differ bound their overlap from above. What the bound can't exclude makes candidate groups of nodes, which are cut
    into blocks of bounded size, components kept together; tiles are the pairs of blocks that hold different
    components. In a tile, pairs of a size band that the bitmaps can't exclude and that are not yet connected are
    decided by exact intersection of the sorted hash arrays.
@@ -220,11 +220,13 @@ def plausible(n: int, a: int, m: int, b: int, percent: int) -> bool:
 
 
 def candidate_links(keys, nodes, roots, sides, sizes, maps, percent: int):
-    """Links that the bitmaps can't exclude between nodes of a key and of different components, enough to connect them.
+    """Links that the bitmaps can't exclude between nodes of a key and of different components, enough to bring both nodes
+    of every such pair into one group.
 
-    keys tell the tiles apart; what one key has connected is not compared again for another.
+    keys tell the tiles apart; nodes that one key has brought together are not compared again for another. Nothing is
+    verified here, so a link says nothing about the other nodes of its two components: nodes are grouped, not components.
     """
-    group = {int(x): int(x) for x in set(roots.tolist())}
+    group = {int(x): int(x) for x in set(nodes.tolist())}
 
     def find(x):
         while group[x] != x:
@@ -242,9 +244,9 @@ def candidate_links(keys, nodes, roots, sides, sizes, maps, percent: int):
             begin = i
         while 100 * sizes[begin] < percent * sizes[i]:
             begin += 1
-        mine = find(roots[i])
+        mine = find(nodes[i])
         for j in range(i - 1, begin - 1, -1):
-            if (sides[i] < 0 or sides[i] != sides[j]) and (other := find(roots[j])) != mine and plausible(sizes[i], maps[i], sizes[j], maps[j], percent):
+            if roots[i] != roots[j] and (sides[i] < 0 or sides[i] != sides[j]) and (other := find(nodes[j])) != mine and plausible(sizes[i], maps[i], sizes[j], maps[j], percent):
                 links.append((nodes[i], nodes[j]))
                 group[max(mine, other)] = mine = min(mine, other)
     return links
