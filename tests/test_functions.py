@@ -180,3 +180,14 @@ def test_empty_tables(spark):
     assert search.keyword_search(threads, search.plain_expression("a")).count() == 0
     jobs = spark.createDataFrame([], "run_id int, status string, family string, resolved boolean")
     assert [r["unresolved"] for r in ledger.unresolved_by_family(jobs).collect()] == [0] * 5
+
+
+@pytest.mark.parametrize("fold", [150, 100_000])
+def test_long_chains_of_clusters_keep_their_ids(spark, monkeypatch, fold):
+    """Of equal overlaps in a chain only the first pair is best for both its sides."""
+    monkeypatch.setattr(clustering, "FOLD_PAIRS", fold)
+    n = 400
+    generated = spark.createDataFrame([(k, 2 * k + i) for k in range(n) for i in (0, 1)], "cluster bigint, thread_id bigint")
+    existing = spark.createDataFrame([(k, 2 * k + 1 + i) for k in range(n) for i in (0, 1)], "cluster bigint, thread_id bigint")
+    got = clustering.match_identities(clustering.overlaps(generated, existing)).collect()
+    assert sorted((r["generated_id"], r["existing_id"]) for r in got) == [(k, k) for k in range(n)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.functions.hashing import members_key
 from threadloom.functions.text import EARLY_BODY_BYTES, MIN_TITLE_OVERLAP, ascii_lower, mention_finder, overlap_ratio, title_tokens
@@ -12,6 +13,8 @@ from threadloom.functions.text import EARLY_BODY_BYTES, MIN_TITLE_OVERLAP, ascii
 # The weight of a mention and the similarity from which titles need not support a pair.
 REFERENCE_SCORE = 0.94
 STRONG_SIMILARITY = 0.90
+#: The pairs that one task folds in order, in a round of identity matching.
+FOLD_PAIRS = 100_000
 
 
 def reference_edges(threads: DataFrame) -> DataFrame:
@@ -180,24 +183,54 @@ def overlaps(generated: DataFrame, existing: DataFrame) -> DataFrame:
     return common.join(sizes(g, "generated_id", "_g"), "generated_id").join(sizes(e, "existing_id", "_e"), "existing_id").select("generated_id", "existing_id", "overlap", (F.col("_g") + F.col("_e") - F.col("overlap")).alias("union_size"))
 
 
-def match_identities(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def match_identities(pairs: DataFrame) -> DataFrame:
     """generated_id, existing_id: the greedy one-to-one assignment in order of overlap, share, existing and generated id.
 
     Taking every pair that is best for both its sides, again and again, gives the greedy result without one task
-    seeing all pairs. Shares are compared exactly, by cross multiplication in the sort key.
+    seeing all pairs. Chains of equal pairs yield one pair a round, so each round also folds the first FOLD_PAIRS of the
+    pairs left, in order; rounds go on until no pair is left. Shares are compared exactly, by cross multiplication in
+    the sort key.
     """
     share = (F.col("overlap").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(18,0)") / F.col("union_size")).cast("decimal(38,12)")
     key = F.struct((-F.col("overlap")).alias("o"), (-share).alias("s"), F.col("existing_id").alias("e"), F.col("generated_id").alias("g"))
-    left, taken = pairs.withColumn("key", key), None
-    for _ in range(rounds):
+    left, taken, rounds = _kept(pairs.withColumn("key", key)), None, 0
+    ids = left.select("generated_id", "existing_id").schema
+    arrow_ids = to_arrow_schema(ids)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        rows = sorted((tuple(k.values()), g, e) for b in batches for g, e, k in zip(*(b.column(c).to_pylist() for c in ("generated_id", "existing_id", "key"))))
+        gs, es, out = set(), set(), []
+        for _, g, e in rows:
+            if g not in gs and e not in es:
+                gs.add(g)
+                es.add(e)
+                out.append({"generated_id": g, "existing_id": e})
+        yield from pa.Table.from_pylist(out, schema=arrow_ids).to_batches()
+
+    while True:
         marked = left.withColumn("bg", F.min("key").over(Window.partitionBy("generated_id"))).withColumn("be", F.min("key").over(Window.partitionBy("existing_id")))
-        best = marked.where("key = bg AND key = be").select("generated_id", "existing_id")
-        best = best.checkpoint() if _can_checkpoint(best) else best.cache()
-        taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("generated_id"), "generated_id", "left_anti").join(best.select("existing_id"), "existing_id", "left_anti")
+        best = _kept(marked.where("key = bg AND key = be").select("generated_id", "existing_id"))
+        left = _kept(_without(left, best))
+        if not left.isEmpty():
+            # The first pairs of the order, without what is taken: the next steps of the greedy pass, of bounded number.
+            first = left.select("generated_id", "existing_id", "key").orderBy("key").limit(FOLD_PAIRS)
+            more = _kept(first.coalesce(1).mapInArrow(fold, ids))
+            best, left = best.unionByName(more), _kept(_without(left, more))
+        taken, rounds = best if taken is None else taken.unionByName(best), rounds + 1
         if left.isEmpty():
-            break
-    return taken
+            return taken
+        if rounds % 16 == 0:
+            taken = _kept(taken)
+
+
+def _without(left: DataFrame, taken: DataFrame) -> DataFrame:
+    return left.join(taken.select("generated_id"), "generated_id", "left_anti").join(taken.select("existing_id"), "existing_id", "left_anti")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if _can_checkpoint(df) else df.cache()
 
 
 def _can_checkpoint(df: DataFrame) -> bool:
