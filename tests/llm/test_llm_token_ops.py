@@ -21,10 +21,16 @@ def plain_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
 
 
+@pytest.fixture(scope="module")
+def tik():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(5, "a  b"), (3, None), (4, ""), (9, "same"), (9, "same"), (None, "no id"), (1, "long text. " * 30_000), (2, "é 東京\n\n 😀's <|endoftext|>\r\n"), (12, "x" * 5000)]
@@ -51,6 +57,54 @@ def test_encoding_equals_the_library(plain_ids):
             assert got.tolist() == plain_ids(t)[:-1].tolist(), repr(t)
 
 
+def test_control_strings_are_the_library_s_or_text(plain_ids):
+    from tokenizers import Tokenizer
+
+    with open(JSON, "rb") as f:
+        data = f.read()
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n", "", "<|endoftext|", "none"]
+    for got, x in zip(encoding.Encoder(data).encode([x.encode() for x in texts]), texts):
+        assert got.tolist() == plain_ids(x)[:-1].tolist()
+    for got, x in zip(encoding.Encoder(data, special_as_text=True).encode([x.encode() for x in texts]), texts):
+        assert got.tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_long_texts_are_encoded_in_parts(plain_ids, monkeypatch):
+    """Parts of a few bytes, many distinct units, units that share a hash: the ids stay those of the whole text."""
+    rng = random.Random(3)
+    bits = ["word", " a", " bc", "\n", "  ", ".", "é", "中", "7", " don't", "x" * 70, "<|endoftext|>"]
+    texts = ["".join(rng.choice(bits) for _ in range(900)) for _ in range(20)]
+    with open(JSON, "rb") as f:
+        e = encoding.Encoder(f.read())
+    assert b"".join(encoding.pieces(texts[0].encode(), 50, 16)) == texts[0].encode() and len(encoding.pieces(texts[0].encode(), 50, 16)) > 9
+    monkeypatch.setattr(encoding, "BATCH_BYTES", 64)
+    for few in (False, True):
+        if few:  # nearly all units share a hash with another one
+            monkeypatch.setattr(encoding, "hashes", lambda data, begin, end: np.uint64(3) + (end - begin).astype(np.uint64) % np.uint64(2) * np.uint64(4))
+            e.table = encoding.Table()
+        for t, got in zip(texts, e.encode([t.encode() for t in texts])):
+            assert got.tolist() == plain_ids(t)[:-1].tolist()
+    assert len(e.table.others) > 20
+
+
+def test_more_distinct_words_than_a_small_table_holds(tik):
+    """Over 2^20 distinct words of one block, over 2^22 distinct units of one text."""
+    texts = [" ".join(np.base_repr(i, 36) for i in range(a, a + 400_000)).encode() for a in range(0, 1_200_000, 400_000)]
+    block = bpe.Block()
+    counts, refs = block.add(texts)
+    assert block.count > 1 << 20 and counts.sum() == len(refs) == 1_200_000
+    data, size = block.words
+    end = np.cumsum(size)
+    for k in (0, 5, 700_000, 1_199_999):
+        i = refs[k]
+        assert data[end[i] - size[i] : end[i]].tobytes().split() == [np.base_repr(k, 36).encode()]
+    table = encoding.Table()
+    number = np.concatenate([table.numbers(encoding.Units.of(np.arange(a, a + 500_000, dtype="<u4").tobytes(), np.full(500_000, 4)), bpe._numbered) for a in range(0, 4_500_000, 500_000)])
+    assert (number == np.arange(4_500_000)).all()
+
+
 def test_store_round_trip(spark, odd, plain_ids, tmp_path):
     docs = odd.unionByName(odd.where("doc_id = 1").withColumn("doc_id", F.lit(77).cast("long")))
     path = token_store.write_store(docs, str(tmp_path / "store"), JSON)
@@ -165,13 +219,6 @@ def test_nnls_meets_a_solvable_histogram():
     assert (x >= 0).all() and np.abs(fit - hist).max() < 0.5
 
 
-@pytest.fixture(scope="module")
-def tik():
-    import tiktoken
-
-    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
-
-
 def test_op6_against_the_library(spark, sf, tik):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []

@@ -14,7 +14,7 @@ block however often it occurs, and a block is bounded, so no key is hot.
 Decoding looks each id up in the table of token bytes (the fixed vocabulary, sent to every task).
 
 Defined cases: a null text is empty and has no ids; null and repeated doc_ids are encoded row by row; an empty table
-gives an empty one; only id and text are read. The input must read the same twice, as files and written tables do.
+gives an empty one; only id and text are read. The input is read twice, so what isn't a scan of files is written first.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import read_table
-from threadloom.llm.encoding import Table, Units, hashes, ragged, slices
+from threadloom.llm.common import materialize, read_table
+from threadloom.llm.encoding import BATCH_BYTES, TABLE_BYTES, TABLE_UNITS, Table, Units, pieces, ragged, slices
 
 BLOCK_BYTES = 8_000_000
 BUCKETS_A_PARTITION = 4
@@ -65,38 +65,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def _numbered(u: Units, new: np.ndarray):
+    """Words that are only numbered."""
+    yield new, np.empty(0, np.uint32), np.zeros(len(new), np.int32)
+
+
 class Block:
     """The distinct words of some texts, numbered as they come, and the texts as numbers."""
 
     def __init__(self):
-        self.table, self.size = Table(20), 0
-        self.words: list[bytes] = []
-        self.lengths: list[np.ndarray] = []
-        self.hashes: list[np.ndarray] = []
+        self.table, self.size = Table(), 0
 
     def add(self, texts: list[bytes]):
         """The words of each text: how many, and their numbers."""
-        u = Units(texts)
-        number = self.table.find(u.hash)
-        if (missing := np.flatnonzero(number < 0)).size:
-            _, at = np.unique(u.hash[missing], return_index=True)
-            new = missing[np.sort(at)]
-            size = u.end[new] - u.begin[new]
-            self.words.append(u.data[ragged(u.begin[new], size)].tobytes())
-            self.lengths.append(size)
-            self.hashes.append(u.hash[new])
-            self.table.add(u.hash[new], np.empty(0, np.uint32), np.zeros(len(new), np.int32))
-            number[missing] = self.table.find(u.hash[missing])
-        self.size += len(u.data)
-        return np.diff(u.first), number.astype(np.uint32)
+        parts = [x for t in texts for x in (pieces(t) if len(t) > 2 * BATCH_BYTES else [t])]
+        counts, refs = [], []
+        for a, b in slices(parts, len(parts) + 1, 2 * BATCH_BYTES):
+            u = Units(parts[a:b])
+            refs.append(self.table.numbers(u, _numbered).astype(np.uint32))
+            counts.append(np.diff(u.first))
+            self.size += len(u.data)
+        counts = np.concatenate(counts)
+        if len(parts) > len(texts):
+            own = [len(pieces(t)) if len(t) > 2 * BATCH_BYTES else 1 for t in texts]
+            counts = np.add.reduceat(counts, np.cumsum(own) - own)
+        return counts, np.concatenate(refs)
 
     @property
     def count(self) -> int:
         return self.table.size
 
+    @property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all distinct words in order, and their lengths."""
+        return self.table.data[: self.table.filled], self.table.length[: self.table.size].astype(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """Their hashes; 0 for a word whose hash another word has."""
+        return self.table.own[: self.table.size]
+
     def mark(self) -> int:
         """Equal for equal words in equal order."""
-        h = np.concatenate([*self.hashes, np.empty(0, np.uint64)])
+        h = self.hashes()
         return int((h * (2 * np.arange(len(h), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64) >> np.uint64(1))
 
 
@@ -117,10 +127,12 @@ def blocks_of(batches, block_bytes: int):
         yield number, block, None, None, None
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit) of every row."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, stored: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit) of every row; stored says that docs are a scan of files."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    if not stored:
+        rows = materialize(rows, "bpe-input")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS_A_PARTITION * parts
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
@@ -129,10 +141,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for number, block, ids, _, _ in blocks_of(batches, block_bytes):
             if ids is not None:
                 continue
-            data = np.frombuffer(b"".join(block.words), np.uint8)
-            size = np.concatenate([*block.lengths, np.empty(0, np.int64)])
+            data, size = block.words
             begin = np.cumsum(size) - size
-            bucket = (np.concatenate([*block.hashes, np.empty(0, np.uint64)]) >> np.uint64(7)) % np.uint64(buckets)
+            bucket = (block.hashes() >> np.uint64(7)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             out, mark = [], block.mark()
@@ -158,20 +169,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
         table = Table()
+
+        def learn(u, new):
+            ids = [bpe.encode_ordinary(u.text(i).decode("utf-8", "replace")) for i in new.tolist()]
+            count = np.array([len(x) for x in ids], np.int32)
+            yield new, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())), count
+
         for batch in batches:
             block, numbers, sizes, found = (batch.column(c).to_pylist() for c in ("block", "numbers", "sizes", "words"))
             out_counts, out_ids = [], []
             for s, raw in zip(sizes, found):
-                size = unpacked(s).astype(np.int64)
-                data = np.frombuffer(widened(raw), np.uint8)
-                end = np.cumsum(size)
-                h = hashes(data, end - size, end)
-                number = table.find(h)
-                if (missing := np.flatnonzero(number < 0)).size:
-                    ids = [bpe.encode_ordinary(data[end[i] - size[i] : end[i]].tobytes().decode("utf-8", "replace")) for i in missing]
-                    count = np.array([len(x) for x in ids], np.int32)
-                    table.add(h[missing], np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum())), count)
-                    number = table.find(h)
+                if table.size > TABLE_UNITS or table.bytes > TABLE_BYTES:
+                    table = Table()
+                number = table.numbers(Units.of(widened(raw), unpacked(s).astype(np.int64)), learn)
                 count = table.count[number]
                 out_counts.append(packed(count))
                 out_ids.append(packed(table.ids[ragged(table.begin[number], count.astype(np.int64))]))
@@ -252,4 +262,4 @@ def op6_bpe(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digest(encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return digest(encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, stored=True), path)

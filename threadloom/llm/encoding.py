@@ -4,15 +4,19 @@ A byte-level BPE with the usual word pattern works word by word, and these place
 a blank that a non-blank follows, between a line feed that no other white space surrounds and what follows, between a letter and . , ; : ! or ?. Texts are
 cut there into units, with numpy on their bytes, and a worker keeps the ids of the units that it has met in a hash
 table; the library encodes the others, strung together as whole text, and the bytes that each id stands for tell where
-a unit ends. Units are told apart by 64-bit hashes. The ids are those of encoding the whole text, as the tests check.
+a unit ends. Units are found by 64-bit hashes and compared byte by byte. Texts with control strings of the vocabulary are
+cut at them first, as the library does, and very long texts between units, so memory stays bounded but for a single
+unit. The ids are those of encoding the whole text, as the tests check.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-#: Units that the table holds before it is emptied; a bound on memory, not on what is encoded.
-TABLE_UNITS = 1 << 20
+#: What the table holds before it is emptied; a bound on memory, not on what is encoded.
+TABLE_UNITS, TABLE_BYTES = 1 << 20, 64 << 20
 BATCH_TEXTS, BATCH_BYTES = 1000, 2_000_000
 
 _SPACE, _BREAK, _LETTER, _MARK, _PLAIN = (np.zeros(256, bool) for _ in range(5))
@@ -65,6 +69,15 @@ class Units:
             self.first = np.where(np.append(size, 0) > 0, self.first, np.searchsorted(self.begin, np.append(first, n), "left"))
         self.hash = hashes(d, self.begin, self.end)
 
+    @classmethod
+    def of(cls, data: bytes, size: np.ndarray) -> Units:
+        """Units that are known already, by their bytes and sizes."""
+        u = cls.__new__(cls)
+        u.data, u.end = np.frombuffer(data, np.uint8), np.cumsum(size)
+        u.begin = u.end - size
+        u.hash = hashes(u.data, u.begin, u.end)
+        return u
+
     def text(self, i: int) -> bytes:
         return self.data[self.begin[i] : self.end[i]].tobytes()
 
@@ -76,18 +89,30 @@ def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """A hash table from units to runs of ids, probed for many units at once."""
+    """A hash table from units to runs of ids, probed for many units at once.
 
-    def __init__(self, bits: int = 22):
+    A unit that is found by its hash is compared byte by byte; units whose hash another one holds live in a dict beside.
+    """
+
+    def __init__(self, bits: int = 16):
         self.mask = np.uint64((1 << bits) - 1)
         self.hash = np.zeros(1 << bits, np.uint64)
         self.slot = np.zeros(1 << bits, np.int32)
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.own = np.zeros(1 << 12, np.uint64)  # the hash of each unit, to deal them anew when the table grows
+        self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.at, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.data, self.filled = np.zeros(1 << 14, np.uint8), 0
         self.size = 0
+        self.others: dict[bytes, int] = {}
+
+    @property
+    def bytes(self) -> int:
+        """What units and ids take."""
+        return 4 * self.used + self.filled
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each unit, -1 for those that aren't there."""
+        """The number of a unit with each hash, -1 for those that aren't there."""
         at = (h >> np.uint64(20)) & self.mask
         there = self.hash[at]
         out = np.where(there == h, self.slot[at], -1)
@@ -102,18 +127,8 @@ class Table:
             todo, at = todo[go], at[go]
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Adds distinct units that aren't there."""
-        n = len(h)
-        while self.size + n > len(self.begin):
-            self.begin, self.count = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.count, np.zeros_like(self.count))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.begin[self.size : self.size + n] = self.used + np.cumsum(count) - count
-        self.count[self.size : self.size + n] = count
-        self.ids[self.used : self.used + len(ids)] = ids
-        number = np.arange(self.size, self.size + n, dtype=np.int32)
-        at, todo = (h >> np.uint64(20)) & self.mask, np.arange(n)
+    def _place(self, h: np.ndarray, number: np.ndarray) -> None:
+        at, todo = (h >> np.uint64(20)) & self.mask, np.arange(len(h))
         while len(todo):
             free = self.hash[at] == 0
             slot, who = np.unique(at[free], return_index=True)  # one unit takes a slot, others move on
@@ -122,28 +137,99 @@ class Table:
             go = np.ones(len(todo), bool)
             go[took] = False
             todo, at = todo[go], (at[go] + np.uint64(1)) & self.mask
-        self.size += n
-        self.used += len(ids)
+
+    def _room(self, n: int) -> None:
+        """Keeps at least half of the slots free."""
+        bits = len(self.hash).bit_length() - 1
+        if 2 * (self.size + n) > 1 << bits:
+            while 2 * (self.size + n) > 1 << bits:
+                bits += 1
+            self.mask = np.uint64((1 << bits) - 1)
+            self.hash, self.slot = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+            at = np.flatnonzero(self.own[: self.size])
+            self._place(self.own[at], at.astype(np.int32))
+
+    def add(self, u: Units, new: np.ndarray, ids: np.ndarray, count: np.ndarray, hashed: bool = True) -> int:
+        """Adds units that aren't there, of different hashes; the number of the first."""
+        n, first, size = len(new), self.size, (u.end[new] - u.begin[new])
+        raw = u.data[ragged(u.begin[new], size)]
+        if hashed:
+            self._room(n)
+        for name, need in (("own", first + n), ("begin", first + n), ("count", first + n), ("at", first + n), ("length", first + n), ("ids", self.used + len(ids)), ("data", self.filled + len(raw))):
+            old = getattr(self, name)
+            if need > len(old):
+                grown = np.zeros(max(need, 2 * len(old)), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        to = slice(first, first + n)
+        self.begin[to], self.count[to] = self.used + np.cumsum(count) - count, count
+        self.at[to], self.length[to] = self.filled + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.data[self.filled : self.filled + len(raw)] = raw
+        self.size, self.used, self.filled = first + n, self.used + len(ids), self.filled + len(raw)
+        if hashed:
+            self.own[to] = u.hash[new]
+            self._place(u.hash[new], np.arange(first, first + n, dtype=np.int32))
+        return first
+
+    def unlike(self, u: Units, number: np.ndarray) -> np.ndarray:
+        """The units of u whose bytes are not those of the unit with their number."""
+        size = u.end - u.begin
+        bad = self.length[number] != size
+        check = np.flatnonzero(~bad) if bad.any() else None
+        begin, size = (self.at[number], size) if check is None else (self.at[number[check]], size[check])
+        mine = u.data if check is None else u.data[ragged(u.begin[check], size)]
+        differ = np.flatnonzero(self.data[ragged(begin, size)] != mine)
+        if len(differ):
+            unit = np.searchsorted(np.cumsum(size), differ, "right")
+            bad[unit if check is None else check[unit]] = True
+        return np.flatnonzero(bad)
+
+    def numbers(self, u: Units, learn) -> np.ndarray:
+        """The number of every unit of u; learn(u, units) yields (units, ids, counts) of those that are new."""
+        number = self.find(u.hash)
+        if (missing := np.flatnonzero(number < 0)).size:
+            _, at = np.unique(u.hash[missing], return_index=True)
+            for new, ids, count in learn(u, missing[np.sort(at)]):
+                self.add(u, new, ids, count)
+            number[missing] = self.find(u.hash[missing])
+        for i in self.unlike(u, number).tolist():
+            raw = u.text(i)
+            if raw not in self.others:
+                ((new, ids, count),) = learn(u, np.array([i]))
+                self.others[raw] = self.add(u, new, ids, count, hashed=False)
+            number[i] = self.others[raw]
+        return number
 
 
 class Encoder:
-    """Encodes lists of texts; `data` is the content of the file of a byte-level tokenizer."""
+    """Encodes lists of texts; `data` is the content of the file of a byte-level tokenizer.
 
-    def __init__(self, data: bytes):
+    As with the library's own settings, a control string in a text gets its id, unless special_as_text is set.
+    """
+
+    def __init__(self, data: bytes, special_as_text: bool = False):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)  # byte level: one character stands for one byte
+        added = [t for t in json.loads(data).get("added_tokens", []) if not (special_as_text and t["special"])]
+        #: Added tokens stand for themselves wherever their text occurs; those that take in their surroundings need the library.
+        self.whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        names = sorted(self.added, key=len, reverse=True)
+        self.pattern = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")") if names else None
         self.table = Table()
 
-    def _learn(self, u: Units, new: np.ndarray) -> None:
+    def _learn(self, u: Units, new: np.ndarray):
         """Encodes units in one go: those that begin with a blank or follow a letter stand apart when strung together."""
         lead = u.data[u.begin[new]]
         long = u.end[new] - u.begin[new] > 1
@@ -165,24 +251,54 @@ class Encoder:
                     ids = np.array(found.ids, np.uint32)
                     ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(size)) + 1
                     count = np.diff(ends, prepend=0).astype(np.int32)
-                self.table.add(u.hash[g], ids, count)
+                yield g, ids, count
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text, as views of one array."""
-        u = Units(texts)
-        if self.table.size > TABLE_UNITS:
+        """The ids of each text. Long texts, and those with control strings, are encoded in parts."""
+        parts, known, bounds = [], {}, [0]
+        for t in texts:
+            own = self.pattern.split(t) if self.pattern and self.pattern.search(t) else [t]
+            if self.whole and len(own) > 1:
+                known[len(parts)] = self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+                own = [b""]
+            for k, x in enumerate(own):
+                if k % 2:  # every second part is a control string
+                    known[len(parts)], x = [self.added[x]], b""
+                parts += pieces(x) if len(x) > 2 * BATCH_BYTES else [x]
+            bounds.append(len(parts))
+        ids: list[np.ndarray] = []
+        for a, b in slices(parts, len(parts) + 1, 2 * BATCH_BYTES):
+            ids += self._encode(parts[a:b])
+        for k, own in known.items():
+            ids[k] = np.array(own, np.uint32)
+        return ids if len(ids) == len(texts) else [np.concatenate(ids[i:j]) for i, j in zip(bounds, bounds[1:])]
+
+    def _encode(self, parts: list[bytes]) -> list[np.ndarray]:
+        u = Units(parts)
+        if self.table.size > TABLE_UNITS or self.table.bytes > TABLE_BYTES:
             self.table = Table()
-        number = self.table.find(u.hash)
-        if (missing := np.flatnonzero(number < 0)).size:
-            _, at = np.unique(u.hash[missing], return_index=True)
-            self._learn(u, missing[at])
-            number[missing] = self.table.find(u.hash[missing])
+        number = self.table.numbers(u, self._learn)
         count = self.table.count[number].astype(np.int64)
         ids = self.table.ids[ragged(self.table.begin[number], count)]
         cuts = np.concatenate([[0], np.cumsum(count)])[u.first]
         return [ids[i:j] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
+def pieces(text: bytes, most: int = BATCH_BYTES, stretch: int = 1 << 16) -> list[bytes]:
+    """A long text cut between units: each piece but the last ends at the first cut after `most` bytes."""
+    out, begin, at = [], 0, most
+    while at < len(text):
+        cuts = Units([text[at - 2 : at + stretch]]).begin
+        cuts = cuts[cuts >= 2]  # whether a place is a cut shows in the two bytes before it and the one after
+        if len(cuts):
+            end = at - 2 + int(cuts[0])
+            out.append(text[begin:end])
+            begin, at = end, end + most
+        else:
+            at += stretch - 1
+    return [*out, text[begin:]]
+
+
 def slices(texts, count: int = BATCH_TEXTS, most: int = BATCH_BYTES):
     """Index ranges with a bounded number of texts and, but for a longer single text, of bytes."""
     begin = size = 0
