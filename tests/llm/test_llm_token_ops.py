@@ -138,9 +138,25 @@ def test_damage_is_noticed(spark, odd, tmp_path):
         token_store.digest(spark, path)
 
 
+@pytest.mark.parametrize("column", ["doc_id", "start", "n_tokens", "ends"])
+def test_a_changed_recipe_is_noticed(spark, odd, tmp_path, column, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 2)  # several levels in parts, and over parts
+    path = token_store.write_store(odd, str(tmp_path / "store"), JSON)
+    assert len(token_store.root_of(spark, path)) == 32
+    assert token_store.digest(spark, path).count() == odd.count()
+    levels = spark.read.parquet(f"{path}/manifest").groupBy("level").count().orderBy("level").collect()
+    assert len(levels) > 2 and levels[-1]["count"] == 1
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows = spark.createDataFrame(recipes.collect(), recipes.schema)
+    more = F.transform("ends", lambda x: x + 1) if column == "ends" else F.col(column) + 1
+    rows.withColumn(column, F.when(F.col("doc_id") == 12, more).otherwise(F.col(column))).write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_recipes(spark, path)
+
+
 def test_empty_store(spark, nothing, tmp_path):
     path = token_store.write_store(nothing, str(tmp_path / "store"), JSON)
-    assert token_store.digest(spark, path).count() == 0
+    assert token_store.digest(spark, path).count() == 0 and token_store.root_of(spark, path) is None
 
 
 def test_cuts_follow_content():

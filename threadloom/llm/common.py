@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +18,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables written since the innermost scratch() began, as (label, path).
+_written: ContextVar[list[tuple[str, str]] | None] = ContextVar("written", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session that names none (tests) gets one of its own."""
+    """The folder that driver and executors share. Only a local session may name none (tests); it gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (written := _written.get()) is not None:
+        written.append((label, path))
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -37,6 +48,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Removes at its end what materialize() wrote in between, but for the newest table of each label in keep.
+
+    Kept tables belong to the scratch() around this one, if there is one.
+    """
+    outer, mine = _written.get(), []
+    token = _written.set(mine)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        kept = dict(x for x in mine if x[0] in keep)
+        for label, path in mine:
+            if kept.get(label) != path:
+                remove_path(spark, path)
+        if outer is not None:
+            outer.extend(kept.items())
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate table through Hadoop's file system, wherever the shared folder lies."""
     jvm = spark.sparkContext._jvm

@@ -2,12 +2,14 @@
 
 Files under one folder (Parquet):
   chunks/    key (SHA-256 of the ids), ids (little-endian unsigned 32-bit); every distinct chunk once
-  recipes/   doc_id, part, start, n_tokens, keys, ends, root; in ascending doc_id order, start counts the ids before
-  manifest/  part, docs, tokens, root: the Merkle root over the documents of a part of recipes/
+  recipes/   part, pos, doc_id, start, n_tokens, keys, ends, root; in ascending doc_id order, start counts the ids before
+  manifest/  level, part, node, root: a Merkle tree of FAN children a node over the documents; the top level is one root
 
 A rolling hash over the last WINDOW ids cuts a stream where its low bits are zero, MIN_CHUNK to MAX_CHUNK ids apart,
-so equal passages cut alike wherever they stand. A document's root is the Merkle root over its chunk keys. Reading
-verifies: each chunk against its key, each document against its root, each part against the manifest.
+so equal passages cut alike wherever they stand. A document's root is the Merkle root over its chunk keys. The leaves
+of the manifest's tree hold a document's id, place, ends and root; each level joins runs of FAN neighbours, first within
+the parts of recipes/, then over the parts, so no step gathers more than FAN digests. Reading verifies: each chunk
+against its key, each document against its root, all documents against the manifest.
 
 Defined cases: a null text is empty and is the end id alone; null doc_ids come first; rows that repeat a doc_id are
 stored one by one, next to each other; an empty table gives an empty store; only id and text are read.
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fresh_path, materialize, read_table, remove_path
+from threadloom.llm.common import fresh_path, materialize, read_table, scratch
 from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
 
 END_ID = 0
 WINDOW, MIN_CHUNK, MAX_CHUNK, CUT_BITS = 12, 128, 4096, 9
+FAN = 1024
 CRC_POLY = 0xEDB88320
 
 
@@ -127,38 +130,60 @@ def encode_and_cut(docs: DataFrame, tokenizer_path: str, id_col: str, text_col:
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode docs and write the store under path."""
     spark = docs.sparkSession
-    raw_path = fresh_path(spark, "token-log")
-    encode_and_cut(docs, tokenizer_path, id_col, text_col).write.option("compression", "zstd").parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
-
-    # Each distinct chunk has one home: the first (part, number) that holds it. Only keys are shuffled for this.
-    each = raw.select("part", F.posexplode("chunks.key").alias("i", "key"), "first").select("part", (F.col("first") + F.col("i")).alias("at"), "key")
-    homes = each.groupBy("key").agg(F.min(F.struct("part", "at")).alias("home")).select("home.part", "home.at")
-    # The homes of a part as bits, 64 to a word: so small beside the chunks that Spark can send them out up to its
-    # broadcast threshold, and joins by shuffle beyond it.
-    bits = homes.groupBy("part", F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("b"))
-    bits = materialize(bits.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("bits")), "token-homes")
-    _write_homes(raw, bits, f"{path}/chunks")
-
-    recipes = raw.select("doc_id", "n_tokens", F.col("chunks.key").alias("keys"), F.col("chunks.end").alias("ends"), "root")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    local = materialize(ordered.mapInArrow(_number, "part int, doc_id long, local long, n_tokens long, keys array<binary>, ends array<long>, root binary"), "token-recipes")
-    totals = local.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    # One row a part, so this window is over as many rows as there are parts.
-    before = totals.select("part", (F.expr("sum(tokens) over (order by part)") - F.col("tokens")).alias("before"))
-    placed = local.join(before, "part").select("part", "doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "keys", "ends", "root")
-    placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = spark.read.parquet(f"{path}/recipes").select("part", "start", "n_tokens", "root")
-    roots.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), _part_root().alias("root")).write.parquet(f"{path}/manifest")
-    remove_path(spark, raw_path)
+    with scratch(spark):
+        raw = materialize(encode_and_cut(docs, tokenizer_path, id_col, text_col), "token-log")
+
+        # Each distinct chunk has one home: the first (part, number) that holds it. Only keys are shuffled for this.
+        each = raw.select("part", F.posexplode("chunks.key").alias("i", "key"), "first").select("part", (F.col("first") + F.col("i")).alias("at"), "key")
+        homes = each.groupBy("key").agg(F.min(F.struct("part", "at")).alias("home")).select("home.part", "home.at")
+        # The homes of a part as bits, 64 to a word: so small beside the chunks that Spark can send them out up to its
+        # broadcast threshold, and joins by shuffle beyond it.
+        bits = homes.groupBy("part", F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("b"))
+        bits = materialize(bits.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("bits")), "token-homes")
+        _write_homes(raw, bits, f"{path}/chunks")
+
+        recipes = raw.select("doc_id", "n_tokens", F.col("chunks.key").alias("keys"), F.col("chunks.end").alias("ends"), "root")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
+        local = materialize(ordered.mapInArrow(_number, "part int, pos long, doc_id long, local long, n_tokens long, keys array<binary>, ends array<long>, root binary"), "token-recipes")
+        totals = local.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
+        # One row a part, so this window is over as many rows as there are parts.
+        before = totals.select("part", (F.expr("sum(tokens) over (order by part)") - F.col("tokens")).alias("before"))
+        placed = local.join(before, "part").select("part", "pos", "doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "keys", "ends", "root")
+        placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    _write_tree(spark.read.parquet(f"{path}/recipes"), f"{path}/manifest")
     return path
 
 
-def _part_root():
-    """A part's root: SHA-256 over the roots of its documents in order (a flat tree)."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("start", "root"))), lambda x: F.lower(F.hex(x["root"])))
-    return F.unhex(F.sha2(F.array_join(ordered, ""), 256))
+def _write_tree(recipes: DataFrame, path: str) -> None:
+    """The levels of the tree, each from the one before as written, up to a single root."""
+    spark, level, nodes = recipes.sparkSession, 0, _leaves(recipes)
+    while True:
+        nodes.select(F.lit(level).alias("level"), "part", "node", "root").write.mode("append").parquet(path)
+        written = spark.read.parquet(path).where(F.col("level") == level)
+        count, last = written.agg(F.count("*"), F.max("node")).first()
+        if count <= 1:
+            return
+        nodes, level = _joined(_over_parts(written) if last == 0 else written), level + 1
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """part, node (a run of FAN documents), root: what a document's recipe says, hashed, and runs of them joined."""
+    number = lambda c: F.coalesce(F.hex(c), F.lit("-"))
+    said = F.concat_ws(",", number(F.col("doc_id")), number(F.col("start")), number(F.col("n_tokens")), F.array_join(F.transform("ends", F.hex), "."), F.hex("root"))
+    return _joined(recipes.select("part", F.col("pos").alias("node"), F.unhex(F.sha2(F.concat(F.lit("0,"), said), 256)).alias("root")))
+
+
+def _over_parts(nodes: DataFrame) -> DataFrame:
+    """The roots of all parts as nodes of one."""
+    return nodes.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("node"), "root")
+
+
+def _joined(nodes: DataFrame) -> DataFrame:
+    """The next level: each run of FAN neighbours as one node."""
+    run = nodes.groupBy("part", F.expr(f"node div {FAN}").alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("all"))
+    hexes = F.array_join(F.transform("all", lambda x: F.concat(F.hex(x["node"]), F.lit(":"), F.hex(x["root"]))), ",")
+    return run.select("part", "node", F.unhex(F.sha2(F.concat(F.lit("1,"), hexes), 256)).alias("root"))
 
 
 def _write_homes(raw: DataFrame, bits: DataFrame, path: str) -> None:
@@ -174,14 +199,15 @@ def _write_homes(raw: DataFrame, bits: DataFrame, path: str) -> None:
 
 
 def _number(batches):
-    """Adds the number of the part and the ids of the part before each document."""
+    """Adds the number of the part, and the documents and ids of the part before each document."""
     from pyspark import TaskContext
 
-    part, before = TaskContext.get().partitionId(), 0
+    part, pos, before = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         n = batch.column(1).to_numpy()
         ends = np.cumsum(n) + before
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(ends - n), *batch.columns[1:]], ["part", "doc_id", "local", "n_tokens", "keys", "ends", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(pos, pos + len(n))), batch.column(0), pa.array(ends - n), *batch.columns[1:]], ["part", "pos", "doc_id", "local", "n_tokens", "keys", "ends", "root"])
+        pos += len(n)
         before = int(ends[-1]) if len(n) else before
 
 
@@ -193,7 +219,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes whose documents agree with their roots and whose parts agree with the manifest."""
+    """Recipes whose documents agree with their roots and, all together, with the manifest's tree.
+
+    Checking the tree runs one job over the recipes before anything is returned.
+    """
 
     def verify(batches):
         for batch in batches:
@@ -202,15 +231,26 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError("a recipe differs from its root")
             yield batch
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest").withColumnRenamed("root", "wanted").select("part", "wanted", F.col("docs").alias("wanted_docs"))
-    found = recipes.groupBy("part").agg(F.count("*").alias("docs"), _part_root().alias("root"))
-    bad = manifest.join(found, "part", "full_outer").where(~F.col("root").eqNullSafe(F.col("wanted")) | ~F.col("docs").eqNullSafe(F.col("wanted_docs")))
-    if not bad.isEmpty():
-        raise ValueError("a part of the recipes differs from the manifest")
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    levels = {r["level"]: (r["n"], r["last"]) for r in manifest.groupBy("level").agg(F.count("*").alias("n"), F.max("node").alias("last")).collect()}  # a row a level
+    found, top = _leaves(recipes).withColumn("level", F.lit(0)), max(levels, default=0)
+    if levels.get(top, (0, 0))[0] > 1 or sorted(levels) != list(range(len(levels))):
+        raise ValueError("the manifest has no root")
+    for k in range(top):
+        below = manifest.where(F.col("level") == k)
+        found = found.unionByName(_joined(_over_parts(below) if levels[k][1] == 0 else below).withColumn("level", F.lit(k + 1)))
+    both = manifest.withColumnRenamed("root", "wanted").join(found, ["level", "part", "node"], "full_outer")
+    if not both.where(~F.col("root").eqNullSafe(F.col("wanted"))).isEmpty():
+        raise ValueError("the recipes differ from the manifest")
     return recipes.mapInArrow(verify, recipes.schema)
 
 
+def root_of(spark: SparkSession, path: str) -> bytes | None:
+    """The root of the whole store; None for an empty one. Equal stores have equal roots."""
+    top = spark.read.parquet(f"{path}/manifest").orderBy(F.col("level").desc()).first()
+    return bytes(top["root"]) if top else None
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (bytes) of every document, reassembled from its chunks."""
     uses = read_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("keys").alias("i", "key"))
