@@ -3,9 +3,9 @@
 Two texts are equal when they are the same after white space (space, 0x09-0x0D) is deleted; null counts as
 empty. Of equal texts the row with the most code points stays, then the one with the smallest id.
 
-Defined cases: a null id sorts after every other id; rows that repeat the id of the kept row are kept with it
-(they are the same document); an empty table gives an empty table; other columns, whatever their names, are
-neither read nor returned.
+Defined cases: a null id sorts after every other id; an empty table gives an empty table. exact_groups() reports rows
+that repeat the id of the kept row as kept with it (they are the same document) and neither reads nor returns other
+columns, whatever their names; drop_copies() returns one of such rows, with all its columns.
 """
 
 from __future__ import annotations
@@ -60,17 +60,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns stay.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=content_hash) -> DataFrame:
+    """One row of docs for each text, all its columns as they were.
 
-    Only the ids of dropped rows are joined back: Spark sends them out up to its broadcast threshold and shuffles
-    beyond it.
+    Hashes are counted first, and only hashes that occur twice have their texts compared, so no text of a single
+    document is shuffled while Spark can send out the repeated hashes; beyond its broadcast threshold documents meet
+    them by one shuffle, which AQE splits where a hash is hot. Grouping by (hash, text) compares bytes; the rows
+    of a group are reduced to the best one on the map side, so a text of a third of all rows leaves each task once.
     """
-    groups = exact_groups(docs, id_col, text_col)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
-    gone = materialize(gone, "exact-gone")
-    sha = F.unhex(F.sha2(normalized(docs[text_col]), 256))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    columns = [docs[c] for c in docs.columns]
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(F.struct(*columns).alias("row"), docs[id_col].alias("id"), text.alias("t"), normalized(text).alias("norm"))
+    rows = rows.select("row", "id", "t", "norm", hash_fn(F.col("norm")).alias("h"))
+    repeated = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = materialize(repeated, "exact-repeated")
+    single = rows.select("row", "h").join(repeated, "h", "left_anti").select("row.*")
+    order = F.struct(F.length("t").alias("points"), F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), F.xxhash64("t").alias("tie"))
+    best = rows.join(repeated, "h", "left_semi").groupBy("h", "norm").agg(F.max_by("row", order).alias("row"))
+    return single.unionByName(best.select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir):
