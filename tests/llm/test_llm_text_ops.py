@@ -85,7 +85,9 @@ def test_exact_groups(odd, nothing):
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(odd).collect()}
     assert {(5, 4, 4, False), (3, 4, 4, False), (4, 4, 4, True), (None, 4, 4, False), (1, 1, 2, True), (2, 1, 2, False), (9, 9, 4, True), (7, 9, 4, False), (8, 9, 4, False), (11, 11, 1, True)} == got
     assert exact_dedup.exact_groups(nothing).count() == 0
-    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(odd).collect()) == [1, 4, 9, 9, 11]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(odd).collect()) == [1, 4, 9, 11]
+    assert sorted(map(str, exact_dedup.drop_copies(odd, hash_fn=lambda norm: F.unhex(F.lit("00"))).collect())) == sorted(map(str, exact_dedup.drop_copies(odd).collect()))
+    assert exact_dedup.drop_copies(nothing).count() == 0
     assert exact_dedup.drop_copies(odd).columns == odd.columns
 
 
@@ -195,7 +197,8 @@ def test_spans_of_mixed_text_and_odd_rows(spark, odd, nothing):
     en, fr = (docs.where(f"lang = '{x}' AND n_chars > 800").first()["text"][:500] for x in ("en", "fr"))
     ((_, _, spans),) = model.label([en + " " + fr])
     assert [s[0] for s in spans if s[2] > 5] == ["en", "fr"]
-    assert model.label(["", "12 !", "東京"])[0][0] == model.label(["", "12 !", "東京"])[1][0] == "und"
+    empty, digits, other = model.label(["", "12 !", "東京 Москва"])
+    assert empty[0] == digits[0] == "und" and other[0] in model.langs and other[1:] == (0.0, [])
     assert language_id.label(odd, model).where("doc_id IN (7, 8, 9)").where("lang_pred <> 'und' OR score <> 0").count() == 0
     assert language_id.label(odd, model).count() == odd.count()
     assert language_id.label(nothing, language_id.train(nothing)).count() == 0
@@ -237,6 +240,19 @@ def test_notices_with_edits_are_found(notice):
     assert [s for s in scan("some words before and after")[2]] == []
 
 
+def test_many_places_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        n_words, base, spans, _ = scan("cc by licensed under cc by q " * n)
+        took.append(time.process_time() - began)
+        assert n_words == 7 * n and [b["word"] for b in base] == sorted([7 * k for k in range(n)] + [7 * k + 4 for k in range(n)])
+        assert {s["first_word"] % 7 for s in spans if s["label"] == "cc-notice"} == {2} and spans[-1]["last_word"] == 7 * n - 2
+    assert took[1] < 9 * took[0] + 1
+
+
 def test_two_notices_and_odd_rows(odd, nothing):
     two = "released under the mit license x " * 2
     assert [s["first_word"] for s in scan(two)[2] if s["label"] == "mit"] == [0, 6]

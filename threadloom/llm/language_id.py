@@ -5,9 +5,10 @@ fixed number of buckets, and the scripts that its training text uses. A word's c
 its script. A text's path maximises the sum of its word scores less `penalty` for each switch; runs of one language
 are the spans of mixed-language text. The predicted language is the one that covers most letters.
 
-Defined cases: a text that is null or has no letter is `und` with score 0 and no spans, and so is a text none of whose
-words has a candidate, or any text when nothing could be learned; ties go to the language first in order of code
-point; repeated rows are judged one by one; an empty table gives an empty one; only the named columns are read.
+Defined cases: a text that is null or has no letter is `und` with score 0 and no spans, and so is any text when nothing
+could be learned. A text none of whose words has a candidate gets the language whose n-grams fit best, with score 0
+and no spans. Ties go to the language first in order of code point; repeated rows are judged one by one; an
+empty table gives an empty one; only the named columns are read; a row without doc_id is not held out.
 
 Training reads at most about `max_rows` labelled rows of each language (a documented bound; the rows are chosen by
 a hash of the id, so the sample is spread over the whole table). Prediction covers all rows and whole texts.
@@ -140,6 +141,7 @@ class Model:
         if not len(words.start):
             return out
         score = words.sums(self.logp)
+        whole = np.stack([np.bincount(words.doc, score[:, k], len(texts)) for k in range(len(self.langs))], 1)
         score -= score.max(1, keepdims=True)
         score = np.maximum(score, -40.0)  # one odd word doesn't decide
         allowed = self.uses[:, words.script].T
@@ -158,6 +160,7 @@ class Model:
         for k, d in enumerate(docs):
             total = cover[d].sum()
             if not total:
+                out[d] = (self.langs[int(whole[d].argmax())], 0.0, [])
                 continue
             p = path[bounds[k] : bounds[k + 1]]
             best = int(cover[d].argmax())
@@ -276,4 +279,4 @@ def train_on_open_rows(docs: DataFrame) -> Model:
 def op8_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     found = label(docs.select("doc_id", "text"), train_on_open_rows(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

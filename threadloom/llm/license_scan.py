@@ -11,6 +11,8 @@ an empty table gives an empty one; only id and text are read, whatever else the
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,6 +47,7 @@ NOTICES = (
     Notice("spdx", "spdx license identifier", 2),
 )
 
+_BLANK = re.compile(" ")
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(b if b >= 128 or b in _KEPT else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -91,11 +94,20 @@ class Scanner:
         base = []
         for phrase, label in BASE_PHRASES:
             wanted = f" {phrase} ".encode()
-            at = padded.find(wanted)
+            at, word, counted = padded.find(wanted), 0, 0
             while at >= 0:
-                base.append({"label": label, "word": padded.count(b" ", 0, at)})
+                word, counted = word + padded.count(b" ", counted, at), at  # from place to place, so the text is counted once
+                base.append({"label": label, "word": word})
                 at = padded.find(wanted, at + 1)
         text = norm.decode("utf-8", "replace")
+        starts: list[int] = []  # where the words begin, once a notice is found
+
+        def word_at(place: int) -> int:
+            if not starts:
+                starts.append(0)
+                starts.extend(m.end() for m in _BLANK.finditer(text))
+            return bisect_right(starts, place) - 1
+
         windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.seeds.iter(text):
             for i, at in where:
@@ -115,8 +127,8 @@ class Scanner:
             for lo, hi in sorted(found):
                 for m in self.patterns[i].finditer(text, max(lo, done), hi):
                     done = m.end()
-                    first = text.count(" ", 0, m.start() + (text[m.start() : m.start() + 1] == " "))
-                    last = text.count(" ", 0, m.end() - (text[m.end() - 1 : m.end()] == " "))
+                    first = word_at(m.start() + (text[m.start() : m.start() + 1] == " "))
+                    last = word_at(m.end() - 1 - (text[m.end() - 1 : m.end()] == " "))
                     spans.append({"label": n.label, "first_word": first, "last_word": last, "errors": sum(m.fuzzy_counts), "matched": m.group()})
                     best = 1 - sum(m.fuzzy_counts) / len(n.text)
                     spans[-1]["_score"] = best

@@ -28,7 +28,7 @@ from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
 
 SEQUENCE = 1024
 END_ID = 0
-#: Lengths whose pairs are completed by a third; the most frequent ones. A bound on the plan, not on the data.
+#: Default of pack()'s triple_lengths.
 TRIPLE_LENGTHS = 64
 
 
@@ -70,9 +70,9 @@ def nnls(combos: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 400) ->
 class Plan:
     """Where the rest of length n and rank r goes: arrays sorted by (n, first rank)."""
 
-    def __init__(self, hist: np.ndarray, window: int = SEQUENCE):
+    def __init__(self, hist: np.ndarray, window: int = SEQUENCE, triple_lengths: int = TRIPLE_LENGTHS):
         self.window = window
-        combos = combinations(hist, window)
+        combos = combinations(hist, window, triple_lengths)
         repeats = nnls(combos, hist.astype(float))
         left, used = hist.astype(np.int64).copy(), np.zeros(len(hist), np.int64)
         keys, seqs, offsets, ends = [], [], [], []
@@ -160,17 +160,21 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
     return rows.mapInArrow(run, "doc_id long, part int, row long, n long, rest long, rank long, windows long, crcs array<long>, rest_crc long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes)."""
-    return _packed(docs, tokenizer_path, window, id_col, text_col, with_ids=True)
+def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", triple_lengths: int = TRIPLE_LENGTHS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes).
 
+    triple_lengths bounds the lengths whose pairs the plan completes by a third, the most frequent ones; what no
+    combination takes is packed greedily, so it moves cuts between documents, not the padding.
+    """
+    return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=True)
 
-def pack_digest(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def pack_digest(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", triple_lengths: int = TRIPLE_LENGTHS) -> DataFrame:
     """pack() without ids; ids are read again only for the pieces that the plan cuts."""
-    return _packed(docs, tokenizer_path, window, id_col, text_col, with_ids=False)
+    return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=False)
 
 
-def _packed(docs, tokenizer_path, window, id_col, text_col, with_ids):
+def _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids):
     encoded = materialize(encode(docs, tokenizer_path, window, id_col, text_col), "packing")
     rests = encoded.where("rest > 0").groupBy("part", "rest").agg(F.count("*").alias("k"))
     full = encoded.groupBy("part").agg(F.sum(F.size("crcs")).alias("k")).select("part", F.lit(0).cast("long").alias("rest"), "k")
@@ -178,7 +182,7 @@ def _packed(docs, tokenizer_path, window, id_col, text_col, with_ids):
     hist = np.zeros(window, np.int64)
     for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("k").alias("k")).collect():  # at most window - 1 rows
         hist[r["rest"]] = r["k"]
-    plan = Plan(hist, window)
+    plan = Plan(hist, window, triple_lengths)
     # The first rank of each task in each length; the windows of full sequences count as length 0.
     base = counts.select("part", "rest", (F.expr("sum(k) over (partition by rest order by part)") - F.col("k")).alias("base"))
     rows = encoded.select("doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "rest_crc")
