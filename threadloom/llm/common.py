@@ -54,18 +54,25 @@ def scratch(spark: SparkSession, *keep: str):
 
     Kept tables belong to the scratch() around this one, if there is one.
     """
-    outer, mine = _written.get(), []
-    token = _written.set(mine)
+    outer = _written.get()
+    token = _written.set([])
     try:
         yield
     finally:
-        _written.reset(token)
-        kept = dict(x for x in mine if x[0] in keep)
-        for label, path in mine:
-            if kept.get(label) != path:
-                remove_path(spark, path)
+        sweep(spark, *keep)
         if outer is not None:
-            outer.extend(kept.items())
+            outer.extend(_written.get())
+        _written.reset(token)
+
+
+def sweep(spark: SparkSession, *keep: str) -> None:
+    """Removes what the innermost scratch() holds, but for the newest table of each label in keep."""
+    mine = _written.get() or []
+    kept = dict(x for x in mine if x[0] in keep)
+    for label, path in mine:
+        if kept.get(label) != path:
+            remove_path(spark, path)
+    mine[:] = kept.items()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -6,17 +6,21 @@ without a table section get one; an end tag closes the nearest open element of i
 ignored when there is none.
 
 Rules of visibility: head, script, style, template, noscript, embedded media, elements with the hidden attribute,
-aria-hidden=true, display:none or visibility:hidden, hidden inputs, and closed details but for their summary emit
-nothing. All other text is emitted once.
+aria-hidden=true or display:none, hidden inputs, closed dialogs, and closed details but for their summary emit nothing.
+visibility is inherited: hidden or collapse hides text until a visible below it. All other text is emitted once.
 
 Rules of layout: white space collapses outside pre and textarea; blocks start on lines of their own, paragraphs,
-headings, outer lists and tables have an empty line around them; list items carry "- " or their number and are
-indented by depth; table cells are padded to the width of their column (COLUMN_CHARS at most, longer cells run
-over) with " | " between them, colspan and rowspan kept.
+headings, outer lists and tables have an empty line around them; list items carry "- " or their number (from the start,
+downwards in a reversed list) and are indented by depth, INDENT_CHARS at most; table cells are padded to the width of
+their column with " | " between them, colspan and rowspan kept. Lines of a cell that another column stands beside are
+wrapped at WRAP_CHARS; a word longer than that ends its line, and the cells to its right go on below, so columns stay
+aligned whatever they hold. Beyond ALIGNED_COLUMNS columns the cells of a row follow each other without padding for
+empty ones; tables nested deeper than NESTED_TABLES are read cell by cell.
 
 Defined cases: null and empty pages give an empty text and title; unclosed comments, tags and quotes are read to the
-end of the page as text or comment without failing; nesting of any depth is walked without recursion; repeated rows
-are rendered one by one; an empty table gives an empty one; only the named columns are read.
+end of the page as text or comment without failing; nesting of any depth is walked without recursion, and time and
+output grow with the page's length; repeated rows are rendered one by one; an empty table gives an empty one; only
+the named columns are read.
 """
 
 from __future__ import annotations
@@ -56,14 +60,18 @@ CLOSES = {
     "tfoot": (("tbody", "thead", "tfoot", "caption"), ("table",)),
     "p": (("p",), ("td", "th", "table", "caption", "button")),
 }
-COLUMN_CHARS = 60
-
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+WRAP_CHARS = 60
+INDENT_CHARS = 60
+ALIGNED_COLUMNS = 64
+NESTED_TABLES = 8
+#: Tags whose quotes are open to the page's end, after which quotes are no longer searched for.
+OPEN_QUOTES = 20
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
+_START = re.compile(r"<([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -78,76 +86,116 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+class Open:
+    """The open elements of a page, with the places of each name, so that closing needs no search."""
+
+    def __init__(self):
+        self.root = Node("#root", {})
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, tag: str, attrs: dict[str, str]) -> None:
+        node = Node(tag, attrs)
+        self.top.children.append(node)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        self.places[self.stack.pop().tag].pop()
+
+    def nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def close(self, names, barriers) -> None:
+        """Close the nearest element of these names, unless a barrier is open inside it."""
+        k = self.nearest(names)
+        if k >= 0 and k > self.nearest(barriers):
+            while len(self.stack) > k:
+                self.pop()
+
+
 def build(html: str) -> Node:
     """The tree of a page; leaves are strings."""
-    root = Node("#root", {})
-    stack = [root]
-    pos, n = 0, len(html)
-
-    def close(names, barriers) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in barriers:
-                return
-
-    def opened(tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        stack.append(node)
+    open_ = Open()
+    pos, n, last, open_quotes = 0, len(html), html.rfind(">"), 0
+
+    def tag_at(at: int):
+        """(end, closing name, opening name, attributes) of the tag or comment at a "<", None for plain text."""
+        m = _TOKEN.match(html, at)
+        if m:
+            return m.end(), m[1], None, ""
+        m = _START.match(html, at) if at < last else None
+        if not m:
+            return None
+        nonlocal open_quotes
+        q = _QUOTED.match(html, m.end()) if open_quotes < OPEN_QUOTES else None
+        if q:
+            return q.end(), None, m[1], q[1]
+        open_quotes += 1
+        end = html.find(">", m.end())
+        return (end + 1, None, m[1], html[m.end() : end]) if end >= 0 else None
 
     while pos < n:
         at = html.find("<", pos)
-        m = _TOKEN.match(html, at) if at >= 0 else None
-        while at >= 0 and not m:  # a "<" that starts no tag is text
+        found = tag_at(at) if at >= 0 else None
+        while at >= 0 and not found:  # a "<" that starts no tag is text
             at = html.find("<", at + 1)
-            m = _TOKEN.match(html, at) if at >= 0 else None
+            found = tag_at(at) if at >= 0 else None
         if at != pos:
-            text = html[pos : at if m else n]
-            stack[-1].children.append(unescape(text) if "&" in text else text)
-        if not m:
+            text = html[pos : at if found else n]
+            open_.top.children.append(unescape(text) if "&" in text else text)
+        if not found:
             break
-        pos = m.end()
-        end, start = m[1], m[2] or m[4]
+        pos, end, start, raw = found
         if end:
             end = end.lower()
             if end == "br":
-                stack[-1].children.append(Node("br", {}))
+                open_.top.children.append(Node("br", {}))
             else:
-                close((end,), () if end in ("table", "body", "html") else ("table",) if end in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("td", "th", "caption"))
+                open_.close((end,), () if end in ("table", "body", "html") else ("table",) if end in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("td", "th", "caption"))
         elif start:
             tag = start.lower()
-            attrs = attributes(m[3] or m[5] or "")
+            attrs = attributes(raw)
             if tag in ENDS_P and tag != "p":
-                close(*CLOSES["p"])
+                open_.close(*CLOSES["p"])
             if tag in CLOSES:
-                close(*CLOSES[tag])
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                if stack[-1].tag == "table":
-                    opened("tbody", {})
-                opened("tr", {})
-            elif tag == "tr" and stack[-1].tag == "table":
-                opened("tbody", {})
-            opened(tag, attrs)
+                open_.close(*CLOSES[tag])
+            if tag in ("td", "th") and open_.top.tag in ("table", "tbody", "thead", "tfoot"):
+                if open_.top.tag == "table":
+                    open_.push("tbody", {})
+                open_.push("tr", {})
+            elif tag == "tr" and open_.top.tag == "table":
+                open_.push("tbody", {})
+            open_.push(tag, attrs)
             if tag in VOID:
-                stack.pop()
+                open_.pop()
             elif tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
                 stop_at = stop.start() if stop else n
                 body = html[pos:stop_at]
-                stack[-1].children.append(unescape(body) if tag in ("title", "textarea") and "&" in body else body)
-                stack.pop()
+                open_.top.children.append(unescape(body) if tag in ("title", "textarea") and "&" in body else body)
+                open_.pop()
                 close_end = html.find(">", stop_at) if stop else -1
                 pos = close_end + 1 if close_end >= 0 else n
-    return root
+    return open_.root
 
 
 def is_hidden(node: Node) -> bool:
+    """Whether the element and all below it emit nothing."""
     a = node.attrs
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in a):
         return True
-    return bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and bool(_HIDING.search(a["style"]))))
+    return bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.tag == "input" and a.get("type", "").lower() == "hidden") or declared(node).get("display") == "none")
+
+
+def declared(node: Node) -> dict[str, str]:
+    """The element's own display and visibility; the last declaration counts."""
+    style = node.attrs.get("style")
+    return {m[1].lower(): m[2].lower() for m in _STYLE.finditer(style)} if style else {}
 
 
 class Lines:
@@ -156,8 +204,8 @@ class Lines:
     def __init__(self):
         self.done: list[str] = []
         self.parts: list[str] = []
-        self.indent = ""
-        self.marker = ""
+        self.indent = 0
+        self.markers: list[str] = []  # of the list items that have begun and have no text yet
         self.gap = 0
         self.space = False
 
@@ -177,8 +225,9 @@ class Lines:
         if self.parts:
             if self.done and self.gap:
                 self.done.extend([""] * self.gap)
-            self.done.append(self.indent[: len(self.indent) - len(self.marker)] + self.marker + "".join(self.parts))
-            self.parts, self.marker, self.gap = [], "", 0
+            marker = "".join(self.markers)
+            self.done.append(" " * min(INDENT_CHARS, self.indent - len(marker)) + marker + "".join(self.parts))
+            self.parts, self.markers, self.gap = [], [], 0
         self.space = False
 
     def block(self, gap: int) -> None:
@@ -228,30 +277,65 @@ def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             at += across
         down = below
         grid.append(placed)
-    columns = sorted({c for row in grid for c in row})
-    width = {c: max((min(len(x), COLUMN_CHARS) for row in grid for x in row.get(c, ())), default=0) for c in columns}
-    columns = [c for c in columns if width[c]]
+    columns = sorted({c for row in grid for c, lines in row.items() if any(lines)})
+    number = {c: k for k, c in enumerate(columns)}
+    width = [0] * len(columns)
+    for row in grid:
+        for c in [c for c in row if c not in number]:
+            del row[c]
+        for c, lines in row.items():
+            if c < columns[-1]:
+                row[c] = [x for line in lines for x in wrapped(line)]
+                width[number[c]] = max(width[number[c]], max((len(x) for x in row[c] if len(x) <= WRAP_CHARS), default=0))
     out = []
     for row in grid:
-        for k in range(max((len(v) for v in row.values()), default=0)):
-            cells = [(row.get(c, [])[k : k + 1] or [""])[0].ljust(width[c]) for c in columns]
-            while cells and not cells[-1].strip():
+        left = {number[c]: lines[::-1] for c, lines in sorted(row.items()) if lines}
+        while left:
+            last, cells = max(left), []
+            for k in [*range(min(last + 1, ALIGNED_COLUMNS)), *[k for k in left if k >= ALIGNED_COLUMNS]]:
+                x = ""
+                if k in left:
+                    x = left[k].pop()
+                    if not left[k]:
+                        del left[k]
+                cells.append((x, width[k]))
+                if k < len(columns) - 1 and len(x) > width[k]:  # a long word: what stands to its right goes on below
+                    break
+            while cells and not cells[-1][0].strip():
                 cells.pop()
-            out.append(" | ".join(cells).rstrip())
+            out.append(" | ".join([*(x.ljust(w) for x, w in cells[:-1]), *(x for x, _ in cells[-1:])]).rstrip())
     return out
 
 
+def wrapped(line: str) -> list[str]:
+    """A line of a cell in lines of WRAP_CHARS, cut at blanks; a longer word is a line of its own."""
+    out, begin, n = [], 0, len(line)
+    own = n - len(line.lstrip(" "))
+    while n - begin > WRAP_CHARS:
+        cut = line.rfind(" ", max(own, begin) + 1, begin + WRAP_CHARS + 1)
+        if cut < 0:
+            cut = line.find(" ", max(own, begin + WRAP_CHARS))
+        if cut < 0:
+            break
+        out.append(line[begin:cut])
+        begin = cut + 1
+    return [*out, line[begin:]]
+
+
 def render(root: Node) -> list[str]:
     out = Lines()
     outs: list[Lines] = [out]
     lists: list[list] = []
     tables: list[list] = []
+    seen = [True]  # whether text shows, for each open element that says so
     pre = 0
     todo: list[tuple[object, bool]] = [(root, True)]
     while todo:
         item, enter = todo.pop()
         out = outs[-1]
         if isinstance(item, str):
+            if not seen[-1]:
+                continue
             if not pre:
                 out.text(item)
             else:
@@ -265,44 +349,51 @@ def render(root: Node) -> list[str]:
         if enter:
             if is_hidden(item):
                 continue
+            shown = {"visible": True, "hidden": False, "collapse": False}.get(declared(item).get("visibility"), seen[-1])
             if tag == "br":
                 out.forced()
                 continue
             if tag == "input":
-                if item.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
+                if shown and item.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                     out.text(item.attrs.get("value", ""))
                 continue
+            seen.append(shown)
             if tag in BLOCK and tag not in ("td", "th", "tr"):
                 out.block(1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 0)
             children = item.children
             if tag in ("ul", "ol", "menu"):
-                lists.append([tag == "ol", integer(item.attrs.get("start"), 1)])
+                down = tag == "ol" and "reversed" in item.attrs
+                items = sum(1 for c in children if not isinstance(c, str) and c.tag == "li" and not is_hidden(c)) if down else 1
+                lists.append([tag == "ol", integer(item.attrs.get("start"), items), -1 if down else 1])
             elif tag == "li":
-                ordered, number = lists[-1] if lists else (False, 1)
+                ordered, number, step = lists[-1] if lists else (False, 1, 1)
                 if ordered:
                     number = integer(item.attrs.get("value"), number)
-                    lists[-1][1] = number + 1
+                    lists[-1][1] = number + step
                 marker = f"{number}. " if ordered else "- "
-                out.marker = marker
-                out.indent += " " * len(marker)
+                out.markers.append(marker)
+                out.indent += len(marker)
                 item.attrs["#marker"] = marker
             elif tag in ("blockquote", "dd"):
-                out.indent += "  "
+                out.indent += 2
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                tables.append([] if len(tables) < NESTED_TABLES else None)
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1].append([])
+            elif tag in ("td", "th") and tables and tables[-1] is None:
+                out.block(0)
             elif tag in ("td", "th") and tables:
                 outs.append(Lines())
-                lists.append([False, 1])
+                lists.append([False, 1, 1])
             elif tag == "details" and "open" not in item.attrs:
                 children = [c for c in children if not isinstance(c, str) and c.tag == "summary"]
             todo.append((item, False))
             todo.extend((c, True) for c in reversed(children))
         else:
-            if tag in ("td", "th") and tables:
+            seen.pop()
+            if tag in ("td", "th") and tables and tables[-1] is not None:
                 cell = outs.pop().result()
                 lists.pop()
                 if not tables[-1]:
@@ -311,16 +402,19 @@ def render(root: Node) -> list[str]:
                 continue
             if tag == "table" and tables:
                 out.block(1)
-                out.put(aligned(tables.pop()))
+                rows = tables.pop()
+                if rows is not None:
+                    out.put(aligned(rows))
             if tag in ("ul", "ol", "menu") and lists:
                 lists.pop()
             if tag in BLOCK and tag not in ("tr", "td", "th"):
                 out.block(1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 0)
             if tag == "li":
-                out.marker = ""
-                out.indent = out.indent[: len(out.indent) - len(item.attrs["#marker"])]
+                if out.markers:  # an item without text
+                    out.markers.pop()
+                out.indent -= len(item.attrs["#marker"])
             elif tag in ("blockquote", "dd"):
-                out.indent = out.indent[:-2]
+                out.indent -= 2
             elif tag in ("pre", "textarea", "xmp"):
                 pre -= 1
     return outs[0].result()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, read_table
+from threadloom.llm.common import materialize, read_table, scratch
 from threadloom.llm.components import components
 
 BLOCK_SETS = 4096
@@ -456,6 +456,11 @@ def tiles_of(nodes: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
+    with scratch(docs.sparkSession, "jaccard-signatures", "jaccard-sets", "jaccard-components"):
+        return _components(docs, size, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = materialize(signatures(rows, size, percent), "jaccard-signatures")
     with_id = signed.where("doc_id IS NOT NULL AND n > 0")
@@ -488,8 +493,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are linked with a document of a smaller id."""
-    found = jaccard_components(docs, size, percent, id_col, text_col)
-    gone = _sorted(found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "__gone", "jaccard-gone")
+    with scratch(docs.sparkSession, "jaccard-gone"):
+        found = jaccard_components(docs, size, percent, id_col, text_col)
+        gone = _sorted(found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "__gone", "jaccard-gone")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, read_table
+from threadloom.llm.common import materialize, read_table, scratch
 from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
 
 SEQUENCE = 1024
@@ -171,7 +171,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: s
 
 def pack_digest(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", triple_lengths: int = TRIPLE_LENGTHS) -> DataFrame:
     """pack() without ids; ids are read again only for the pieces that the plan cuts."""
-    return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=False)
+    with scratch(docs.sparkSession, "packing", "packing-pieces", "packing-cuts"):
+        return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=False)
 
 
 def _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids):
