@@ -1,7 +1,13 @@
 """The corpus pipeline: language ID, quality rules, exact dedup, n-gram Jaccard join, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again; all but the last return the columns of
-documents. The language model learns from the labelled rows of the stage's own input that op8 may learn from.
+documents. The language model learns from the labelled rows of the stage's own input that op8 may learn from. What a
+stage wrote for itself, and its predecessor's table, are removed once its own table is written.
+
+Defined cases: documents with a null or empty text, or without a letter, go in the first stage. Of equal texts the one
+with most code points stays, then the smallest doc_id, null ids last; rows that repeat a text and a doc_id are one.
+Near copies without a doc_id have nothing to be linked by and stay. Empty tables pass through; columns beside doc_id,
+text and lang are carried along whatever they hold or are called.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import exact_dedup, jaccard_join, language_id, packing, quality_rules
-from threadloom.llm.common import materialize, read_table
+from threadloom.llm.common import materialize, read_table, scratch, sweep
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+    labels = ["stage-" + name.lower().replace(" ", "-") for name, _ in STAGES]
+    with scratch(spark, labels[-1]):
+        for label, (_, stage) in zip(labels, STAGES):
+            docs = materialize(stage(spark, docs, sf_dir), label)
+            sweep(spark, label)
     return docs
