@@ -1,5 +1,6 @@
 import pytest
 
+from threadloom.plans import lifecycle_queries  # noqa: F401
 from threadloom.plans.archive_queries import QUERIES, SQL
 
 
@@ -40,7 +41,7 @@ def test_requests_keep_their_budgets(spark, sf):
 
 
 def test_components_match_a_plain_fold(spark, sf):
-    from threadloom.plans.archive_queries import _near
+    from threadloom.plans.archive_queries import MOST, _near
 
     t, near = _near(spark, sf)
     edges = {}
@@ -49,7 +50,7 @@ def test_components_match_a_plain_fold(spark, sf):
         edges[k] = max(edges.get(k, -1), r["score"])
     group = {r["thread_id"]: {r["thread_id"]} for r in t.collect()}
     for (a, b), _ in sorted(edges.items(), key=lambda e: (-e[1], e[0])):
-        if group[a] is not group[b] and len(group[a]) + len(group[b]) <= 10:
+        if group[a] is not group[b] and len(group[a]) + len(group[b]) <= MOST:
             joined = group[a] | group[b]
             for n in joined:
                 group[n] = joined

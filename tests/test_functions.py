@@ -31,22 +31,49 @@ def test_bad_expressions_are_refused(bad):
 
 def test_expressions_bind_not_before_and_before_or(spark):
     tree = search.parse_expression('a b OR title:"c d"* NOT e')
-    assert tree.op == "or" and tree.left.op == "and" and tree.right.op == "not" and tree.right.left.column == "title"
+    assert tree.op == "or" and tree.left.op == "and" and tree.right.op == "not" and tree.right.left.columns == ("title",)
     rows = spark.createDataFrame([(1, "c dx", "y"), (2, "q", "a b"), (3, "c d", "e"), (4, None, None)], "thread_id int, title string, body string")
     assert [r[0] for r in search.keyword_search(rows, tree).orderBy("thread_id").select("thread_id").collect()] == [1, 2]
 
 
 @pytest.mark.parametrize(("value", "budget", "parts"), [
-    ("first phrase 🦀 and another very long phrase", 16, ["first phrase", "🦀 and", "another very", "long phrase"]),
-    ("🦀🦀x", 4, ["🦀", "🦀", "x"]), ("", 9, []), ("  a  ", 9, ["a"]), ("abcdefgh", 3, ["abc", "def", "gh"]),
+    ("alpha beta gamma", 10, ["alpha", "beta gamma"]), ("alpha beta gamma", 11, ["alpha beta", "gamma"]), (" \n one\ttwo  three ", 8, ["one\ttwo", "three"]),
+    ("éé ü", 5, ["éé", "ü"]), ("ééé", 4, ["éé", "é"]), ("longword x", 4, ["long", "word", "x"]), ("longword x", 8, ["longword", "x"]), ("x longword", 5, ["x", "longw", "ord"]), ("", 3, []), (" \u3000 ", 3, []),
 ])
 def test_chunks(value, budget, parts):
     assert text.chunk_text(value, budget) == parts
 
 
+def test_chunks_of_random_texts():
+    """Against the rule, character by character: fits, ends at a white space where one fits, loses nothing but white space."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        value = "".join(rng.choice("ab é中 \n😀") for _ in range(rng.randint(0, 40)))
+        budget = rng.randint(4, 14)
+        rest, want = value.strip(), []
+        while len(rest.encode()) > budget:
+            fits = max(n for n in range(len(rest)) if len(rest[:n].encode()) <= budget)
+            blanks = [n for n in range(1, fits) if rest[n].isspace()]
+            cut = blanks[-1] if blanks else fits
+            want.append(rest[:cut].rstrip())
+            rest = rest[cut:].lstrip()
+        assert text.chunk_text(value, budget) == want + [rest] * bool(rest)
+
+
 def test_chunk_budget_below_a_character():
     with pytest.raises(ValueError):
-        text.chunk_text("🦀", 3)
+        text.chunk_text("中文", 2)
+
+
+def test_accents_of_all_latin_letters_fold(spark):
+    got = one(spark, text.search_tokens(F.lit("Čeština ŞEHİR őrült ūdens žába e\u0301te\u0301 Ἀθῆναι naïve")))
+    assert got == ["cestina", "sehir", "orult", "udens", "zaba", "ete", "αθηναι", "naive"]
+
+
+def test_many_mentions_take_linear_time():
+    assert [n for _, n, _ in text.mentions_of("#12 " * 20_000 + "a/b#7")][-2:] == [12, 7]
 
 
 def test_mentions():
@@ -191,3 +218,90 @@ def test_long_chains_of_clusters_keep_their_ids(spark, monkeypatch, fold):
     existing = spark.createDataFrame([(k, 2 * k + 1 + i) for k in range(n) for i in (0, 1)], "cluster bigint, thread_id bigint")
     got = clustering.match_identities(clustering.overlaps(generated, existing)).collect()
     assert sorted((r["generated_id"], r["existing_id"]) for r in got) == [(k, k) for k in range(n)]
+
+
+def found(spark, expression, *rows):
+    df = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "thread_id int, title string, body string").coalesce(1)
+    return sorted(r[0] for r in search.keyword_search(df, search.parse_expression(expression)).select("thread_id").collect())
+
+
+@pytest.mark.parametrize(("expression", "hits"), [
+    ("NEAR(alpha beta, 2)", [0, 1]), ("NEAR(alpha beta, 3)", [0, 1, 2]), ("NEAR(beta alpha)", [0, 1, 2]), ('NEAR("alpha x" beta, 1)', [0]), ("NEAR(alp* beta, 0)", [1]), ("near alpha", []),
+    ("^alpha", [0, 2, 4]), ("^beta", [1, 3]), ("alpha + x", [0, 2]), ("{title body}: alpha", [0, 1, 2, 4]), ("title: alpha", [4]), ("-title: alpha", [0, 1, 2]), ("- {body}: alpha", [4]),
+    ("title: (alpha OR nothing)", [4]), ("body: NEAR(alpha beta, 2)", [0, 1]), ("title: NEAR(alpha beta, 9)", []), ("NEAR(beta)", [0, 1, 2, 3]),
+])
+def test_advanced_expressions(spark, expression, hits):
+    assert found(spark, expression, (None, "alpha x y beta"), ("t", "beta alpha"), ("", "alpha x y z beta"), ("beta", "gamma"), ("alpha", "q")) == hits
+
+
+@pytest.mark.parametrize("bad", ["NEAR(a b, x)", "NEAR(a b", "NEAR()", "other: a", "{title: a", "- a", "a +", "^", "title:"])
+def test_bad_advanced_expressions_are_refused(bad):
+    with pytest.raises(search.QuerySyntaxError):
+        search.parse_expression(bad)
+
+
+def test_the_index_finds_what_the_scan_finds(spark, tmp_path):
+    from threadloom.operators import search_index
+
+    rows = [(i, t, b) for i, (t, b) in enumerate([("Alpha beta", "alpha x beta"), ("beta", "alpha alpha gamma delta"), (None, None), ("", "gamma alpha beta alpine"), ("alp", "delta é")])]
+    df = spark.createDataFrame(rows, "thread_id bigint, title string, body string")
+    search_index.write_index(df.where("thread_id < 4"), str(tmp_path), 4)
+    postings, lengths = search_index.open_index(spark, str(tmp_path))
+    changed = spark.createDataFrame([rows[4], (1, "beta", "gamma")], df.schema)
+    now = df.where("thread_id NOT IN (1, 3)").unionByName(changed.where("thread_id = 1"))
+    postings2, lengths2 = search_index.updated(postings, lengths, changed, spark.createDataFrame([(3,)], "thread_id bigint"))
+    for expression in ('"alpha beta" OR alp*', "NEAR(alpha beta, 1) OR ^beta", "title: beta OR body: delta NOT none"):
+        tree = search.parse_expression(expression)
+        for (p, n), source in (((postings, lengths), df.where("thread_id < 4")), ((postings2, lengths2), now)):
+            want = {(r["thread_id"], round(r["bm25"], 9)) for r in search.keyword_search(source, tree).collect()}
+            assert {(r["thread_id"], round(r["bm25"], 9)) for r in search_index.find(p, n, tree, 4).collect()} == want, expression
+
+
+def test_cosines_of_all_kinds_of_vectors(spark):
+    from threadloom.functions import vectors
+
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, None), (5, []), (6, [1.0]), (7, [0.0, 0.0]), (8, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id int, v array<float>")
+    raw = spark.createDataFrame([(i, bytearray(vectors.to_bytes(v)) if v and any(v) else None if v is None else bytearray(4 * len(v))) for i, v in rows], "id int, v binary")
+    for source in (df, raw):
+        got = {r["id"]: (None if r["score"] is None else round(r["score"], 6), r["fits"]) for r in vectors.with_cosine(source, "v", [1.0, 0.0]).collect()}
+        assert got == {1: (1.0, True), 2: (0.0, True), 3: (0.707107, True), 4: (None, False), 5: (None, False), 6: (None, False), 7: (None, True), 8: (-1.0, True)}
+        assert [r["id"] for r in vectors.nearest(source, "id", "v", [1.0, 0.0], 2).collect()] == [1, 3]
+    assert vectors.with_cosine(df.where("false"), "v", [1.0]).count() == 0
+
+
+def test_configuration():
+    from threadloom import config
+
+    got = config.parse('[archive]\npath = "x"\n[embeddings]\ndimensions = 8\nbatch_size = 2\n')
+    assert (got.archive.path, got.embeddings.dimensions, got.embeddings.batch_size, got.documents.recipe) == ("x", 8, 2, "discussion_enriched")
+    for bad in ("[archiv]\n", "[archive]\nfolder = 'x'\n", "[embeddings]\nbatch_size = 'two'\n", "archive = 3\n", "[archive\n"):
+        with pytest.raises(config.ConfigError):
+            config.parse(bad)
+
+
+def test_dense_index_and_keyset_pages(spark):
+    from threadloom.operators import ordering
+
+    df = spark.createDataFrame([((i * 7919) % 1000,) for i in range(1000)], "k bigint").repartition(7)
+    assert [(r["k"], r["index"]) for r in ordering.dense_index(df, ["k"]).orderBy("k").collect()] == [(i, i) for i in range(1000)]
+    seen, after = [], None
+    while True:
+        page, after = ordering.keyset_page(df, "k", after, 150, F.col("k") % 200 > 150)
+        seen += [r["k"] for r in page.collect()]
+        if after is None:
+            break
+    assert seen == [k for k in range(1000) if k % 200 > 150]
+
+
+def test_bounded_components_fold_only_large_ones(spark):
+    from threadloom.operators import clustering
+
+    edges = [(i, i + 1, 0.9 - i / 1000) for i in range(1, 12)] + [(20, 21, 0.5), (21, 22, 0.6)]
+    t = spark.createDataFrame([(i,) for i in range(1, 25)], "thread_id bigint")
+    got = {r["thread_id"]: (r["cluster"], r["degree"]) for r in clustering.bounded_components(t, spark.createDataFrame(edges, "a bigint, b bigint, score double"), 5).collect()}
+    root, kept = clustering.components_of(edges, list(range(1, 25)), 5)
+    least = {}
+    for n in sorted(root):
+        least.setdefault(root[n], n)
+    assert got == {n: (least[root[n]], sum(n in e[:2] for e in kept)) for n in range(1, 25)}

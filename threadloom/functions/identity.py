@@ -56,6 +56,24 @@ def parse_host(text: str) -> str:
     return name if port in (None, "443") else f"{name}:{int(port)}"
 
 
+def host(c: Column) -> Column:
+    """parse_host() of a column of authorities, a batch at a time; null for what is none."""
+
+    @F.arrow_udf("string")
+    def parsed(values):
+        import pyarrow as pa
+
+        known: dict[str | None, str | None] = {None: None}
+        for v in set(values.to_pylist()) - {None}:
+            try:
+                known[v] = parse_host(v)
+            except ValueError:
+                known[v] = None
+        return pa.array([known[v] for v in values.to_pylist()], pa.string())
+
+    return parsed(c)
+
+
 _NAME = r"[A-Za-z0-9._-]+"
 
 

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+import unicodedata
+from bisect import bisect_left
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-# Accented Latin letters and the letters they fold to.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-FOLDED = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+
+def _accents() -> tuple[str, str]:
+    """Letters that decompose to a letter and marks, and those letters; marks that stand alone fold to nothing."""
+    pairs = {}
+    for c in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        base, *marks = unicodedata.normalize("NFD", chr(c))
+        if marks and all(unicodedata.category(m) == "Mn" for m in marks):
+            pairs[chr(c)] = base
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
+
+
+#: Accented letters (then combining marks) and the letters that they fold to, as translate() takes them.
+ACCENTED, FOLDED = _accents()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Title words that count as support: ASCII letters and digits, four or more.
+# The title words that count as support, and the forms of a mention as (repository, number).
 TITLE_TOKEN = "[A-Za-z0-9]{4,}"
-#: Mentions owner/name#N, [owner/name/]issues/N or pull/N, and #NN.
-MENTION = r"(?i)(?:\b([\w.-]+/[\w.-]+)#(\d+)|(?:\b([\w.-]+/[\w.-]+)/)?(?:issues|pull)/(\d+)|#(\d{2,}))"
+_REPOSITORY = r"\b([\w.-]+/[\w.-]+)"
+MENTION_FORMS = (_REPOSITORY + r"#(\d+)", _REPOSITORY + r"/(?:issues|pull)/(\d+)", r"()(?:issues|pull)/(\d+)", r"()#(\d{2,})")
+# The least title overlap that supports a pair, and how far into a body a mention is early.
 MIN_TITLE_OVERLAP = 0.18
 EARLY_BODY_BYTES = 240
 
@@ -65,55 +79,89 @@ def first_line(c: Column) -> Column:
     return F.substring_index(c, "\n", 1)
 
 
-def chunk_text(text: str, max_bytes: int) -> list[str]:
-    """Pieces of at most max_bytes in UTF-8, split at the last white space where there is one."""
-    rest, out = text.strip(), []
-    while rest:
-        raw = rest.encode()
-        if len(raw) <= max_bytes:
-            out.append(rest)
-            break
-        fit = raw[:max_bytes].decode("utf-8", "ignore")
-        if not fit:
-            raise ValueError("the budget is smaller than a character")
-        at = next((i for i in range(len(fit) - 1, 0, -1) if fit[i].isspace()), len(fit))
-        out.append(rest[:at].rstrip())
-        rest = rest[at:].lstrip()
-    return [c for c in out if c]
-
-
-CHUNK_TYPE = StructType([StructField("chunk_index", IntegerType()), StructField("chunk_count", IntegerType()), StructField("chunk", StringType())])
-MENTION_TYPE = StructType([StructField("repository", StringType()), StructField("target", LongType()), StructField("byte_offset", LongType())])
-
+#: Words between the characters that Unicode calls white space.
+_WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
-def chunker():
-    """A table function: chunker()(text, max_bytes) gives chunk_index, chunk_count, chunk."""
 
-    @F.udtf(returnType=CHUNK_TYPE, useArrow=False)
-    class Chunks:
-        def eval(self, text: str, max_bytes: int):
-            parts = chunk_text(text or "", max_bytes)
-            for i, p in enumerate(parts):
-                yield i, len(parts), p
-
-    return Chunks
+def chunk_text(text: str, max_bytes: int) -> list[str]:
+    """Pieces of at most max_bytes in UTF-8: whole words as long as the white space after them fits too, else characters."""
+    import numpy as np
+
+    words = [m.span() for m in _WORD.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])  # bytes before each character
+    out, begin, last = [], starts[0], ends[-1]
+    while at[last] - at[begin] > max_bytes:
+        full = int(np.searchsorted(at, at[begin] + max_bytes, "right")) - 1
+        if full == begin:
+            raise ValueError("the budget is smaller than a character")
+        k = bisect_left(ends, full)  # words before k end before a white space that fits
+        if k and ends[k - 1] > begin:
+            cut, then = ends[k - 1], starts[k]
+        else:
+            cut, then = full, starts[k + 1] if ends[k] == full else full
+        out.append(text[begin:cut])
+        begin = then
+    return [*out, text[begin:last]]
 
 
 def mentions_of(text: str | None):
-    import re
-
-    for m in re.finditer(MENTION, text or "", re.ASCII if (text or "").isascii() else 0):
-        number = int(m[2] or m[4] or m[5])
-        if number < 1 << 63:
-            yield m[1] or m[3], number, len(text[: m.start()].encode())
-
-
-def mention_finder():
-    """A table function: the mentions in a text, with the byte offset where each begins."""
-
-    @F.udtf(returnType=MENTION_TYPE, useArrow=False)
-    class Mentions:
-        def eval(self, text: str):
-            yield from mentions_of(text)
-
-    return Mentions
+    """(repository or None, number, byte offset) of the mentions in a text, leftmost first, none inside another."""
+    text = text or ""
+    flags = re.IGNORECASE | (re.ASCII if text.isascii() else 0)
+    forms = [re.compile(f, flags) for f in MENTION_FORMS]
+    found = [f.search(text) for f in forms]
+    done = size = 0
+    while any(found):
+        m = min((m for m in found if m), key=lambda m: m.start())
+        size, done = size + len(text[done : m.start()].encode("utf-8", "surrogatepass")), m.start()
+        if int(m[2]) < 1 << 63:
+            yield m[1] or None, int(m[2]), size
+        found = [x if x is None or x.start() >= m.end() else f.search(text, m.end()) for f, x in zip(forms, found)]
+
+
+def exploded(rows: DataFrame, text: str, parts, schema: str) -> DataFrame:
+    """A row for each tuple that parts(text of a row) gives: the other columns of the row, then schema's columns.
+
+    Texts reach Python as Arrow batches; a row without parts is left out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    others = [c for c in rows.columns if c != text]
+    kept = rows.select(*others, text)
+    own = StructType.fromDDL(schema)
+    types = [to_arrow_type(f.dataType) for f in own.fields]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            parents, made = [], []
+            for i, value in enumerate(batch.column(len(others)).to_pylist()):
+                got = list(parts(value))
+                parents += [i] * len(got)
+                made += got
+            columns = list(zip(*made)) or [[] for _ in types]
+            take = pa.array(parents, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(others))), *(pa.array(list(c), t) for c, t in zip(columns, types))], [*others, *own.names])
+
+    return kept.mapInArrow(run, StructType([*(f for f in kept.schema.fields if f.name != text), *own.fields]))
+
+
+def chunks_in(rows: DataFrame, text: str, max_bytes: int) -> DataFrame:
+    """rows with chunk_index, chunk_count, chunk in place of the text."""
+
+    def parts(value):
+        found = chunk_text(value or "", max_bytes)
+        return [(i, len(found), c) for i, c in enumerate(found)]
+
+    return exploded(rows, text, parts, "chunk_index int, chunk_count int, chunk string")
+
+
+def mentions_in(rows: DataFrame, text: str) -> DataFrame:
+    """rows with repository, target, byte_offset of each mention in place of the text."""
+    return exploded(rows, text, mentions_of, "repository string, target bigint, byte_offset bigint")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from threadloom.functions.hashing import members_key
-from threadloom.functions.text import EARLY_BODY_BYTES, MIN_TITLE_OVERLAP, ascii_lower, mention_finder, overlap_ratio, title_tokens
+from threadloom.functions.text import EARLY_BODY_BYTES, MIN_TITLE_OVERLAP, ascii_lower, mentions_in, overlap_ratio, title_tokens
 
 # The weight of a mention and the similarity from which titles need not support a pair.
 REFERENCE_SCORE = 0.94
@@ -24,7 +24,7 @@ def reference_edges(threads: DataFrame) -> DataFrame:
     """
     rows = threads.select("thread_id", "number", "full_name", title_tokens(F.col("title")).alias("words"), F.explode(F.array(F.struct(F.lit(True).alias("is_title"), F.col("title").alias("text")), F.struct(F.lit(False).alias("is_title"), F.col("body").alias("text")))).alias("p"))
     rows = rows.select("*", "p.is_title", "p.text").drop("p").where(F.col("text").rlike(r"(?i)#\d|(issues|pull)/\d"))
-    found = rows.lateralJoin(mention_finder()(F.col("text").outer())).where((F.col("target") != F.col("number")) & (F.col("repository").isNull() | (ascii_lower(F.col("repository")) == ascii_lower(F.col("full_name")))))
+    found = mentions_in(rows, "text").where((F.col("target") != F.col("number")) & (F.col("repository").isNull() | (ascii_lower(F.col("repository")) == ascii_lower(F.col("full_name")))))
     found = found.select("thread_id", "full_name", "words", "is_title", "target", "byte_offset")
     other = threads.select(F.col("thread_id").alias("other"), F.col("number").alias("target"), "full_name", title_tokens(F.col("title")).alias("other_words"))
     pairs = found.join(other, ["full_name", "target"]).where(F.col("is_title") | (F.col("byte_offset") <= EARLY_BODY_BYTES) | (overlap_ratio(F.col("words"), F.col("other_words")) >= MIN_TITLE_OVERLAP))
@@ -70,20 +70,24 @@ def neighbours(threads: DataFrame, chunks: DataFrame, threshold: float, cross_ki
         np.fill_diagonal(best, -np.inf)
         if i != j:
             best[blocks[:, None] == blocks[None, :]] = -np.inf
-        for k in range(len(ids)):
-            order = [x for x in np.lexsort((ids, -best[k])) if best[k, x] >= threshold]
-            taken = 0
-            for x in order:
-                s = min(1.0, best[k, x])
-                small = min(len(words[k]), len(words[x]))
-                support = len(words[k] & words[x]) / small if small else 0.0
-                if (s >= STRONG_SIMILARITY or support >= MIN_TITLE_OVERLAP) and (kinds[k] == kinds[x] or s >= cross_kind):
-                    out["a"].append(int(ids[k]))
-                    out["b"].append(int(ids[x]))
-                    out["score"].append(float(s))
-                    taken += 1
-                    if taken == fanout:
-                        break
+        # Titles as a matrix of words, so that the shared words of all pairs are one product.
+        vocabulary = {w: c for c, w in enumerate(sorted(set().union(*words)))} if words else {}
+        has = np.zeros((len(ids), max(1, len(vocabulary))), np.float32)
+        for k, own in enumerate(words):
+            has[k, [vocabulary[w] for w in own]] = 1
+        count = has.sum(1)
+        support = (has @ has.T) / np.maximum(1, np.minimum(count[:, None], count[None, :]))
+        kind = np.array([hash(x) for x in kinds])
+        best = np.minimum(best, 1.0)
+        ok = (best >= threshold) & ((best >= STRONG_SIMILARITY) | (support >= np.float32(MIN_TITLE_OVERLAP))) & ((kind[:, None] == kind[None, :]) | (best >= cross_kind))
+        for k in np.flatnonzero(ok.any(1)).tolist():
+            at = np.flatnonzero(ok[k])
+            if len(at) > fanout:  # all that tie with the fanout-th stay for the exact order
+                at = at[best[k, at] >= np.partition(best[k, at], len(at) - fanout)[len(at) - fanout]]
+            for x in at[np.lexsort((ids[at], -best[k, at]))][:fanout].tolist():
+                out["a"].append(int(ids[k]))
+                out["b"].append(int(ids[x]))
+                out["score"].append(float(best[k, x]))
         return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     found = tiles.groupBy("full_name", "i", "j").applyInArrow(tile, "a long, b long, score double")
@@ -122,40 +126,58 @@ def components_of(edges: list[tuple[int, int, float]], nodes: list[int], most: i
     return {n: find(n) for n in nodes}, kept
 
 
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """edges with their position: score descending, then a and b; the order in which unions are tried."""
+    from threadloom.operators.ordering import dense_index
+
+    return dense_index(edges, [F.col("score").desc(), F.col("a"), F.col("b")], "position")
+
+
 def bounded_components(threads: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """thread_id, cluster (its smallest thread id), degree, and the kept links as (other, score), by repository.
+    """thread_id, cluster (its smallest thread id), degree, and the kept links as (other, score).
 
-    The order of unions matters when the cap bites, so the fold over a repository's edges is sequential; the edges
-    are at most fanout a thread.
+    The cap matters only in connected components of more than `most` nodes. Those alone are folded, each in one task,
+    as the order of unions decides there; all others are whole clusters and stay in joins and aggregates.
     """
-    rows = threads.select("full_name", "thread_id")
-    linked = edges.join(rows.withColumnRenamed("thread_id", "a"), "a")
-    per = linked.groupBy("full_name").agg(F.collect_list(F.struct("a", "b", "score")).alias("edges"))
+    from threadloom.operators.graph import connected
 
-    def run(batches):
+    roots = _kept(connected(edges, _kept))
+    of = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    large = _kept(of.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
+    rooted = _kept(edges.select("a", "b", "score").join(of.withColumnRenamed("node", "a"), "a"))
+    whole = rooted.join(large, "root", "left_anti")
+
+    def fold(table):
         import pyarrow as pa
 
-        for batch in batches:
-            out = {"thread_id": [], "cluster": [], "links": []}
-            for es in batch.column(0).to_pylist():
-                es = [(e["a"], e["b"], e["score"]) for e in es]
-                nodes = sorted({n for a, b, _ in es for n in (a, b)})
-                root, kept = components_of(es, nodes, most)
-                least: dict[int, int] = {}
-                for n in nodes:
-                    least.setdefault(root[n], n)
-                links: dict[int, list] = {n: [] for n in nodes}
-                for a, b, s in kept:
-                    links[a].append({"other": b, "score": s})
-                    links[b].append({"other": a, "score": s})
-                out["thread_id"] += nodes
-                out["cluster"] += [least[root[n]] for n in nodes]
-                out["links"] += [links[n] for n in nodes]
-            yield pa.RecordBatch.from_pydict({"thread_id": pa.array(out["thread_id"], pa.int64()), "cluster": pa.array(out["cluster"], pa.int64()), "links": pa.array(out["links"], pa.list_(pa.struct([("other", pa.int64()), ("score", pa.float64())])))})
-
-    found = per.select("edges").mapInArrow(run, "thread_id long, cluster long, links array<struct<other long, score double>>")
-    alone = rows.join(found.select("thread_id"), "thread_id", "left_anti").select("thread_id", F.col("thread_id").alias("cluster"), F.array().cast("array<struct<other long, score double>>").alias("links"))
-    return found.unionByName(alone).withColumn("degree", F.size("links"))
+        es = [(e["a"], e["b"], e["score"]) for e in table.select(["a", "b", "score"]).to_pylist()]
+        nodes = sorted({n for a, b, _ in es for n in (a, b)})
+        root, kept = components_of(es, nodes, most)
+        least: dict[int, int] = {}
+        for n in nodes:
+            least.setdefault(root[n], n)
+        rows = [{"a": a, "b": b, "score": s, "cluster": least[root[a]]} for a, b, s in kept]
+        # A node none of whose edges is kept is a cluster of its own; a row without b says so.
+        linked = {n for a, b, _ in kept for n in (a, b)}
+        rows += [{"a": n, "b": None, "score": None, "cluster": n} for n in nodes if n not in linked]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("cluster", pa.int64())]))
+
+    folded = rooted.join(large, "root", "left_semi").groupBy("root").applyInArrow(fold, "a long, b long, score double, cluster long")
+    kept = whole.select("a", "b", "score", F.col("root").alias("cluster")).unionByName(folded)
+    ends = kept.select("cluster", "score", F.explode(F.array(F.struct(F.col("a").alias("thread_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("thread_id"), F.col("a").alias("other")))).alias("e"))
+    link = F.when(F.col("e.other").isNotNull(), F.struct(F.col("e.other").alias("other"), F.col("score").alias("score")))
+    per = ends.where("e.thread_id IS NOT NULL").groupBy("e.thread_id").agg(F.first("cluster").alias("cluster"), F.sort_array(F.collect_list(link)).alias("links"))
+    rows = threads.select("thread_id").join(per, "thread_id", "left")
+    none = F.array().cast("array<struct<other long, score double>>")
+    return rows.select("thread_id", F.coalesce("cluster", "thread_id").alias("cluster"), F.coalesce("links", none).alias("links")).withColumn("degree", F.size("links"))
+
+
+def ordered_clusters(members: DataFrame) -> DataFrame:
+    """cluster, size, position: larger clusters first, then the smallest thread."""
+    from threadloom.operators.ordering import dense_index
+
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    return dense_index(sizes, [F.col("size").desc(), F.col("cluster")], "position")
 
 
 def with_representatives(members: DataFrame) -> DataFrame:
@@ -163,7 +185,8 @@ def with_representatives(members: DataFrame) -> DataFrame:
 
     A member's score is that of its link with the representative, 1 for itself and null without a direct link.
     """
-    heads = members.groupBy("cluster").agg(F.min_by("thread_id", F.struct(-F.col("degree"), F.col("thread_id"))).alias("representative"), F.count("*").alias("size"))
+    number = F.col("number") if "number" in members.columns else F.col("thread_id")
+    heads = members.groupBy("cluster").agg(F.min_by("thread_id", F.struct((-F.col("degree")).alias("d"), number.alias("n"), F.col("thread_id"))).alias("representative"), F.count("*").alias("size"))
     rows = members.join(heads, "cluster")
     direct = F.filter("links", lambda e: e["other"] == F.col("representative"))
     score = F.when(F.col("thread_id") == F.col("representative"), F.lit(1.0)).otherwise(F.get(direct, F.lit(0))["score"])
@@ -188,10 +211,10 @@ def match_identities(pairs: DataFrame) -> DataFrame:
 
     Taking every pair that is best for both its sides, again and again, gives the greedy result without one task
     seeing all pairs. Chains of equal pairs yield one pair a round, so each round also folds the first FOLD_PAIRS of the
-    pairs left, in order; rounds go on until no pair is left. Shares are compared exactly, by cross multiplication in
-    the sort key.
+    pairs left, in order; rounds go on until no pair is left. Only pairs of one overlap compare their shares, so the
+    larger share is the smaller union, and no quotient is rounded.
     """
-    share = (F.col("overlap").cast("decimal(20,0)") * F.lit(10**15).cast("decimal(18,0)") / F.col("union_size")).cast("decimal(38,12)")
+    share = -F.col("union_size")
     key = F.struct((-F.col("overlap")).alias("o"), (-share).alias("s"), F.col("existing_id").alias("e"), F.col("generated_id").alias("g"))
     left, taken, rounds = _kept(pairs.withColumn("key", key)), None, 0
     ids = left.select("generated_id", "existing_id").schema
@@ -229,16 +252,22 @@ def _without(left: DataFrame, taken: DataFrame) -> DataFrame:
     return left.join(taken.select("generated_id"), "generated_id", "left_anti").join(taken.select("existing_id"), "existing_id", "left_anti")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if _can_checkpoint(df) else df.cache()
+def shared_folder(spark) -> str:
+    """The checkpoint folder that driver and executors share; only a local session may name none."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "/tmp/checkpoints/threadloom"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    """True with a shared checkpoint folder, named by the session or, where it names none, set for this session."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/threadloom")
-    return True
+def _kept(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def next_generation(current: DataFrame, generated: DataFrame, complete: bool) -> DataFrame:

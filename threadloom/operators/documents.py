@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.hashing import chunk_hash, content_hash
-from threadloom.functions.text import chunker, dedupe_text, trimmed
+from threadloom.functions.text import chunks_in, dedupe_text, trimmed
 
 # How review states read in a document.
 REVIEW_STATES = {"APPROVED": "approved", "CHANGES_REQUESTED": "requested changes", "COMMENTED": "commented", "DISMISSED": "dismissed", "PENDING": "pending"}
@@ -55,9 +55,39 @@ def render(threads: DataFrame, comments: DataFrame | None = None, complete: Data
     return rows.select("thread_id", "title", "text", dedupe_text(F.col("text")).alias("dedupe_text"), digest.alias("content_hash"))
 
 
+def child_sections(comments: DataFrame, reviews: DataFrame, review_threads: DataFrame) -> DataFrame:
+    """thread_id, family, order (a struct), section: what each child adds to an enriched document, in render order.
+
+    Comments by time and id; reviews by time, undated last, and id; review threads by path, line and id, unknown ones
+    first, with their comments (provider_id, author, is_bot, body, created_at_us) below them. Bots say nothing.
+    """
+    no_bot = lambda c: ~F.coalesce(c, F.lit(False))
+    order = lambda n, undated, at, text, line, key: F.struct(F.lit(n).alias("n"), undated.alias("u"), at.alias("at"), text.alias("t"), line.alias("l"), key.alias("k"))
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("long")
+    said = comments.where(no_bot(F.col("is_bot"))).select("thread_id", F.lit("comments").alias("family"), order(0, F.lit(False), F.col("created_at_us"), none, no, F.col("provider_id")).alias("order"), comment_section(F.col("author"), F.col("body")).alias("section"))
+    judged = reviews.where(no_bot(F.col("is_bot"))).select("thread_id", F.lit("reviews").alias("family"), order(1, F.col("submitted_at_us").isNull(), F.col("submitted_at_us"), none, no, F.col("provider_id")).alias("order"), review_section(F.col("reviewer"), F.col("state"), F.col("body")).alias("section"))
+    talk = F.array_sort(F.filter("comments", lambda c: no_bot(c["is_bot"])), lambda a, b: F.when(F.struct(a["created_at_us"], a["provider_id"]) < F.struct(b["created_at_us"], b["provider_id"]), -1).when(F.struct(a["created_at_us"], a["provider_id"]) > F.struct(b["created_at_us"], b["provider_id"]), 1).otherwise(0))
+    lines = F.array_compact(F.transform(talk, lambda c: comment_section(c["author"], c["body"])))
+    head = review_thread_section(F.col("path"), F.col("is_resolved"), F.col("is_outdated"))
+    talked = review_threads.select("thread_id", F.lit("review_threads").alias("family"), order(2, F.lit(False), no, F.col("path"), F.col("line").cast("long"), F.col("provider_id")).alias("order"), F.array_join(F.concat(F.array(head), lines), "\n\n").alias("section"))
+    return said.unionByName(judged).unionByName(talked).where("section IS NOT NULL")
+
+
+def render_enriched(threads: DataFrame, sections: DataFrame, current: DataFrame, recipe: str = "discussion_enriched", version: int = 1) -> DataFrame:
+    """render() with the sections of the families that are complete and not stale (current: thread_id, family)."""
+    mine = sections.join(current.select("thread_id", "family").distinct(), ["thread_id", "family"], "left_semi")
+    per = mine.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("order", "section"))).alias("s"))
+    said = per.select("thread_id", F.array_join(F.transform("s", lambda s: s["section"]), "\n\n").alias("_said"))
+    base = render(threads).select("thread_id", "title", F.col("text").alias("_base"))
+    rows = threads.drop("title").join(base, "thread_id").join(said, "thread_id", "left")
+    rows = rows.withColumn("text", F.concat_ws("\n\n", F.when(F.col("_base") != "", F.col("_base")), "_said"))
+    digest = content_hash(F.lit(recipe), F.lit(version), F.col("host"), F.col("repo_id"), F.col("thread_id").cast("string"), F.col("number"), F.col("title"), F.col("text"))
+    return rows.select("thread_id", "title", "text", dedupe_text(F.col("text")).alias("dedupe_text"), digest.alias("content_hash"))
+
+
 def chunks_of(documents: DataFrame, max_bytes: int) -> DataFrame:
     """thread_id, chunk_index, chunk_count, chunk, chunk_hash."""
-    cut = documents.lateralJoin(chunker()(F.col("text").outer(), F.lit(max_bytes)))
+    cut = chunks_in(documents.select("thread_id", "text"), "text", max_bytes)
     return cut.select("thread_id", "chunk_index", "chunk_count", "chunk", chunk_hash(F.col("chunk_index"), F.col("chunk")).alias("chunk_hash"))
 
 

@@ -63,6 +63,70 @@ def retry_scopes(jobs: DataFrame, families: list[str] | None = None) -> DataFram
     return selected_failures(jobs, families).groupBy("target", "scope_key").agg(only("comments").alias("include_comments"), only("reviews").alias("include_reviews"), only("review_threads").alias("include_review_threads"), F.count("*").alias("failures"))
 
 
+def mark_retried(failures: DataFrame, scopes: DataFrame, run_id: int) -> DataFrame:
+    """failures with retry_count + 1 and this run where an unresolved one of another run has a scope that is retried."""
+    hit = scopes.select("target", "scope_key", "family").distinct().withColumn("_hit", F.lit(True))
+    rows = failures.join(hit, ["target", "scope_key", "family"], "left")
+    again = F.coalesce("_hit", F.lit(False)) & ~F.col("resolved") & (F.col("run_id") != run_id)
+    return rows.withColumn("retry_count", F.col("retry_count") + again.cast("int")).withColumn("retry_run", F.when(again, F.lit(run_id)).otherwise(F.col("retry_run"))).drop("_hit")
+
+
+def repository_of_failures(failures: DataFrame, jobs: DataFrame) -> DataFrame:
+    """failures with `found`: their own repository, else that of the first fitting job of the run, else their target
+    where it reads as owner/name; null where none does."""
+    mine = jobs.select("run_id", F.col("target").alias("_target"), F.col("family").alias("_family"), F.col("scope_key").alias("_scope"), F.col("job_no").alias("_job"), F.col("repo_id").alias("_repo"))
+    keyed = failures.withColumn("_id", F.xxhash64(*failures.columns))
+    rows = keyed.alias("f").join(
+        mine.alias("j"),
+        (F.col("f.run_id") == F.col("j.run_id")) & (F.col("f.target") == F.col("_target")) & (F.col("f.family").isNull() | (F.col("f.family") == F.col("_family"))) & ((F.col("f.scope_key") == "") | (F.col("f.scope_key") == F.col("_scope"))),
+        "left",
+    ).select("f.*", "_job", "_repo")
+    first = rows.groupBy(*failures.columns, "_id").agg(F.min_by("_repo", "_job").alias("_repo"))
+    parsed = F.when(F.col("target").rlike(r"^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$"), F.col("target"))
+    return first.select(*failures.columns, F.coalesce("repository", "_repo", parsed).alias("found"))
+
+
+def jobs_of_repositories(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
+    """jobs with the host and id of their repository; jobs of an unknown one are left out."""
+    return jobs.join(repositories.select(F.col("full_name").alias("target"), "host", "repo_id"), "target")
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """The state of each run after its log (run_id, arrival, action, status, parent): it is finished once, by the first finish."""
+    created = F.min(F.when(F.col("action") == "create", F.col("arrival")))
+    first = log.groupBy("run_id").agg(created.alias("_c"))
+    rows = log.join(first, "run_id").where("_c IS NOT NULL AND arrival >= _c")
+    end = F.when(F.col("action") == "finish", F.col("arrival"))
+    return rows.groupBy("run_id").agg(
+        F.min("_c").alias("started_at"), F.min(end).alias("finished_at"), F.coalesce(F.min_by("status", end), F.lit("in_progress")).alias("status"),
+        F.min_by("parent", F.when(F.col("action") == "create", F.col("arrival"))).alias("parent"),
+    )
+
+
+def refused(log: DataFrame) -> DataFrame:
+    """run_id, arrival of finishes that find no run in progress."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("run_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda a: F.coalesce(F.max(F.when(F.col("action") == a, 1).otherwise(0)).over(before), F.lit(0))
+    rows = log.withColumn("_c", seen("create")).withColumn("_f", F.coalesce(F.max(F.when((F.col("action") == "finish") & (F.col("_c") == 1), 1).otherwise(0)).over(before), F.lit(0)))
+    return rows.where("action = 'finish' AND (_c = 0 OR _f = 1)").select("run_id", "arrival")
+
+
+def first_failures(failures: DataFrame, key: str = "run_id") -> DataFrame:
+    """key and the first failure of each category: hard, and deferred (rate limits)."""
+    at = lambda hard: F.when((F.col("kind") != "rate_limited") == hard, F.col("arrival"))
+    return failures.groupBy(key).agg(F.min_by("kind", at(True)).alias("hard"), F.min_by("kind", at(False)).alias("deferred"))
+
+
+# What a process ends with for an outcome.
+EXIT_CODES = {"complete": 0, "partial": 3, "deferred": 3, "failed": 1, "interrupted": 130}
+
+
+def exit_code(outcome):
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in EXIT_CODES.items() for x in kv]), outcome)
+
+
 def failed_repositories(failures: DataFrame, jobs: DataFrame) -> DataFrame:
     """failures with a repository: their own, else that of the first job of equal target and fitting family."""
     first = jobs.groupBy("run_id", "target", "family").agg(F.min("job_no").alias("job_no"))

@@ -110,31 +110,66 @@ def page_with_coverage(threads: DataFrame, coverage: DataFrame, sort: str, limit
     return rows.join(states.select("thread_id", text.alias("coverage")), "thread_id", "left")
 
 
-def is_stale(kind: str, clock_matches: Column, status: Column, item_count: Column, expected_count: Column, head: Column, current_head: Column) -> Column:
-    """Staleness of recorded child evidence: its clock, complete count or head no longer fits the parent."""
-    if kind in ("threads", "pull_request_metadata"):
-        return F.lit(False)
-    if kind == "comments":
-        fits = F.when(status == "complete", expected_count.isNotNull() & (expected_count == item_count)).otherwise(F.lit(True))
-    else:
-        fits = head.eqNullSafe(current_head)
-    return (status != "missing") & ~(clock_matches & fits)
+def coverage_context(threads: DataFrame, coverage: DataFrame, heads: DataFrame) -> DataFrame:
+    """Thread x applicable family with status and whether recorded child evidence no longer fits its parent.
+
+    threads carry updated_at_us and expected_comments; coverage (thread_id, family, status, clock_us, item_count,
+    head_sha) is compared with the thread's clock, and with the expected count (comments, where complete; an unknown
+    count never fits) or with the current pull-request head (heads: thread_id, head_sha; reviews and their threads).
+    """
+    now = heads.select("thread_id", F.col("head_sha").alias("_head"))
+    rows = applicable_families(threads.select("thread_id", "kind", "updated_at_us", "expected_comments")).join(coverage, ["thread_id", "family"], "left").join(now, "thread_id", "left")
+    counted = (F.col("status") != "complete") | F.coalesce(F.col("expected_comments") == F.col("item_count"), F.lit(False))
+    fits = F.when(F.col("family") == "comments", counted).when(F.col("family").isin("reviews", "review_threads"), F.col("head_sha").eqNullSafe(F.col("_head")))
+    stale = F.coalesce(F.col("status"), F.lit("missing")).isin("incomplete", "complete") & fits.isNotNull() & ~(F.col("clock_us").eqNullSafe(F.col("updated_at_us")) & fits)
+    return rows.select("thread_id", "family", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce(stale, F.lit(False)).alias("stale"))
 
 
-def timeline(threads: DataFrame, comments: DataFrame) -> DataFrame:
-    """Events of threads: creation, closure, comments; dated first, then kind of event, then identity.
+def timeline(threads: DataFrame, comments: DataFrame, reviews: DataFrame | None = None, review_threads: DataFrame | None = None) -> DataFrame:
+    """Events of threads: dated first, then kind of event, then identity; equal keys in order of origin.
 
-    thread_id, position, at_us, code (0 thread, 1 comment), key, wording.
+    thread_id, position, at_us, code (0 thread, 1 comment, 2 review, 3 review thread, 4 its comments), key, wording.
+    A review thread has the time of its first comment; its comments are (provider_id, author, body, created_at_us).
     """
     from pyspark.sql import Window
 
-    created = threads.select("thread_id", F.col("created_at_us").alias("at_us"), F.lit(0).alias("code"), F.col("thread_id").cast("string").alias("key"), F.lit(0).alias("seq"), F.concat(F.lit("opened: "), "title").alias("wording"))
-    closed = threads.where("state = 'closed'").select("thread_id", F.col("updated_at_us").alias("at_us"), F.lit(0).alias("code"), F.col("thread_id").cast("string").alias("key"), F.lit(1).alias("seq"), F.lit("closed").alias("wording"))
-    said = comments.join(threads.select("thread_id"), "thread_id", "left_semi").select(
-        "thread_id", F.col("created_at_us").alias("at_us"), F.lit(1).alias("code"), F.col("provider_id").alias("key"), F.lit(2).alias("seq"), F.concat(F.coalesce("author", F.lit("unknown author")), F.lit(" commented")).alias("wording")
-    )
+    seq = lambda n: F.lit(n).alias("seq")
+    name = F.concat("repo_id", F.lit("#"), F.col("number").cast("string"))
+    key = F.col("thread_id").cast("string").alias("key")
+    parts = [
+        threads.select("thread_id", F.col("created_at_us").alias("at_us"), F.lit(0).alias("code"), key, seq(0), F.concat(name, F.lit(" opened: "), "title").alias("wording")),
+        threads.where("state = 'closed'").select("thread_id", F.col("updated_at_us").alias("at_us"), F.lit(0).alias("code"), key, seq(1), F.concat(name, F.lit(" closed")).alias("wording")),
+    ]
+    of = lambda rows: rows.join(threads.select("thread_id"), "thread_id", "left_semi")
+    said = lambda head, author, body: F.concat(head, F.coalesce(author, F.lit("unknown author")), F.lit(": "), body)
+    parts.append(of(comments).select("thread_id", F.col("created_at_us").alias("at_us"), F.lit(1).alias("code"), F.col("provider_id").alias("key"), seq(2), said(F.lit("comment by "), F.col("author"), F.col("body")).alias("wording")))
+    if reviews is not None:
+        state = F.lower(F.col("state"))
+        body = F.coalesce(F.concat(F.lit(" — "), "body"), F.lit(""))
+        words = F.concat(F.lit("review "), "provider_id", F.lit(" by "), F.coalesce("reviewer", F.lit("unknown reviewer")), F.lit(": "), state, body)
+        parts.append(of(reviews).select("thread_id", F.col("submitted_at_us").alias("at_us"), F.lit(2).alias("code"), F.col("provider_id").alias("key"), seq(3), words.alias("wording")))
+    if review_threads is not None:
+        rows = of(review_threads)
+        where = F.coalesce("path", F.lit("unknown path"))
+        held = F.concat(F.when(F.col("is_resolved"), "resolved").otherwise("unresolved"), F.when(F.col("is_outdated"), ", outdated").otherwise(""))
+        first = F.array_min(F.transform("comments", lambda c: c["created_at_us"]))
+        parts.append(rows.select("thread_id", first.alias("at_us"), F.lit(3).alias("code"), F.col("provider_id").alias("key"), seq(4), F.concat(F.lit("review thread "), where, F.lit(": "), held).alias("wording")))
+        each = rows.select("thread_id", "provider_id", where.alias("where"), held.alias("held"), F.explode("comments").alias("c"))
+        words = said(F.concat(F.lit("review comment on "), "where", F.lit(" ("), "held", F.lit("), by ")), F.col("c.author"), F.col("c.body"))
+        parts.append(each.select("thread_id", F.col("c.created_at_us").alias("at_us"), F.lit(4).alias("code"), F.concat("provider_id", F.lit(":"), "c.provider_id").alias("key"), seq(5), words.alias("wording")))
     order = Window.partitionBy("thread_id").orderBy(F.col("at_us").asc_nulls_last(), "code", "key", "seq")
-    return created.unionByName(closed).unionByName(said).select("thread_id", F.row_number().over(order).alias("position"), "at_us", "code", "key", "wording")
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.select("thread_id", F.row_number().over(order).alias("position"), "at_us", "code", "key", "wording")
+
+
+def children(rows: DataFrame, thread_id: int | None = None) -> DataFrame:
+    """Members of a family by thread, in order of their identity as text."""
+    from pyspark.sql import Window
+
+    mine = rows if thread_id is None else rows.where(F.col("thread_id") == thread_id)
+    return mine.withColumn("position", F.row_number().over(Window.partitionBy("thread_id").orderBy("provider_id")))
 
 
 def thread_detail(threads: DataFrame, coverage: DataFrame, comments: DataFrame, number: int) -> DataFrame:

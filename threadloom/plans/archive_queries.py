@@ -150,12 +150,25 @@ def _(s, d):
     return listing.thread_detail(relation(s, d, "threads"), coverage(s, d), relation(s, d, "comments"), 7)
 
 
-@query("F14_H32_timeline", """SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY at_us NULLS LAST, code, key, seq) AS position, at_us, code, key, wording FROM (
-SELECT thread_id, created_at_us AS at_us, 0 AS code, thread_id::VARCHAR AS key, 0 AS seq, 'opened: ' || title AS wording FROM threads
-UNION ALL SELECT thread_id, updated_at_us, 0, thread_id::VARCHAR, 1, 'closed' FROM threads WHERE state = 'closed'
-UNION ALL SELECT thread_id, created_at_us, 1, provider_id, 2, coalesce(author, 'unknown author') || ' commented' FROM comments WHERE thread_id IN (SELECT thread_id FROM threads))""", "threads", "comments")
+def _review_threads(s, d):
+    """Each with one comment of its own."""
+    own = F.array(F.struct(F.concat(F.lit("c"), "provider_id").alias("provider_id"), "author", (F.col("author") == "system").alias("is_bot"), "body", "created_at_us"))
+    return relation(s, d, "review_threads").withColumn("comments", own).select("thread_id", "provider_id", "path", "line", "is_resolved", "is_outdated", "comments")
+
+
+HELD = "CASE WHEN is_resolved THEN 'resolved' ELSE 'unresolved' END || CASE WHEN is_outdated THEN ', outdated' ELSE '' END"
+
+
+@query("F14_H32_timeline", f"""SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY at_us NULLS LAST, code, key, seq) AS position, at_us, code, key, wording FROM (
+SELECT thread_id, created_at_us AS at_us, 0 AS code, thread_id::VARCHAR AS key, 0 AS seq, repo_id || '#' || number || ' opened: ' || title AS wording FROM threads
+UNION ALL SELECT thread_id, updated_at_us, 0, thread_id::VARCHAR, 1, repo_id || '#' || number || ' closed' FROM threads WHERE state = 'closed'
+UNION ALL SELECT thread_id, created_at_us, 1, provider_id, 2, 'comment by ' || coalesce(author, 'unknown author') || ': ' || body FROM comments WHERE thread_id IN (SELECT thread_id FROM threads)
+UNION ALL SELECT thread_id, submitted_at_us, 2, provider_id, 3, 'review ' || provider_id || ' by ' || coalesce(reviewer, 'unknown reviewer') || ': ' || lower(state) || coalesce(' — ' || body, '') FROM reviews WHERE thread_id IN (SELECT thread_id FROM threads)
+UNION ALL SELECT thread_id, created_at_us, 3, provider_id, 4, 'review thread ' || coalesce(path, 'unknown path') || ': ' || {HELD} FROM review_threads WHERE thread_id IN (SELECT thread_id FROM threads)
+UNION ALL SELECT thread_id, created_at_us, 4, provider_id || ':c' || provider_id, 5, 'review comment on ' || coalesce(path, 'unknown path') || ' (' || {HELD} || '), by ' || author || ': ' || body FROM review_threads WHERE thread_id IN (SELECT thread_id FROM threads))""", "threads", "comments", "reviews", "review_threads")
 def _(s, d):
-    return listing.timeline(relation(s, d, "threads"), relation(s, d, "comments")).withColumn("position", F.col("position").cast("long"))
+    t = relation(s, d, "threads")
+    return listing.timeline(t, relation(s, d, "comments"), relation(s, d, "reviews"), _review_threads(s, d)).withColumn("position", F.col("position").cast("long"))
 
 
 @query("D1_coverage_totals", """SELECT f.family, f.rank, count(t.thread_id) AS applicable, count(*) FILTER (t.thread_id IS NOT NULL AND c.status IS NULL) AS missing,
@@ -327,12 +340,30 @@ def _(s, d):
     return documents.render(relation(s, d, "threads")).select("thread_id", "text")
 
 
-@query("H7_B14_render_enriched", """SELECT t.thread_id, count(c.provider_id) FILTER (NOT c.is_bot AND t.thread_id IN (SELECT thread_id FROM coverage WHERE family = 'comments' AND status = 'complete')) AS sections FROM threads t LEFT JOIN comments c ON c.thread_id = t.thread_id GROUP BY t.thread_id""", "threads", "comments")
+NL2 = "chr(10) || chr(10)"
+TRIM = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+SAID = lambda author, body: f"CASE WHEN {TRIM(body)} <> '' THEN CASE WHEN trim(coalesce({author}, '')) <> '' THEN 'Comment by ' || {author} || ':' ELSE 'Comment:' END || {NL2} || {TRIM(body)} END"
+SECTIONS_SQL = f"""sec AS (
+SELECT thread_id, 'comments' AS family, 0 AS n, false AS u, created_at_us AS tm, NULL AS t, NULL AS l, provider_id AS k, {SAID('author', 'body')} AS section FROM comments WHERE NOT is_bot
+UNION ALL SELECT thread_id, 'reviews', 1, submitted_at_us IS NULL, submitted_at_us, NULL, NULL, provider_id, 'Review by ' || coalesce(reviewer, 'unknown reviewer') || ': ' || CASE state WHEN 'APPROVED' THEN 'approved' WHEN 'CHANGES_REQUESTED' THEN 'requested changes' WHEN 'COMMENTED' THEN 'commented' ELSE state END || CASE WHEN {TRIM('body')} <> '' THEN {NL2} || {TRIM('body')} ELSE '' END FROM reviews WHERE NOT is_bot
+UNION ALL SELECT thread_id, 'review_threads', 2, false, NULL, path, line, provider_id, 'Review thread on ' || coalesce(path, 'unknown path') || ' (' || CASE WHEN is_resolved THEN 'resolved' ELSE 'unresolved' END || ', ' || CASE WHEN is_outdated THEN 'outdated' ELSE 'current' END || ')' || CASE WHEN author <> 'system' THEN coalesce({NL2} || {SAID('author', 'body')}, '') ELSE '' END FROM review_threads)"""
+
+
+@query("H7_H8_H9_B14_F15_render_enriched")
 def _(s, d):
+    """All three families are taken as current where the comments are complete; reviews where they are."""
     t = relation(s, d, "threads")
-    whole = coverage(s, d).where("family = 'comments' AND status = 'complete'")
-    doc = documents.render(t, relation(s, d, "comments"), whole, "discussion_enriched")
-    return doc.select("thread_id", F.regexp_count("text", F.lit(r"(?m)^Comment by \w+:$")).cast("long").alias("sections"))
+    sections = documents.child_sections(relation(s, d, "comments"), relation(s, d, "reviews"), _review_threads(s, d))
+    whole = coverage(s, d).where("status = 'complete'").select("thread_id", "family")
+    current = whole.unionByName(whole.where("family = 'reviews'").select("thread_id", F.lit("review_threads").alias("family")))
+    return documents.render_enriched(t, sections, current).select("thread_id", "text")
+
+
+SQL["H7_H8_H9_B14_F15_render_enriched"] = with_relations("", "threads", "comments", "reviews", "review_threads").rstrip() + f""",
+{SECTIONS_SQL},
+cur AS (SELECT thread_id, family FROM coverage WHERE status = 'complete' UNION ALL SELECT thread_id, 'review_threads' FROM coverage WHERE status = 'complete' AND family = 'reviews'),
+said AS (SELECT s.thread_id, string_agg(section, {NL2} ORDER BY n, u, tm NULLS FIRST, t NULLS FIRST, l NULLS FIRST, k) AS said FROM sec s SEMI JOIN cur c ON c.thread_id = s.thread_id AND c.family = s.family WHERE section IS NOT NULL GROUP BY s.thread_id)
+SELECT t.thread_id, concat_ws({NL2}, CASE WHEN {TRIM('title')} <> '' THEN '# ' || {TRIM('title')} END, CASE WHEN {TRIM('body')} <> '' THEN {TRIM('body')} END, 'Labels: ' || label, said) AS text FROM threads t LEFT JOIN said USING (thread_id)"""
 
 
 @query("H5_dedupe_text", r"SELECT thread_id, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS dedupe_text FROM threads", "threads")
@@ -377,12 +408,19 @@ def _(s, d):
 
 
 def _mentioning(s, d):
-    """Bodies of the adapter hold no mentions, so each names the thread after the next of its repository."""
-    t = relation(s, d, "threads")
-    return t.withColumn("body", F.concat(F.lit("See #"), (F.col("number") + 40).cast("string"), F.lit(" "), "body"))
+    """Bodies of the adapter hold no mentions, so each names a thread further on: in one of four forms, every third one late
+    in the body, where titles must support it."""
+    return relation(s, d, "threads").withColumn("title", F.expr(TITLE)).withColumn("body", F.expr(MENTIONING))
+
+
+TITLE = "concat('topic', cast(thread_id % 5 AS varchar(20)), ' part', cast(thread_id % 4 AS varchar(20)))"
+MENTIONING = """concat(CASE WHEN thread_id % 3 = 0 THEN repeat('late ', 50) ELSE '' END, 'See ', CASE thread_id % 4 WHEN 0 THEN '#' WHEN 1 THEN concat(upper(full_name), '#') WHEN 2 THEN 'issues/' ELSE concat('x/y ', full_name, '/pull/') END,
+cast(number + 41 AS varchar(20)), ' and other/name#7 ', substr(body, 1, 400))"""
+MENTION_SQL = """SELECT a.thread_id AS a, b.thread_id AS b, 0.94::DOUBLE AS score FROM threads a JOIN threads b ON b.number = a.number + 41 AND a.full_name = b.full_name
+WHERE a.number + 41 >= 10 AND (a.thread_id % 3 <> 0 OR a.thread_id % 5 = b.thread_id % 5 OR a.thread_id % 4 = b.thread_id % 4)"""
 
 
-@query("H12_H13_C15_mentions", "SELECT a.thread_id AS a, b.thread_id AS b, 0.94::DOUBLE AS score FROM threads a JOIN threads b ON b.number = a.number + 40 AND a.full_name = b.full_name WHERE a.number + 40 >= 10", "threads")
+@query("H12_H13_C15_mentions", MENTION_SQL, "threads")
 def _(s, d):
     return clustering.reference_edges(_mentioning(s, d))
 
@@ -391,13 +429,14 @@ THRESHOLD, CROSS, FANOUT = 0.2, 0.3, 4
 
 
 def _near(s, d):
-    t = relation(s, d, "threads").where("state = 'open'").withColumn("title", F.lit("same title words"))
+    """Titles of two words each, so that some pairs support each other and others do not."""
+    t = relation(s, d, "threads").where("state = 'open'").withColumn("title", F.expr(TITLE))
     return t, clustering.neighbours(t, relation(s, d, "chunks"), THRESHOLD, CROSS, FANOUT)
 
 
 PAIRS = f"""v AS (SELECT c.thread_id, c.vector::DOUBLE[] AS vector, t.kind, t.full_name FROM chunks c JOIN threads t USING (thread_id) WHERE t.state = 'open'),
-p AS (SELECT a.thread_id AS a, b.thread_id AS b, a.kind = b.kind AS same, max(list_cosine_similarity(a.vector, b.vector)) AS score FROM v a JOIN v b ON a.full_name = b.full_name AND a.thread_id <> b.thread_id GROUP BY ALL),
-n AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p WHERE score >= {THRESHOLD} AND (same OR score >= {CROSS}) QUALIFY rank <= {FANOUT})"""
+p AS (SELECT a.thread_id AS a, b.thread_id AS b, a.kind = b.kind AS same, a.thread_id % 5 = b.thread_id % 5 OR a.thread_id % 4 = b.thread_id % 4 AS support, max(list_cosine_similarity(a.vector, b.vector)) AS score FROM v a JOIN v b ON a.full_name = b.full_name AND a.thread_id <> b.thread_id GROUP BY ALL),
+n AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p WHERE score >= {THRESHOLD} AND (support OR score >= 0.9) AND (same OR score >= {CROSS}) QUALIFY rank <= {FANOUT})"""
 
 
 @query("C14_E4_topk_neighbours")
@@ -411,32 +450,64 @@ SQL["C14_E4_topk_neighbours"] = with_relations("", "threads", "chunks").rstrip()
 @query("E5_F12_candidate_edges")
 def _(s, d):
     t, near = _near(s, d)
-    return clustering.candidate_edges(near, clustering.reference_edges(_mentioning(s, d))).withColumn("score", F.round("score", 6))
+    return clustering.ordered_edges(clustering.candidate_edges(near, clustering.reference_edges(_mentioning(s, d))).withColumn("score", F.round("score", 6)))
 
 
-SQL["E5_F12_candidate_edges"] = with_relations("", "threads", "chunks").rstrip() + ",\n" + PAIRS + """,
-e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score FROM n UNION ALL SELECT x.thread_id, y.thread_id, 0.94 FROM threads x JOIN threads y ON y.number = x.number + 40 AND x.full_name = y.full_name)
-SELECT a, b, round(max(score), 6) AS score FROM e GROUP BY a, b"""
+SQL["E5_F12_candidate_edges"] = with_relations("", "threads", "chunks").rstrip() + ",\n" + PAIRS + f""",
+m AS ({MENTION_SQL}),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score FROM n UNION ALL SELECT a, b, score FROM m)
+SELECT *, row_number() OVER (ORDER BY score DESC, a, b) - 1 AS position FROM (SELECT a, b, round(max(score), 6) AS score FROM e GROUP BY a, b)"""
+
+MOST = 6
 
 
 def _members(s, d):
     t, near = _near(s, d)
-    return t, clustering.with_representatives(clustering.bounded_components(t, clustering.candidate_edges(near, near.select("a", "b", "score").where("false")), 10))
+    return t, clustering.with_representatives(clustering.bounded_components(t, clustering.candidate_edges(near, near.select("a", "b", "score").where("false")), MOST))
+
+
+# The fold over edges in order, with the label of every thread in a list; a label is the smallest thread of its cluster.
+FOLD_EDGES = f"""WITH RECURSIVE {with_relations("", "threads", "chunks").strip()[5:]},
+{PAIRS},
+ids AS (SELECT thread_id, row_number() OVER (ORDER BY thread_id) AS i FROM threads WHERE state = 'open'),
+e AS (SELECT x.a, x.b, x.score, ia.i AS ia, ib.i AS ib, row_number() OVER (ORDER BY x.score DESC, x.a, x.b) AS k FROM (SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM n GROUP BY 1, 2) x JOIN ids ia ON ia.thread_id = x.a JOIN ids ib ON ib.thread_id = x.b),
+f AS (SELECT 0::BIGINT AS k, range(1, (SELECT count(*) + 1 FROM ids)) AS l, false AS kept UNION ALL
+  SELECT e.k, CASE WHEN f.l[e.ia] = f.l[e.ib] OR len(list_filter(f.l, lambda x: x IN (f.l[e.ia], f.l[e.ib]))) > {MOST} THEN f.l ELSE list_transform(f.l, lambda x: CASE WHEN x IN (f.l[e.ia], f.l[e.ib]) THEN least(f.l[e.ia], f.l[e.ib]) ELSE x END) END,
+  f.l[e.ia] = f.l[e.ib] OR len(list_filter(f.l, lambda x: x IN (f.l[e.ia], f.l[e.ib]))) <= {MOST} FROM f JOIN e ON e.k = f.k + 1),
+mem AS (SELECT i.thread_id, j.thread_id AS cluster FROM ids i, (SELECT l FROM f ORDER BY k DESC LIMIT 1) z, ids j WHERE j.i = z.l[i.i]),
+kept AS (SELECT e.* FROM e JOIN f ON f.k = e.k AND f.kept),
+link AS (SELECT a AS x, b AS y, score FROM kept UNION ALL SELECT b, a, score FROM kept),
+deg AS (SELECT m.thread_id, m.cluster, count(l.x) AS degree FROM mem m LEFT JOIN link l ON l.x = m.thread_id GROUP BY ALL),
+rep AS (SELECT cluster, first(thread_id ORDER BY degree DESC, thread_id) AS representative, count(*) AS size FROM deg GROUP BY cluster)
+"""
 
 
 @query("D18_D9_components")
 def _(s, d):
-    return _members(s, d)[1].select("thread_id", "cluster", "size")
+    t, near = _near(s, d)
+    found = clustering.bounded_components(t, clustering.candidate_edges(near, near.select("a", "b", "score").where("false")), MOST)
+    return found.select("thread_id", "cluster", F.col("degree").cast("long").alias("degree"))
+
+
+SQL["D18_D9_components"] = FOLD_EDGES + "SELECT thread_id, cluster, degree FROM deg"
 
 
 @query("E6_representative")
 def _(s, d):
-    return _members(s, d)[1].select("thread_id", "cluster", "representative", F.round("score", 6).alias("score"))
+    return _members(s, d)[1].select("thread_id", "cluster", "representative", "size", F.round("score", 6).alias("score"))
+
+
+SQL["E6_representative"] = FOLD_EDGES + "SELECT d.thread_id, d.cluster, r.representative, r.size, round(CASE WHEN d.thread_id = r.representative THEN 1.0 ELSE (SELECT max(score) FROM link WHERE x = d.thread_id AND y = r.representative) END, 6) AS score FROM deg d JOIN rep r USING (cluster)"
 
 
 @query("F13_H17_stable_keys")
 def _(s, d):
-    return clustering.stable_keys(_members(s, d)[1])
+    members = _members(s, d)[1]
+    return clustering.ordered_clusters(members).join(clustering.stable_keys(members).drop("size"), "cluster")
+
+
+SQL["F13_H17_stable_keys"] = FOLD_EDGES + """SELECT cluster, size, row_number() OVER (ORDER BY size DESC, cluster) - 1 AS position, key AS stable_key FROM (
+SELECT cluster, count(*) AS size, 'members-' || sha256(encode('cluster-members-v1') || unhex('00') || unhex(string_agg(lpad(hex(thread_id), 16, '0'), '' ORDER BY thread_id))) AS key FROM mem GROUP BY cluster)"""
 
 
 CLUSTERS = "g AS (SELECT thread_id // 7 AS cluster, thread_id FROM threads), x AS (SELECT thread_id // 5 AS cluster, thread_id FROM threads WHERE thread_id % 11 <> 0)"
@@ -465,6 +536,15 @@ def _(s, d):
     return clustering.match_identities(clustering.overlaps(g, x))
 
 
+SQL["E7_identity_matching"] = "WITH RECURSIVE " + with_relations("", "threads").strip()[5:] + f""",\n{CLUSTERS},
+c AS (SELECT g.cluster AS gid, x.cluster AS eid, count(*) AS overlap, (SELECT count(*) FROM g g2 WHERE g2.cluster = g.cluster) + (SELECT count(*) FROM x x2 WHERE x2.cluster = x.cluster) - count(*) AS u FROM g JOIN x USING (thread_id) GROUP BY g.cluster, x.cluster),
+o AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, u, eid, gid) AS k FROM c),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS es, NULL::BIGINT AS gid, NULL::BIGINT AS eid UNION ALL
+  SELECT o.k, CASE WHEN o.gid IN f.gs OR o.eid IN f.es THEN f.gs ELSE list_append(f.gs, o.gid) END, CASE WHEN o.gid IN f.gs OR o.eid IN f.es THEN f.es ELSE list_append(f.es, o.eid) END,
+  CASE WHEN NOT (o.gid IN f.gs OR o.eid IN f.es) THEN o.gid END, CASE WHEN NOT (o.gid IN f.gs OR o.eid IN f.es) THEN o.eid END FROM f JOIN o ON o.k = f.k + 1)
+SELECT gid AS generated_id, eid AS existing_id FROM f WHERE gid IS NOT NULL"""
+
+
 @query("I12_next_generation")
 def _(s, d):
     _, g, x = _clusterings(s, d)
@@ -477,14 +557,14 @@ SELECT c.cluster, c.thread_id, CASE WHEN n.cluster IS NOT NULL THEN 'removed' WH
 UNION ALL SELECT n.cluster, n.thread_id, CASE WHEN c.state = 'excluded' THEN 'excluded' ELSE 'active' END FROM gen n LEFT JOIN cur c ON c.cluster = n.cluster AND c.thread_id = n.thread_id"""
 
 
-@query("C22_D6_F4_cluster_summary")
+@query("C22_D6_cluster_summary")
 def _(s, d):
     t, g, _ = _clusterings(s, d)
     m = g.withColumn("state", F.when(F.col("thread_id") % 13 == 0, "excluded").otherwise("active")).withColumn("representative", F.when(F.col("cluster") % 2 == 0, F.col("cluster") * 7 + 3))
     return clustering.cluster_summaries(m, t)
 
 
-SQL["C22_D6_F4_cluster_summary"] = with_relations("", "threads").rstrip() + f""",\n{CLUSTERS}, m AS (SELECT g.*, CASE WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state, CASE WHEN cluster % 2 = 0 THEN cluster * 7 + 3 END AS representative FROM g)
+SQL["C22_D6_cluster_summary"] = with_relations("", "threads").rstrip() + f""",\n{CLUSTERS}, m AS (SELECT g.*, CASE WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state, CASE WHEN cluster % 2 = 0 THEN cluster * 7 + 3 END AS representative FROM g)
 SELECT m.cluster, count(*) FILTER (m.state = 'active') AS active, count(*) FILTER (m.state = 'excluded') AS excluded, first(t.title ORDER BY (m.thread_id = m.representative) IS NOT TRUE, m.state <> 'active', t.number) AS title FROM m JOIN threads t USING (thread_id) GROUP BY m.cluster"""
 
 LATEST = "row_number() OVER (PARTITION BY thread_id, family ORDER BY source_clock DESC NULLS LAST, sequence DESC) = 1"
@@ -564,9 +644,40 @@ def _(s, d):
     return e.select("event_id", identity.source_clock(F.col("raw")).alias("c")).select("event_id", "c.*")
 
 
-@query("H18_H19_D20_vectors", "SELECT thread_id, chunk_index, round(sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])), 5) AS norm FROM chunks", "chunks")
+@query("H18_H19_D20_vectors", "SELECT thread_id, chunk_index, round(sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])), 5) AS norm, array_to_string(list_transform(vector[1:8]::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(vector::DOUBLE[], vector::DOUBLE[])), 4)::DECIMAL(9, 4)), ' ') AS unit FROM chunks", "chunks")
+def _(s, d):
+    first = F.transform(F.slice(vectors.unit(F.col("vector")), 1, 8), lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string"))
+    return relation(s, d, "chunks").select("thread_id", "chunk_index", F.round(vectors.norm(F.col("vector")), 5).alias("norm"), F.array_join(first, " ").alias("unit"))
+
+
+@query("H2_near_columns_keyword")
 def _(s, d):
-    return relation(s, d, "chunks").select("thread_id", "chunk_index", F.round(vectors.norm(F.col("vector")), 5).alias("norm"))
+    return search.keyword_search(relation(s, d, "threads"), search.parse_expression("NEAR(with that, 40) OR {title}: ^the OR -title: (que + les)")).select("thread_id")
+
+
+NEAR_SQL = """WITH tok AS (SELECT thread_id, {t} AS t, {b} AS b FROM threads),
+pos AS (SELECT thread_id, 'title' AS c, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS i FROM tok UNION ALL SELECT thread_id, 'body', unnest(b), generate_subscripts(b, 1) - 1 FROM tok),
+near AS (SELECT DISTINCT x.thread_id FROM pos x JOIN pos y ON x.thread_id = y.thread_id AND x.c = y.c WHERE x.w = 'with' AND y.w = 'that' AND x.i + 1 + 40 >= y.i AND y.i + 1 + 40 >= x.i),
+two AS (SELECT DISTINCT x.thread_id FROM pos x JOIN pos y ON x.thread_id = y.thread_id AND x.c = 'body' AND y.c = 'body' AND y.i = x.i + 1 WHERE x.w = 'que' AND y.w = 'les')
+SELECT thread_id FROM (SELECT thread_id FROM near UNION SELECT thread_id FROM pos WHERE c = 'title' AND i = 0 AND w = 'the' UNION SELECT thread_id FROM two)"""
+SQL["H2_near_columns_keyword"] = with_relations("", "threads").rstrip() + ",\n" + NEAR_SQL.format(t=TOK.format(c="title"), b=TOK.format(c="body"))[5:]
+
+
+@query("A13_H4_indexed_bm25")
+def _(s, d):
+    """The same search over a written index."""
+    import uuid
+
+    from threadloom.operators import search_index
+    from threadloom.operators.clustering import shared_folder
+
+    path = f"{shared_folder(s)}/index-{uuid.uuid4().hex}"
+    search_index.write_index(relation(s, d, "threads"), path, buckets=16)
+    found = search_index.find(*search_index.open_index(s, path), search.plain_expression("with that"), buckets=16)
+    return found.select("thread_id", F.round("bm25", 6).alias("bm25"))
+
+
+SQL["A13_H4_indexed_bm25"] = SQL["H1_H4_bm25_keyword"]
 
 
 @query("A16_json_envelope", """SELECT '{"schema_version":1,"command":"threads","data":{"thread_id":' || thread_id || ',"kind":"' || kind || '"},"warnings":[]}' AS value FROM threads""", "threads")
