@@ -66,3 +66,28 @@ def test_clusters_status_and_ledger(archive):
     assert archive.doctor().count() == 4 and archive.recent_failures().count() <= 20
     assert archive.show_thread(7).count() == 1 and archive.thread_timeline(7).count() >= 1
     assert archive.thread_documents("discussion_enriched").count() == archive.threads.count()
+
+
+def test_cluster_requests_and_documents(spark, sf):
+    from threadloom.plans import lifecycle_queries as q
+    from threadloom.sources.archive import relation
+    from threadloom.workflows import Archive, NotFound
+
+    threads, clusters, members = q.board(spark, sf)
+    a = Archive(threads=threads, extra={"clusters": clusters, "members": members})
+    first = a.list_clusters(3).collect()
+    assert [r["position"] for r in first] == [0, 1, 2] and first[0]["next_offset"] == 3
+    assert [r["number"] for r in a.show_cluster(7).collect()] == [22, 23]
+    with pytest.raises(NotFound):
+        a.show_cluster(99_999)
+    made = spark.createDataFrame([(1, 7, "exclude", "git.example", "src", 23, " off topic ", 5), (2, 7, "canonical", "git.example", "src", 23, "", 6), (3, 7, "dismiss", "git.example", "src", 1, "x" * 3000, 7), (4, 7, "dismiss", "git.example", "src", 1, "done", 8)], "seq long, cluster long, action string, host string, repo_id string, number long, reason string, at_us long")
+    found, after, now, events = a.decide(made)
+    assert [r["result"] for r in found.orderBy("seq").collect()] == ["ok", "member_missing", "invalid_reason", "ok"]
+    one = after.where("cluster = 7").first()
+    assert (one["canonical"], one["dismissal_reason"]) == (None, "done") and now.where("thread_id = 23").first()["state"] == "excluded"
+    assert sorted(r["event_type"] for r in events.collect()) == ["dismissed", "member_excluded"]
+
+    stored = spark.createDataFrame([], "document_id long, thread_id long, recipe string, recipe_version int, content_hash string, title string, source_updated_at_us long, built_at_us long")
+    a = Archive(threads=relation(spark, sf, "threads"))
+    new = a.materialize_documents(stored, 9)
+    assert new.where("content_changed AND written AND built_at_us = 9").count() == a.threads.count()

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators import clustering, documents, ledger, listing, search
+from threadloom.operators import clustering, decisions, documents, embeddings, ledger, listing, search
 
 
 class NotFound(LookupError):
@@ -156,6 +156,33 @@ class Archive:
         edges = clustering.candidate_edges(near, clustering.reference_edges(rows))
         return clustering.with_representatives(clustering.bounded_components(rows, edges, most))
 
+    def list_clusters(self, limit: int = 20, offset: int = 0, retired: bool = False) -> DataFrame:
+        """A page of clusters, most active members first; needs extra["clusters"] and extra["members"]."""
+        return decisions.list_clusters(self.extra["clusters"], self.extra["members"], limit, offset, retired)
+
+    def show_cluster(self, cluster: int) -> DataFrame:
+        """Active and excluded members of one cluster in order."""
+        if self.extra["clusters"].where(F.col("cluster") == cluster).isEmpty():
+            raise NotFound(f"cluster {cluster}")
+        return decisions.cluster_members(self.extra["members"], self.threads, cluster).orderBy("position")
+
+    def decide(self, made: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Judged decisions, and the clusters, members and audit events after those that take effect.
+
+        made is (seq, cluster, action, host, repo_id, number, reason, at_us); actions are dismiss, restore, exclude,
+        include and canonical. Nothing is written; the caller stores the next tables.
+        """
+        clusters, members = self.extra["clusters"], self.extra["members"]
+        found = decisions.judged(made, clusters, members, self.threads)
+        events = decisions.events_of(found)
+        return found, decisions.clusters_after(clusters, events), decisions.members_after(members, events), events
+
+    def materialize_documents(self, stored: DataFrame, built_at_us: int) -> DataFrame:
+        """The stored documents after those of all threads are rendered anew; unchanged ones keep id and build time."""
+        made = self.thread_documents().join(self.threads.select("thread_id", F.col("updated_at_us").alias("source_updated_at_us")), "thread_id")
+        made = made.select("thread_id", F.lit("original_body").alias("recipe"), F.lit(1).alias("recipe_version"), "content_hash", "title", "source_updated_at_us")
+        return embeddings.upsert_documents(stored, made, built_at_us)
+
     def list_runs(self, limit: int = 20) -> DataFrame:
         listing.check_page(limit, 0)
         return ledger.latest_runs(self.runs, limit)
