@@ -25,6 +25,8 @@ _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 _MARK[list(b".,;:!?")] = True
 _PLAIN[33:127] = True  # surely not white space; so are most characters of two bytes, by their first byte
 _PLAIN[0xC3:0xE0] = True
+#: Masks of the first 0 to 8 bytes of a number in little-endian order.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,6 +48,8 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Units:
     """Texts (UTF-8) cut into units: data, begin and end of each unit in it, its hash, and the first unit of each text."""
 
+    _ends8 = None
+
     def __init__(self, texts: list[bytes]):
         size = np.array([len(t) for t in texts], np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
@@ -78,6 +82,15 @@ class Units:
         u.hash = hashes(u.data, u.begin, u.end)
         return u
 
+    def ends8(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last 8 bytes of each unit as numbers; of shorter units all bytes, and 0."""
+        if self._ends8 is None:
+            padded = np.concatenate([np.zeros(8, np.uint8), self.data, np.zeros(8, np.uint8)])
+            rows, size = np.lib.stride_tricks.sliding_window_view(padded, 8), self.end - self.begin
+            head = rows[self.begin + 8].view("<u8").ravel() & _FIRST[np.minimum(size, 8)]
+            self._ends8 = head, np.where(size >= 8, rows[self.end].view("<u8").ravel(), np.uint64(0))
+        return self._ends8
+
     def text(self, i: int) -> bytes:
         return self.data[self.begin[i] : self.end[i]].tobytes()
 
@@ -101,6 +114,7 @@ class Table:
         self.own = np.zeros(1 << 12, np.uint64)  # the hash of each unit, to deal them anew when the table grows
         self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.at, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.head, self.tail = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
         self.data, self.filled = np.zeros(1 << 14, np.uint8), 0
         self.size = 0
@@ -155,7 +169,7 @@ class Table:
         raw = u.data[ragged(u.begin[new], size)]
         if hashed:
             self._room(n)
-        for name, need in (("own", first + n), ("begin", first + n), ("count", first + n), ("at", first + n), ("length", first + n), ("ids", self.used + len(ids)), ("data", self.filled + len(raw))):
+        for name, need in (("own", first + n), ("begin", first + n), ("count", first + n), ("at", first + n), ("length", first + n), ("head", first + n), ("tail", first + n), ("ids", self.used + len(ids)), ("data", self.filled + len(raw))):
             old = getattr(self, name)
             if need > len(old):
                 grown = np.zeros(max(need, 2 * len(old)), old.dtype)
@@ -164,6 +178,8 @@ class Table:
         to = slice(first, first + n)
         self.begin[to], self.count[to] = self.used + np.cumsum(count) - count, count
         self.at[to], self.length[to] = self.filled + np.cumsum(size) - size, size
+        head, tail = u.ends8()
+        self.head[to], self.tail[to] = head[new], tail[new]
         self.ids[self.used : self.used + len(ids)] = ids
         self.data[self.filled : self.filled + len(raw)] = raw
         self.size, self.used, self.filled = first + n, self.used + len(ids), self.filled + len(raw)
@@ -174,15 +190,13 @@ class Table:
 
     def unlike(self, u: Units, number: np.ndarray) -> np.ndarray:
         """The units of u whose bytes are not those of the unit with their number."""
-        size = u.end - u.begin
-        bad = self.length[number] != size
-        check = np.flatnonzero(~bad) if bad.any() else None
-        begin, size = (self.at[number], size) if check is None else (self.at[number[check]], size[check])
-        mine = u.data if check is None else u.data[ragged(u.begin[check], size)]
-        differ = np.flatnonzero(self.data[ragged(begin, size)] != mine)
-        if len(differ):
-            unit = np.searchsorted(np.cumsum(size), differ, "right")
-            bad[unit if check is None else check[unit]] = True
+        size, (head, tail) = u.end - u.begin, u.ends8()
+        bad = (self.length[number] != size) | (self.head[number] != head) | (self.tail[number] != tail)
+        check = np.flatnonzero((size > 16) & ~bad)  # units of up to 16 bytes are compared whole by now
+        if len(check):
+            size = size[check]
+            differ = np.flatnonzero(self.data[ragged(self.at[number[check]], size)] != u.data[ragged(u.begin[check], size)])
+            bad[check[np.searchsorted(np.cumsum(size), differ, "right")]] = True
         return np.flatnonzero(bad)
 
     def numbers(self, u: Units, learn) -> np.ndarray:
