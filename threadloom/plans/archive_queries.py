@@ -413,11 +413,12 @@ def _mentioning(s, d):
     return relation(s, d, "threads").withColumn("title", F.expr(TITLE)).withColumn("body", F.expr(MENTIONING))
 
 
-TITLE = "concat('topic', cast(thread_id % 5 AS varchar(20)), ' part', cast(thread_id % 4 AS varchar(20)))"
+# Threads of a repository are 20 numbers apart, so forms, titles and steps use other moduli than its divisors where pairs must differ.
+TITLE = "concat('topic', cast(thread_id % 7 AS varchar(20)), ' part', cast(thread_id % 9 AS varchar(20)))"
 MENTIONING = """concat(CASE WHEN thread_id % 3 = 0 THEN repeat('late ', 50) ELSE '' END, 'See ', CASE thread_id % 4 WHEN 0 THEN '#' WHEN 1 THEN concat(upper(full_name), '#') WHEN 2 THEN 'issues/' ELSE concat('x/y ', full_name, '/pull/') END,
-cast(number + 41 AS varchar(20)), ' and other/name#7 ', substr(body, 1, 400))"""
-MENTION_SQL = """SELECT a.thread_id AS a, b.thread_id AS b, 0.94::DOUBLE AS score FROM threads a JOIN threads b ON b.number = a.number + 41 AND a.full_name = b.full_name
-WHERE a.number + 41 >= 10 AND (a.thread_id % 3 <> 0 OR a.thread_id % 5 = b.thread_id % 5 OR a.thread_id % 4 = b.thread_id % 4)"""
+cast(number + 20 * (1 + thread_id % 9) AS varchar(20)), ' and other/name#7 ', substr(body, 1, 400))"""
+MENTION_SQL = """SELECT a.thread_id AS a, b.thread_id AS b, 0.94::DOUBLE AS score FROM threads a JOIN threads b ON b.number = a.number + 20 * (1 + a.thread_id % 9) AND a.full_name = b.full_name
+WHERE a.thread_id % 3 <> 0 OR a.thread_id % 7 = b.thread_id % 7 OR a.thread_id % 9 = b.thread_id % 9"""
 
 
 @query("H12_H13_C15_mentions", MENTION_SQL, "threads")
@@ -435,7 +436,7 @@ def _near(s, d):
 
 
 PAIRS = f"""v AS (SELECT c.thread_id, c.vector::DOUBLE[] AS vector, t.kind, t.full_name FROM chunks c JOIN threads t USING (thread_id) WHERE t.state = 'open'),
-p AS (SELECT a.thread_id AS a, b.thread_id AS b, a.kind = b.kind AS same, a.thread_id % 5 = b.thread_id % 5 OR a.thread_id % 4 = b.thread_id % 4 AS support, max(list_cosine_similarity(a.vector, b.vector)) AS score FROM v a JOIN v b ON a.full_name = b.full_name AND a.thread_id <> b.thread_id GROUP BY ALL),
+p AS (SELECT a.thread_id AS a, b.thread_id AS b, a.kind = b.kind AS same, a.thread_id % 7 = b.thread_id % 7 OR a.thread_id % 9 = b.thread_id % 9 AS support, max(list_cosine_similarity(a.vector, b.vector)) AS score FROM v a JOIN v b ON a.full_name = b.full_name AND a.thread_id <> b.thread_id GROUP BY ALL),
 n AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p WHERE score >= {THRESHOLD} AND (support OR score >= 0.9) AND (same OR score >= {CROSS}) QUALIFY rank <= {FANOUT})"""
 
 
