@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_store
+from threadloom.llm import bpe, chat_format, exact_dedup, html_extract, jaccard_join, language_id, license_scan, packing, prefix_trie, quality_classifier, quality_rules, spelling_variants, token_store
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_packing": packing.op10_packing,
+    "op11_quality_classifier": quality_classifier.op11_quality_classifier,
+    "op12_spelling_variants": spelling_variants.op12_spelling_variants,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
