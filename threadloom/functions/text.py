@@ -24,10 +24,8 @@ def _accents() -> tuple[str, str]:
 ACCENTED, FOLDED = _accents()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# The title words that count as support, and the forms of a mention as (repository, number).
+# Fixed value: the title words that count as support.
 TITLE_TOKEN = "[A-Za-z0-9]{4,}"
-_REPOSITORY = r"\b([\w.-]+/[\w.-]+)"
-MENTION_FORMS = (_REPOSITORY + r"#(\d+)", _REPOSITORY + r"/(?:issues|pull)/(\d+)", r"()(?:issues|pull)/(\d+)", r"()#(\d{2,})")
 # The least title overlap that supports a pair, and how far into a body a mention is early.
 MIN_TITLE_OVERLAP = 0.18
 EARLY_BODY_BYTES = 240
@@ -108,19 +106,64 @@ def chunk_text(text: str, max_bytes: int) -> list[str]:
     return [*out, text[begin:last]]
 
 
+# A mention is a mark, "#" or "issues/" or "pull/" with a number after it, and a repository (owner/name) that may stand right
+# before it. So marks are what is searched for, and repositories are read backwards from them: names are runs of
+# word characters, dots and dashes, and each run is looked at once for each mark that it ends at.
+_MARK = re.compile(r"#(\d+)|(?:issues|pull)/(\d+)", re.IGNORECASE)
+_NAME = re.compile(r"[\w.-]+")
+_EDGE = re.compile(r"\b")
+
+
 def mentions_of(text: str | None):
-    """(repository or None, number, byte offset) of the mentions in a text, leftmost first, none inside another."""
+    """(repository or None, number, byte offset) of the mentions in a text, leftmost first, none inside another.
+
+    owner/name#1, owner/name/issues/1, owner/name/pull/1, issues/1, pull/1, and #12 (a bare number sign needs two digits), in any case. An
+    owner begins where a word does. Time is linear in the text. Numbers in digits other than 0-9, or of 64 bits or more, are passed over.
+    """
     text = text or ""
-    flags = re.IGNORECASE | (re.ASCII if text.isascii() else 0)
-    forms = [re.compile(f, flags) for f in MENTION_FORMS]
-    found = [f.search(text) for f in forms]
-    done = size = 0
-    while any(found):
-        m = min((m for m in found if m), key=lambda m: m.start())
-        size, done = size + len(text[done : m.start()].encode("utf-8", "surrogatepass")), m.start()
-        if int(m[2]) < 1 << 63:
-            yield m[1] or None, int(m[2]), size
-        found = [x if x is None or x.start() >= m.end() else f.search(text, m.end()) for f, x in zip(forms, found)]
+    marks = list(_MARK.finditer(text))
+    if not marks:
+        return
+    runs = {m.end(): m.start() for m in _NAME.finditer(text)}
+
+    def repository(mark, done):
+        """Where the repository before a mark begins and ends, if there is one after `done`."""
+        end = mark.start()
+        if mark[1] is None:
+            if text[end - 1 : end] != "/":
+                return None
+            end -= 1
+        slash = runs.get(end, 0) - 1
+        owner = runs.get(slash)
+        if slash < done or owner is None or text[slash] != "/":
+            return None
+        edge = _EDGE.search(text, max(owner, done), slash)
+        return (edge.start(), end) if edge and edge.start() < slash else None
+
+    done = counted = size = i = 0
+    while i < len(marks):
+        best, k = None, i
+        # The next mark may begin earlier, or at the same place, by the repository before it. Of one place, a number sign with a
+        # repository goes first, then any mark with one.
+        while k < len(marks) and (best is None or k == best[2] + 1):
+            mark = marks[k]
+            if mark.start() >= done:
+                found = repository(mark, done)
+                begin = found[0] if found else mark.start()
+                bare = mark[1] is not None and len(mark[1]) < 2
+                rank = (begin, not found, mark[1] is None)
+                if (found or not bare) and (best is None or rank < best[0]):
+                    best = (rank, found, k, mark)
+            k += 1
+        if best is None:
+            return
+        (begin, *_), found, k, mark = best
+        size, counted = size + len(text[counted:begin].encode("utf-8", "surrogatepass")), begin
+        digits = mark[1] or mark[2]
+        if digits.isascii() and int(digits) < 1 << 63:
+            yield (text[slice(*found)] if found else None), int(digits), size
+        done = mark.end()
+        i = k + 1
 
 
 def exploded(rows: DataFrame, text: str, parts, schema: str) -> DataFrame:

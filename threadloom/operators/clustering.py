@@ -13,8 +13,8 @@ from threadloom.functions.text import EARLY_BODY_BYTES, MIN_TITLE_OVERLAP, ascii
 # The weight of a mention and the similarity from which titles need not support a pair.
 REFERENCE_SCORE = 0.94
 STRONG_SIMILARITY = 0.90
-#: The pairs that one task folds in order, in a round of identity matching.
-FOLD_PAIRS = 100_000
+#: The pairs, or edges, that one task folds in order in a round of identity matching or of ordered unions.
+FOLD_PAIRS = FOLD_EDGES = 100_000
 
 
 def reference_edges(threads: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def reference_edges(threads: DataFrame) -> DataFrame:
     Mentions late in a body need title support; numbers are matched by an equi join within the repository.
     """
     rows = threads.select("thread_id", "number", "full_name", title_tokens(F.col("title")).alias("words"), F.explode(F.array(F.struct(F.lit(True).alias("is_title"), F.col("title").alias("text")), F.struct(F.lit(False).alias("is_title"), F.col("body").alias("text")))).alias("p"))
-    rows = rows.select("*", "p.is_title", "p.text").drop("p").where(F.col("text").rlike(r"(?i)#\d|(issues|pull)/\d"))
+    rows = rows.select("*", "p.is_title", "p.text").drop("p").where(F.col("text").rlike(r"(?iu)#\d|(issues|pull)/\d"))
     found = mentions_in(rows, "text").where((F.col("target") != F.col("number")) & (F.col("repository").isNull() | (ascii_lower(F.col("repository")) == ascii_lower(F.col("full_name")))))
     found = found.select("thread_id", "full_name", "words", "is_title", "target", "byte_offset")
     other = threads.select(F.col("thread_id").alias("other"), F.col("number").alias("target"), "full_name", title_tokens(F.col("title")).alias("other_words"))
@@ -31,11 +31,13 @@ def reference_edges(threads: DataFrame) -> DataFrame:
     return pairs.select(F.least("thread_id", "other").alias("a"), F.greatest("thread_id", "other").alias("b")).distinct().withColumn("score", F.lit(REFERENCE_SCORE))
 
 
-def neighbours(threads: DataFrame, chunks: DataFrame, threshold: float, cross_kind: float, fanout: int, block: int = 1024) -> DataFrame:
-    """a, b, score: the fanout best eligible pairs of each thread within its repository, seen from a.
+def neighbours(threads: DataFrame, chunks: DataFrame, threshold: float, cross_kind: float, fanout: int, references: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """a, b, score, rank: the fanout best eligible pairs of each thread within its repository, seen from a.
 
-    Exact over all pairs, without a row for each: threads are dealt into blocks of a repository, each pair of blocks
-    is one matrix product in a task, and only the best of each thread leave it.
+    A pair scores its best eligible similarity or the weight of a reference, whichever is more, so references (a < b, score) take
+    and lose places like any other pair; those of threads without vectors don't count. Exact over all pairs, without a row
+    for each: threads are dealt into blocks of a repository, each pair of blocks is one matrix product in a task, and only
+    the best of each thread leave it. A pair that a tile leaves out has fanout better ones, which references only add to.
     """
     vectors = chunks.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "vector"))).alias("c"))
     rows = threads.join(vectors, "thread_id").select("thread_id", "full_name", "kind", title_tokens(F.col("title")).alias("words"), F.transform("c", lambda c: c["vector"]).alias("vectors"))
@@ -91,39 +93,18 @@ def neighbours(threads: DataFrame, chunks: DataFrame, threshold: float, cross_ki
         return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     found = tiles.groupBy("full_name", "i", "j").applyInArrow(tile, "a long, b long, score double")
+    if references is not None:
+        held = vectors.select("thread_id")
+        known = references.join(held.withColumnRenamed("thread_id", "a"), "a", "left_semi").join(held.withColumnRenamed("thread_id", "b"), "b", "left_semi")
+        known = known.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "score").select("p.*", "score")
+        found = found.unionByName(known).groupBy("a", "b").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("score").desc(), "b"))
     return found.withColumn("rank", rank).where(F.col("rank") <= fanout)
 
 
-def candidate_edges(near: DataFrame, references: DataFrame, fanout: int | None = None) -> DataFrame:
-    """The union of both endpoints' choices and the references, one row a pair with its larger score."""
-    both = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").unionByName(references)
-    return both.groupBy("a", "b").agg(F.max("score").alias("score"))
-
-
-def components_of(edges: list[tuple[int, int, float]], nodes: list[int], most: int):
-    """Greedy union in order (score descending, a, b) that refuses components of over `most` nodes; the kept edges."""
-    parent = {n: n for n in nodes}
-    size = dict.fromkeys(nodes, 1)
-
-    def find(n):
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    kept = []
-    for a, b, s in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            if size[ra] + size[rb] > most:
-                continue
-            if size[ra] < size[rb]:
-                ra, rb = rb, ra
-            parent[rb] = ra
-            size[ra] += size[rb]
-        kept.append((a, b, s))
-    return {n: find(n) for n in nodes}, kept
+def candidate_edges(near: DataFrame) -> DataFrame:
+    """The union of both endpoints' choices, one row a pair."""
+    return near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
 
 
 def ordered_edges(edges: DataFrame) -> DataFrame:
@@ -133,41 +114,17 @@ def ordered_edges(edges: DataFrame) -> DataFrame:
     return dense_index(edges, [F.col("score").desc(), F.col("a"), F.col("b")], "position")
 
 
-def bounded_components(threads: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+def bounded_components(threads: DataFrame, edges: DataFrame, most: int = 40, fold: int = FOLD_EDGES) -> DataFrame:
     """thread_id, cluster (its smallest thread id), degree, and the kept links as (other, score).
 
-    The cap matters only in connected components of more than `most` nodes. Those alone are folded, each in one task,
-    as the order of unions decides there; all others are whole clusters and stay in joins and aggregates.
+    The result is that of trying unions in order (score descending, a, b) and refusing those beyond `most` nodes.
     """
-    from threadloom.operators.graph import connected
-
-    roots = _kept(connected(edges, _kept))
-    of = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    large = _kept(of.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > most).select("root"))
-    rooted = _kept(edges.select("a", "b", "score").join(of.withColumnRenamed("node", "a"), "a"))
-    whole = rooted.join(large, "root", "left_anti")
+    from threadloom.operators.bounded_union import bounded_union
 
-    def fold(table):
-        import pyarrow as pa
-
-        es = [(e["a"], e["b"], e["score"]) for e in table.select(["a", "b", "score"]).to_pylist()]
-        nodes = sorted({n for a, b, _ in es for n in (a, b)})
-        root, kept = components_of(es, nodes, most)
-        least: dict[int, int] = {}
-        for n in nodes:
-            least.setdefault(root[n], n)
-        rows = [{"a": a, "b": b, "score": s, "cluster": least[root[a]]} for a, b, s in kept]
-        # A node none of whose edges is kept is a cluster of its own; a row without b says so.
-        linked = {n for a, b, _ in kept for n in (a, b)}
-        rows += [{"a": n, "b": None, "score": None, "cluster": n} for n in nodes if n not in linked]
-        return pa.Table.from_pylist(rows, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("cluster", pa.int64())]))
-
-    folded = rooted.join(large, "root", "left_semi").groupBy("root").applyInArrow(fold, "a long, b long, score double, cluster long")
-    kept = whole.select("a", "b", "score", F.col("root").alias("cluster")).unionByName(folded)
-    ends = kept.select("cluster", "score", F.explode(F.array(F.struct(F.col("a").alias("thread_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("thread_id"), F.col("a").alias("other")))).alias("e"))
-    link = F.when(F.col("e.other").isNotNull(), F.struct(F.col("e.other").alias("other"), F.col("score").alias("score")))
-    per = ends.where("e.thread_id IS NOT NULL").groupBy("e.thread_id").agg(F.first("cluster").alias("cluster"), F.sort_array(F.collect_list(link)).alias("links"))
-    rows = threads.select("thread_id").join(per, "thread_id", "left")
+    labels, kept = bounded_union(edges, most, fold)
+    ends = kept.select("score", F.explode(F.array(F.struct(F.col("a").alias("thread_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("thread_id"), F.col("a").alias("other")))).alias("e"))
+    per = ends.groupBy("e.thread_id").agg(F.sort_array(F.collect_list(F.struct(F.col("e.other").alias("other"), F.col("score").alias("score")))).alias("links"))
+    rows = threads.select("thread_id").join(labels.select(F.col("node").alias("thread_id"), F.col("label").alias("cluster")), "thread_id", "left").join(per, "thread_id", "left")
     none = F.array().cast("array<struct<other long, score double>>")
     return rows.select("thread_id", F.coalesce("cluster", "thread_id").alias("cluster"), F.coalesce("links", none).alias("links")).withColumn("degree", F.size("links"))
 
@@ -270,30 +227,6 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def next_generation(current: DataFrame, generated: DataFrame, complete: bool) -> DataFrame:
-    """(cluster, thread_id, state) after a generation with matched ids.
-
-    Members of the generation are active in their cluster, excluded where they were excluded; they leave every other
-    cluster. Only a complete generation removes members it did not see.
-    """
-    new = generated.select("thread_id", F.col("cluster").alias("to"))
-    both = current.select("cluster", "thread_id", "state").join(new, "thread_id", "left")
-    seen = F.col("to").isNotNull()
-    kept = both.where(~(seen & (F.col("to") == F.col("cluster")))).withColumn(
-        "state", F.when(seen, F.when(F.col("state") == "removed", "removed").otherwise("removed")).when(F.lit(complete) & (F.col("state") == "active"), "removed").otherwise(F.col("state"))
-    )
-    old = current.select(F.col("cluster").alias("to"), "thread_id", F.col("state").alias("old"))
-    active = new.join(old, ["to", "thread_id"], "left").select(F.col("to").alias("cluster"), "thread_id", F.when(F.col("old") == "excluded", "excluded").otherwise("active").alias("state"))
-    return kept.select("cluster", "thread_id", "state").unionByName(active)
-
-
-def decide(members: DataFrame, cluster: int, thread_id: int, action: str) -> DataFrame:
-    """members after excluding or including one of them."""
-    states = {"exclude": "excluded", "include": "active"}
-    hit = (F.col("cluster") == cluster) & (F.col("thread_id") == thread_id) & (F.col("state") != "removed")
-    return members.withColumn("state", F.when(hit, states[action]).otherwise(F.col("state")))
-
-
 def cluster_summaries(members: DataFrame, threads: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
     """cluster, active, excluded and the title to show: canonical, else representative, else lowest active number."""
     rows = members.join(threads.select("thread_id", "number", "title"), "thread_id")

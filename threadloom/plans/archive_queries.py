@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import hashing, identity, text, vectors
-from threadloom.operators import clustering, documents, ledger, listing, observations, search
+from threadloom.operators import clustering, documents, generations, ledger, listing, observations, requests, search
 from threadloom.sources.archive import EPOCH_US, HOST, coverage, relation, repositories, with_relations
 
 QUERIES, SQL = {}, {}
@@ -380,22 +380,61 @@ def _(s, d):
     return relation(s, d, "threads").select("thread_id", hashing.content_hash(F.lit("original_body"), F.lit(1), F.col("host"), F.col("repo_id"), F.col("thread_id").cast("string"), F.col("number"), F.col("title"), F.col("body")).alias("content_hash"))
 
 
+#: White space as the chunker sees it, and the largest chunk and request of the queries.
+BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+CHUNK, BATCH, BATCH_BYTES = 2000, 16, 20_000
+# What fits is the longest prefix within the budget; it is cut at its last white space that isn't its beginning, if there is one.
+CHUNKS_SQL = rf"""doc AS (SELECT thread_id, regexp_replace('# ' || regexp_replace(title, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || regexp_replace(body, '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || 'Labels: ' || label, '^{BLANK}+|{BLANK}+$', '', 'g') AS text FROM threads),
+cut AS (SELECT thread_id, -1 AS chunk_index, '' AS chunk, text AS rest FROM doc UNION ALL
+  SELECT thread_id, chunk_index + 1, piece, regexp_replace(substr(rest, length(piece) + 1), '^{BLANK}+', '') FROM (
+    SELECT thread_id, chunk_index, rest, CASE WHEN strlen(rest) <= {CHUNK} THEN rest WHEN word <> '' THEN word ELSE fits END AS piece FROM (
+      SELECT *, regexp_extract(fits, '(?s)^(.*[^\t-\r \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]){BLANK}', 1) AS word FROM (
+        SELECT *, left(rest, list_max(list_filter(range(greatest(1, length(left(rest, {CHUNK})) - greatest(0, strlen(left(rest, {CHUNK})) - {CHUNK})), length(left(rest, {CHUNK})) + 1), lambda i: strlen(left(rest, i)) <= {CHUNK}))) AS fits FROM cut WHERE rest <> '')))),
+chunked AS (SELECT thread_id, chunk_index::INT AS chunk_index, (count(*) OVER (PARTITION BY thread_id))::INT AS chunk_count, chunk,
+  sha256(unhex(lpad(hex(strlen('embedding-chunk-v1')), 16, '0')) || encode('embedding-chunk-v1') || unhex('0000000000000004' || lpad(hex(chunk_index), 8, '0')) || unhex(lpad(hex(strlen(chunk)), 16, '0')) || encode(chunk)) AS chunk_hash FROM cut WHERE chunk_index >= 0)"""
+
+
+def recursive(body: str, *names: str) -> str:
+    return "WITH RECURSIVE " + with_relations(body, *names).lstrip()[5:]
+
+
+def _chunks(s, d):
+    return documents.chunks_of(documents.render(relation(s, d, "threads")), CHUNK)
+
+
 @query("H14_H15_chunks")
 def _(s, d):
-    return documents.chunks_of(documents.render(relation(s, d, "threads")), 2000).select("thread_id", "chunk_index", "chunk_count", F.octet_length("chunk").alias("bytes"), "chunk_hash")
+    return _chunks(s, d).select("thread_id", "chunk_index", "chunk_count", F.octet_length("chunk").alias("bytes"), "chunk_hash")
+
+
+SQL["H14_H15_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nSELECT thread_id, chunk_index, chunk_count, strlen(chunk)::INT AS bytes, chunk_hash FROM chunked"
 
 
 @query("C18_pending_chunks")
 def _(s, d):
-    wanted = documents.chunks_of(documents.render(relation(s, d, "threads")), 2000)
-    return documents.pending_chunks(wanted, wanted.where("thread_id % 2 = 0")).select("thread_id", "chunk_index", "chunk_hash")
+    """Stored chunks: those of even threads, every third of them under another hash or another count."""
+    wanted = _chunks(s, d)
+    stored = wanted.where("thread_id % 2 = 0").withColumn("chunk_hash", F.expr("CASE WHEN thread_id % 3 = 0 AND chunk_index % 2 = 1 THEN md5(chunk_hash) ELSE chunk_hash END")).withColumn("chunk_count", F.expr("chunk_count + CASE WHEN thread_id % 7 = 0 THEN 1 ELSE 0 END"))
+    return documents.pending_chunks(wanted, stored).select("thread_id", "chunk_index", "chunk_hash")
+
+
+SQL["C18_pending_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nSELECT thread_id, chunk_index, chunk_hash FROM chunked WHERE thread_id % 2 <> 0 OR thread_id % 7 = 0 OR (thread_id % 3 = 0 AND chunk_index % 2 = 1)"
 
 
 @query("F19_request_batches")
 def _(s, d):
-    t = relation(s, d, "threads")
-    chunks = documents.chunks_of(documents.render(t), 2000).join(t.select("thread_id", "full_name"), "thread_id")
-    return documents.request_batches(chunks, "full_name", 16, 20_000).select("full_name", "thread_id", "chunk_index", "request")
+    chunks = _chunks(s, d).join(relation(s, d, "threads").select("thread_id", "full_name"), "thread_id")
+    return requests.request_batches(chunks, "full_name", BATCH, BATCH_BYTES).select("full_name", "thread_id", "chunk_index", "request")
+
+
+# The fold: the k-th chunk of every repository after the one before it.
+SQL["F19_request_batches"] = recursive("", "threads").rstrip() + f""",\n{CHUNKS_SQL},
+o AS (SELECT full_name, thread_id, chunk_index, strlen(chunk) AS n, row_number() OVER (PARTITION BY full_name ORDER BY thread_id, chunk_index) AS k FROM chunked JOIN threads USING (thread_id)),
+f AS (SELECT full_name, thread_id, chunk_index, k, 0 AS request, 1 AS held, n AS bytes FROM o WHERE k = 1 UNION ALL
+  SELECT o.full_name, o.thread_id, o.chunk_index, o.k, CASE WHEN f.held < {BATCH} AND f.bytes + o.n <= {BATCH_BYTES} THEN f.request ELSE f.request + 1 END,
+  CASE WHEN f.held < {BATCH} AND f.bytes + o.n <= {BATCH_BYTES} THEN f.held + 1 ELSE 1 END, CASE WHEN f.held < {BATCH} AND f.bytes + o.n <= {BATCH_BYTES} THEN f.bytes + o.n ELSE o.n END
+  FROM f JOIN o ON o.full_name = f.full_name AND o.k = f.k + 1)
+SELECT full_name, thread_id, chunk_index, request FROM f"""
 
 
 @query("H10_H11_title_overlap", r"""SELECT a.thread_id, b.thread_id AS other, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS overlap
@@ -416,7 +455,7 @@ def _mentioning(s, d):
 # Threads of a repository are 20 numbers apart, so forms, titles and steps use other moduli than its divisors where pairs must differ.
 TITLE = "concat('topic', cast(thread_id % 7 AS varchar(20)), ' part', cast(thread_id % 9 AS varchar(20)))"
 MENTIONING = """concat(CASE WHEN thread_id % 3 = 0 THEN repeat('late ', 50) ELSE '' END, 'See ', CASE thread_id % 4 WHEN 0 THEN '#' WHEN 1 THEN concat(upper(full_name), '#') WHEN 2 THEN 'issues/' ELSE concat('x/y ', full_name, '/pull/') END,
-cast(number + 20 * (1 + thread_id % 9) AS varchar(20)), ' and other/name#7 ', substr(body, 1, 400))"""
+cast(number + 20 * (1 + thread_id % 9) AS varchar(20)), ' and other/name#7 ', body)"""
 MENTION_SQL = """SELECT a.thread_id AS a, b.thread_id AS b, 0.94::DOUBLE AS score FROM threads a JOIN threads b ON b.number = a.number + 20 * (1 + a.thread_id % 9) AND a.full_name = b.full_name
 WHERE a.thread_id % 3 <> 0 OR a.thread_id % 7 = b.thread_id % 7 OR a.thread_id % 9 = b.thread_id % 9"""
 
@@ -430,14 +469,16 @@ THRESHOLD, CROSS, FANOUT = 0.2, 0.3, 4
 
 
 def _near(s, d):
-    """Titles of two words each, so that some pairs support each other and others do not."""
-    t = relation(s, d, "threads").where("state = 'open'").withColumn("title", F.expr(TITLE))
-    return t, clustering.neighbours(t, relation(s, d, "chunks"), THRESHOLD, CROSS, FANOUT)
+    """Titles of two words each, so that some pairs support each other and others do not; mentions compete with similar threads."""
+    t = _mentioning(s, d).where("state = 'open'")
+    return t, clustering.neighbours(t, relation(s, d, "chunks"), THRESHOLD, CROSS, FANOUT, clustering.reference_edges(t))
 
 
 PAIRS = f"""v AS (SELECT c.thread_id, c.vector::DOUBLE[] AS vector, t.kind, t.full_name FROM chunks c JOIN threads t USING (thread_id) WHERE t.state = 'open'),
 p AS (SELECT a.thread_id AS a, b.thread_id AS b, a.kind = b.kind AS same, a.thread_id % 7 = b.thread_id % 7 OR a.thread_id % 9 = b.thread_id % 9 AS support, max(list_cosine_similarity(a.vector, b.vector)) AS score FROM v a JOIN v b ON a.full_name = b.full_name AND a.thread_id <> b.thread_id GROUP BY ALL),
-n AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM p WHERE score >= {THRESHOLD} AND (support OR score >= 0.9) AND (same OR score >= {CROSS}) QUALIFY rank <= {FANOUT})"""
+m AS (SELECT * FROM ({MENTION_SQL}) WHERE a IN (SELECT thread_id FROM v) AND b IN (SELECT thread_id FROM v)),
+u AS (SELECT a, b, score FROM p WHERE score >= {THRESHOLD} AND (support OR score >= 0.9) AND (same OR score >= {CROSS}) UNION ALL SELECT a, b, score FROM m UNION ALL SELECT b, a, score FROM m),
+n AS (SELECT a, b, max(score) AS score, row_number() OVER (PARTITION BY a ORDER BY max(score) DESC, b) AS rank FROM u GROUP BY a, b QUALIFY rank <= {FANOUT})"""
 
 
 @query("C14_E4_topk_neighbours")
@@ -450,21 +491,18 @@ SQL["C14_E4_topk_neighbours"] = with_relations("", "threads", "chunks").rstrip()
 
 @query("E5_F12_candidate_edges")
 def _(s, d):
-    t, near = _near(s, d)
-    return clustering.ordered_edges(clustering.candidate_edges(near, clustering.reference_edges(_mentioning(s, d))).withColumn("score", F.round("score", 6)))
+    return clustering.ordered_edges(clustering.candidate_edges(_near(s, d)[1]).withColumn("score", F.round("score", 6)))
 
 
-SQL["E5_F12_candidate_edges"] = with_relations("", "threads", "chunks").rstrip() + ",\n" + PAIRS + f""",
-m AS ({MENTION_SQL}),
-e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score FROM n UNION ALL SELECT a, b, score FROM m)
-SELECT *, row_number() OVER (ORDER BY score DESC, a, b) - 1 AS position FROM (SELECT a, b, round(max(score), 6) AS score FROM e GROUP BY a, b)"""
+SQL["E5_F12_candidate_edges"] = with_relations("", "threads", "chunks").rstrip() + ",\n" + PAIRS + """
+SELECT *, row_number() OVER (ORDER BY score DESC, a, b) - 1 AS position FROM (SELECT least(a, b) AS a, greatest(a, b) AS b, round(max(score), 6) AS score FROM n GROUP BY 1, 2)"""
 
 MOST = 6
 
 
 def _members(s, d):
     t, near = _near(s, d)
-    return t, clustering.with_representatives(clustering.bounded_components(t, clustering.candidate_edges(near, near.select("a", "b", "score").where("false")), MOST))
+    return t, clustering.with_representatives(clustering.bounded_components(t, clustering.candidate_edges(near), MOST))
 
 
 # The fold over edges in order, with the label of every thread in a list; a label is the smallest thread of its cluster.
@@ -486,8 +524,7 @@ rep AS (SELECT cluster, first(thread_id ORDER BY degree DESC, thread_id) AS repr
 @query("D18_D9_components")
 def _(s, d):
     t, near = _near(s, d)
-    found = clustering.bounded_components(t, clustering.candidate_edges(near, near.select("a", "b", "score").where("false")), MOST)
-    return found.select("thread_id", "cluster", F.col("degree").cast("long").alias("degree"))
+    return clustering.bounded_components(t, clustering.candidate_edges(near), MOST).select("thread_id", "cluster", F.col("degree").cast("long").alias("degree"))
 
 
 SQL["D18_D9_components"] = FOLD_EDGES + "SELECT thread_id, cluster, degree FROM deg"
@@ -546,16 +583,62 @@ f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS es, NULL::BIGIN
 SELECT gid AS generated_id, eid AS existing_id FROM f WHERE gid IS NOT NULL"""
 
 
+def _generation(s, d, complete):
+    """A generation that leaves out every third thread and some clusters; members are excluded by the decision table alone."""
+    _, g, x = _clusterings(s, d)
+    held = x.withColumn("state", F.expr("CASE WHEN thread_id % 17 = 0 THEN 'removed' WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END"))
+    decided = g.where("thread_id % 8 = 1").unionByName(x.where("thread_id % 13 = 0")).withColumn("excluded", F.col("thread_id") % 3 != 2)
+    return generations.members_after(held, decided, g.where("thread_id % 3 <> 0 AND cluster % 4 <> 1"), complete)
+
+
+GENERATION = f"""{CLUSTERS}, mem AS (SELECT *, CASE WHEN thread_id % 17 = 0 THEN 'removed' WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state FROM x),
+dec AS (SELECT *, thread_id % 3 <> 2 AS excluded FROM (SELECT * FROM g WHERE thread_id % 8 = 1 UNION ALL SELECT * FROM x WHERE thread_id % 13 = 0)), gen AS (SELECT * FROM g WHERE thread_id % 3 <> 0 AND cluster % 4 <> 1)"""
+MEMBERS_AFTER = """SELECT m.cluster, m.thread_id, CASE WHEN m.state IN ('active', 'excluded') AND (m.thread_id IN (SELECT thread_id FROM gen){lost}) THEN 'removed' ELSE m.state END AS state
+FROM mem m WHERE NOT EXISTS (SELECT 1 FROM gen o WHERE o.cluster = m.cluster AND o.thread_id = m.thread_id)
+UNION ALL SELECT o.cluster, o.thread_id, CASE WHEN EXISTS (SELECT 1 FROM dec q WHERE q.cluster = o.cluster AND q.thread_id = o.thread_id AND q.excluded) THEN 'excluded' ELSE 'active' END FROM gen o"""
+
+
 @query("I12_next_generation")
 def _(s, d):
+    return _generation(s, d, True)
+
+
+SQL["I12_next_generation"] = with_relations("", "threads").rstrip() + f",\n{GENERATION}\n" + MEMBERS_AFTER.format(lost=" OR m.cluster IN (SELECT cluster FROM gen)")
+
+
+@query("I12_C12_partial_generation")
+def _(s, d):
+    return _generation(s, d, False)
+
+
+SQL["I12_C12_partial_generation"] = with_relations("", "threads").rstrip() + f",\n{GENERATION}\n" + MEMBERS_AFTER.format(lost="")
+
+
+@query("I12_saved_generation")
+def _(s, d):
+    """The clusters after a saved complete generation: matched ones keep id and key, others get new ids."""
     _, g, x = _clusterings(s, d)
-    now = x.withColumn("state", F.when(F.col("thread_id") % 13 == 0, "excluded").otherwise("active"))
-    return clustering.next_generation(now, g.where("thread_id % 3 <> 0"), complete=True)
+    held = x.where("cluster % 5 <> 2").withColumn("state", F.expr("CASE WHEN thread_id % 17 = 0 THEN 'removed' ELSE 'active' END"))
+    old = x.select("cluster").distinct().selectExpr("cluster", "concat('key-', cast(cluster AS string)) AS stable_key", "CASE WHEN cluster % 9 = 0 THEN 'retired' ELSE 'active' END AS status", "cluster * 5 AS representative", "cast(1 AS bigint) AS last_run", "CASE WHEN cluster % 9 = 0 THEN cast(7 AS bigint) END AS retired_at_us")
+    heads = g.groupBy("cluster").agg(F.min("thread_id").alias("representative"))
+    proposed = g.join(heads, "cluster").withColumn("score", F.lit(0.5))
+    return generations.save(proposed, old, held, x.limit(0).withColumn("excluded", F.lit(True)), True, 10, 10, 2, 99)["clusters"]
 
 
-SQL["I12_next_generation"] = with_relations("", "threads").rstrip() + f""",\n{CLUSTERS}, cur AS (SELECT *, CASE WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state FROM x), gen AS (SELECT * FROM g WHERE thread_id % 3 <> 0)
-SELECT c.cluster, c.thread_id, CASE WHEN n.cluster IS NOT NULL THEN 'removed' WHEN c.state = 'active' THEN 'removed' ELSE c.state END AS state FROM cur c LEFT JOIN gen n USING (thread_id) WHERE n.cluster IS NULL OR n.cluster <> c.cluster
-UNION ALL SELECT n.cluster, n.thread_id, CASE WHEN c.state = 'excluded' THEN 'excluded' ELSE 'active' END FROM gen n LEFT JOIN cur c ON c.cluster = n.cluster AND c.thread_id = n.thread_id"""
+SQL["I12_saved_generation"] = "WITH RECURSIVE " + with_relations("", "threads").strip()[5:] + f""",\n{CLUSTERS},
+held AS (SELECT * FROM x WHERE cluster % 5 <> 2 AND thread_id % 17 <> 0),
+c AS (SELECT g.cluster AS gid, h.cluster AS eid, count(*) AS overlap, (SELECT count(*) FROM g g2 WHERE g2.cluster = g.cluster) + (SELECT count(*) FROM held h2 WHERE h2.cluster = h.cluster) - count(*) AS u FROM g JOIN held h USING (thread_id) GROUP BY g.cluster, h.cluster),
+o AS (SELECT *, row_number() OVER (ORDER BY overlap DESC, u, eid, gid) AS k FROM c),
+f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS es, NULL::BIGINT AS gid, NULL::BIGINT AS eid UNION ALL
+  SELECT o.k, CASE WHEN o.gid IN f.gs OR o.eid IN f.es THEN f.gs ELSE list_append(f.gs, o.gid) END, CASE WHEN o.gid IN f.gs OR o.eid IN f.es THEN f.es ELSE list_append(f.es, o.eid) END,
+  CASE WHEN NOT (o.gid IN f.gs OR o.eid IN f.es) THEN o.gid END, CASE WHEN NOT (o.gid IN f.gs OR o.eid IN f.es) THEN o.eid END FROM f JOIN o ON o.k = f.k + 1),
+pr AS (SELECT cluster AS gid, min(thread_id) AS head, 'members-' || sha256(encode('cluster-members-v1') || unhex('00') || unhex(string_agg(lpad(hex(thread_id), 16, '0'), '' ORDER BY thread_id))) AS key FROM g GROUP BY cluster),
+to_ AS (SELECT pr.*, f.eid FROM pr LEFT JOIN (SELECT gid, eid FROM f WHERE gid IS NOT NULL) f USING (gid)),
+fresh AS (SELECT *, (SELECT max(cluster) FROM x) + row_number() OVER (ORDER BY key) AS id FROM to_ WHERE eid IS NULL),
+ex AS (SELECT DISTINCT cluster FROM x)
+SELECT e.cluster, 'key-' || e.cluster AS stable_key, CASE WHEN t.gid IS NOT NULL THEN 'active' ELSE 'retired' END AS status, coalesce(t.head, e.cluster * 5) AS representative, CASE WHEN t.gid IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS last_run,
+  CASE WHEN t.gid IS NULL THEN CASE WHEN e.cluster % 9 = 0 THEN 7 ELSE 99 END END::BIGINT AS retired_at_us FROM ex e LEFT JOIN to_ t ON t.eid = e.cluster
+UNION ALL SELECT id, key, 'active', head, 2, NULL FROM fresh"""
 
 
 @query("C22_D6_cluster_summary")

@@ -152,9 +152,8 @@ class Archive:
         if not (0 < threshold <= 1 and 0 < cross_kind <= 1 and 1 <= fanout <= 256 and 1 <= most <= 10_000):
             raise ValueError("a cluster option is out of range")
         rows = self.threads.where("state = 'open'").join(search.complete_documents(self.chunks), "thread_id", "left_semi")
-        near = clustering.neighbours(rows, self.chunks, threshold, cross_kind, fanout)
-        edges = clustering.candidate_edges(near, clustering.reference_edges(rows))
-        return clustering.with_representatives(clustering.bounded_components(rows, edges, most))
+        near = clustering.neighbours(rows, self.chunks, threshold, cross_kind, fanout, clustering.reference_edges(rows))
+        return clustering.with_representatives(clustering.bounded_components(rows, clustering.candidate_edges(near), most))
 
     def list_clusters(self, limit: int = 20, offset: int = 0, retired: bool = False) -> DataFrame:
         """A page of clusters, most active members first; needs extra["clusters"] and extra["members"]."""
