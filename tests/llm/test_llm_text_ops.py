@@ -60,6 +60,29 @@ def test_layout(html, text):
     assert text_of(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<html><head><title>x</title><body><p>hello</p></body></html>", "hello"), ("<html><head><meta charset=u><p>hello</p>", "hello"), ("<head><title>t</title>hello", "hello"),
+    ("<head><style>s</style><link href=a>\n <div>a</div></head>b", "a\nb"), ("<head><noscript>n<p>n</p></noscript><body>y", "y"), ("<head><script>if (a<b) {}</script></head><body>y", "y"),
+    ("<p>a</p><head><p>b</p></head>c", "a\n\nb\n\nc"), ("<head><base href=x><h1>a</h1><head>b", "a\n\nb"), ("<html><!-- c --><head><title>t</title></head>y", "y"), ("<head>", ""),
+])
+def test_heads_that_are_left_open(html, text):
+    assert text_of(html) == text
+
+
+def test_attributes_with_marks_inside_quotes():
+    page = "<p title='a > b' data-x=\"it's > 1\">yes</p>" * 30 + "<a href=\"open>rest</a><b>more</b>"
+    assert text_of(page) == "\n\n".join(["yes"] * 30 + ["restmore"])
+
+
+def test_open_quotes_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    for page in ("<a \">x" * 20_001, "<a '\">x" * 20_000, "<a x='\"'\" >y" * 20_000 + "'", "<a \"'" * 20_000 + ">"):
+        html_extract.build(page)
+    assert time.perf_counter() - begin < 20
+
+
 def test_deep_nesting_and_unclosed_quote():
     assert text_of("<div>" * 50_000 + "x") == "x"
     assert "x" in text_of('<a href="' + "y" * 10 + ">x")

@@ -1,7 +1,7 @@
 """HTML extraction: a tree builder with implied tags, and a layout-aware rendering of all visible text.
 
-Rules of the tree: void elements hold nothing; the text of script, style and the like is raw; a block start tag ends
-an open p; li, dt/dd, option, table rows, cells and sections end their predecessors; a cell without a row and a row
+Rules of the tree: void elements hold nothing; the text of script, style and the like is raw; an open head ends at body and at
+any tag or text that can't stand in one, and a head after that is ignored; a block start tag ends an open p; li, dt/dd, option, table rows, cells and sections end their predecessors; a cell without a row and a row
 without a table section get one; an end tag closes the nearest open element of its name within its table cell and is
 ignored when there is none.
 
@@ -44,6 +44,7 @@ BLOCK = frozenset(
     "tfoot th thead tr caption ul".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre table figure hr fieldset".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 ENDS_P = BLOCK - frozenset("body html option optgroup tbody td tfoot th thead tr caption legend".split())
 # A start tag closes the nearest open element of these names, unless one of the others lies between.
 CLOSES = {
@@ -64,12 +65,10 @@ WRAP_CHARS = 60
 INDENT_CHARS = 60
 ALIGNED_COLUMNS = 64
 NESTED_TABLES = 8
-#: Tags whose quotes are open to the page's end, after which quotes are no longer searched for.
-OPEN_QUOTES = 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 _START = re.compile(r"<([a-zA-Z][^\s/>]*)")
-_QUOTED = re.compile(r"""((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -86,6 +85,30 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+class TagEnds:
+    """Where tags end: at the first ">" outside quotes. A place from which the page's end is met inside quotes is remembered, so
+    that time is linear however many tags leave a quote open."""
+
+    def __init__(self, html: str):
+        self.html, self.lost = html, set()
+
+    def find(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin at `at`, or -1."""
+        html, passed = self.html, []
+        while m := _SPECIAL.search(html, at):
+            q = m.start()
+            if html[q] == ">":
+                return q
+            if q in self.lost:
+                break
+            passed.append(q)
+            at = html.find(html[q], q + 1) + 1
+            if not at:
+                break
+        self.lost.update(passed)
+        return -1
+
+
 class Open:
     """The open elements of a page, with the places of each name, so that closing needs no search."""
 
@@ -121,7 +144,12 @@ class Open:
 def build(html: str) -> Node:
     """The tree of a page; leaves are strings."""
     open_ = Open()
-    pos, n, last, open_quotes = 0, len(html), html.rfind(">"), 0
+    pos, n, last = 0, len(html), html.rfind(">")
+    ends, begun = TagEnds(html), False  # begun: something but html has been opened or written
+
+    def leave_head() -> None:
+        if open_.top.tag == "head":
+            open_.pop()
 
     def tag_at(at: int):
         """(end, closing name, opening name, attributes) of the tag or comment at a "<", None for plain text."""
@@ -131,12 +159,9 @@ def build(html: str) -> Node:
         m = _START.match(html, at) if at < last else None
         if not m:
             return None
-        nonlocal open_quotes
-        q = _QUOTED.match(html, m.end()) if open_quotes < OPEN_QUOTES else None
-        if q:
-            return q.end(), None, m[1], q[1]
-        open_quotes += 1
-        end = html.find(">", m.end())
+        end = ends.find(m.end())
+        if end < 0:  # a quote is open to the page's end: it holds nothing, and the tag ends at the next ">"
+            end = html.find(">", m.end())
         return (end + 1, None, m[1], html[m.end() : end]) if end >= 0 else None
 
     while pos < n:
@@ -147,6 +172,9 @@ def build(html: str) -> Node:
             found = tag_at(at) if at >= 0 else None
         if at != pos:
             text = html[pos : at if found else n]
+            if not text.isspace():
+                leave_head()
+                begun = True
             open_.top.children.append(unescape(text) if "&" in text else text)
         if not found:
             break
@@ -159,6 +187,13 @@ def build(html: str) -> Node:
                 open_.close((end,), () if end in ("table", "body", "html") else ("table",) if end in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("td", "th", "caption"))
         elif start:
             tag = start.lower()
+            if tag == "head" and begun:
+                continue
+            if tag == "body":
+                open_.close(("head",), ())
+            elif tag != "html" and tag not in IN_HEAD:
+                leave_head()
+            begun = begun or tag != "html"
             attrs = attributes(raw)
             if tag in ENDS_P and tag != "p":
                 open_.close(*CLOSES["p"])
