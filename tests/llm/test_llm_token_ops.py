@@ -227,7 +227,7 @@ def test_nnls_meets_a_solvable_histogram():
     hist = np.zeros(1024)
     hist[[700, 324, 500, 524, 300, 400]] = [30, 35, 12, 12, 5, 5]
     combos = packing.combinations(hist, 1024)
-    x = packing.nnls(combos, hist, 3000)
+    x = packing.nnls(combos, hist, 1e-7)
     fit = np.zeros(1024)
     for c, k in zip(combos, x):
         for n in c:
@@ -235,6 +235,32 @@ def test_nnls_meets_a_solvable_histogram():
     assert (x >= 0).all() and np.abs(fit - hist).max() < 0.5
 
 
+def test_combinations_are_all_there():
+    rng = np.random.default_rng(1)
+    hist = rng.integers(0, 2, 65) * rng.integers(1, 9, 65)
+    hist[0] = hist[64] = 0
+    here = [n for n in range(65) if hist[n]]
+    want = {(n,) for n in (1, 2, 4, 8, 16, 32) if n in here} | {(a, b) for a in here for b in here if a >= b and a + b == 64}
+    want |= {(a, b, c) for a in here for b in here for c in here if a >= b >= c and a + b + c == 64}
+    got = packing.combinations(hist, 64)
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_nnls_is_optimal():
+    """At the end no combination's gradient asks for more of it, and none in use for less."""
+    rng = np.random.default_rng(2)
+    hist = np.zeros(129)
+    hist[1:128] = rng.integers(0, 50, 127)
+    combos = packing.combinations(hist, 128)
+    x = packing.nnls(combos, hist, 1e-9)
+    fit = np.zeros(129)
+    for c, k in zip(combos, x):
+        for n in c:
+            fit[n] += k
+    slope = np.array([sum(fit[n] - hist[n] for n in c) for c in combos])
+    assert (slope > -0.5).all() and (np.abs(slope[x > 0.5]) < 0.5).all()
+
+
 def test_op6_against_the_library(spark, sf, tik):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []
@@ -304,7 +330,7 @@ def test_candidate_keys_lose_no_link(size, percent, words, edits):
     hashes = jaccard_join.WordHashes()
     rows = planted(words + size, 12, 14, words, edits)
     sets = [jaccard_join.shingles(t.encode(), size, hashes) for _, t in rows]
-    keys = [set(jaccard_join.keys_of(s, percent).tolist()) for s in sets]
+    keys = [set(jaccard_join.keys_of(s, percent)[0].tolist()) for s in sets]
     links = 0
     for a in range(len(sets)):
         for b in range(a):
@@ -314,6 +340,31 @@ def test_candidate_keys_lose_no_link(size, percent, words, edits):
     assert links
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_prefixes_stand_in_for_parts_that_stay_empty(monkeypatch, size, percent):
+    """With too few parts every large set says so, and prefixes alone keep all links."""
+    monkeypatch.setattr(jaccard_join, "parts_of", lambda most, top, percent: 2)
+    hashes = jaccard_join.WordHashes()
+    sets = [jaccard_join.shingles(t.encode(), size, hashes) for _, t in planted(3, 12, 14, 120, 8)]
+    found = [jaccard_join.keys_of(s, percent, True) for s in sets]
+    assert all(short for _, short in found)
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard_join.linked(sets[a], sets[b], percent)]
+    assert links and all(set(found[a][0].tolist()) & set(found[b][0].tolist()) for a, b in links)
+
+
+def test_join_with_prefixes_against_brute_force(spark, monkeypatch):
+    plain = jaccard_join.signatures
+    monkeypatch.setattr(jaccard_join, "signatures", lambda docs, size, percent, prefixes=False: plain(docs, size, percent, prefixes).withColumn("short", F.lit(not prefixes)))
+    rows = planted(5, 9, 20, 90, 5)
+    got = sorted(map(tuple, jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()))
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_keep_one_beside_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4)], "doc_id bigint, text string, gone int, GONE_ int")
+    assert [tuple(r) for r in jaccard_join.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2)]
+
+
 @pytest.mark.parametrize(("size", "percent", "words", "edits"), [(3, 90, 120, 6), (5, 80, 30, 3)])
 def test_join_against_brute_force(spark, size, percent, words, edits, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)

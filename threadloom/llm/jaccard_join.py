@@ -17,9 +17,10 @@
    decided by exact intersection of the sorted hash arrays.
 5. Components of all verified links.
 
-Shingles are told apart by 64-bit hashes; keys need only 48 bits, as a false candidate is refuted later. That hashing
-fills fewer than k + 1 parts of a set has a probability of about 1e-9 at most; nothing else is approximate, and no cap
-or sample is applied. The stars, the tiles and the keys need only the candidates' texts, which are read again.
+Shingles are told apart by 64-bit hashes; keys need only 48 bits, as a false candidate is refuted later. Hashing may
+fill fewer than k + 1 parts of a set, with a probability of about 1e-9; if that happens to any set, all sets also emit the
+elements of their prefixes as keys (as many smallest hashes as two linked sets must share one of), which needs no parts. So no link is
+lost, and no cap or sample is applied. The stars, the tiles and the keys need only the candidates' texts, which are read again.
 
 Defined cases: texts that are null or have no word are empty sets, linked with nothing; fewer words than a shingle
 are one shingle; rows with a null doc_id link with nothing and have a null component; rows that repeat a doc_id are
@@ -99,10 +100,20 @@ def small_sets(percent: int) -> int:
     return 17 if percent >= 90 else 63
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """The candidate keys of a set; see the module's second step."""
-    n, small = len(s), small_sets(percent)
+def parts_of(most: int, top: int, percent: int) -> int:
+    """Into how many parts a band's sets are cut, of which most + 1 must not be empty."""
+    return most + -(-top // 100) + 4 if percent >= 90 else most + -(-most * 15 // 100) + 14
+
+
+def keys_of(s: np.ndarray, percent: int, prefixes: bool = False) -> tuple[np.ndarray, bool]:
+    """The candidate keys of a set (see the module's second step), and whether it fills too few parts to be sure of its links.
+
+    prefixes: with the elements of its prefix, for when some set does.
+    """
+    n, small, short = len(s), small_sets(percent), False
     out = [np.empty(0, np.uint64)]
+    if prefixes:
+        out.append(mixed(np.sort(mixed(s ^ _B))[: n - -(-percent * n // 100) + 1]))
     if percent * n <= 100 * small:
         prefix = mixed(s[: n - -(-percent * n // 100) + 2] ^ _C)
         i, j = np.triu_indices(len(prefix), 1)
@@ -114,20 +125,21 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
         for i in (band, band + 1)[: 1 + near]:
             top = (small + 1) << (i + 1)
             most = most_different(top, percent)
-            parts = most + -(-top // 100) + 4 if percent >= 90 else most + -(-most * 15 // 100) + 14
+            parts = parts_of(most, top, percent)
             part = (mixed(s + np.uint64((i + 1) * int(_B) & _MASK)) >> np.uint64(33)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             part = part[order]
             begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            short |= len(begin) < k + 1
             end = int(begin[k + 1]) if len(begin) > k + 1 else n
             begin = begin[: k + 1]
             content = np.add.reduceat(each[order][:end], begin)
             out.append(mixed(content * _A + part[begin] * _B + np.uint64((i + 2) * int(_C) & _MASK)))
-    return np.unique(np.concatenate(out) >> np.uint64(16))
+    return np.unique(np.concatenate(out) >> np.uint64(16)), short
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row (a number of its own), n, set (128-bit hash of the shingle set), keys."""
+def signatures(docs: DataFrame, size: int, percent: int, prefixes: bool = False) -> DataFrame:
+    """doc_id, row (a number of its own), n, set (128-bit hash of the shingle set), keys, short (see keys_of)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -138,15 +150,16 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 sets = [shingles(t.as_py() or b"", size, words) for t in part.column(1)]
                 number, row = np.arange(row, row + len(sets)), row + len(sets)
-                keys = [keys_of(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
+                found = [keys_of(s, percent, prefixes) if len(s) else (np.empty(0, np.uint64), False) for s in sets]
+                keys = [k.view(np.int64) for k, _ in found]
                 offsets = np.cumsum([0] + [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(number, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))],
-                    ["doc_id", "row", "n", "set", "keys"],
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))), pa.array([x for _, x in found], pa.bool_())],
+                    ["doc_id", "row", "n", "set", "keys", "short"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, set binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, set binary, keys array<long>, short boolean")
 
 
 def own_bitmap(s: np.ndarray) -> bytes:
@@ -463,6 +476,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = materialize(signatures(rows, size, percent), "jaccard-signatures")
+    if not signed.where("short").isEmpty():
+        signed = materialize(signatures(rows, size, percent, prefixes=True), "jaccard-signatures")
     with_id = signed.where("doc_id IS NOT NULL AND n > 0")
     sets = with_id.groupBy("set").agg(F.min(F.struct("doc_id", "row", "n")).alias("r"))
     sets = materialize(sets.select("set", F.col("r.doc_id").alias("node"), F.col("r.row").alias("row"), F.col("r.n").alias("n")), "jaccard-sets")
@@ -493,10 +508,13 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are linked with a document of a smaller id."""
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
     with scratch(docs.sparkSession, "jaccard-gone"):
         found = jaccard_components(docs, size, percent, id_col, text_col)
-        gone = _sorted(found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "__gone", "jaccard-gone")
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+        gone = _sorted(found.where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), name, "jaccard-gone")
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
 def op2_jaccard_join(spark, sf_dir):

@@ -28,51 +28,63 @@ from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
 
 SEQUENCE = 1024
 END_ID = 0
-#: Default of pack()'s triple_lengths.
-TRIPLE_LENGTHS = 64
+#: The solver ends when CHECK rounds have lowered what is left unmet by less than this share.
+TOLERANCE = 1e-3
+CHECK = 25
 
 
-def combinations(hist: np.ndarray, window: int, triple_lengths: int = TRIPLE_LENGTHS) -> list[tuple[int, ...]]:
-    """Combinations of the lengths present that leave no padding."""
+def combinations(hist: np.ndarray, window: int) -> list[tuple[int, ...]]:
+    """All combinations of up to three of the lengths present (at most window^2 / 12) that leave no padding."""
     here = hist > 0
     out = [(n,) for n in (1 << k for k in range(window.bit_length())) if n < window and here[n]]
     out += [(window - b, b) for b in range(1, window // 2 + 1) if here[b] and here[window - b]]
-    common = sorted(np.argsort(-hist, kind="stable")[:triple_lengths].tolist(), reverse=True)
-    common = [n for n in common if here[n]]
-    seen = set()
-    for i, a in enumerate(common):
-        for b in common[i:]:
-            c = window - a - b
-            if 0 < c < window and here[c]:
-                seen.add(tuple(sorted((a, b, c), reverse=True)))
-    return out + sorted(seen)
-
-
-def nnls(combos: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |A x - hist|^2 over x >= 0 by accelerated projected gradient; A counts a length in a combination."""
+    lengths = np.flatnonzero(here)
+    a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+    c = window - a - b
+    three = (a >= b) & (b >= c) & (c > 0)
+    a, b, c = a[three], b[three], c[three]
+    three = here[c]
+    return out + list(zip(a[three].tolist(), b[three].tolist(), c[three].tolist()))
+
+
+def nnls(combos: list[tuple[int, ...]], hist: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """min |A x - hist|^2 over x >= 0 by accelerated projected gradient; A counts a length in a combination.
+
+    Each combination has a step of its own, from the sum of its row of A'A, which bounds A'A as A has no negative entry. The
+    momentum is dropped whenever the objective would rise.
+    """
     if not combos:
         return np.zeros(0)
     row = np.array([n for c in combos for n in c])
     col = np.array([i for i, c in enumerate(combos) for _ in c])
     mul = lambda x: np.bincount(row, x[col], len(hist))
     back = lambda y: np.bincount(col, y[row], len(combos))
-    step = 1.0 / max(1.0, float(back(mul(np.ones(len(combos)))).max()))  # 1 / a bound of the largest eigenvalue
+    step = 1.0 / np.maximum(1.0, back(mul(np.ones(len(combos)))))
     x = y = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(rounds):
+    t, done, unmet = 1.0, 0, float((hist.astype(float) ** 2).sum())
+    least, checked = 1e-9 * unmet, unmet
+    while unmet > least:
         new = np.maximum(0.0, y - step * back(mul(y) - hist))
+        now = float(((mul(new) - hist) ** 2).sum())
+        if now > unmet:
+            new = np.maximum(0.0, x - step * back(mul(x) - hist))
+            t, now = 1.0, float(((mul(new) - hist) ** 2).sum())
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
+        x, t, unmet, done = new, t_new, now, done + 1
+        if done % CHECK == 0:
+            if checked - unmet <= tolerance * checked:
+                break
+            checked = unmet
     return x
 
 
 class Plan:
     """Where the rest of length n and rank r goes: arrays sorted by (n, first rank)."""
 
-    def __init__(self, hist: np.ndarray, window: int = SEQUENCE, triple_lengths: int = TRIPLE_LENGTHS):
+    def __init__(self, hist: np.ndarray, window: int = SEQUENCE):
         self.window = window
-        combos = combinations(hist, window, triple_lengths)
+        combos = combinations(hist, window)
         repeats = nnls(combos, hist.astype(float))
         left, used = hist.astype(np.int64).copy(), np.zeros(len(hist), np.int64)
         keys, seqs, offsets, ends = [], [], [], []
@@ -160,22 +172,18 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
     return rows.mapInArrow(run, "doc_id long, part int, row long, n long, rest long, rank long, windows long, crcs array<long>, rest_crc long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", triple_lengths: int = TRIPLE_LENGTHS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes).
-
-    triple_lengths bounds the lengths whose pairs the plan completes by a third, the most frequent ones; what no
-    combination takes is packed greedily, so it moves cuts between documents, not the padding.
-    """
-    return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=True)
+def pack(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (bytes)."""
+    return _packed(docs, tokenizer_path, window, id_col, text_col, with_ids=True)
 
 
-def pack_digest(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", triple_lengths: int = TRIPLE_LENGTHS) -> DataFrame:
+def pack_digest(docs: DataFrame, tokenizer_path: str, window: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """pack() without ids; ids are read again only for the pieces that the plan cuts."""
     with scratch(docs.sparkSession, "packing", "packing-pieces", "packing-cuts"):
-        return _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids=False)
+        return _packed(docs, tokenizer_path, window, id_col, text_col, with_ids=False)
 
 
-def _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with_ids):
+def _packed(docs, tokenizer_path, window, id_col, text_col, with_ids):
     encoded = materialize(encode(docs, tokenizer_path, window, id_col, text_col), "packing")
     rests = encoded.where("rest > 0").groupBy("part", "rest").agg(F.count("*").alias("k"))
     full = encoded.groupBy("part").agg(F.sum(F.size("crcs")).alias("k")).select("part", F.lit(0).cast("long").alias("rest"), "k")
@@ -183,7 +191,7 @@ def _packed(docs, tokenizer_path, window, id_col, text_col, triple_lengths, with
     hist = np.zeros(window, np.int64)
     for r in counts.where("rest > 0").groupBy("rest").agg(F.sum("k").alias("k")).collect():  # at most window - 1 rows
         hist[r["rest"]] = r["k"]
-    plan = Plan(hist, window, triple_lengths)
+    plan = Plan(hist, window)
     # The first rank of each task in each length; the windows of full sequences count as length 0.
     base = counts.select("part", "rest", (F.expr("sum(k) over (partition by rest order by part)") - F.col("k")).alias("base"))
     rows = encoded.select("doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "rest_crc")
