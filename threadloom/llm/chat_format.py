@@ -113,7 +113,7 @@ WITH c AS (
 p AS (
   SELECT *, length('<|im_start|>' || role || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10)) AS chars,
          count(*) OVER (PARTITION BY conv_id) AS n,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
   FROM c),
 q AS (
   SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM p)
