@@ -28,14 +28,41 @@ def test_strict_pages_reject_malformed_records(spark, tmp_path):
 
 
 def test_reviews_and_threads(spark, tmp_path):
-    path = write(tmp_path / "r", {"id": 1, "state": "approved", "commit_id": "AB", "user": {"login": "z", "type": "Bot"}}, {"id": 2, "state": "odd"})
-    assert [r["state"] for r in landing.reviews(landing.read(spark, path, "reviews")).orderBy("provider_id").collect()] == ["APPROVED", "odd"]
+    path = write(tmp_path / "r", {"id": 1, "state": "APPROVED", "commit_id": "AB" * 20, "user": {"login": "z", "type": "Bot", "id": 7}}, {"id": 2, "state": "odd", "commit_id": ""})
+    got = landing.reviews(landing.read(spark, path, "reviews")).orderBy("provider_id").collect()
+    assert [(r["state"], r["known_state"], r["head_sha"], r["is_bot"], r["reviewer_id"]) for r in got] == [("APPROVED", True, "ab" * 20, True, "7"), ("odd", False, None, False, None)]
+    short = write(tmp_path / "s", {"id": 1, "state": "APPROVED", "commit_id": "AB"})
+    with pytest.raises(Exception, match="commit"):
+        landing.reviews(landing.read(spark, short, "reviews")).collect()
     node = {"id": "c1", "body": "b", "createdAt": "2026-01-01T00:00:00Z", "author": {"login": "q", "__typename": "User"}}
     good = write(tmp_path / "t", {"id": "x", "isResolved": True, "isOutdated": False, "comments": {"nodes": [node], "pageInfo": {"hasNextPage": False}}})
-    assert landing.review_threads(landing.read(spark, good, "review_threads")).first()["comments"][0]["author"] == "q"
-    bad = write(tmp_path / "u", {"id": "x", "comments": {"nodes": [], "pageInfo": {"hasNextPage": True, "endCursor": ""}}})
-    with pytest.raises(Exception, match="cursor"):
-        landing.review_threads(landing.read(spark, bad, "review_threads")).collect()
+    said = landing.review_threads(landing.read(spark, good, "review_threads")).first()["comments"][0]
+    assert (said["author"], said["is_bot"]) == ("q", False)
+    for i, info in enumerate(({"hasNextPage": True, "endCursor": ""}, {"hasNextPage": True, "endCursor": "e"})):
+        bad = write(tmp_path / f"u{i}", {"id": "x", "comments": {"nodes": [], "pageInfo": info}})
+        with pytest.raises(Exception, match="cursor"):
+            landing.review_threads(landing.read(spark, bad, "review_threads")).collect()
+    more = landing.read(spark, write(tmp_path / "m", node | {"id": "c2"}), "review_thread_comments").selectExpr("'x' AS parent", "*")
+    assert [c["provider_id"] for c in landing.review_threads(landing.read(spark, bad, "review_threads"), more).first()["comments"]] == ["c2"]
+
+
+def test_repositories_and_pull_requests(spark, tmp_path):
+    path = write(tmp_path / "p", {"id": 4, "name": "n", "owner": {"login": "o"}, "updated_at": "2026-01-01T00:00:00Z"}, {"id": 5, "name": "m", "owner": {"login": "o"}, "full_name": "o/other"})
+    got = landing.repositories(landing.read(spark, path, "repositories"), "h").orderBy("repo_id").collect()
+    assert [(r["repo_id"], r["full_name"], r["updated_at_us"]) for r in got] == [("4", "o/n", 1767225600000000), ("5", "o/other", None)]
+    with pytest.raises(Exception, match="owner"):
+        landing.repositories(landing.read(spark, write(tmp_path / "q", {"id": 4, "name": "n", "owner": {"login": ""}}), "repositories"), "h").collect()
+    branch = {"ref": "main", "sha": "0A" * 32, "repo": {"id": 9}}
+    path = write(tmp_path / "b", {"id": 1, "number": 3, "draft": True, "base": branch, "head": branch | {"repo": None}})
+    row = landing.pull_requests(landing.read(spark, path, "pulls")).first()
+    assert (row["base"]["repo_id"], row["head"]["repo_id"], row["head_sha"], row["merged"]) == ("9", None, "0a" * 32, None)
+
+
+def test_times_and_numbers_of_threads_are_checked(spark, tmp_path):
+    good = {"id": 9, "number": 3, "state": "open", "title": "t", "created_at": "2026-01-01T00:00:00Z", "updated_at": "2026-01-02T00:00:00Z"}
+    for i, (change, what) in enumerate((({"number": 0}, "number"), ({"updated_at": "soon"}, "time"), ({"created_at": None}, "time"))):
+        with pytest.raises(Exception, match=what):
+            landing.threads(landing.read(spark, write(tmp_path / str(i), good | change), "issues"), "h", "1", "o/r").collect()
 
 
 def test_archive_folder(spark, tmp_path):
