@@ -181,7 +181,11 @@ def test_observations_do_not_depend_on_arrival(spark):
         got = observations.canonical(df, ["k"], ["payload"]).first()["payload"]
         want = want or got
         assert got == want == "p19"
-    assert observations.unusable_clocks(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, raw string"), ["k"], "raw").count() == 1
+    log = spark.createDataFrame([(1, "a", None, 1), (1, " a ", None, 2), (2, "a", None, 1), (2, None, None, 2), (3, "a", None, 1), (3, "b", None, 2), (3, "c", 7, 3)], "k int, raw_clock string, source_clock int, sequence int")
+    assert [r["k"] for r in observations.ambiguous_keys(log, ["k"]).collect()] == [2]
+    assert {r["k"]: r["sequence"] for r in observations.canonical_strict(log.where("k <> 2"), ["k"], ["raw_clock"]).collect()} == {1: 2, 3: 3}
+    with pytest.raises(Exception, match="unusable"):
+        observations.canonical_strict(log, ["k"], ["raw_clock"]).collect()
 
 
 def test_watermark_moves_only_with_complete_newer_scans(spark):
@@ -190,12 +194,6 @@ def test_watermark_moves_only_with_complete_newer_scans(spark):
     assert {r[0]: (r[1], r[2]) for r in observations.advance_watermark(now, scans).collect()} == {"a": (20, 6), "b": (10, 5), "c": (1, 1)}
 
 
-def test_staleness(spark):
-    rows = spark.createDataFrame([(True, "complete", 2, 2), (True, "complete", 2, None), (True, "incomplete", 1, 9), (False, "complete", 2, 2), (True, "missing", None, None)], "clock boolean, status string, items int, expected int")
-    stale = listing.is_stale("comments", F.col("clock"), F.col("status"), F.col("items"), F.col("expected"), F.lit(None), F.lit(None))
-    assert [r[0] for r in rows.select(stale).collect()] == [False, True, False, True, False]
-
-
 def test_document_sections(spark):
     assert one(spark, documents.review_section(F.lit(None).cast("string"), F.lit("CHANGES_REQUESTED"), F.lit(" why "))) == "Review by unknown reviewer: requested changes\n\nwhy"
     assert one(spark, documents.review_thread_section(F.lit(None).cast("string"), F.lit(True), F.lit(False))) == "Review thread on unknown path (resolved, current)"
@@ -295,3 +293,51 @@ def test_dense_index_and_keyset_pages(spark):
         if after is None:
             break
     assert seen == [k for k in range(1000) if k % 200 > 150]
+
+
+def test_heads_belong_to_reviews(spark):
+    cov = spark.createDataFrame([(1, "reviews", "complete", 5, 1, "a")], "thread_id int, family string, status string, clock int, item_count int, head_sha string")
+    held = spark.createDataFrame([(1, "reviews")], "thread_id int, family string")
+    want = lambda *rows: spark.createDataFrame(rows, "thread_id int, family string, expected_clock int, current_head string")
+    ask = lambda *rows: [r["reusable"] for r in observations.current_for_head(cov, held, want(*rows)).collect()]
+    assert ask((1, "reviews", 5, "a")) == [True] and ask((1, "reviews", 5, "b")) == [False] and ask((1, "reviews", 5, None)) == [False] and ask((1, "reviews", 4, "a")) == [False]
+    with pytest.raises(Exception, match="head"):
+        ask((1, "comments", 5, "a"))
+
+
+def test_pages_beyond_any_prefix(spark, monkeypatch):
+    rows = spark.range(1000).select(F.col("id").alias("k"))
+    order = [F.col("k").desc()]
+    assert listing.page(rows, order, 10, 1 << 40).collect() == []
+    monkeypatch.setattr(listing, "DEEP", 100)
+    deep = listing.page(rows, order, 3, 500).orderBy("position").collect()
+    assert [(r["k"], r["position"], r["next_offset"]) for r in deep] == [(499, 500, 503), (498, 501, 503), (497, 502, 503)]
+    last = listing.page(rows, order, 3, 998).orderBy("position").collect()
+    assert [(r["k"], r["next_offset"]) for r in last] == [(1, None), (0, None)]
+
+
+def test_ledger_rules(spark):
+    stages = spark.createDataFrame([(1, "sync", 1, "failed"), (1, "embeddings", 2, "deferred"), (2, "sync", 1, "complete"), (3, "sync", 1, "interrupted"), (3, "clusters", 3, "failed"), (4, "sync", 1, "deferred")], "refresh_id int, stage string, position int, status string")
+    got = {r["refresh_id"]: tuple(r)[1:] for r in ledger.refresh_outcomes(stages).collect()}
+    assert got == {1: ("partial", None, 2, 1, "sync,embeddings"), 2: ("complete", None, None, None, ""), 3: ("interrupted", 2, None, None, "sync,clusters"), 4: ("partial", None, 1, 1, "sync")}
+    runs = spark.createDataFrame([(1, "failed"), (1, "deferred"), (2, "failed"), (3, "deferred"), (3, "deferred"), (4, "complete"), (4, "interrupted")], "batch int, outcome string")
+    assert {r["batch"]: r["status"] for r in ledger.retry_summaries(runs, "batch").collect()} == {1: "partial", 2: "failed", 3: "deferred", 4: "interrupted"}
+
+
+def test_failures_touched_by_a_retry(spark):
+    schema = "failure_id int, run_id int, repository string, thread bigint, target string, family string, scope_key string, resolved boolean, retry_count int, retry_run int"
+    f = spark.createDataFrame([
+        (1, 1, None, None, "o/r", "threads", "open", False, 0, None), (2, 9, None, None, "o/r", "threads", "open", False, 0, None), (3, 1, None, None, "o/r", "threads", "open", True, 0, None), (4, 2, None, None, "o/r", "threads", "open", False, 0, 4),
+        (5, 1, "R", 7, "x", "comments", "open", False, 0, None), (6, 1, "R", 8, "x", "comments", "open", False, 0, None), (7, 1, "R", None, "o/r", "threads", "open", False, 0, None), (8, 1, None, None, "o/r", None, "open", False, 0, None),
+    ], schema)
+    scopes = f.where("failure_id IN (1, 5)")
+    assert {r["failure_id"]: (r["retry_count"], r["retry_run"]) for r in ledger.mark_retried(f, scopes, 9).where("retry_count > 0").collect()} == {1: (1, 9), 4: (1, 9), 5: (1, 9)}
+    after = {r["failure_id"]: (r["resolved"], r["retry_run"]) for r in ledger.resolve(f, scopes, 9).collect()}
+    assert {k for k, v in after.items() if v[0]} == {1, 3, 4, 5} and after[4] == (True, 4) and after[1] == (True, 9) and after[3] == (True, None) and after[2] == (False, None)
+    runs = spark.createDataFrame([(1, "default", True, True, False)], "run_id int, thread_scope string, include_comments boolean, include_reviews boolean, include_review_threads boolean")
+    jobs = spark.createDataFrame([], "run_id int, target string, family string, scope_key string, job_no int, repo_id string")
+    lost = f.where("failure_id = 8").withColumn("target", F.lit("no target"))
+    with pytest.raises(Exception, match="no target"):
+        ledger.retry_scopes(lost, jobs, runs).collect()
+    plan = ledger.retry_scopes(f.where("failure_id IN (1, 8)").withColumn("scope_key", F.lit("weird")), jobs, runs).first()
+    assert (plan["scope"], plan["include_comments"], plan["include_reviews"], plan["include_review_threads"], plan["failure_ids"]) == ("default", True, True, False, [1, 8])

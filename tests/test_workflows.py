@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.sources.archive import coverage, relation
 from threadloom.workflows import Archive, Filters, NotFound, NoVectors
@@ -25,7 +26,7 @@ def test_unknown_names_are_errors(archive):
     with pytest.raises(NotFound):
         archive.list_threads(Filters(repositories=("org/none",)))
     with pytest.raises(NotFound):
-        archive.show_thread(10**9)
+        archive.show_thread(10**9, "org/src6")
     with pytest.raises(NotFound):
         archive.show_run(-5)
 
@@ -46,7 +47,7 @@ def test_search_modes_and_fallback(archive, spark):
 
 def test_embedding_skips_what_is_stored(archive):
     archive.embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
-    docs = archive.thread_documents().limit(10)
+    docs = archive.thread_documents("original_body").limit(10)
     done = archive.embed_documents(docs, 2000)
     rows = done.collect()
     assert rows and all(len(r["vector"]) == 2 for r in rows)
@@ -61,11 +62,43 @@ def test_clusters_status_and_ledger(archive):
     counts, totals = archive.archive_status()
     assert counts.first()["threads"] == archive.threads.count() and totals.count() == 5
     assert archive.list_repositories().count() == 20 and archive.list_runs(3).count() == 3
-    failed = archive.jobs.where("status = 'failed' AND NOT resolved").first()["run_id"]
-    assert archive.plan_run_retry(failed).count() > 0
-    assert archive.doctor().count() == 4 and archive.recent_failures().count() <= 20
-    assert archive.show_thread(7).count() == 1 and archive.thread_timeline(7).count() >= 1
-    assert archive.thread_documents("discussion_enriched").count() == archive.threads.count()
+    health = {r["check_name"]: r["healthy"] for r in archive.doctor().collect()}
+    assert len(health) == 5 and health["archive"] == all(v for k, v in health.items() if k != "archive") and archive.recent_failures().count() <= 20
+    assert archive.show_thread(7, "org/src6").count() == 1 and archive.thread_timeline(7, "org/src6").count() >= 1
+    with pytest.raises(NotFound):
+        archive.show_thread(7, "org/src7")
+    assert archive.thread_documents("original_body").count() == archive.threads.count()
+
+
+def test_retries_of_a_run(archive, spark, sf):
+    from threadloom.plans.lifecycle_queries import failures
+
+    made = failures(spark, sf).where("target <> 'not a target'")
+    a = Archive(threads=archive.threads, runs=archive.runs.selectExpr("run_id", "'default' AS thread_scope", "true AS include_comments", "false AS include_reviews", "true AS include_review_threads"), jobs=archive.jobs.withColumn("repo_id", F.col("target")), extra={"failures": made})
+    run = made.where("NOT resolved AND family IS NULL").first()["run_id"]
+    plan = a.plan_run_retry(run).collect()
+    assert plan and any(r["include_comments"] and not r["include_reviews"] and r["include_review_threads"] for r in plan)
+    after, summary = a.run_retry(run, 10**9, lambda scopes: ["complete"] + ["deferred"] * (len(scopes) - 1))
+    assert summary.first()["status"] == ("complete" if len(plan) == 1 else "partial")
+    done = {r["failure_id"] for r in after.where("resolved AND retry_run = 1000000000").collect()}
+    assert done <= {r["failure_id"] for r in after.where("retry_count = 1").collect()}
+    with pytest.raises(NotFound):
+        a.plan_run_retry(-1)
+
+
+def test_enriched_documents_leave_stale_families_out(spark):
+    threads = spark.createDataFrame([(i, "h", "r", i, "t", "b", None, "pull_request", 100, 1) for i in (1, 2, 3)], "thread_id long, host string, repo_id string, number long, title string, body string, label string, kind string, updated_at_us long, expected_comments long")
+    comments = spark.createDataFrame([(i, "c", "ann", False, "hello", 5) for i in (1, 2, 3)], "thread_id long, provider_id string, author string, is_bot boolean, body string, created_at_us long")
+    reviews = spark.createDataFrame([(1, "v", "bob", "APPROVED", False, "fine", 6)], "thread_id long, provider_id string, reviewer string, state string, is_bot boolean, body string, submitted_at_us long")
+    states = spark.createDataFrame([(1, "comments", "complete", 100, 1, None), (2, "comments", "complete", 99, 1, None), (3, "comments", "incomplete", 100, 1, None), (1, "reviews", "complete", 100, 1, "a")], "thread_id long, family string, status string, clock_us long, item_count long, head_sha string")
+    heads = spark.createDataFrame([(1, "a")], "thread_id long, head_sha string")
+    a = Archive(threads=threads, comments=comments, extra={"states": states, "heads": heads, "reviews": reviews})
+    got = {r["thread_id"]: r["text"] for r in a.thread_documents().collect()}
+    assert got == {1: "# t\n\nb\n\nComment by ann:\n\nhello\n\nReview by bob: approved\n\nfine", 2: "# t\n\nb", 3: "# t\n\nb"}
+    moved = Archive(threads=threads, comments=comments, extra={"states": states, "heads": heads.withColumn("head_sha", F.lit("z")), "reviews": reviews})
+    assert "Review" not in {r["thread_id"]: r["text"] for r in moved.thread_documents().collect()}[1]
+    with pytest.raises(ValueError):
+        a.thread_documents("summary")
 
 
 def test_cluster_requests_and_documents(spark, sf):
@@ -89,5 +122,5 @@ def test_cluster_requests_and_documents(spark, sf):
 
     stored = spark.createDataFrame([], "document_id long, thread_id long, recipe string, recipe_version int, content_hash string, title string, source_updated_at_us long, built_at_us long")
     a = Archive(threads=relation(spark, sf, "threads"))
-    new = a.materialize_documents(stored, 9)
+    new = a.materialize_documents(stored, 9, "original_body")
     assert new.where("content_changed AND written AND built_at_us = 9").count() == a.threads.count()

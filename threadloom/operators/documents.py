@@ -17,6 +17,11 @@ def nonempty(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def without_bots(rows: DataFrame, user_type: str = "user_type") -> DataFrame:
+    """rows whose author isn't said to be a bot, in whatever case; authors of no known type are people."""
+    return rows.where(~F.coalesce(F.lower(user_type) == "bot", F.lit(False)))
+
+
 def comment_section(author: Column, body: Column) -> Column:
     """`Comment by X:` and the body; null for an empty body."""
     head = F.when(trimmed(F.coalesce(author, F.lit(""))) != "", F.concat(F.lit("Comment by "), author, F.lit(":"))).otherwise(F.lit("Comment:"))

@@ -18,19 +18,37 @@ def run_outcomes(jobs: DataFrame) -> DataFrame:
     return per.withColumn("outcome", outcome)
 
 
-def stage_outcome(outcomes: DataFrame) -> DataFrame:
-    """One row: the outcome of a composition of stages."""
-    return outcomes.agg(
-        F.when(F.bool_or(F.col("outcome") == "interrupted"), "interrupted").when(F.bool_and(F.col("outcome") == "complete"), "complete")
-        .when(F.bool_or(F.col("outcome").isin("complete", "partial")), "partial").when(F.bool_and(F.col("outcome") == "deferred"), "deferred").otherwise("failed").alias("outcome")
+def refresh_outcomes(stages: DataFrame, key: str = "refresh_id") -> DataFrame:
+    """key, outcome, pending_items, failed_items, deferred_items, remaining of refreshes made of stages (key, stage, position, status).
+
+    All complete is complete; an interrupted stage makes the whole interrupted, with every unfinished stage pending; any other
+    unfinished one makes it partial, whatever the rest did. remaining names the unfinished stages in order of position.
+    """
+    open_ = F.col("status") != "complete"
+    per = stages.groupBy(key).agg(
+        F.count_if(open_).alias("_open"), F.count_if(F.col("status") == "interrupted").alias("_stopped"), F.count_if(F.col("status") == "deferred").alias("_deferred"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(open_, F.struct("position", "stage")))), lambda x: x["stage"]), ",").alias("remaining"),
     )
+    outcome = F.when(F.col("_open") == 0, "complete").when(F.col("_stopped") > 0, "interrupted").otherwise("partial")
+    rows = per.withColumn("outcome", outcome)
+    partial = F.col("outcome") == "partial"
+    return rows.select(key, "outcome", F.when(F.col("outcome") == "interrupted", F.col("_open")).alias("pending_items"), F.when(partial, F.col("_open")).alias("failed_items"), F.when(partial, F.col("_deferred")).alias("deferred_items"), "remaining")
+
 
+def retry_summaries(outcomes: DataFrame, key: str) -> DataFrame:
+    """key, runs, status of retried runs (key, outcome): one that all share, interrupted where any was, else partial."""
+    all_ = lambda s: F.bool_and(F.col("outcome") == s)
+    status = F.when(all_("complete"), "complete").when(F.bool_or(F.col("outcome") == "interrupted"), "interrupted").when(all_("failed"), "failed").when(all_("deferred"), "deferred").otherwise("partial")
+    return outcomes.groupBy(key).agg(F.count("*").alias("runs"), status.alias("status"))
 
-def diagnostics(runs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Five counts of work."""
-    r = runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "in_progress").alias("runs_in_progress"))
-    j = jobs.agg(F.count("*").alias("jobs"), F.count_if((F.col("status") == "failed") & ~F.col("resolved")).alias("unresolved_failures"), F.count_if(F.col("status") == "deferred").alias("deferred_jobs"))
-    return r.select("*", j.select(F.struct("*")).scalar().alias("j")).select("runs", "runs_in_progress", "j.*")
+
+def diagnostics(runs: DataFrame, jobs: DataFrame, failures: DataFrame) -> DataFrame:
+    """Five counts of work; the unresolved failures of each family are unresolved_by_family()."""
+    j = jobs.agg(F.count_if(F.col("status") == "failed").alias("failed_jobs"), F.count_if(F.col("status") == "deferred").alias("deferred_jobs"))
+    r = runs.agg(F.count_if(F.col("status") == "in_progress").alias("in_progress_runs"))
+    f = failures.where("NOT resolved").agg(F.count_if(F.col("family").isNull()).alias("unassigned_failures"), F.count("*").alias("unresolved_failures"))
+    one = lambda df: df.select(F.struct("*")).scalar()
+    return j.select("*", one(r).alias("r"), one(f).alias("f")).select("failed_jobs", "deferred_jobs", "r.*", "f.*")
 
 
 def unresolved_by_family(jobs: DataFrame) -> DataFrame:
@@ -49,26 +67,60 @@ def recent_failures(runs: DataFrame, scan: int = 50, detail: int = 20) -> DataFr
     return latest_runs(runs, scan).where("status <> 'complete'").orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(detail)
 
 
-def selected_failures(jobs: DataFrame, families: list[str] | None = None) -> DataFrame:
-    out = jobs.where("status = 'failed' AND NOT resolved")
+def selected_failures(failures: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """The unresolved failures of the families named, or of all."""
+    out = failures.where("NOT resolved")
     return out.where(F.col("family").isin(families)) if families else out
 
 
-def retry_scopes(jobs: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """target, scope_key, include_comments, include_reviews, include_review_threads: flags of equal scopes are joined.
+# The scope keys that name a thread state; any other leaves the run's own scope.
+THREAD_SCOPES = ("open", "closed", "all")
+
+
+def retry_scopes(failures: DataFrame, jobs: DataFrame, runs: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """run_id, repository, scope, include_comments, include_reviews, include_review_threads, failure_ids of what to run again.
+
+    failures: failure_id, run_id, repository, target, family, scope_key, resolved. runs: run_id, thread_scope and the three flags that the
+    run was asked for. A failure of a child family asks for that family alone, one without a family for what its run asked for; flags of
+    one repository and scope are joined. A failure whose repository can't be told is an error.
+    """
+    asked = runs.select("run_id", F.col("thread_scope").alias("_scope"), *[F.col(f"include_{f}").alias(f"_{f}") for f in ("comments", "reviews", "review_threads")])
+    rows = repository_of_failures(selected_failures(failures, families), jobs).join(asked, "run_id")
+    lost = F.raise_error(F.concat(F.lit("no repository for the failed target "), F.col("target"))).cast("string")
+    repository = F.when(F.col("found").isNull(), lost).otherwise(F.col("found"))
+    scope = F.when(F.col("scope_key").isin(*THREAD_SCOPES), F.col("scope_key")).otherwise(F.col("_scope"))
+    flag = lambda f: F.bool_or(F.when(F.col("family").isNull(), F.col(f"_{f}")).otherwise(F.col("family") == f)).alias(f"include_{f}")
+    per = rows.groupBy("run_id", repository.alias("repository"), scope.alias("scope"))
+    return per.agg(flag("comments"), flag("reviews"), flag("review_threads"), F.sort_array(F.collect_list("failure_id")).alias("failure_ids"))
+
+
+def _touched(failures: DataFrame, scopes: DataFrame, run_id: int) -> DataFrame:
+    """failures with _hit: the unresolved ones of other runs whose scope is among scopes.
 
-    A failure of a child family asks for that family alone; one of no family asks for all.
+    A scope without a repository is a selector's: target, family and scope key count. One with a repository is a thread's: repository,
+    thread, family and scope key count, and the target does not. Failures without a family are touched by neither.
     """
-    only = lambda f: F.bool_or(F.col("family").isNull() | (F.col("family") == f))
-    return selected_failures(jobs, families).groupBy("target", "scope_key").agg(only("comments").alias("include_comments"), only("reviews").alias("include_reviews"), only("review_threads").alias("include_review_threads"), F.count("*").alias("failures"))
+    of_thread = F.col("repository").isNotNull()
+    key = F.when(of_thread, F.struct(F.lit("thread").alias("kind"), F.concat_ws("#", "repository", F.col("thread").cast("string")).alias("on"), "family", "scope_key")).otherwise(F.struct(F.lit("selector").alias("kind"), F.col("target").alias("on"), "family", "scope_key"))
+    whole = F.col("family").isNotNull() & (~of_thread | F.col("thread").isNotNull())
+    hit = scopes.where(whole).select(key.alias("_key")).distinct().withColumn("_found", F.lit(True))
+    rows = failures.withColumn("_key", F.when(whole, key)).join(hit, "_key", "left")
+    return rows.withColumn("_hit", F.coalesce("_found", F.lit(False)) & ~F.col("resolved") & (F.col("run_id") != run_id)).drop("_key", "_found")
 
 
 def mark_retried(failures: DataFrame, scopes: DataFrame, run_id: int) -> DataFrame:
-    """failures with retry_count + 1 and this run where an unresolved one of another run has a scope that is retried."""
-    hit = scopes.select("target", "scope_key", "family").distinct().withColumn("_hit", F.lit(True))
-    rows = failures.join(hit, ["target", "scope_key", "family"], "left")
-    again = F.coalesce("_hit", F.lit(False)) & ~F.col("resolved") & (F.col("run_id") != run_id)
-    return rows.withColumn("retry_count", F.col("retry_count") + again.cast("int")).withColumn("retry_run", F.when(again, F.lit(run_id)).otherwise(F.col("retry_run"))).drop("_hit")
+    """failures with retry_count + 1 and this run where an unresolved one of another run has a scope that is retried.
+
+    Both have repository, thread, target, family and scope_key; see _touched for what makes scopes equal.
+    """
+    rows = _touched(failures, scopes, run_id)
+    return rows.withColumn("retry_count", F.col("retry_count") + F.col("_hit").cast("int")).withColumn("retry_run", F.when(F.col("_hit"), F.lit(run_id)).otherwise(F.col("retry_run"))).drop("_hit")
+
+
+def resolve(failures: DataFrame, done: DataFrame, run_id: int) -> DataFrame:
+    """failures with earlier unresolved ones of the scopes done marked resolved; the run that retried one first stays."""
+    rows = _touched(failures, done, run_id)
+    return rows.withColumn("resolved", F.col("resolved") | F.col("_hit")).withColumn("retry_run", F.when(F.col("_hit"), F.coalesce("retry_run", F.lit(run_id))).otherwise(F.col("retry_run"))).drop("_hit")
 
 
 def repository_of_failures(failures: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -127,19 +179,6 @@ def exit_code(outcome):
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in EXIT_CODES.items() for x in kv]), outcome)
 
 
-def failed_repositories(failures: DataFrame, jobs: DataFrame) -> DataFrame:
-    """failures with a repository: their own, else that of the first job of equal target and fitting family."""
-    first = jobs.groupBy("run_id", "target", "family").agg(F.min("job_no").alias("job_no"))
-    return failures.join(first, ["run_id", "target", "family"], "left")
-
-
 def job_rows(runs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs with their runs, and the outcome of the run."""
     return jobs.join(runs.withColumnRenamed("status", "run_status"), "run_id")
-
-
-def resolve(failures: DataFrame, done: DataFrame, retry_run: int) -> DataFrame:
-    """failures with those of equal target, scope and family in done marked resolved; the first retry run stays."""
-    hit = done.select("target", "scope_key", "family").distinct().withColumn("_hit", F.lit(True))
-    rows = failures.join(hit, ["target", "scope_key", "family"], "left")
-    return rows.withColumn("resolved", F.col("resolved") | F.coalesce("_hit", F.lit(False))).withColumn("retry_run", F.when(F.col("_hit"), F.coalesce("retry_run", F.lit(retry_run))).otherwise(F.col("retry_run"))).drop("_hit")

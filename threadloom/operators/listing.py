@@ -9,6 +9,8 @@ from threadloom.functions.text import ascii_lower
 from threadloom.sources.archive import FAMILIES
 
 SORTS = ("relevance", "updated", "created")
+#: The longest prefix of an order that a page sorts for.
+DEEP = 100_000
 
 
 def check_page(limit: int, offset: int) -> None:
@@ -59,9 +61,17 @@ def sort_order(sort: str, matched: bool = False) -> list[Column]:
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset .. offset + limit of an order with their position, and next_offset where another row follows.
 
-    Top-k over the prefix of the order; one row more than the page tells whether there is a next one.
+    Top-k over the prefix of the order; one row more than the page tells whether there is a next one. A prefix longer than DEEP rows is
+    numbered in ranges of the order instead, so pages at any offset can be asked for.
     """
     check_page(limit, offset)
+    if offset + limit >= DEEP:
+        from threadloom.operators.ordering import dense_index
+
+        every = dense_index(rows, order, "position")
+        mine = every.where((F.col("position") >= offset) & (F.col("position") <= offset + limit))
+        more = mine.agg(F.max("position").alias("m")).select((F.col("m") == offset + limit).alias("more")).scalar()
+        return mine.where(F.col("position") < offset + limit).withColumn("next_offset", F.when(more, F.lit(offset + limit).cast("long")))
     head = rows.orderBy(*order).limit(offset + limit + 1)
     from pyspark.sql import Window
 
@@ -70,6 +80,14 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return numbered.where((F.col("position") >= offset) & (F.col("position") < offset + limit)).withColumn("next_offset", next_offset).drop("found")
 
 
+def ordered_repositories(repositories: DataFrame) -> DataFrame:
+    """Repositories with their position: by host, owner, name (A-Z and a-z alike) and id."""
+    from threadloom.operators.ordering import dense_index
+
+    part = lambda n: ascii_lower(F.split_part("full_name", F.lit("/"), F.lit(n)))
+    return dense_index(repositories, [F.col("host"), part(1), part(2), F.col("repo_id")], "position")
+
+
 def find_repository(threads: DataFrame, full_name: str) -> DataFrame:
     """Repositories of a name, A-Z and a-z alike."""
     return threads.where(ascii_lower(F.col("full_name")) == ascii_lower(F.lit(full_name))).select("host", "repo_id", "full_name").distinct()
@@ -110,17 +128,6 @@ def page_with_coverage(threads: DataFrame, coverage: DataFrame, sort: str, limit
     return rows.join(states.select("thread_id", text.alias("coverage")), "thread_id", "left")
 
 
-def is_stale(kind: str, clock_matches: Column, status: Column, item_count: Column, expected_count: Column, head: Column, current_head: Column) -> Column:
-    """Staleness of recorded child evidence: its clock, complete count or head no longer fits the parent."""
-    if kind in ("threads", "pull_request_metadata"):
-        return F.lit(False)
-    if kind == "comments":
-        fits = F.when(status == "complete", expected_count.isNotNull() & (expected_count == item_count)).otherwise(F.lit(True))
-    else:
-        fits = head.eqNullSafe(current_head)
-    return (status != "missing") & ~(clock_matches & fits)
-
-
 def coverage_context(threads: DataFrame, coverage: DataFrame, heads: DataFrame) -> DataFrame:
     """Thread x applicable family with status and whether recorded child evidence no longer fits its parent.
 
@@ -183,29 +190,55 @@ def children(rows: DataFrame, thread_id: int | None = None) -> DataFrame:
     return mine.withColumn("position", F.row_number().over(Window.partitionBy("thread_id").orderBy("provider_id")))
 
 
-def thread_detail(threads: DataFrame, coverage: DataFrame, comments: DataFrame, number: int) -> DataFrame:
-    """One thread with its coverage and its comments in order of identity."""
-    one = threads.where(F.col("number") == number)
-    children = comments.join(one.select("thread_id"), "thread_id", "left_semi").groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("provider_id", "author"))).alias("c"))
-    states = with_coverage(one.select("thread_id", "kind"), coverage).groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("rank", "family", "status"))).alias("s"))
-    return one.join(children, "thread_id", "left").join(states, "thread_id", "left").select(
-        "thread_id", "full_name", "kind", "state", "title",
-        F.coalesce(F.size("c"), F.lit(0)).alias("n_comments"),
-        F.array_join(F.transform("c", lambda c: F.concat(c["provider_id"], F.lit(":"), c["author"])), ",").alias("comments"),
-        F.array_join(F.transform("s", lambda c: F.concat(c["family"], F.lit("="), c["status"])), ";").alias("coverage"),
-    )
+def thread_detail(threads: DataFrame, coverage: DataFrame, families: dict[str, DataFrame], host: str, repo_id: str, number: int) -> DataFrame:
+    """One row: the thread of a repository with its coverage, the members of all its child families and its timeline.
+
+    families: comments, reviews and review_threads as timeline() takes them, and pull_request_metadata; those missing are empty.
+    Members are arrays in order of their identity; coverage is an array of (rank, family, status).
+    """
+    one = threads.where((F.col("host") == host) & (F.col("repo_id") == repo_id) & (F.col("number") == number))
+    ids = one.select("thread_id")
+    states = with_coverage(one.select("thread_id", "kind"), coverage).groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("rank", "family", "status"))).alias("coverage"))
+    out = one.join(states, "thread_id", "left")
+    for name in ("comments", "pull_request_metadata", "reviews", "review_threads"):
+        rows = families.get(name)
+        if rows is None:
+            continue
+        mine = rows.join(ids, "thread_id", "left_semi")
+        order = [c for c in ("provider_id",) if c in rows.columns]
+        item = F.struct(*order, *[c for c in rows.columns if c not in ("thread_id", *order)])
+        out = out.join(mine.groupBy("thread_id").agg(F.sort_array(F.collect_list(item)).alias(name)), "thread_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    empty = threads.sparkSession.createDataFrame([], "thread_id bigint, provider_id string, author string, body string, created_at_us bigint")
+    events = timeline(one, families.get("comments", empty), families.get("reviews"), families.get("review_threads"))
+    line = events.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("position", "at_us", "code", "key", "wording"))).alias("timeline"))
+    return out.join(line, "thread_id", "left")
 
 
 def constraint_violations(threads: DataFrame, comments: DataFrame) -> DataFrame:
-    """Health: rows that break a key, a reference or a domain, by check."""
-    spark = threads.sparkSession
-    checks = {
-        "duplicate_thread_identity": threads.groupBy("host", "repo_id", "number").count().where("count > 1"),
-        "unknown_kind": threads.where("kind NOT IN ('issue', 'pull_request') OR kind IS NULL"),
-        "comment_without_thread": comments.join(threads.select("thread_id"), "thread_id", "left_anti"),
-        "closed_before_created": threads.where("state = 'closed' AND updated_at_us < created_at_us"),
-    }
-    out = spark.createDataFrame([], "check_name string, violations long")
-    for name, bad in checks.items():
-        out = out.unionByName(bad.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations"))
-    return out
+    """check_name, violations: rows that break a key, a reference or a domain. One pass over the threads and one over the comments."""
+    keys = threads.groupBy("host", "repo_id", "number").agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("kind").isin("issue", "pull_request"), F.lit(False))).alias("kinds"),
+        F.count_if((F.col("state") == "closed") & (F.col("updated_at_us") < F.col("created_at_us"))).alias("times"),
+    ).agg(F.count_if(F.col("n") > 1).alias("duplicate_thread_identity"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("unknown_kind"), F.coalesce(F.sum("times"), F.lit(0)).alias("closed_before_created"))
+    orphans = comments.join(threads.select("thread_id"), "thread_id", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("comment_without_thread").alias("check_name"), "violations")
+    return keys.unpivot([], ["duplicate_thread_identity", "unknown_kind", "closed_before_created"], "check_name", "violations").unionByName(orphans)
+
+
+def health(checks: DataFrame) -> DataFrame:
+    """checks (check_name, violations) with `healthy`, and a last row `archive` that is healthy where all are."""
+    each = checks.select("check_name", "violations", (F.col("violations") == 0).alias("healthy"))
+    return each.unionByName(each.agg(F.lit("archive").alias("check_name"), F.sum("violations").alias("violations"), F.bool_and("healthy").alias("healthy")))
+
+
+def eligible_threads(threads: DataFrame) -> DataFrame:
+    """host, repo_id, eligible: the open threads that a repository's clusters may hold; repositories without any count 0."""
+    return threads.groupBy("host", "repo_id").agg(F.count_if(F.col("state") == "open").alias("eligible"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The distinct keys, in the order in which rows first name them, with their position."""
+    from threadloom.operators.ordering import dense_index
+
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    return dense_index(first, [F.col("_first"), *map(F.col, keys)], "position").drop("_first")

@@ -26,9 +26,22 @@ def conflicts(log: DataFrame, keys: list[str], payload: str, clock: str = "sourc
     return log.groupBy(*keys, clock, sequence).agg(F.count_distinct(payload).alias("payloads")).where("payloads > 1")
 
 
-def unusable_clocks(log: DataFrame, keys: list[str], raw: str) -> DataFrame:
-    """Keys seen with two different clocks that can't be read; their order is unknown."""
-    return log.where(F.col(raw).isNotNull()).groupBy(*keys).agg(F.count_distinct(raw).alias("clocks")).where("clocks > 1")
+def canonical_strict(log: DataFrame, keys: list[str], payload: list[str], raw: str = "raw_clock", clock: str = "source_clock", sequence: str = "sequence") -> DataFrame:
+    """canonical(), but a key without any usable clock whose unusable ones differ is an error: nothing says which came first.
+
+    raw is a clock as the provider wrote it; spellings that differ in outer white space alone are one, and a missing one is a spelling too.
+    """
+    spelling = F.when(F.col(clock).isNull(), F.trim(F.coalesce(raw, F.lit(""))))
+    row = F.struct(*[F.col(c) for c in (*payload, clock, sequence)])
+    best = log.groupBy(*keys).agg(F.max_by(row, priority(F.col(clock), F.col(sequence))).alias("w"), F.max(clock).isNotNull().alias("_usable"), F.count_distinct(spelling).alias("_spellings"))
+    bad = ~F.col("_usable") & (F.col("_spellings") > 1)
+    return best.select(*keys, F.when(bad, F.raise_error(F.lit("two unusable source clocks of one observation")).cast("string").isNull()).otherwise(F.lit(True)).alias("_ok"), "w").where("_ok").select(*keys, "w.*")
+
+
+def ambiguous_keys(log: DataFrame, keys: list[str], raw: str = "raw_clock", clock: str = "source_clock") -> DataFrame:
+    """Keys that canonical_strict() refuses."""
+    spelling = F.when(F.col(clock).isNull(), F.trim(F.coalesce(raw, F.lit(""))))
+    return log.groupBy(*keys).agg(F.max(clock).alias("_c"), F.count_distinct(spelling).alias("spellings")).where("_c IS NULL AND spellings > 1").select(*keys, "spellings")
 
 
 def dispositions(log: DataFrame, current: DataFrame, keys: list[str], payload: str, clock: str = "source_clock", sequence: str = "sequence") -> DataFrame:
@@ -77,6 +90,23 @@ def reusable_families(coverage: DataFrame, members: DataFrame, expected: DataFra
     return rows.select("thread_id", "family", F.coalesce(ok, F.lit(False)).alias("reusable"))
 
 
+HEAD_FAMILIES = ("reviews", "review_threads")
+
+
+def current_for_head(coverage: DataFrame, members: DataFrame, expected: DataFrame) -> DataFrame:
+    """thread_id, family, reusable: reviews and review threads that are complete, of the expected clock and pull-request head, and
+    have as many members as they say.
+
+    coverage: thread_id, family, status, clock, item_count, head_sha. expected: thread_id, family, expected_clock, current_head; a head that isn't
+    known fits nothing, and other families are refused.
+    """
+    held = members.groupBy("thread_id", "family").agg(F.count("*").alias("held"))
+    rows = expected.join(coverage, ["thread_id", "family"], "left").join(held, ["thread_id", "family"], "left")
+    fits = (F.col("status") == "complete") & F.col("clock").eqNullSafe(F.col("expected_clock")) & (F.col("head_sha") == F.col("current_head")) & (F.coalesce("held", F.lit(0)) == F.col("item_count"))
+    family = F.when(F.col("family").isin(*HEAD_FAMILIES), F.col("family")).otherwise(F.raise_error(F.concat(F.lit("no head belongs to "), F.col("family"))).cast("string"))
+    return rows.select("thread_id", family.alias("family"), F.coalesce(fits, F.lit(False)).alias("reusable"))
+
+
 def scan_window(rows: DataFrame, at: str, watermark_us: Column) -> DataFrame:
     """Rows of the next scan: from a day before the watermark on."""
     from threadloom.functions.identity import overlap_start

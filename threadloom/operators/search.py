@@ -377,3 +377,9 @@ def hybrid_search(threads: DataFrame, chunks: DataFrame, tree, query: list[float
     top = fused(keyword, semantic, sort).limit(k)
     numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
     return numbered.where((F.col("position") >= offset) & (F.col("position") < offset + limit))
+
+
+def finite_positive(scored: DataFrame, score: str = "score") -> DataFrame:
+    """Rows whose score is a finite number above 0."""
+    x = F.col(score)
+    return scored.where((x > 0) & ~F.isnan(x) & (x < float("inf")))

@@ -61,16 +61,20 @@ def _(s, d):
     return search.keyword_search(relation(s, d, "threads"), search.plain_expression("***")).select(*cols(), "bm25")
 
 
-@query("B12_finite_positive", "SELECT thread_id, chunk_index, round(list_cosine_similarity(vector, (SELECT embedding FROM embeddings WHERE vec_id = 0))::DOUBLE, 4) AS score FROM chunks WHERE list_cosine_similarity(vector, (SELECT embedding FROM embeddings WHERE vec_id = 0)) > 0", "chunks")
+@query("B12_finite_positive", "SELECT thread_id, chunk_index, round(list_cosine_similarity(vector, (SELECT embedding FROM embeddings WHERE vec_id = 0))::DOUBLE, 4) AS score FROM chunks WHERE list_cosine_similarity(vector, (SELECT embedding FROM embeddings WHERE vec_id = 0)) > 0 AND thread_id % 7 <> 0 AND thread_id % 11 <> 0 AND thread_id % 13 <> 0", "chunks")
 def _(s, d):
     q = _vector(s, d, 0)
     c = relation(s, d, "chunks").select("thread_id", "chunk_index", vectors.cosine(F.col("vector"), F.array(*[F.lit(x) for x in q])).alias("score"))
-    return c.where("score > 0 AND NOT isnan(score)").withColumn("score", F.round("score", 4))
+    # Some scores are no numbers, infinite or 0.
+    odd = c.withColumn("score", F.expr("CASE WHEN thread_id % 7 = 0 THEN double('NaN') WHEN thread_id % 11 = 0 THEN double('Infinity') WHEN thread_id % 13 = 0 THEN 0D ELSE score END"))
+    return search.finite_positive(odd).withColumn("score", F.round("score", 4))
 
 
-@query("B13_not_bots", "SELECT thread_id, provider_id, author FROM comments WHERE NOT is_bot", "comments")
+@query("B13_not_bots", "SELECT thread_id, provider_id, author FROM comments WHERE NOT (author = 'user' AND provider_id::INT % 4 IN (0, 2))", "comments")
 def _(s, d):
-    return relation(s, d, "comments").where(~F.col("is_bot")).select("thread_id", "provider_id", "author")
+    """User types in several cases, and unknown ones."""
+    kind = F.expr("CASE WHEN author <> 'user' THEN CASE WHEN thread_id % 2 = 0 THEN 'User' END WHEN provider_id % 4 = 0 THEN 'BOT' WHEN provider_id % 4 = 2 THEN 'Bot' WHEN provider_id % 4 = 1 THEN 'robot' END")
+    return documents.without_bots(relation(s, d, "comments").withColumn("user_type", kind)).select("thread_id", "provider_id", "author")
 
 
 @query("B15_C3_C4_coverage", "SELECT t.thread_id, f.family, coalesce(c.status, 'missing') AS status FROM threads t JOIN families f ON NOT f.pull_request_only OR t.kind = 'pull_request' LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = f.family", "threads")
@@ -89,12 +93,21 @@ def _(s, d):
     return relation(s, d, "threads").select("thread_id").join(stored, "thread_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
-@query("B23_B24_health", """SELECT 'duplicate_thread_identity' AS check_name, count(*) AS violations FROM (SELECT 1 FROM threads GROUP BY host, repo_id, number HAVING count(*) > 1)
-UNION ALL SELECT 'unknown_kind', count(*) FROM threads WHERE kind NOT IN ('issue', 'pull_request') OR kind IS NULL
-UNION ALL SELECT 'comment_without_thread', count(*) FROM comments WHERE thread_id NOT IN (SELECT thread_id FROM threads)
-UNION ALL SELECT 'closed_before_created', count(*) FROM threads WHERE state = 'closed' AND updated_at_us < created_at_us""", "threads", "comments")
+@query("B23_B24_health", """WITH_CHECKS SELECT check_name, violations, violations = 0 AS healthy FROM ch UNION ALL SELECT 'archive', sum(violations)::BIGINT, bool_and(violations = 0) FROM ch""", "threads", "comments")
 def _(s, d):
-    return listing.constraint_violations(relation(s, d, "threads"), relation(s, d, "comments"))
+    """An archive with some of each fault."""
+    t = relation(s, d, "threads").withColumn("number", F.expr("CASE WHEN thread_id % 50 = 21 THEN number - 20 ELSE number END")).withColumn("kind", F.expr("CASE WHEN thread_id % 40 = 3 THEN 'poll' WHEN thread_id % 40 = 4 THEN NULL ELSE kind END"))
+    return listing.health(listing.constraint_violations(t, relation(s, d, "comments").withColumn("thread_id", F.expr("CASE WHEN thread_id % 30 = 5 THEN -thread_id ELSE thread_id END"))))
+
+
+CHECKS = """,
+ft AS (SELECT * REPLACE (CASE WHEN thread_id % 50 = 21 THEN number - 20 ELSE number END AS number, CASE WHEN thread_id % 40 = 3 THEN 'poll' WHEN thread_id % 40 = 4 THEN NULL ELSE kind END AS kind) FROM threads),
+ch AS (SELECT 'duplicate_thread_identity' AS check_name, count(*) AS violations FROM (SELECT 1 FROM ft GROUP BY host, repo_id, number HAVING count(*) > 1)
+UNION ALL SELECT 'unknown_kind', count(*) FROM ft WHERE kind NOT IN ('issue', 'pull_request') OR kind IS NULL
+UNION ALL SELECT 'comment_without_thread', count(*) FROM comments WHERE CASE WHEN thread_id % 30 = 5 THEN -thread_id ELSE thread_id END NOT IN (SELECT thread_id FROM threads)
+UNION ALL SELECT 'closed_before_created', count(*) FROM ft WHERE state = 'closed' AND updated_at_us < created_at_us)
+"""
+SQL["B23_B24_health"] = SQL["B23_B24_health"].replace("\nWITH_CHECKS ", CHECKS)
 
 
 @query("C1_thread_list", "SELECT t.thread_id, t.title, r.newest FROM threads t JOIN (SELECT host, repo_id, max(updated_at_us) AS newest FROM threads GROUP BY host, repo_id) r USING (host, repo_id)", "threads")
@@ -129,10 +142,12 @@ def _(s, d):
     return _page(s, d, "updated", 20, 40, kind="issue")
 
 
-@query("F3_repository_order", "SELECT host, repo_id, full_name, row_number() OVER (ORDER BY host, lower(full_name), repo_id) AS position FROM (SELECT DISTINCT host, repo_id, full_name FROM threads)", "threads")
+@query("F3_repository_order", """SELECT host, repo_id, full_name, row_number() OVER (ORDER BY host, lower(split_part(full_name, '/', 1)), lower(split_part(full_name, '/', 2)), repo_id) - 1 AS position
+FROM (SELECT DISTINCT CASE WHEN thread_id % 3 = 0 THEN 'a.example' ELSE host END AS host, repo_id, concat(CASE thread_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'A-b' WHEN 2 THEN 'a.c' ELSE 'org' END, '/', repo_id) AS full_name FROM threads)""", "threads")
 def _(s, d):
-    r = repositories(relation(s, d, "threads")).select("host", "repo_id", "full_name")
-    return r.withColumn("position", F.row_number().over(Window.partitionBy("host").orderBy(text.ascii_lower(F.col("full_name")), "repo_id")).cast("long"))
+    """Owners of which one begins with another, on two hosts."""
+    t = relation(s, d, "threads").withColumn("host", F.expr("CASE WHEN thread_id % 3 = 0 THEN 'a.example' ELSE host END")).withColumn("full_name", F.expr("concat(CASE thread_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'A-b' WHEN 2 THEN 'a.c' ELSE 'org' END, '/', repo_id)"))
+    return listing.ordered_repositories(repositories(t).select("host", "repo_id", "full_name"))
 
 
 @query("C8_page_with_coverage", f"""SELECT p.thread_id, string_agg(f.family || '=' || coalesce(c.status, 'missing'), ';' ORDER BY f.rank) AS coverage
@@ -142,14 +157,6 @@ def _(s, d):
     return listing.page_with_coverage(relation(s, d, "threads"), coverage(s, d), "updated", 20).select("thread_id", "coverage")
 
 
-@query("C24_thread_detail", """SELECT t.thread_id, t.full_name, t.kind, t.state, t.title, (SELECT count(*) FROM comments c WHERE c.thread_id = t.thread_id) AS n_comments,
-(SELECT string_agg(provider_id || ':' || author, ',' ORDER BY provider_id) FROM comments c WHERE c.thread_id = t.thread_id) AS comments,
-(SELECT string_agg(f.family || '=' || coalesce(c.status, 'missing'), ';' ORDER BY f.rank) FROM families f LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = f.family WHERE NOT f.pull_request_only OR t.kind = 'pull_request') AS coverage
-FROM threads t WHERE t.number = 7""", "threads", "comments")
-def _(s, d):
-    return listing.thread_detail(relation(s, d, "threads"), coverage(s, d), relation(s, d, "comments"), 7)
-
-
 def _review_threads(s, d):
     """Each with one comment of its own."""
     own = F.array(F.struct(F.concat(F.lit("c"), "provider_id").alias("provider_id"), "author", (F.col("author") == "system").alias("is_bot"), "body", "created_at_us"))
@@ -171,6 +178,28 @@ def _(s, d):
     return listing.timeline(t, relation(s, d, "comments"), relation(s, d, "reviews"), _review_threads(s, d)).withColumn("position", F.col("position").cast("long"))
 
 
+@query("C24_thread_detail")
+def _(s, d):
+    """A pull request with all its families, among threads of other repositories that have its number."""
+    t = relation(s, d, "threads").withColumn("number", F.expr("CASE WHEN thread_id IN (7, 8, 9) THEN 7 ELSE number END"))
+    r = relation(s, d, "heads").selectExpr("thread_id", "head_sha", "is_pull_request")
+    one = listing.thread_detail(t, coverage(s, d), {"comments": relation(s, d, "comments"), "reviews": relation(s, d, "reviews"), "review_threads": _review_threads(s, d), "pull_request_metadata": r.where("is_pull_request")}, HOST, "src6", 7)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["provider_id"]), ",").alias(c)
+    return one.select(
+        "thread_id", "full_name", "kind", "state", "title", F.array_join(F.transform("coverage", lambda c: F.concat(c["family"], F.lit("="), c["status"])), ";").alias("coverage"), ids("comments"), ids("reviews"), ids("review_threads"),
+        F.array_join(F.transform("pull_request_metadata", lambda x: x["head_sha"]), ",").alias("heads"), F.array_join(F.transform("timeline", lambda x: F.concat(x["code"].cast("string"), F.lit(":"), x["wording"])), "|").alias("timeline"),
+    )
+
+
+SQL["C24_thread_detail"] = with_relations("", "threads", "comments", "reviews", "review_threads", "heads").rstrip() + ",\nline AS (" + SQL["F14_H32_timeline"][SQL["F14_H32_timeline"].index("SELECT thread_id, row_number()"):] + """)
+SELECT t.thread_id, t.full_name, t.kind, t.state, t.title,
+(SELECT string_agg(f.family || '=' || coalesce(c.status, 'missing'), ';' ORDER BY f.rank) FROM families f LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = f.family WHERE NOT f.pull_request_only OR t.kind = 'pull_request') AS coverage,
+(SELECT coalesce(string_agg(provider_id, ',' ORDER BY provider_id), '') FROM comments c WHERE c.thread_id = t.thread_id) AS comments, (SELECT coalesce(string_agg(provider_id, ',' ORDER BY provider_id), '') FROM reviews c WHERE c.thread_id = t.thread_id) AS reviews,
+(SELECT coalesce(string_agg(provider_id, ',' ORDER BY provider_id), '') FROM review_threads c WHERE c.thread_id = t.thread_id) AS review_threads, (SELECT coalesce(string_agg(head_sha, ','), '') FROM heads h WHERE h.thread_id = t.thread_id AND h.is_pull_request) AS heads,
+(SELECT string_agg(code || ':' || wording, '|' ORDER BY position) FROM line l WHERE l.thread_id = t.thread_id) AS timeline
+FROM threads t WHERE t.thread_id = 7"""
+
+
 @query("D1_coverage_totals", """SELECT f.family, f.rank, count(t.thread_id) AS applicable, count(*) FILTER (t.thread_id IS NOT NULL AND c.status IS NULL) AS missing,
 count(*) FILTER (c.status = 'incomplete') AS incomplete, count(*) FILTER (c.status = 'complete') AS complete
 FROM families f LEFT JOIN threads t ON NOT f.pull_request_only OR t.kind = 'pull_request' LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = f.family GROUP BY f.family, f.rank""", "threads")
@@ -183,12 +212,6 @@ def _(s, d):
     return listing.counts_by_kind(relation(s, d, "threads"))
 
 
-@query("D3_work_diagnostics", """SELECT (SELECT count(*) FROM runs) AS runs, (SELECT count(*) FROM runs WHERE status = 'in_progress') AS runs_in_progress, count(*) AS jobs,
-count(*) FILTER (status = 'failed' AND NOT resolved) AS unresolved_failures, count(*) FILTER (status = 'deferred') AS deferred_jobs FROM jobs""", "runs", "jobs")
-def _(s, d):
-    return ledger.diagnostics(relation(s, d, "runs"), relation(s, d, "jobs"))
-
-
 @query("D4_unresolved_by_family", "SELECT f.family, count(j.run_id) AS unresolved FROM families f LEFT JOIN jobs j ON j.family = f.family AND j.status = 'failed' AND NOT j.resolved GROUP BY f.family", "jobs")
 def _(s, d):
     return ledger.unresolved_by_family(relation(s, d, "jobs"))
@@ -203,16 +226,22 @@ def _(s, d):
     return ledger.run_outcomes(relation(s, d, "jobs"))
 
 
-@query("D15_D23_stage_outcome", f"""SELECT CASE WHEN bool_or(outcome = 'interrupted') THEN 'interrupted' WHEN bool_and(outcome = 'complete') THEN 'complete' WHEN bool_or(outcome IN ('complete', 'partial')) THEN 'partial'
-WHEN bool_and(outcome = 'deferred') THEN 'deferred' ELSE 'failed' END AS outcome FROM (SELECT {OUTCOME_CASE} AS outcome FROM ({OUTCOME}))""", "jobs")
+@query("D23_retry_summary", f"""SELECT batch, count(*) AS runs, CASE WHEN count(*) = count(*) FILTER (outcome = 'complete') THEN 'complete' WHEN count(*) FILTER (outcome = 'interrupted') > 0 THEN 'interrupted' WHEN count(*) = count(*) FILTER (outcome = 'failed') THEN 'failed'
+WHEN count(*) = count(*) FILTER (outcome = 'deferred') THEN 'deferred' ELSE 'partial' END AS status FROM (SELECT run_id // 8 AS batch, {OUTCOME_CASE} AS outcome FROM ({OUTCOME.replace("FROM jobs", "FROM (SELECT * FROM jobs WHERE job_no = 1)")})) GROUP BY batch""", "jobs")
 def _(s, d):
-    return ledger.stage_outcome(ledger.run_outcomes(relation(s, d, "jobs")))
+    """Runs of one job each, a few to a batch, so that batches fail, defer and mix."""
+    runs = ledger.run_outcomes(relation(s, d, "jobs").where("job_no = 1"))
+    return ledger.retry_summaries(runs.withColumn("batch", F.floor(F.col("run_id") / 8)), "batch")
 
 
-@query("D19_F18_retry_scopes", """SELECT target, scope_key, bool_or(family = 'comments') AS include_comments, bool_or(family = 'reviews') AS include_reviews, bool_or(family = 'review_threads') AS include_review_threads, count(*) AS failures
-FROM jobs WHERE status = 'failed' AND NOT resolved GROUP BY target, scope_key""", "jobs")
+@query("D15_refresh_outcome", """SELECT refresh_id, outcome, CASE WHEN outcome = 'interrupted' THEN n END AS pending_items, CASE WHEN outcome = 'partial' THEN n END AS failed_items, CASE WHEN outcome = 'partial' THEN deferred END AS deferred_items, remaining FROM (
+SELECT run_id AS refresh_id, count(*) FILTER (status <> 'complete') AS n, count(*) FILTER (status = 'deferred') AS deferred, coalesce(string_agg(stage, ',' ORDER BY position) FILTER (status <> 'complete'), '') AS remaining,
+CASE WHEN bool_and(status = 'complete') THEN 'complete' WHEN bool_or(status = 'interrupted') THEN 'interrupted' ELSE 'partial' END AS outcome FROM (
+SELECT run_id, job_no AS position, ['sync', 'embeddings', 'clusters'][job_no] AS stage, CASE WHEN part % 9 = 0 THEN 'interrupted' ELSE status END AS status FROM jobs WHERE job_no <= 3) GROUP BY run_id)""", "jobs")
 def _(s, d):
-    return ledger.retry_scopes(relation(s, d, "jobs"))
+    """The first three jobs of each run as the stages of a refresh."""
+    stages = relation(s, d, "jobs").where("job_no <= 3").selectExpr("run_id AS refresh_id", "job_no AS position", "element_at(array('sync', 'embeddings', 'clusters'), cast(job_no AS int)) AS stage", "CASE WHEN part % 9 = 0 THEN 'interrupted' ELSE status END AS status")
+    return ledger.refresh_outcomes(stages)
 
 
 @query("C10_job_rows", "SELECT j.run_id, r.status AS run_status, j.status, count(*) AS n FROM jobs j JOIN runs r USING (run_id) GROUP BY ALL", "runs", "jobs")
@@ -220,12 +249,6 @@ def _(s, d):
     return ledger.job_rows(relation(s, d, "runs"), relation(s, d, "jobs")).groupBy("run_id", "run_status", "status").agg(F.count("*").alias("n"))
 
 
-@query("C19_failed_repositories", """SELECT f.run_id, f.target, f.family, f.part, (SELECT min(job_no) FROM jobs j WHERE j.run_id = f.run_id AND j.target = f.target AND j.family = f.family) AS first_job FROM jobs f WHERE f.status = 'failed' AND NOT f.resolved""", "jobs")
-def _(s, d):
-    j = relation(s, d, "jobs")
-    return ledger.failed_repositories(ledger.selected_failures(j).drop("job_no"), j).select("run_id", "target", "family", "part", F.col("job_no").alias("first_job"))
-
-
 @query("F6_latest_runs", "SELECT run_id, status FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 30", "runs")
 def _(s, d):
     return ledger.latest_runs(relation(s, d, "runs"), 30).select("run_id", "status")
@@ -236,12 +259,6 @@ def _(s, d):
     return ledger.recent_failures(relation(s, d, "runs")).select("run_id", "status")
 
 
-@query("I15_resolve_failures", "SELECT run_id, job_no, part, resolved OR family = 'comments' AS resolved, CASE WHEN family = 'comments' THEN 9 END AS retry_run FROM jobs WHERE status = 'failed'", "jobs")
-def _(s, d):
-    f = relation(s, d, "jobs").where("status = 'failed'").withColumn("retry_run", F.lit(None).cast("int"))
-    return ledger.resolve(f, f.where("family = 'comments'"), 9).select("run_id", "job_no", "part", "resolved", "retry_run")
-
-
 TOK = r"regexp_extract_all(lower(strip_accents(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
 BM25_BASE = f"""tok AS (SELECT *, {TOK.format(c='title')} AS t, {TOK.format(c='body')} AS b FROM threads),
 cnt AS (SELECT *, len(t) + len(b) AS n_tok, {{counts}} FROM tok),
@@ -643,13 +660,15 @@ UNION ALL SELECT id, key, 'active', head, 2, NULL FROM fresh"""
 
 @query("C22_D6_cluster_summary")
 def _(s, d):
+    """Titles of canonical members, where a cluster has one, then of representatives, then of the lowest active number."""
     t, g, _ = _clusterings(s, d)
     m = g.withColumn("state", F.when(F.col("thread_id") % 13 == 0, "excluded").otherwise("active")).withColumn("representative", F.when(F.col("cluster") % 2 == 0, F.col("cluster") * 7 + 3))
-    return clustering.cluster_summaries(m, t)
+    canonical = g.where("cluster % 3 = 0 AND thread_id % 7 = 5").select("cluster", "thread_id")
+    return clustering.cluster_summaries(m, t, canonical)
 
 
-SQL["C22_D6_cluster_summary"] = with_relations("", "threads").rstrip() + f""",\n{CLUSTERS}, m AS (SELECT g.*, CASE WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state, CASE WHEN cluster % 2 = 0 THEN cluster * 7 + 3 END AS representative FROM g)
-SELECT m.cluster, count(*) FILTER (m.state = 'active') AS active, count(*) FILTER (m.state = 'excluded') AS excluded, first(t.title ORDER BY (m.thread_id = m.representative) IS NOT TRUE, m.state <> 'active', t.number) AS title FROM m JOIN threads t USING (thread_id) GROUP BY m.cluster"""
+SQL["C22_D6_cluster_summary"] = with_relations("", "threads").rstrip() + f""",\n{CLUSTERS}, m AS (SELECT g.*, CASE WHEN thread_id % 13 = 0 THEN 'excluded' ELSE 'active' END AS state, CASE WHEN cluster % 2 = 0 THEN cluster * 7 + 3 END AS representative, CASE WHEN cluster % 3 = 0 THEN cluster * 7 + 5 END AS canonical FROM g)
+SELECT m.cluster, count(*) FILTER (m.state = 'active') AS active, count(*) FILTER (m.state = 'excluded') AS excluded, first(t.title ORDER BY (m.thread_id = m.canonical) IS NOT TRUE, (m.thread_id = m.representative) IS NOT TRUE, m.state <> 'active', t.number) AS title FROM m JOIN threads t USING (thread_id) GROUP BY m.cluster"""
 
 LATEST = "row_number() OVER (PARTITION BY thread_id, family ORDER BY source_clock DESC NULLS LAST, sequence DESC) = 1"
 
@@ -703,6 +722,18 @@ def _(s, d):
     return observations.scan_window(relation(s, d, "threads"), "updated_at_us", F.lit(EPOCH_US + 1_000_000_000_000)).select("thread_id", "updated_at_us")
 
 
+@query("D16_eligible_threads", "SELECT host, repo_id, count(*) FILTER (state = 'open') AS eligible FROM threads GROUP BY host, repo_id", "threads")
+def _(s, d):
+    return listing.eligible_threads(relation(s, d, "threads"))
+
+
+@query("D17_first_seen_repositories", "SELECT host, repo_id, row_number() OVER (ORDER BY min((number * 7919) % 1009 * 100000 + thread_id)) - 1 AS position FROM threads GROUP BY host, repo_id", "threads")
+def _(s, d):
+    """Repositories in the order in which a list of threads names them."""
+    t = relation(s, d, "threads").withColumn("place", F.expr("(number * 7919) % 1009 * 100000 + thread_id"))
+    return listing.first_seen(t, ["host", "repo_id"], ["place"])
+
+
 @query("B21_reusable_families", """SELECT t.thread_id, 'comments' AS family, coalesce(c.status = 'complete' AND (SELECT count(*) FROM comments m WHERE m.thread_id = t.thread_id) = t.thread_id % 8, false) AS reusable FROM threads t LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = 'comments'""", "threads", "comments")
 def _(s, d):
     t = relation(s, d, "threads")
@@ -711,6 +742,42 @@ def _(s, d):
     return observations.reusable_families(cov, relation(s, d, "comments").withColumn("family", F.lit("comments")), want)
 
 
+@query("B21_reusable_for_head")
+def _(s, d):
+    """Reviews against the head of their pull request; heads, clocks, counts and statuses that fit and don't."""
+    state, heads = relation(s, d, "review_state"), relation(s, d, "heads")
+    t = relation(s, d, "threads")
+    held = relation(s, d, "reviews").withColumn("family", F.lit("reviews"))
+    cov = state.withColumn("clock", F.col("clock_us")).withColumn("item_count", F.col("thread_id") % 8)
+    want = t.join(heads, "thread_id").select("thread_id", F.lit("reviews").alias("family"), F.col("updated_at_us").alias("expected_clock"), F.expr("CASE WHEN is_pull_request THEN head_sha END").alias("current_head"))
+    return observations.current_for_head(cov, held, want)
+
+
+SQL["B21_reusable_for_head"] = with_relations("", "threads", "reviews", "review_state", "heads").rstrip() + """
+SELECT t.thread_id, 'reviews' AS family, coalesce(c.status = 'complete' AND c.clock_us IS NOT DISTINCT FROM t.updated_at_us AND c.head_sha = CASE WHEN h.is_pull_request THEN h.head_sha END AND (SELECT count(*) FROM reviews m WHERE m.thread_id = t.thread_id) = t.thread_id % 8, false) AS reusable
+FROM threads t JOIN heads h USING (thread_id) LEFT JOIN review_state c ON c.thread_id = t.thread_id"""
+
+RAW = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN ' soon ' WHEN event_id % 3 = 1 THEN 'soon' ELSE 'later' END"
+
+
+def raw_observations(s, d):
+    """Observations of which most have no usable clock."""
+    e = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id * 10 + event_id % 10 AS k", "event_id AS sequence", "value AS payload", f"CASE WHEN event_id % 10 < 3 THEN ts END AS source_clock", f"{RAW} AS raw_clock")
+    return e
+
+
+@query("H27_ambiguous_clocks", f"SELECT k, count(DISTINCT trim(coalesce(raw_clock, ''))) AS spellings FROM (SELECT user_id * 10 + event_id % 10 AS k, CASE WHEN event_id % 10 < 3 THEN ts END AS c, {RAW} AS raw_clock FROM events) GROUP BY k HAVING max(c) IS NULL AND spellings > 1")
+def _(s, d):
+    return observations.ambiguous_keys(raw_observations(s, d), ["k"])
+
+
+@query("H27_strict_canonical", f"""SELECT k, payload, sequence FROM (SELECT user_id * 10 + event_id % 10 AS k, event_id AS sequence, value AS payload, CASE WHEN event_id % 10 < 3 THEN ts END AS c, {RAW} AS raw_clock FROM events) e
+WHERE k NOT IN (SELECT user_id * 10 + event_id % 10 FROM events WHERE event_id % 10 >= 3 GROUP BY 1 HAVING count(DISTINCT trim(coalesce({RAW}, ''))) > 1) QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC NULLS LAST, sequence DESC) = 1""")
+def _(s, d):
+    log = raw_observations(s, d)
+    return observations.canonical_strict(log.join(observations.ambiguous_keys(log, ["k"]), "k", "left_anti"), ["k"], ["payload"]).select("k", "payload", "sequence")
+
+
 @query("H24_parse_repository", r"""SELECT page_id, nullif(lower(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 1)), '') AS host, nullif(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 2), '') AS owner, nullif(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 3), '') AS name FROM pages""")
 def _(s, d):
     return s.read.parquet(f"{d}/pages.parquet").select("page_id", identity.parse_repository(F.col("url")).alias("r")).select("page_id", "r.*")

@@ -301,13 +301,13 @@ def _(s, d):
 
 # Ledger
 
-FAILURES = """fl AS (SELECT run_id, job_no, part, CASE WHEN part % 5 = 0 THEN 'org/gone' || part % 7 WHEN part % 5 = 1 THEN 'not a target' ELSE target END AS target, CASE WHEN part % 4 = 0 THEN NULL ELSE family END AS family, CASE WHEN part % 3 = 0 THEN '' ELSE scope_key END AS scope_key, CASE WHEN part % 6 = 0 THEN 'own' END AS repository, resolved, 0 AS retry_count, NULL::INTEGER AS retry_run FROM jobs WHERE status = 'failed')"""
+FAILURES = """fl AS (SELECT run_id, job_no, part, CASE WHEN part % 5 = 0 THEN 'org/gone' || part % 7 WHEN part % 5 = 1 THEN 'not a target' ELSE target END AS target, CASE WHEN part % 4 = 0 THEN NULL ELSE family END AS family, CASE WHEN part % 3 = 0 THEN '' ELSE scope_key END AS scope_key, CASE WHEN part % 6 = 0 THEN 'own' || (part % 18) END AS repository, CASE WHEN part % 12 = 0 THEN part % 8 END AS thread, run_id * 10 + job_no AS failure_id, resolved, 0 AS retry_count, NULL::INTEGER AS retry_run FROM jobs WHERE status = 'failed')"""
 
 
 def failures(s, d):
     return relation(s, d, "jobs").where("status = 'failed'").selectExpr(
         "run_id", "job_no", "part", "CASE WHEN part % 5 = 0 THEN concat('org/gone', cast(part % 7 AS varchar(20))) WHEN part % 5 = 1 THEN 'not a target' ELSE target END AS target", "CASE WHEN part % 4 = 0 THEN NULL ELSE family END AS family",
-        "CASE WHEN part % 3 = 0 THEN '' ELSE scope_key END AS scope_key", "CASE WHEN part % 6 = 0 THEN 'own' END AS repository", "resolved", "0 AS retry_count", "cast(NULL AS int) AS retry_run",
+        "CASE WHEN part % 3 = 0 THEN '' ELSE scope_key END AS scope_key", "CASE WHEN part % 6 = 0 THEN concat('own', cast(part % 18 AS varchar(20))) END AS repository", "CASE WHEN part % 12 = 0 THEN part % 8 END AS thread", "run_id * 10 + job_no AS failure_id", "resolved", "0 AS retry_count", "cast(NULL AS int) AS retry_run",
     )
 
 
@@ -321,13 +321,57 @@ SQL["C19_repository_of_failures"] = more("""SELECT run_id, job_no, part, coalesc
 CASE WHEN regexp_full_match(target, '[A-Za-z0-9._-]+/[A-Za-z0-9._-]+') THEN target END) AS found FROM fl""", "jobs", before=FAILURES)
 
 
+@query("D3_work_diagnostics")
+def _(s, d):
+    return ledger.diagnostics(relation(s, d, "runs"), relation(s, d, "jobs"), failures(s, d))
+
+
+SQL["D3_work_diagnostics"] = more("""SELECT (SELECT count(*) FROM jobs WHERE status = 'failed') AS failed_jobs, (SELECT count(*) FROM jobs WHERE status = 'deferred') AS deferred_jobs, (SELECT count(*) FROM runs WHERE status = 'in_progress') AS in_progress_runs,
+(SELECT count(*) FROM fl WHERE NOT resolved AND family IS NULL) AS unassigned_failures, (SELECT count(*) FROM fl WHERE NOT resolved) AS unresolved_failures""", "runs", "jobs", before=FAILURES)
+
+#: The run that retries, which has failures of its own, and the scopes it works on: some of selectors, some of threads.
+RETRY_RUN = 3
+WORKED = "family IN ('comments', 'reviews') AND scope_key <> '' AND (repository IS NULL OR part % 5 < 3)"
+TOUCHED = f"""hit AS (SELECT f.*, NOT f.resolved AND f.run_id <> {RETRY_RUN} AND (
+  (f.repository IS NULL AND EXISTS (SELECT 1 FROM fl g WHERE {{worked}} AND g.repository IS NULL AND g.target = f.target AND g.family = f.family AND g.scope_key = f.scope_key))
+  OR EXISTS (SELECT 1 FROM fl g WHERE {{worked}} AND g.repository = f.repository AND g.thread = f.thread AND g.family = f.family AND g.scope_key = f.scope_key)) AS hit FROM fl f)""".replace("{worked}", "g." + WORKED.replace(" AND scope_key", " AND g.scope_key").replace("(repository", "(g.repository").replace("OR part", "OR g.part"))
+
+
 @query("B20_I15_mark_retried")
 def _(s, d):
     f = failures(s, d)
-    return ledger.mark_retried(f, f.where("family = 'comments' AND scope_key = 'open'"), 40).select("run_id", "job_no", "part", "retry_count", "retry_run")
+    return ledger.mark_retried(f, f.where(WORKED), RETRY_RUN).select("run_id", "job_no", "part", "retry_count", "retry_run")
+
+
+SQL["B20_I15_mark_retried"] = more(f"SELECT run_id, job_no, part, CASE WHEN hit THEN 1 ELSE 0 END AS retry_count, CASE WHEN hit THEN {RETRY_RUN} END AS retry_run FROM hit", "jobs", before=FAILURES + ",\n" + TOUCHED)
+
+
+@query("I15_resolve_failures")
+def _(s, d):
+    """Some were retried by an earlier run already, which stays."""
+    f = failures(s, d).withColumn("retry_run", F.expr("CASE WHEN part % 4 = 1 THEN 2 END"))
+    return ledger.resolve(f, f.where(WORKED), RETRY_RUN).select("run_id", "job_no", "part", "resolved", "retry_run")
+
+
+SQL["I15_resolve_failures"] = more(f"SELECT run_id, job_no, part, resolved OR hit AS resolved, CASE WHEN part % 4 = 1 THEN 2 WHEN hit THEN {RETRY_RUN} END AS retry_run FROM hit", "jobs", before=FAILURES + ",\n" + TOUCHED)
+
+ASKED = "CASE run_id % 3 WHEN 0 THEN 'default' WHEN 1 THEN 'open' ELSE 'all' END AS thread_scope, run_id % 2 = 0 AS include_comments, run_id % 5 = 0 AS include_reviews, run_id % 7 < 3 AS include_review_threads"
+
+
+@query("D19_F18_retry_scopes")
+def _(s, d):
+    """Failures of all runs whose repository can be told; runs asked for different scopes and families."""
+    runs = relation(s, d, "runs").selectExpr("run_id", *[x.strip() for x in ASKED.split(", ") if x])
+    jobs = relation(s, d, "jobs").withColumn("repo_id", F.col("target"))
+    plan = ledger.retry_scopes(failures(s, d).where("target <> 'not a target' OR repository IS NOT NULL"), jobs, runs)
+    return plan.withColumn("failure_ids", F.array_join(F.transform("failure_ids", lambda x: x.cast("string")), ","))
 
 
-SQL["B20_I15_mark_retried"] = more("SELECT run_id, job_no, part, CASE WHEN hit THEN 1 ELSE 0 END AS retry_count, CASE WHEN hit THEN 40 END AS retry_run FROM (SELECT *, NOT resolved AND run_id <> 40 AND EXISTS (SELECT 1 FROM fl g WHERE g.target = fl.target AND g.scope_key = fl.scope_key AND g.family = fl.family AND g.family = 'comments' AND g.scope_key = 'open') AS hit FROM fl)", "jobs", before=FAILURES)
+SQL["D19_F18_retry_scopes"] = more(f"""SELECT run_id, repository, scope, bool_or(CASE WHEN family IS NULL THEN include_comments ELSE family = 'comments' END) AS include_comments, bool_or(CASE WHEN family IS NULL THEN include_reviews ELSE family = 'reviews' END) AS include_reviews,
+bool_or(CASE WHEN family IS NULL THEN include_review_threads ELSE family = 'review_threads' END) AS include_review_threads, string_agg(failure_id::VARCHAR, ',' ORDER BY failure_id) AS failure_ids FROM (
+SELECT fl.*, r.* EXCLUDE (run_id), coalesce(repository, (SELECT any_value(j.target) FROM jobs j WHERE j.run_id = fl.run_id AND j.target = fl.target AND (fl.family IS NULL OR j.family = fl.family) AND (fl.scope_key = '' OR j.scope_key = fl.scope_key)), target) AS found_,
+CASE WHEN scope_key IN ('open', 'closed', 'all') THEN scope_key ELSE thread_scope END AS scope FROM fl JOIN (SELECT run_id, {ASKED} FROM runs) r USING (run_id) WHERE NOT resolved AND (target <> 'not a target' OR repository IS NOT NULL))
+GROUP BY run_id, found_, scope""".replace("SELECT run_id, repository, scope,", "SELECT run_id, found_ AS repository, scope,"), "runs", "jobs", before=FAILURES)
 
 
 @query("C10_jobs_of_repositories", "SELECT j.run_id, j.job_no, j.part, r.host, r.repo_id FROM jobs j JOIN (SELECT DISTINCT full_name, host, repo_id FROM threads) r ON r.full_name = j.target", "threads", "jobs")

@@ -61,25 +61,33 @@ class Archive:
     def list_threads(self, f: Filters = Filters()) -> DataFrame:
         return listing.page_with_coverage(self._selected(f), self.coverage, f.sort, f.limit, f.offset)
 
-    def show_thread(self, number: int, repository: str | None = None) -> DataFrame:
-        scope = listing.filtered(self.threads, self.resolve((repository,))) if repository else self.threads
-        found = listing.thread_detail(scope, self.coverage, self.comments, number)
+    def _families(self) -> dict[str, DataFrame]:
+        found = {"comments": self.comments, **{n: self.extra.get(n) for n in ("reviews", "review_threads", "pull_request_metadata")}}
+        return {n: rows for n, rows in found.items() if rows is not None}
+
+    def show_thread(self, number: int, repository: str) -> DataFrame:
+        """A thread of a repository with its coverage, all its child families and its timeline."""
+        host, repo_id = self.resolve((repository,))[0]
+        found = listing.thread_detail(self.threads, self.coverage, self._families(), host, repo_id, number)
         if found.isEmpty():
-            raise NotFound(f"#{number}")
+            raise NotFound(f"{repository}#{number}")
         return found
 
-    def thread_timeline(self, number: int) -> DataFrame:
-        return listing.timeline(self.threads.where(F.col("number") == number), self.comments)
+    def thread_timeline(self, number: int, repository: str) -> DataFrame:
+        """The events of a thread; see listing.timeline."""
+        host, repo_id = self.resolve((repository,))[0]
+        one = self.threads.where((F.col("host") == host) & (F.col("repo_id") == repo_id) & (F.col("number") == number))
+        families = self._families()
+        return listing.timeline(one, families["comments"], families.get("reviews"), families.get("review_threads"))
 
     def archive_status(self) -> tuple[DataFrame, DataFrame]:
         """Counts by kind, and coverage totals by family."""
         return listing.counts_by_kind(self.threads), listing.coverage_totals(self.threads, self.coverage)
 
     def list_repositories(self) -> DataFrame:
-        from threadloom.functions.text import ascii_lower
         from threadloom.sources.archive import repositories
 
-        return repositories(self.threads).orderBy("host", ascii_lower(F.col("full_name")), "repo_id")
+        return listing.ordered_repositories(repositories(self.threads)).orderBy("position").drop("position")
 
     def search_threads(self, query: str, f: Filters = Filters(sort="relevance"), mode: str = "keyword", advanced: bool = False, vector: list[float] | None = None, fallback: bool = False) -> DataFrame:
         """A page of keyword, semantic or hybrid results.
@@ -117,11 +125,27 @@ class Archive:
             raise NoVectors("no embedding service")
         return self.embed([query])[0]
 
-    def thread_documents(self, recipe: str = "original_body") -> DataFrame:
+    def thread_documents(self, recipe: str = "discussion_enriched") -> DataFrame:
+        """Documents of all threads: original_body, or discussion_enriched with the child families that are complete and not stale.
+
+        Enriched ones need extra["states"] (coverage with clock_us, item_count and head_sha), and threads with expected_comments; extra["heads"]
+        are (thread_id, head_sha) of pull requests. Reviews and review threads come from extra where they are there.
+        """
         if recipe == "original_body":
             return documents.render(self.threads)
-        whole = self.coverage.where("family = 'comments' AND status = 'complete'")
-        return documents.render(self.threads, self.comments, whole, recipe)
+        if recipe != "discussion_enriched":
+            raise ValueError(f"no recipe {recipe!r}")
+        context = listing.coverage_context(self.threads, self.extra["states"], self.extra["heads"])
+        current = context.where("status = 'complete' AND NOT stale").select("thread_id", "family")
+        families, spark = self._families(), self.threads.sparkSession
+        none = lambda schema: spark.createDataFrame([], schema)
+        reviews = families.get("reviews")
+        talk = families.get("review_threads")
+        if reviews is None:
+            reviews = none("thread_id bigint, provider_id string, reviewer string, state string, is_bot boolean, body string, submitted_at_us bigint")
+        if talk is None:
+            talk = none("thread_id bigint, provider_id string, path string, line bigint, is_resolved boolean, is_outdated boolean, comments array<struct<provider_id string, author string, is_bot boolean, body string, created_at_us bigint>>")
+        return documents.render_enriched(self.threads, documents.child_sections(families["comments"], reviews, talk), current)
 
     def embed_documents(self, rendered: DataFrame, max_bytes: int, stored: DataFrame | None = None, batch: int = 64) -> DataFrame:
         """thread_id, chunk_index, chunk_count, chunk_hash, vector of the chunks that stored doesn't hold already.
@@ -176,10 +200,10 @@ class Archive:
         events = decisions.events_of(found)
         return found, decisions.clusters_after(clusters, events), decisions.members_after(members, events), events
 
-    def materialize_documents(self, stored: DataFrame, built_at_us: int) -> DataFrame:
+    def materialize_documents(self, stored: DataFrame, built_at_us: int, recipe: str = "discussion_enriched") -> DataFrame:
         """The stored documents after those of all threads are rendered anew; unchanged ones keep id and build time."""
-        made = self.thread_documents().join(self.threads.select("thread_id", F.col("updated_at_us").alias("source_updated_at_us")), "thread_id")
-        made = made.select("thread_id", F.lit("original_body").alias("recipe"), F.lit(1).alias("recipe_version"), "content_hash", "title", "source_updated_at_us")
+        made = self.thread_documents(recipe).join(self.threads.select("thread_id", F.col("updated_at_us").alias("source_updated_at_us")), "thread_id")
+        made = made.select("thread_id", F.lit(recipe).alias("recipe"), F.lit(1).alias("recipe_version"), "content_hash", "title", "source_updated_at_us")
         return embeddings.upsert_documents(stored, made, built_at_us)
 
     def list_runs(self, limit: int = 20) -> DataFrame:
@@ -193,14 +217,42 @@ class Archive:
         return found
 
     def plan_run_retry(self, run_id: int, families: list[str] | None = None) -> DataFrame:
-        """Scopes to run again, by target and scope; a run without unresolved failures is an error."""
-        plan = ledger.retry_scopes(self.jobs.where(F.col("run_id") == run_id), families).orderBy("target", "scope_key")
+        """Scopes to run again, by repository and scope; a run without unresolved failures is an error.
+
+        extra holds failures, and runs what each was asked for; see ledger.retry_scopes.
+        """
+        one = F.col("run_id") == run_id
+        plan = ledger.retry_scopes(self.extra["failures"].where(one), self.jobs.where(one), self.runs.where(one), families).orderBy("repository", "scope")
         if plan.isEmpty():
             raise NotFound(f"run {run_id} has no work to retry")
         return plan
 
+    def run_retry(self, run_id: int, retry_run: int, work: Callable[[list[dict]], list[str]], families: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Runs the plan again: the failures after it, and the summary of what it came to.
+
+        work is given the scopes (at most a few for each repository that failed) and returns an outcome for each. Failures in the plan's
+        scopes count as retried by retry_run; those of scopes that completed are resolved.
+        """
+        plan = self.plan_run_retry(run_id, families)
+        scopes = [r.asDict() for r in plan.collect()]
+        outcomes = work(scopes)
+        if len(outcomes) != len(scopes):
+            raise ValueError("an outcome for each scope")
+        failures, spark = self.extra["failures"], self.runs.sparkSession
+        ids = spark.createDataFrame([(i, o) for s, o in zip(scopes, outcomes) for i in s["failure_ids"]], "failure_id bigint, outcome string")
+        tried = failures.join(ids, "failure_id")
+        after = ledger.mark_retried(failures, tried, retry_run)
+        after = ledger.resolve(after, tried.where("outcome = 'complete'"), retry_run)
+        made = spark.createDataFrame([(retry_run, o) for o in outcomes], "run_id bigint, outcome string")
+        return after, ledger.retry_summaries(made, "run_id")
+
     def recent_failures(self) -> DataFrame:
         return ledger.recent_failures(self.runs)
 
     def doctor(self) -> DataFrame:
-        return listing.constraint_violations(self.threads, self.comments)
+        """Health checks, the last row for the whole archive; extra["index"] is a search index to hold against the threads, if there is one."""
+        checks = listing.constraint_violations(self.threads, self.comments)
+        if (index := self.extra.get("index")) is not None:
+            stale = index.select("thread_id").distinct().join(self.threads.select("thread_id"), "thread_id", "left_anti")
+            checks = checks.unionByName(stale.agg(F.count("*").alias("violations")).select(F.lit("indexed_without_thread").alias("check_name"), "violations"))
+        return listing.health(checks)
