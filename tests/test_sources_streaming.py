@@ -81,7 +81,7 @@ def test_stream_of_late_and_repeated_observations(spark, tmp_path):
 
     def run():
         streaming.start(spark.readStream.schema(schema).parquet(src), out, check, ["k"], ["payload"]).awaitTermination()
-        return {r["k"]: r["payload"] for r in streaming.latest(spark, out).collect()}
+        return {r["k"]: r["payload"] for r in streaming.latest(spark, out, "k int, payload string, source_clock timestamp, sequence bigint", ["k"]).collect()}
 
     feed((1, "new", "2026-01-02", 2), (2, "x", None, 1))
     assert run() == {1: "new", 2: "x"}

@@ -84,7 +84,7 @@ def _(s, d):
 
 @query("B17_unresolved_failures", "SELECT run_id, job_no, part, family FROM jobs WHERE status = 'failed' AND NOT resolved AND family IN ('comments', 'reviews')", "jobs")
 def _(s, d):
-    return ledger.selected_failures(relation(s, d, "jobs"), ["comments", "reviews"]).select("run_id", "job_no", "part", "family")
+    return ledger.selected_failures(relation(s, d, "jobs").where("status = 'failed'"), ["comments", "reviews"]).select("run_id", "job_no", "part", "family")
 
 
 @query("B22_stored_coverage", "SELECT t.thread_id, coalesce(c.status, 'missing') AS status FROM threads t LEFT JOIN coverage c ON c.thread_id = t.thread_id AND c.family = 'comments'", "threads")

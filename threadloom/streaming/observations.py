@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.operators.observations import canonical
+from threadloom.sources.store import Migration, Store, StoreError, Table, merging
 
 
-def fold_into(path: str, keys: list[str], payload: list[str]):
-    """A foreachBatch function that keeps, under path, one version of the canonical table for each batch.
+def fold_into(spark: SparkSession, path: str, schema: str, keys: list[str], payload: list[str], buckets: int = 64):
+    """A foreachBatch function that keeps the canonical rows of each key in a store under path.
 
-    A batch that is run again writes its own version again from the version before, so replays change nothing.
+    A batch rewrites the buckets that its keys fall into, and no others; one that is run again changes nothing.
     """
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [*keys, *payload, "source_clock", "sequence"]
-        rows = batch.select(*columns)
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/version={batch_id - 1}"))
-        canonical(rows, keys, payload).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return fold
+    steps = [Migration("observations", {"canonical": Table(schema, tuple(keys), buckets)})]
+    try:
+        store = Store(spark, path, steps)
+    except StoreError:
+        store = Store.create(spark, path, steps)
+    return merging(store, "canonical", "observations", lambda old, new: canonical(old.unionByName(new.select(*old.columns)), keys, payload))
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, keys: list[str], payload: list[str]):
     """Run what is there to its end; the source's offsets and the commits live in the checkpoint."""
-    return stream.writeStream.foreachBatch(fold_into(path, keys, payload)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    kinds = dict(stream.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, *payload, "source_clock", "sequence"))
+    fold = fold_into(stream.sparkSession, path, schema, keys, payload)
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark, path: str) -> DataFrame:
+def latest(spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64) -> DataFrame:
     """The newest version of the table."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version").alias("v")).first()["v"]
-    return rows.where(F.col("version") == newest).drop("version")
+    return Store(spark, path, [Migration("observations", {"canonical": Table(schema, tuple(keys), buckets)})]).read("canonical")
 
 
 def canonical_stateful(stream: DataFrame, keys: list[str], payload: str) -> DataFrame:
