@@ -14,6 +14,17 @@ WHITE = " \t\n\x0b\f\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: For DuckDB, which has no CRC: the table of the 256 bytes' remainders as a list, and the expression that folds a text with it.
+CRC_SQL = """crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text in UTF-8; the statement holds CRC_SQL, and the select reads from crc too."""
+    digits = f"list_transform(range(1, 2 * strlen({text}), 2), lambda k: ('0x' || substr(hex({text}), k, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda c, x: xor(crc.t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,8 +12,8 @@ lengths; texts are hashed where they are read. Running values are window functio
 an array. The members that end at a node are hashed as a stream in order of their ids, so a node where a large share of all
 conversations ends needs no memory for them (SHA-256 of one text is one task's work all the same).
 
-Defined cases: null roles and texts are empty; a null turn comes first, and tied turns and repeated rows are ordered by their
-digests; rows without conv_id belong to no conversation and are left out; an empty table gives no nodes, not even a
+Defined cases: null roles and texts are empty; a null turn comes first, and tied turns and repeated rows are ordered by the
+MD5 of their content; rows without conv_id belong to no conversation and are left out; an empty table gives no nodes, not even a
 root; other columns are not read. c - c % 100 is taken with the remainder's sign as in SQL.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, read_table, scratch
+from threadloom.llm.common import CRC_SQL, crc_sql, materialize, read_table, scratch
 
 FAMILY, BORROWED = 100, 6
 
@@ -35,9 +35,8 @@ def turns_of(rows: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     content = F.md5(F.encode(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), "UTF-8"))
     small = rows.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), content.alias("m"), F.length(text).cast("long").alias("chars"))
-    small = small.select("conv_id", "turn", F.xxhash64("m").alias("a"), F.xxhash64(F.lit("second"), "m").alias("b"), "chars")
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "a", "b")
-    return small.select("conv_id", F.row_number().over(order).cast("long").alias("i"), "a", "b", "chars")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "m")
+    return small.select("conv_id", F.row_number().over(order).cast("long").alias("i"), F.xxhash64("m").alias("a"), F.xxhash64(F.lit("second"), "m").alias("b"), "chars")
 
 
 def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,3 +166,26 @@ def trie(rows: DataFrame) -> DataFrame:
 
 def op13_prefix_trie(spark, sf_dir):
     return trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+WITH {CRC_SQL},
+c AS (
+  SELECT conv_id, text, md5(length(role) || ':' || role || text) AS m, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+k AS (SELECT *, (SELECT count(*) FROM c WHERE c.conv_id = base AND c.i <= h) AS lent FROM (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM c), crc)),
+t AS (
+  SELECT k.conv_id, c.i AS depth, m, text FROM k JOIN c ON c.conv_id = k.base AND c.i <= k.h
+  UNION ALL SELECT k.conv_id, c.i - k.h + k.lent, m, text FROM k JOIN c ON c.conv_id = k.conv_id AND c.i > k.h),
+p AS (
+  SELECT conv_id, depth, text, string_agg(m, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth) AS p FROM t
+  UNION ALL SELECT conv_id, 0, '', '' FROM k),
+ends AS (SELECT p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, max_by(p, depth) AS p FROM p GROUP BY conv_id) GROUP BY p),
+n AS (SELECT p, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(length(text)) AS saved FROM p GROUP BY p),
+kids AS (SELECT left(p, 32 * (depth::INT - 1)) AS p, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT a.p, count(*) FILTER (q.p IS NULL) AS n_leaves, sum(d.saved)::BIGINT AS saved_tokens FROM n d JOIN n a ON a.depth <= d.depth AND a.p = left(d.p, 32 * a.depth::INT) LEFT JOIN kids q ON q.p = d.p GROUP BY a.p)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n u ON n.depth > 0 AND u.p = left(n.p, 32 * greatest(n.depth::INT - 1, 0)) LEFT JOIN kids ON kids.p = n.p JOIN below ON below.p = n.p LEFT JOIN ends ON ends.p = n.p
+"""

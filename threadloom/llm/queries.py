@@ -24,4 +24,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_chat_formatting": chat_format.OP5_SQL,
     "op7_quality_rules": quality_rules.sql_of(),
+    "op12_spelling_variants": spelling_variants.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

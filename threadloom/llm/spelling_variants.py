@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, materialize, read_table, scratch
+from threadloom.llm.common import CRC_SQL, crc_sql, let, materialize, read_table, scratch
 
 LEAST_LENGTH = 7
 LEAST_COUNT = 2
@@ -135,3 +135,22 @@ def variants(docs: DataFrame, ratio: int = RATIO, least_length: int = LEAST_LENG
 
 def op12_spelling_variants(spark, sf_dir):
     return variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (
+  SELECT doc, run, count(*) AS n, coalesce(doc, '') || ':' || run AS s FROM (
+    SELECT doc_id::VARCHAR AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{{{7,}}}}')), '{UPPER}', '{LOWER}') AS run FROM documents) GROUP BY doc, run),
+hashed AS (SELECT run, n, {crc_sql("s")} AS h FROM runs, crc),
+w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) GROUP BY word HAVING sum(n) >= 2 AND length(word) >= 7),
+d AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, w.word FROM d JOIN w ON w.word = d.rest UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.rest),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS top, max(o.n) AS top_n FROM near JOIN w o ON o.word = other GROUP BY near.word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * w.n THEN top END AS form, CASE WHEN top_n >= 10 * w.n THEN top_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS last_form, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.last_form WHERE f.form IS NOT NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, max_by(last_form, step) AS root FROM up GROUP BY word) r USING (word)
+""".replace("{{7,}}", "{7,}")
