@@ -241,21 +241,60 @@ def test_bad_advanced_expressions_are_refused(bad):
         search.parse_expression(bad)
 
 
-def test_the_index_finds_what_the_scan_finds(spark, tmp_path):
-    from threadloom.operators import search_index
-
-    rows = [(i, t, b) for i, (t, b) in enumerate([("Alpha beta", "alpha x beta"), ("beta", "alpha alpha gamma delta"), (None, None), ("", "gamma alpha beta alpine"), ("alp", "delta é")])]
-    df = spark.createDataFrame(rows, "thread_id bigint, title string, body string")
-    search_index.write_index(df.where("thread_id < 4"), str(tmp_path), 4)
-    postings, lengths = search_index.open_index(spark, str(tmp_path))
-    changed = spark.createDataFrame([rows[4], (1, "beta", "gamma")], df.schema)
-    now = df.where("thread_id NOT IN (1, 3)").unionByName(changed.where("thread_id = 1"))
-    postings2, lengths2 = search_index.updated(postings, lengths, changed, spark.createDataFrame([(3,)], "thread_id bigint"))
-    for expression in ('"alpha beta" OR alp*', "NEAR(alpha beta, 1) OR ^beta", "title: beta OR body: delta NOT none"):
-        tree = search.parse_expression(expression)
-        for (p, n), source in (((postings, lengths), df.where("thread_id < 4")), ((postings2, lengths2), now)):
-            want = {(r["thread_id"], round(r["bm25"], 9)) for r in search.keyword_search(source, tree).collect()}
-            assert {(r["thread_id"], round(r["bm25"], 9)) for r in search_index.find(p, n, tree, 4).collect()} == want, expression
+def test_index_equals_a_fresh_scan(spark, tmp_path):
+    """Inserts, changes, removals, returns of what was removed, and merges, each against scanning the threads as they are then."""
+    import random
+
+    from threadloom.operators.search_index import SearchIndex
+    from threadloom.sources.store import StoreError
+
+    rng, schema = random.Random(3), "thread_id bigint, title string, body string"
+    words = ["alpha", "beta", "bet", "gamma", "délta"]
+    new = lambda i: (i, rng.choice((None, "", " ".join(rng.choices(words, k=2)))), rng.choice((None, " ".join(rng.choices(words, k=rng.randint(1, 9))))))
+    now = {i: new(i) for i in range(30)}
+    index = SearchIndex.create(spark.createDataFrame(list(now.values()), schema), str(tmp_path / "i"), 4)
+
+    def check():
+        rows = spark.createDataFrame(list(now.values()), schema)
+        for expression in ("alpha beta", 'title: "beta gamma" OR bet*', "NEAR(alpha delta, 2) NOT gamma"):
+            tree = search.parse_expression(expression)
+            want = {(r["thread_id"], round(r["bm25"], 9)) for r in search.keyword_search(rows, tree).collect()}
+            assert {(r["thread_id"], round(r["bm25"], 9)) for r in index.find(tree).collect()} == want, expression
+
+    check()
+    for step in range(4):
+        changed = {i: new(i) for i in rng.sample(range(40), 6)}
+        removed = [i for i in rng.sample(sorted(now), 4) if i not in changed]
+        now = {i: r for i, r in (now | changed).items() if i not in removed}
+        index.apply(spark.createDataFrame(list(changed.values()), schema), spark.createDataFrame([(i,) for i in removed], "thread_id bigint"))
+        if step == 2:
+            index.merge()
+            assert len(index.segments) == 2
+    check()
+    index = SearchIndex(spark, index.path)
+    index.merge(whole=True)
+    check()
+    assert len(index.segments) == 1 and index.live()[1].count() == len(now)
+    assert len(index.vacuum()) == 6
+    check()
+    with pytest.raises(StoreError):
+        SearchIndex(spark, str(tmp_path / "none"))
+
+
+def test_requests_search_the_index(spark, sf, tmp_path):
+    from threadloom.operators.search_index import SearchIndex
+    from threadloom.sources.archive import relation
+    from threadloom.workflows import Archive, Filters
+
+    t = relation(spark, sf, "threads")
+    index = SearchIndex.create(t, str(tmp_path / "i"), 8)
+    f = Filters(sort="relevance", state="open", repositories=("org/src1", "org/src2"))
+    ask = lambda a: [(r["thread_id"], round(r["bm25"], 9), r["position"]) for r in a.search_threads("with", f).collect()]
+    assert ask(Archive(threads=t, index=index)) == ask(Archive(threads=t)) != []
+    comments = relation(spark, sf, "comments")
+    health = lambda a: {r["check_name"]: r["violations"] for r in a.doctor().collect()}["index_apart_from_threads"]
+    assert health(Archive(threads=t, comments=comments, index=index)) == 0
+    assert health(Archive(threads=t.where("thread_id <> 5").unionByName(t.where("thread_id = 5").withColumn("thread_id", F.lit(-5).cast("long"))), comments=comments, index=index)) == 2
 
 
 def test_cosines_of_all_kinds_of_vectors(spark):

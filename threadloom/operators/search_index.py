@@ -1,13 +1,17 @@
-"""A written index for keyword search: postings of tokens with their places, dealt by token.
-
-Tables under one folder (Parquet):
-  postings/  bucket, token, thread_id, title, body (places in each column, from 0); a folder for each bucket, sorted by token
-  lengths/   thread_id, tokens; one row a thread
+"""A written index for keyword search: postings of tokens with their places, dealt by token, in segments.
+
+Tables under one folder (Parquet), each with a folder for each segment:
+  postings/  segment, bucket, token, thread_id, title, body (places in each column, from 0); sorted by token
+  lengths/   segment, thread_id, tokens; one row for each thread that the segment holds
+  gone/      segment, thread_id: threads whose older entries no longer count, because they were changed or removed
+A change writes one more segment and touches no other. A thread's entries are those of the newest segment that names it. merged()
+puts segments together, so that searches meet few of them; a manifest names the segments that count, and is replaced at once.
 A search reads the buckets of its own terms only, and of them the row groups whose tokens fit; a prefix reads all buckets.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,37 +28,132 @@ def bucket_of(token, buckets: int):
 
 
 def postings_of(threads: DataFrame) -> DataFrame:
-    """token, thread_id, title, body: where each token stands; a thread's tokens are grouped within its own row."""
-    def placed(c):
-        return F.transform(search_tokens(F.col(c)), lambda t, i: F.struct(t.alias("token"), F.lit(c).alias("c"), i.alias("at")))
-
-    each = [placed(c) for c in COLUMNS]
-    rows = threads.select("thread_id", F.explode(F.concat(*each)).alias("p")).select("thread_id", "p.*")
-    places = lambda c: F.sort_array(F.collect_list(F.when(F.col("c") == c, F.col("at")))).alias(c)
-    return rows.groupBy("token", "thread_id").agg(*[places(c) for c in COLUMNS])
+    """token, thread_id, title, body: where each token stands. A row's tokens are grouped where the row is, without a shuffle."""
+    tokens = threads.select(F.col("thread_id").cast("long").alias("thread_id"), *[search_tokens(F.col(c)).alias(c) for c in COLUMNS])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                lists = [batch.column(c) for c in COLUMNS]
+                flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+                code = flat.indices.to_numpy(zero_copy_only=False)
+                sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]
+                row = np.concatenate([np.repeat(np.arange(batch.num_rows), n) for n in sizes])
+                place = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes])
+                column = np.repeat(np.arange(len(lists)), [n.sum() for n in sizes])
+                order = np.lexsort((place, column, code, row))
+                row, code, place, column = row[order], code[order], place[order], column[order]
+                if not len(row):
+                    continue
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+                number = np.cumsum(np.bincount(first, minlength=len(row))[: len(row)]) - 1
+                places = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(number[column == c], minlength=len(first)))]), pa.int32()), pa.array(place[column == c], pa.int32())) for c in range(len(lists))]
+                yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), batch.column("thread_id").take(pa.array(row[first])), *places], ["token", "thread_id", *COLUMNS])
+
+    return tokens.mapInArrow(run, "token string, thread_id long, " + ", ".join(f"{c} array<int>" for c in COLUMNS))
 
 
 def lengths_of(threads: DataFrame) -> DataFrame:
     return threads.select("thread_id", (F.size(search_tokens(F.col("title"))) + F.size(search_tokens(F.col("body")))).alias("tokens"))
 
 
-def write_index(threads: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Index threads; one shuffle of postings by bucket, salted by token so that a bucket spreads over tasks."""
-    rows = postings_of(threads).withColumn("bucket", bucket_of(F.col("token"), buckets))
-    rows = rows.repartition("bucket", bucket_of(F.col("thread_id"), 4)).sortWithinPartitions("bucket", "token", "thread_id")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths_of(threads).write.parquet(f"{path}/lengths")
-
-
-def updated(postings: DataFrame, lengths: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """postings and lengths after threads were inserted, changed (whole rows) or removed (thread_id)."""
-    gone = changed.select("thread_id") if removed is None else changed.select("thread_id").unionByName(removed.select("thread_id"))
-    rest = postings.select("token", "thread_id", *COLUMNS).join(gone, "thread_id", "left_anti").select("token", "thread_id", *COLUMNS)
-    return rest.unionByName(postings_of(changed)), lengths.join(gone, "thread_id", "left_anti").unionByName(lengths_of(changed))
-
-
-def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+def _write(postings: DataFrame, lengths: DataFrame, gone: DataFrame, path: str, segment: int, buckets: int) -> None:
+    """One segment. Postings are dealt by ranges of (bucket, token, thread), so that a token of any frequency spreads over tasks."""
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings.select("token", "thread_id", *COLUMNS).withColumn("bucket", bucket_of(F.col("token"), buckets))
+    rows = rows.repartitionByRange(tasks, "bucket", "token", "thread_id").sortWithinPartitions("bucket", "token", "thread_id")
+    rows.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    lengths.select("thread_id", "tokens").write.parquet(f"{path}/lengths/segment={segment}")
+    gone.select("thread_id").distinct().write.parquet(f"{path}/gone/segment={segment}")
+
+
+class SearchIndex:
+    """An index folder as its newest manifest says."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        from threadloom.sources.store import Files, StoreError
+
+        self.spark, self.path, self.files = spark, path, Files(spark, path)
+        names = self.files.names(f"{path}/_manifests/*.json")
+        if not names:
+            raise StoreError(f"no index at {path}")
+        self.manifest = json.loads(self.files.read(f"{path}/_manifests/{names[-1]}"))
+
+    @classmethod
+    def create(cls, threads: DataFrame, path: str, buckets: int = BUCKETS) -> SearchIndex:
+        from threadloom.sources.store import Files
+
+        spark = threads.sparkSession
+        none = threads.select("thread_id").limit(0)
+        _write(postings_of(threads), lengths_of(threads), none, path, 0, buckets)
+        Files(spark, path).publish(f"{path}/_manifests/{0:012d}.json", json.dumps({"number": 0, "buckets": buckets, "segments": [0], "next": 1}))
+        return cls(spark, path)
+
+    @property
+    def segments(self) -> list[int]:
+        return self.manifest["segments"]
+
+    @property
+    def buckets(self) -> int:
+        return self.manifest["buckets"]
+
+    def _publish(self, segments: list[int], following: int) -> None:
+        after = {"number": self.manifest["number"] + 1, "buckets": self.buckets, "segments": segments, "next": following}
+        self.files.publish(f"{self.path}/_manifests/{after['number']:012d}.json", json.dumps(after))
+        self.manifest = after
+
+    def _table(self, name: str, segments: list[int]) -> DataFrame:
+        schema = {"postings": "token string, thread_id long, title array<int>, body array<int>, segment int, bucket int", "lengths": "thread_id long, tokens int, segment int", "gone": "thread_id long, segment int"}[name]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/segment={i}" for i in segments])
+
+    def apply(self, changed: DataFrame, removed: DataFrame | None = None) -> None:
+        """Threads that are new or changed (whole rows), and those that are gone (thread_id), as one more segment; one that is both is there."""
+        gone = changed.select("thread_id")
+        if removed is not None:
+            gone = gone.unionByName(removed.select("thread_id"))
+        number = self.manifest["next"]
+        _write(postings_of(changed), lengths_of(changed), gone, self.path, number, self.buckets)
+        self._publish([*self.segments, number], number + 1)
+
+    def live(self, segments: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of some segments, all by default, without entries that a later one of them overrides."""
+        of = self.segments if segments is None else segments
+        postings, lengths = self._table("postings", of), self._table("lengths", of)
+        if len(of) == 1:
+            return postings, lengths
+        later = self._table("gone", of[1:]).groupBy("thread_id").agg(F.max("segment").alias("_from"))
+        own = lambda rows: rows.join(later, "thread_id", "left").where(F.col("_from").isNull() | (F.col("segment") >= F.col("_from"))).drop("_from")
+        return own(postings), own(lengths)
+
+    def find(self, tree) -> DataFrame:
+        """thread_id, bm25 of the threads that match."""
+        return find(*self.live(), tree, self.buckets)
+
+    def merge(self, whole: bool = False) -> None:
+        """The segments after the first as one, or all of them: what no longer counts is dropped, older readers keep their files."""
+        of = self.segments if whole else self.segments[1:]
+        if len(of) < 2:
+            return
+        postings, lengths = self.live(of)
+        gone = self._table("gone", of) if not whole else self._table("gone", of).limit(0)
+        number = self.manifest["next"]
+        _write(postings, lengths, gone, self.path, number, self.buckets)
+        self._publish([number] if whole else [self.segments[0], number], number + 1)
+
+    def vacuum(self) -> list[int]:
+        """Removes the segments that the newest manifest doesn't name, and older manifests; their numbers."""
+        names = self.files.names(f"{self.path}/lengths/segment=*")
+        old = sorted(set(int(n.split("=")[1]) for n in names) - set(self.segments))
+        for i in old:
+            for table in ("postings", "lengths", "gone"):
+                self.files.remove(f"{self.path}/{table}/segment={i}")
+        for n in self.files.names(f"{self.path}/_manifests/*.json")[:-1]:
+            self.files.remove(f"{self.path}/_manifests/{n}")
+        return old
 
 
 def find(postings: DataFrame, lengths: DataFrame, tree, buckets: int = BUCKETS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators import clustering, decisions, documents, embeddings, ledger, listing, search
+from threadloom.operators.search_index import SearchIndex
 
 
 class NotFound(LookupError):
@@ -41,6 +42,8 @@ class Archive:
     runs: DataFrame | None = None
     jobs: DataFrame | None = None
     embed: Callable[[list[str]], list[list[float]]] | None = None
+    #: A search index of all threads as they are; who changes threads applies the change to it too.
+    index: SearchIndex | None = None
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
     def resolve(self, names: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -98,9 +101,7 @@ class Archive:
         listing.check_page(f.limit, f.offset)
         tree = search.parse_expression(query) if advanced else search.plain_expression(query)
         rows = self._selected(f)
-        found = search.keyword_search(self.threads, tree, listing.in_scope(self.resolve(f.repositories)))
-        keep = rows.select("thread_id")
-        found = found.join(keep, "thread_id", "left_semi")
+        found = self._matching(tree, f).join(rows.select("thread_id"), "thread_id", "left_semi")
         if mode == "keyword" or tree is None:
             return listing.page(found, listing.sort_order(f.sort, matched=True), f.limit, f.offset)
         k = search.window_size(f.limit, f.offset)
@@ -120,6 +121,13 @@ class Archive:
         both = search.fused(search.ranked(found, f.sort, k, "keyword_rank"), semantic, f.sort).limit(k)
         return listing.page(both, search.semantic_order(f.sort), f.limit, f.offset)
 
+    def _matching(self, tree, f: Filters) -> DataFrame:
+        """Threads that match, with bm25, from the index if the archive has one, else by reading all texts."""
+        scope = listing.in_scope(self.resolve(f.repositories))
+        if self.index is None or tree is None:
+            return search.keyword_search(self.threads, tree, scope)
+        return self.threads.where(scope).join(self.index.find(tree), "thread_id")
+
     def _embedded(self, query: str) -> list[float]:
         if self.embed is None:
             raise NoVectors("no embedding service")
@@ -250,9 +258,10 @@ class Archive:
         return ledger.recent_failures(self.runs)
 
     def doctor(self) -> DataFrame:
-        """Health checks, the last row for the whole archive; extra["index"] is a search index to hold against the threads, if there is one."""
+        """Health checks, the last row for the whole archive; an index must hold the threads that there are, and no others."""
         checks = listing.constraint_violations(self.threads, self.comments)
-        if (index := self.extra.get("index")) is not None:
-            stale = index.select("thread_id").distinct().join(self.threads.select("thread_id"), "thread_id", "left_anti")
-            checks = checks.unionByName(stale.agg(F.count("*").alias("violations")).select(F.lit("indexed_without_thread").alias("check_name"), "violations"))
+        if self.index is not None:
+            ids, held = self.threads.select("thread_id"), self.index.live()[1].select("thread_id")
+            apart = ids.join(held, "thread_id", "left_anti").unionByName(held.join(ids, "thread_id", "left_anti"))
+            checks = checks.unionByName(apart.agg(F.count("*").alias("violations")).select(F.lit("index_apart_from_threads").alias("check_name"), "violations"))
         return listing.health(checks)
