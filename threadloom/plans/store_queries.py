@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import embeddings, observations
 from threadloom.operators.clustering import shared_folder
-from threadloom.plans.archive_queries import EPOCH_US, LATEST, SQL, query
-from threadloom.sources.archive import relation, with_relations
+from threadloom.plans.archive_queries import CHUNKS_SQL, EPOCH_US, LATEST, SQL, TRIM, query, recursive
+from threadloom.sources.archive import relation
 from threadloom.sources.store import Check, Migration, Reference, Store, Table, Unique, Violation, Write
 
 THREAD = "thread_id bigint, host string, repo_id string, number bigint, kind string, state string, title string, updated_at_us bigint"
@@ -98,3 +98,26 @@ def _(s, d):
     store = filled(s, d)
     rows = store.read("threads").agg(F.count("*").alias("threads")).scalar()
     return store.history().agg(F.min("version").alias("lo"), F.max("version").alias("hi"), (F.count("*") == F.max("version") - F.min("version") + 1).alias("contiguous"), F.max("n_migrations").alias("n_migrations")).withColumn("threads", rows)
+
+
+@query("J8_J9_refresh_propagation")
+def _(s, d):
+    """Two refreshes, the second with other texts of every ninth thread: which of them embedded each thread, and what it embedded."""
+    from threadloom.refresh import Refresh
+
+    def service(run):
+        return lambda texts: [[float(run), float(len(t))] for t in texts]
+
+    t = relation(s, d, "threads")
+    older = t.withColumn("body", F.expr("CASE WHEN thread_id % 9 = 0 THEN title ELSE body END")).withColumn("updated_at_us", F.expr("CASE WHEN thread_id % 9 = 0 THEN updated_at_us - 1 ELSE updated_at_us END"))
+    refresh = Refresh.create(s, f"{shared_folder(s)}/refresh-{uuid.uuid4().hex}", service(1), 16)
+    reports = [refresh.run(older, ("sync", "embeddings"))]
+    refresh.embed = service(2)
+    reports.append(refresh.run(t, ("sync", "embeddings")))
+    per = refresh.store.read("vectors").groupBy("thread_id").agg(F.count("*").alias("chunks"), F.sum(F.col("vector")[1]).cast("long").alias("chars"), F.max(F.col("vector")[0]).cast("int").alias("run"))
+    touched = ",".join(str(r.stages["sync"].touched) for r in reports)
+    return per.select("*", F.lit(reports[1].outcome).alias("outcome"), F.lit(touched).alias("synced"))
+
+
+SQL["J8_J9_refresh_propagation"] = recursive("", "threads").rstrip() + f""",\n{CHUNKS_SQL}
+SELECT thread_id, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars, CASE WHEN thread_id IN (SELECT thread_id FROM threads WHERE thread_id % 9 = 0 AND {TRIM('title')} <> {TRIM('body')}) THEN 2 ELSE 1 END AS run, 'complete' AS outcome, (SELECT count(*) || ',' || count(*) FILTER (thread_id % 9 = 0) FROM threads) AS synced FROM chunked GROUP BY thread_id"""

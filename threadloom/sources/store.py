@@ -38,9 +38,12 @@ class Violation(StoreError):
 
 @dataclass(frozen=True)
 class Table:
+    """keys tell rows apart; dealt, some of the keys (all by default), tell their bucket."""
+
     schema: str
     keys: tuple[str, ...]
     buckets: int = 64
+    dealt: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,7 @@ class Migration:
 
     @property
     def digest(self) -> str:
-        said = [self.name, sorted((n, t.schema, t.keys, t.buckets) for n, t in self.tables.items()), [repr(r) for r in self.rules]]
+        said = [self.name, sorted((n, t.schema, t.keys, t.buckets, t.dealt) for n, t in self.tables.items()), [repr(r) for r in self.rules]]
         return hashlib.sha256(json.dumps(said).encode()).hexdigest()
 
 
@@ -228,7 +231,7 @@ class Write:
         """The buckets that changes' keys fall into, after rule(current rows of those buckets, changes); by default changes replace
         rows of equal keys. The rule may drop and add rows of those buckets, but no others."""
         table = self.store.tables[name]
-        bucket = F.pmod(F.xxhash64(*table.keys), F.lit(table.buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(*(table.dealt or table.keys)), F.lit(table.buckets)).cast("int")
         mine = {str(r["b"]) for r in changes.select(bucket.alias("b")).distinct().collect()}  # at most table.buckets numbers
         if not mine:
             return
