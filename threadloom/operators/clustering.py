@@ -36,15 +36,14 @@ def neighbours(threads: DataFrame, chunks: DataFrame, threshold: float, cross_ki
 
     A pair scores its best eligible similarity or the weight of a reference, whichever is more, so references (a < b, score) take
     and lose places like any other pair; those of threads without vectors don't count. Exact over all pairs, without a row
-    for each: threads are dealt into blocks of a repository, each pair of blocks is one matrix product in a task, and only
-    the best of each thread leave it. A pair that a tile leaves out has fanout better ones, which references only add to.
+    for each: threads of a repository are dealt into blocks around pivots, each pair of blocks that may hold an eligible pair (tiles.py) is
+    one matrix product in a task, and only the best of each thread leave it. A pair that a tile leaves out has fanout better ones, which references only add to.
     """
+    from threadloom.operators.tiles import tiled
+
     vectors = chunks.groupBy("thread_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "vector"))).alias("c"))
     rows = threads.join(vectors, "thread_id").select("thread_id", "full_name", "kind", title_tokens(F.col("title")).alias("words"), F.transform("c", lambda c: c["vector"]).alias("vectors"))
-    sizes = rows.groupBy("full_name").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "full_name").withColumn("block", F.pmod(F.xxhash64("thread_id"), F.col("blocks")).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    tiles = rows.select("*", F.explode(each).alias("t")).select("thread_id", "full_name", "kind", "words", "vectors", "block", "t.i", "t.j")
+    tiles = tiled(rows, threshold, block)[0].select("thread_id", "full_name", "kind", "words", "vectors", "block", "i", "j")
 
     def tile(t):
         import pyarrow as pa
