@@ -112,11 +112,15 @@ def test_bad_hosts(raw):
 
 
 def test_selectors(spark):
-    rows = spark.createDataFrame([("org/name#12",), ("https://git.example/org/name/pull/7",), ("org/name#0",), ("x",), (None,)], "c string")
-    got = [tuple(r[0]) if r[0] else None for r in rows.select(identity.parse_thread(F.col("c"))).collect()]
-    assert got[:2] == [("org", "name", None, 12), ("org", "name", "pull", 7)]
-    assert all(g[3] is None for g in got[2:])
-    assert tuple(one(spark, identity.parse_repository(F.lit("https://Git.Example/org/name.git")))) == ("git.example", "org", "name")
+    ask = lambda f, *texts: [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string").coalesce(1).orderBy("i").select(f(F.col("c"), "own.example")).collect()]
+    none = (None,) * 5
+    assert ask(identity.parse_thread, "org/name#12", "https://Git.Example:443/org/na_me.x/pull/7/", "HTTPS://git.example/o/n/issues/007?x#y", "o/n#+3") == [
+        ("own.example", "org", "name", None, 12), ("git.example", "org", "na_me.x", "pull", 7), ("git.example", "o", "n", "issues", 7), ("own.example", "o", "n", None, 3),
+    ]
+    assert ask(identity.parse_thread, "org/name#0", "x", None, "http://h/o/n/pull/1", "https://h/o/n/pulls/1", "https://h/o/n/pull/1/files", "o/n/m#1", "o/n#99999999999999999999", "https://b_d/o/n/pull/1") == [none] * 9
+    assert ask(identity.parse_repository, "https://Git.Example./org/name.git/?q", "a/b c", "ä/ö", "https://h/o", "https://h/o/n/m", "ftp://h/o/n", "o\\x/n", "https://h:0/o/n") == [
+        ("git.example", "org", "name.git"), (None,) * 3, ("own.example", "ä", "ö"), *[(None,) * 3] * 5,
+    ]
 
 
 def test_next_link(spark):

@@ -74,26 +74,43 @@ def host(c: Column) -> Column:
     return parsed(c)
 
 
-_NAME = r"[A-Za-z0-9._-]+"
-
-
-def parse_repository(c: Column) -> Column:
-    """struct(host, owner, name) of owner/name or an https address; fields null when it is neither."""
-    short = F.regexp_extract(c, rf"^({_NAME})/({_NAME})$", 1) != ""
-    address = rf"^https://([^/\s@]+)/({_NAME})/({_NAME}?)(?:\.git)?/?$"
-    part = lambda i, j: F.nullif(F.when(short, F.regexp_extract(c, rf"^({_NAME})/({_NAME})$", i) if i else F.lit("")).otherwise(F.regexp_extract(c, address, j)), F.lit(""))
-    return F.struct(F.lower(part(0, 1)).alias("host"), part(1, 2).alias("owner"), part(2, 3).alias("name"))
-
-
-def parse_thread(c: Column) -> Column:
-    """struct(owner, name, kind, number) of owner/name#N or an issues or pull address."""
-    short = rf"^({_NAME})/({_NAME})#([1-9]\d*)$"
-    address = rf"^https://[^/\s@]+/({_NAME})/({_NAME})/(issues|pull)/([1-9]\d*)/?$"
-    is_short = c.rlike(short)
-    pick = lambda i, j: F.nullif(F.when(is_short, F.regexp_extract(c, short, i)).otherwise(F.regexp_extract(c, address, j)), F.lit(""))
-    return F.struct(
-        pick(1, 1).alias("owner"), pick(2, 2).alias("name"), F.nullif(F.regexp_extract(c, address, 3), F.lit("")).alias("kind"), pick(3, 4).cast("long").alias("number")
-    )
+#: A segment of a path: no white space, control character or mark of an address.
+_SEGMENT = r"[^\s\p{Cntrl}/#?@\\]+"
+_HTTPS = r"(?i)^https://([^/]*)/"
+
+
+def _address(c: Column) -> tuple[Column, Column, Column]:
+    """Whether a selector is an address, its host in canonical form, and its path without query, fragment and last slashes."""
+    is_address = c.contains("://")
+    path = F.regexp_replace(F.regexp_extract(c, _HTTPS + "([^?#]*)", 2), "/+$", "")
+    return is_address, host(F.when(is_address, F.nullif(F.regexp_extract(c, _HTTPS, 1), F.lit("")))), path
+
+
+def _found(pattern: str, text: Column, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, f"(?U){pattern}", group), F.lit(""))
+
+
+def parse_repository(c: Column, default_host: str | None = None) -> Column:
+    """struct(host, owner, name) of owner/name, which is on the default host, or of an https address; all null when it is neither."""
+    is_address, at, path = _address(c)
+    both = rf"^({_SEGMENT})/({_SEGMENT})$"
+    text = F.when(is_address, path).otherwise(c)
+    ok = text.rlike(f"(?U){both}") & (~is_address | at.isNotNull())
+    return F.struct(F.when(ok, F.when(is_address, at).otherwise(F.lit(default_host))).alias("host"), F.when(ok, _found(both, text, 1)).alias("owner"), F.when(ok, _found(both, text, 2)).alias("name"))
+
+
+def parse_thread(c: Column, default_host: str | None = None) -> Column:
+    """struct(host, owner, name, kind, number) of owner/name#N or of an issues or pull address; all null when it is neither.
+
+    kind is what an address says, issues or pull. Numbers are above 0 and fit 64 bits with a sign.
+    """
+    is_address, at, path = _address(c)
+    short, address = rf"^({_SEGMENT})/({_SEGMENT})#\+?([0-9]+)$", rf"^({_SEGMENT})/({_SEGMENT})/(issues|pull)/\+?([0-9]+)$"
+    pick = lambda i, j: F.when(is_address, _found(address, path, j)).otherwise(_found(short, c, i))
+    number = pick(3, 4).try_cast("bigint")
+    ok = (number > 0) & (~is_address | at.isNotNull())
+    keep = lambda x, name: F.when(ok, x).alias(name)
+    return F.struct(keep(F.when(is_address, at).otherwise(F.lit(default_host)), "host"), keep(pick(1, 1), "owner"), keep(pick(2, 2), "name"), keep(F.when(is_address, _found(address, path, 3)), "kind"), keep(number, "number"))
 
 
 def next_link(c: Column) -> Column:

@@ -778,15 +778,33 @@ def _(s, d):
     return observations.canonical_strict(log.join(observations.ambiguous_keys(log, ["k"]), "k", "left_anti"), ["k"], ["payload"]).select("k", "payload", "sequence")
 
 
-@query("H24_parse_repository", r"""SELECT page_id, nullif(lower(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 1)), '') AS host, nullif(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 2), '') AS owner, nullif(regexp_extract(url, '^https://([^/\s@]+)/([A-Za-z0-9._-]+)/([A-Za-z0-9._-]+?)(\.git)?/?$', 3), '') AS name FROM pages""")
+SELECTED = """sel AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN replace(url, 'http://', 'HTTPS://') WHEN 2 THEN concat('https://Git.Example.:443/o.rg/', cast(page_id AS varchar(20)), '.git//?tab=1#x') WHEN 3 THEN concat('org/n-', cast(page_id AS varchar(20)))
+WHEN 4 THEN 'a/b/c' WHEN 5 THEN concat('https://[0:0::1]:8443/o/', cast(page_id AS varchar(20))) WHEN 6 THEN 'https://bad_host/o/n' ELSE 'o rg/name' END AS s FROM pages)"""
+CANONICAL = "CASE WHEN a = '[0:0::1]:8443' THEN '[::1]:8443' ELSE regexp_replace(regexp_replace(lower(a), ':443$', ''), '\\.$', '') END"
+
+
+SQL["H24_parse_repository"] = with_relations("").rstrip() + ",\n" + SELECTED + rf""",
+p AS (SELECT page_id, s, s LIKE '%://%' AS url, regexp_extract(s, '(?i)^https://([^/]*)/', 1) AS a, rtrim(regexp_extract(s, '(?i)^https://[^/]*/([^?#]*)', 1), '/') AS path FROM sel),
+q AS (SELECT *, CASE WHEN url THEN path ELSE s END AS t FROM p),
+r AS (SELECT *, regexp_full_match(t, '[^\s/#?@]+/[^\s/#?@]+') AND (NOT url OR (a <> '' AND a <> 'bad_host')) AS ok FROM q)
+SELECT page_id, CASE WHEN ok THEN CASE WHEN url THEN {CANONICAL} ELSE 'git.example' END END AS host, CASE WHEN ok THEN split_part(t, '/', 1) END AS owner, CASE WHEN ok THEN split_part(t, '/', 2) END AS name FROM r"""
+
+
+@query("H24_parse_repository")
 def _(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select("page_id", identity.parse_repository(F.col("url")).alias("r")).select("page_id", "r.*")
+    """Addresses of pages, of repositories on hosts to be made canonical, short names, and what is neither."""
+    rows = s.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", SELECTED[SELECTED.index("CASE") : SELECTED.index(" FROM pages)")])
+    return rows.select("page_id", identity.parse_repository(F.col("s"), HOST).alias("r")).select("page_id", "r.*")
+
+
+SELECTOR = "CASE thread_id % 6 WHEN 0 THEN concat(full_name, '#', cast(number AS varchar(20))) WHEN 1 THEN concat('https://Git.Example:443/', full_name, '/pull/', cast(number AS varchar(20)), '/?a=b') WHEN 2 THEN concat('HTTPS://git.example./', full_name, '/issues/00', cast(number AS varchar(20)), '#c1') WHEN 3 THEN concat(full_name, '#0') WHEN 4 THEN concat('https://git.example/', full_name, '/pulls/', cast(number AS varchar(20))) ELSE concat(full_name, '/issues/', cast(number AS varchar(20))) END"
 
 
-@query("H25_parse_thread", "SELECT thread_id, 'org' AS owner, substr(full_name, 5) AS name, NULL::VARCHAR AS kind, number FROM threads", "threads")
+@query("H25_parse_thread", "SELECT thread_id, CASE WHEN m < 3 THEN 'git.example' END AS host, CASE WHEN m < 3 THEN 'org' END AS owner, CASE WHEN m < 3 THEN substr(full_name, 5) END AS name, CASE m WHEN 1 THEN 'pull' WHEN 2 THEN 'issues' END AS kind, CASE WHEN m < 3 THEN number END AS number FROM (SELECT *, thread_id % 6 AS m FROM threads)", "threads")
 def _(s, d):
-    t = relation(s, d, "threads").select("thread_id", F.concat("full_name", F.lit("#"), F.col("number").cast("string")).alias("sel"))
-    return t.select("thread_id", identity.parse_thread(F.col("sel")).alias("r")).select("thread_id", "r.*")
+    """Short selectors, addresses of both kinds, and three forms that are none."""
+    t = relation(s, d, "threads").select("thread_id", F.expr(SELECTOR).alias("sel"))
+    return t.select("thread_id", identity.parse_thread(F.col("sel"), HOST).alias("r")).select("thread_id", "r.*")
 
 
 @query("H21_H26_source_clock", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'missing' WHEN event_id % 3 = 1 THEN 'valid' ELSE 'invalid' END AS state, CASE WHEN event_id % 3 = 2 THEN 'not-a-time' END AS raw, CASE WHEN event_id % 3 = 1 THEN epoch_us(ts) END AS us FROM events")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import clustering, documents, ledger
 from threadloom.operators.clustering import _kept
+from threadloom.operators.embedding_service import Service, embedded
 from threadloom.sources.store import Migration, Store, Table, Write
 
 THREAD = "thread_id bigint, host string, repo_id string, number bigint, full_name string, kind string, state string, title string, body string, label string, updated_at_us bigint"
@@ -64,8 +65,8 @@ def unlike(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 
 
 class Refresh:
-    def __init__(self, store: Store, embed: Callable[[list[str]], list[list[float]]] | None, max_bytes: int = 2000, threshold: float = 0.8, cross_kind: float = 0.9, fanout: int = 16, most: int = 40, batch: int = 64):
-        self.store, self.embed, self.max_bytes, self.batch = store, embed, max_bytes, batch
+    def __init__(self, store: Store, embed: Service | Callable[[list[str]], list] | None, max_bytes: int = 2000, threshold: float = 0.8, cross_kind: float = 0.9, fanout: int = 16, most: int = 40):
+        self.store, self.embed, self.max_bytes = store, embed, max_bytes
         self.cluster = (threshold, cross_kind, fanout, most)
 
     @classmethod
@@ -120,7 +121,7 @@ class Refresh:
             return n
         if self.embed is None:
             raise RuntimeError("no embedding service")
-        vectors = _kept(self._embedded(documents.chunks_of(wanted, self.max_bytes)))
+        vectors = _kept(embedded(documents.chunks_of(wanted, self.max_bytes), self.embed))
         write = Write(self.store)
         # All chunks of a document are replaced together; a document without text has none.
         ids = wanted.select("thread_id")
@@ -130,24 +131,6 @@ class Refresh:
         write.commit()
         return n + wanted.count()
 
-    def _embedded(self, chunks: DataFrame) -> DataFrame:
-        service, size = self.embed, self.batch
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                texts, vectors = b.column("chunk").to_pylist(), []
-                for i in range(0, len(texts), size):
-                    got = service(texts[i : i + size])
-                    if len(got) != len(texts[i : i + size]) or len({len(v) for v in got}) > 1:
-                        raise ValueError("the embedding service gave another number of vectors, or vectors of several sizes")
-                    vectors += got
-                columns = [b.column(c) for c in ("thread_id", "chunk_index", "chunk_count", "chunk_hash")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.list_(pa.float64()))], ["thread_id", "chunk_index", "chunk_count", "chunk_hash", "vector"])
-
-        return chunks.select("thread_id", "chunk_index", "chunk_count", "chunk_hash", "chunk").mapInArrow(run, "thread_id bigint, chunk_index int, chunk_count int, chunk_hash string, vector array<double>")
-
     def clusters(self) -> int:
         """The repositories whose clusters were built anew."""
         held = self.store.read("documents").where("embedded_hash IS NOT NULL").select("thread_id", "embedded_hash")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators import clustering, decisions, documents, embeddings, ledger, listing, search
+from threadloom.operators import clustering, decisions, documents, embedding_service, embeddings, ledger, listing, search
 from threadloom.operators.search_index import SearchIndex
 
 
@@ -41,7 +41,7 @@ class Archive:
     chunks: DataFrame | None = None
     runs: DataFrame | None = None
     jobs: DataFrame | None = None
-    embed: Callable[[list[str]], list[list[float]]] | None = None
+    embed: embedding_service.Service | Callable[[list[str]], list] | None = None
     #: A search index of all threads as they are; who changes threads applies the change to it too.
     index: SearchIndex | None = None
     extra: dict[str, DataFrame] = field(default_factory=dict)
@@ -106,10 +106,14 @@ class Archive:
             return listing.page(found, listing.sort_order(f.sort, matched=True), f.limit, f.offset)
         k = search.window_size(f.limit, f.offset)
         try:
-            query_vector = vector if vector is not None else self._embedded(query)
             whole = search.complete_documents(self.chunks)
             chunks = self.chunks.join(whole, "thread_id", "left_semi")
-            if chunks.where(F.size("vector") == len(query_vector)).isEmpty():
+            size = len(vector) if vector is not None else getattr(self.embed, "dimensions", None)
+            # Before the service is asked: are there vectors at all, and of the size that it is known to give?
+            if chunks.where(F.size("vector") == size if size else F.lit(True)).isEmpty():
+                raise NoVectors("no document has vectors of this size")
+            query_vector = vector if vector is not None else self._embedded(query)
+            if size is None and chunks.where(F.size("vector") == len(query_vector)).isEmpty():
                 raise NoVectors("no document has vectors of this size")
         except (NoVectors, ConnectionError, TimeoutError):
             if not fallback:
@@ -131,7 +135,8 @@ class Archive:
     def _embedded(self, query: str) -> list[float]:
         if self.embed is None:
             raise NoVectors("no embedding service")
-        return self.embed([query])[0]
+        service = self.embed if isinstance(self.embed, embedding_service.Service) else embedding_service.Service(self.embed)
+        return service.vectors([query])[0]
 
     def thread_documents(self, recipe: str = "discussion_enriched") -> DataFrame:
         """Documents of all threads: original_body, or discussion_enriched with the child families that are complete and not stale.
@@ -155,29 +160,15 @@ class Archive:
             talk = none("thread_id bigint, provider_id string, path string, line bigint, is_resolved boolean, is_outdated boolean, comments array<struct<provider_id string, author string, is_bot boolean, body string, created_at_us bigint>>")
         return documents.render_enriched(self.threads, documents.child_sections(families["comments"], reviews, talk), current)
 
-    def embed_documents(self, rendered: DataFrame, max_bytes: int, stored: DataFrame | None = None, batch: int = 64) -> DataFrame:
+    def embed_documents(self, rendered: DataFrame, max_bytes: int, stored: DataFrame | None = None) -> DataFrame:
         """thread_id, chunk_index, chunk_count, chunk_hash, vector of the chunks that stored doesn't hold already.
 
-        The service is called from the tasks, a batch of texts at a time; it must return one vector a text, all of one size.
+        The service is called from the tasks, in requests within its budgets; see embedding_service.
         """
         wanted = documents.chunks_of(rendered, max_bytes)
         if stored is not None:
             wanted = documents.pending_chunks(wanted, stored)
-        service = self.embed
-
-        def run(batches):
-            import pyarrow as pa
-
-            for b in batches:
-                vectors, texts = [], b.column("chunk").to_pylist()
-                for i in range(0, len(texts), batch):
-                    got = service(texts[i : i + batch])
-                    if len(got) != len(texts[i : i + batch]) or len({len(v) for v in got}) != 1:
-                        raise ValueError("the service returned other than one vector of one size for each text")
-                    vectors += got
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in ("thread_id", "chunk_index", "chunk_count", "chunk_hash")] + [pa.array(vectors, pa.list_(pa.float32()))], ["thread_id", "chunk_index", "chunk_count", "chunk_hash", "vector"])
-
-        return wanted.select("thread_id", "chunk_index", "chunk_count", "chunk", "chunk_hash").mapInArrow(run, "thread_id long, chunk_index int, chunk_count int, chunk_hash string, vector array<float>")
+        return embedding_service.embedded(wanted, self.embed).withColumn("vector", F.col("vector").cast("array<float>"))
 
     def build_clusters(self, threshold: float = 0.82, cross_kind: float = 0.93, fanout: int = 16, most: int = 40) -> DataFrame:
         """Members with cluster, representative and score of the open threads that have vectors."""
