@@ -1,5 +1,8 @@
 """Quality rules: one threshold table, compiled into one Spark projection without user functions.
 
+The stop words of the default table are those of English, French, German and Spanish. A text of another language holds few of
+them and fails stop_word_ratio: the table is meant for corpora of these four, others need rules of their own.
+
 Defined cases: null and empty texts have no words, fail the base rule and are not kept; repeated rows are judged
 one by one; an empty table gives an empty one; columns of the input that clash with a metric's name are not read,
 because the projection starts from id and text alone.
