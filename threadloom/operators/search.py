@@ -298,13 +298,15 @@ def _bm25(leaves: list, length: Column, stats: str) -> Column:
 def keyword_search(threads: DataFrame, tree, eligible: Column | None = None) -> DataFrame:
     """threads that match, with bm25 (smaller is better); statistics are over all threads.
 
-    One pass counts each phrase in each thread; the statistics come from a scalar subquery of one aggregated row.
-    Archives that are searched often keep an index instead (search_index.py).
+    One pass counts each phrase in each thread; the counts, a few numbers a thread, are written, and statistics and scores come from
+    them, so texts are taken apart once. Archives that are searched often keep an index instead (search_index.py).
     """
     if tree is None:
         return threads.withColumn("bm25", F.lit(None).cast("double")).where(F.lit(False))
+    from threadloom.operators.clustering import _kept
+
     leaves = list(dict.fromkeys(leaves_of(tree)))
-    rows = threads.select("*", search_tokens(F.col("title")).alias("_title"), search_tokens(F.col("body")).alias("_body"))
+    rows = threads.select("thread_id", search_tokens(F.col("title")).alias("_title"), search_tokens(F.col("body")).alias("_body"))
     counts = []
     for i, leaf in enumerate(leaves):
         if isinstance(leaf, Part):
@@ -312,12 +314,11 @@ def keyword_search(threads: DataFrame, tree, eligible: Column | None = None) ->
         else:
             parts = [phrase_count(F.col(f"_{c}"), leaf) for c in _columns(leaf)]
         counts.append(sum(parts[1:], parts[0]).alias(f"_f{i}") if parts else F.lit(0).alias(f"_f{i}"))
-    rows = rows.select("*", (F.size("_title") + F.size("_body")).alias("_len"), *counts).drop("_title", "_body")
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(leaves))])
-    joined = rows.select("*", stats.select(F.struct("*")).scalar().alias("_s"))
-    hit = _matches(tree, {p: F.col(f"_f{i}") for i, p in enumerate(leaves)})
-    found = joined.where(hit if eligible is None else hit & eligible)
-    return found.select(*threads.columns, _bm25(leaves, F.col("_len"), "_s").alias("bm25"))
+    counted = _kept(rows.select("thread_id", (F.size("_title") + F.size("_body")).alias("_len"), *counts))
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(leaves))])
+    hit = counted.where(_matches(tree, {p: F.col(f"_f{i}") for i, p in enumerate(leaves)}))
+    scored = hit.select("*", stats.select(F.struct("*")).scalar().alias("_s")).select("thread_id", _bm25(leaves, F.col("_len"), "_s").alias("bm25"))
+    return (threads if eligible is None else threads.where(eligible)).join(scored, "thread_id").select(*threads.columns, "bm25")
 
 
 def ranked(found: DataFrame, sort: str, k: int, rank: str) -> DataFrame:

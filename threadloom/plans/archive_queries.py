@@ -428,6 +428,15 @@ SQL["H14_H15_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nS
 
 
 @query("C18_pending_chunks")
+def _(s, d):
+    wanted = _chunks(s, d)
+    return documents.pending_chunks(wanted, wanted.where("thread_id % 2 = 0")).select("thread_id", "chunk_index", "chunk_hash")
+
+
+SQL["C18_pending_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nSELECT thread_id, chunk_index, chunk_hash FROM chunked WHERE thread_id % 2 <> 0"
+
+
+@query("C18_changed_chunks")
 def _(s, d):
     """Stored chunks: those of even threads, every third of them under another hash or another count."""
     wanted = _chunks(s, d)
@@ -435,7 +444,7 @@ def _(s, d):
     return documents.pending_chunks(wanted, stored).select("thread_id", "chunk_index", "chunk_hash")
 
 
-SQL["C18_pending_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nSELECT thread_id, chunk_index, chunk_hash FROM chunked WHERE thread_id % 2 <> 0 OR thread_id % 7 = 0 OR (thread_id % 3 = 0 AND chunk_index % 2 = 1)"
+SQL["C18_changed_chunks"] = recursive("", "threads").rstrip() + f",\n{CHUNKS_SQL}\nSELECT thread_id, chunk_index, chunk_hash FROM chunked WHERE thread_id % 2 <> 0 OR thread_id % 7 = 0 OR (thread_id % 3 = 0 AND chunk_index % 2 = 1)"
 
 
 @query("F19_request_batches")
