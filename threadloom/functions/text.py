@@ -108,12 +108,24 @@ def chunk_text(text: str, max_bytes: int) -> list[str]:
 
 # A mention is a mark, "#" or "issues/" or "pull/" with a number after it, and a repository (owner/name) that may stand right
 # before it. So marks are what is searched for, and repositories are read backwards from them: names are runs of
-# word characters, dots and dashes, and each run is looked at once for each mark that it ends at.
+# word characters, dots and dashes.
 _MARK = re.compile(r"#(\d+)|(?:issues|pull)/(\d+)", re.IGNORECASE)
-_NAME = re.compile(r"[\w.-]+")
+_NO_NAME = re.compile(r"[^\w.-]")
 _EDGE = re.compile(r"\b")
 
 
+def _name_before(text: str, end: int) -> int:
+    """Where the run of name characters that ends at `end` begins; `end` itself where there is none."""
+    width = 64
+    while True:
+        begin = max(0, end - width)
+        if found := _NO_NAME.search(text[begin:end][::-1]):
+            return end - found.start()
+        if not begin:
+            return 0
+        width *= 4
+
+
 def mentions_of(text: str | None):
     """(repository or None, number, byte offset) of the mentions in a text, leftmost first, none inside another.
 
@@ -124,7 +136,6 @@ def mentions_of(text: str | None):
     marks = list(_MARK.finditer(text))
     if not marks:
         return
-    runs = {m.end(): m.start() for m in _NAME.finditer(text)}
 
     def repository(mark, done):
         """Where the repository before a mark begins and ends, if there is one after `done`."""
@@ -133,9 +144,11 @@ def mentions_of(text: str | None):
             if text[end - 1 : end] != "/":
                 return None
             end -= 1
-        slash = runs.get(end, 0) - 1
-        owner = runs.get(slash)
-        if slash < done or owner is None or text[slash] != "/":
+        slash = _name_before(text, end) - 1
+        if slash < max(done, 0) or slash == end - 1 or text[slash] != "/":
+            return None
+        owner = _name_before(text, slash)
+        if owner == slash:
             return None
         edge = _EDGE.search(text, max(owner, done), slash)
         return (edge.start(), end) if edge and edge.start() < slash else None
