@@ -39,15 +39,14 @@ def angle(a: np.ndarray, b: np.ndarray) -> float:
 def placed(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """rows (thread_id, full_name, vectors, ...) with their block, and the blocks: full_name, block, pivot, radius.
 
-    The pivot of a repository of one block is null.
+    The pivot of a repository of one block is null; if all are, blocks have no pivots and radii at all.
     """
     sizes = rows.groupBy("full_name").agg(F.count("*").alias("n"))
     sizes = _kept(sizes.select("full_name", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")))
     many = sizes.where("blocks > 1")
     none = F.lit(None)
     if many.isEmpty():
-        blocks = sizes.select("full_name", F.lit(0).alias("block"), none.cast("array<double>").alias("pivot"), none.cast("double").alias("radius"))
-        return rows.withColumn("block", F.lit(0)), blocks
+        return rows.withColumn("block", F.lit(0)), sizes.select("full_name", F.lit(0).alias("block"))
     large = rows.join(many, "full_name")
     first = F.row_number().over(Window.partitionBy("full_name").orderBy(F.xxhash64("thread_id"), "thread_id"))
     usable = large.where(F.exists("vectors", lambda v: F.exists(v, lambda x: (x != 0) & ~F.isnan(x) & (F.abs(x) < float("inf")))))
@@ -122,6 +121,9 @@ def pairs(blocks: DataFrame, threshold: float) -> DataFrame:
 def tiled(rows: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """rows once for each pair of blocks (i, j) that they belong to and that is kept, and all pairs with `kept`."""
     rows, blocks = placed(rows, block)
+    if "pivot" not in blocks.columns:  # every repository is one block
+        zero = F.lit(0)
+        return rows.withColumn("i", zero).withColumn("j", zero), blocks.select("full_name", zero.alias("i"), zero.alias("j"), F.lit(True).alias("kept"))
     every = _kept(pairs(blocks, threshold))
     kept = every.where("kept").select("full_name", "i", "j")
     ends = kept.select("full_name", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
