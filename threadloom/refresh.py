@@ -12,6 +12,7 @@ A stage that fails is recorded and the others still run; the outcome is that of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -39,6 +40,8 @@ def schema(buckets: int = 64) -> list[Migration]:
     ]
 
 
+#: A task's error as Spark reports it, where the task could not reach the service: the line that names the exception.
+UNREACHABLE = re.compile(r"^ {0,2}(?:\w+\.)*(?:Connection\w*|Timeout)Error\b", re.MULTILINE)
 STAGES = ("sync", "embeddings", "clusters")
 
 
@@ -88,7 +91,7 @@ class Refresh:
                 report.stages[name] = Stage("interrupted", failure=str(e))
                 break
             except Exception as e:  # a failed stage doesn't keep the others from their work
-                report.stages[name] = Stage("deferred" if "ConnectionError" in str(e) or "TimeoutError" in str(e) else "failed", failure=str(e)[:500])
+                report.stages[name] = Stage("deferred" if UNREACHABLE.search(str(e)) else "failed", failure=str(e)[:500])
         rows = [(0, n, i, s.status) for i, (n, s) in enumerate(report.stages.items())]
         made = ledger.refresh_outcomes(self.store.spark.createDataFrame(rows, "refresh_id int, stage string, position int, status string")).first()
         report.outcome, report.remaining = made["outcome"], tuple(x for x in made["remaining"].split(",") if x)
