@@ -1,6 +1,8 @@
 """Encoding, the token store, BPE, packing, the Jaccard join and the pipeline."""
 
+import ctypes
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,10 +10,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, components, encoding, jaccard_join, packing, queries, token_store
+from threadloom.llm import bpe, common, components, encoding, jaccard_join, packing, queries, token_store
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -89,6 +92,46 @@ def test_long_texts_are_encoded_in_parts(plain_ids, monkeypatch):
     assert len(e.table.others) > 20
 
 
+def test_encoding_takes_little_memory_at_once(plain_ids):
+    """6 MB of texts go through the encoder in parts: a worker shares an executor's memory with others."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(3000)]
+    with open(JSON, "rb") as f:
+        e = encoding.Encoder(f.read())
+    raw = pa.array([*(t.encode() for t in texts), None], pa.binary())
+    tracemalloc.start()
+    try:
+        got = [ids for _, _, held in encoding.text_slices(raw) for ids in e.encode(held)]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert raw.nbytes > 6_000_000 and most < 80_000_000  # its own ids and table are 20 MB of these
+    assert all(got[i].tolist() == plain_ids(texts[i])[:-1].tolist() for i in range(0, len(texts), 100)) and len(got[-1]) == 0
+    tracemalloc.start()
+    try:
+        e.encode([t.encode() for t in texts])
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc's call")
+def test_freed_memory_goes_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    held = [np.ones(100_000, np.uint8) for _ in range(2000)]
+    pins = held[::100]  # so that the heap can't just end earlier
+    most = resident()
+    del held
+    common.give_back()
+    assert resident() < most - 100_000_000 and all(p.all() for p in pins)
+
+
 def test_more_distinct_words_than_a_small_table_holds(tik):
     """Over 2^20 distinct words of one block, over 2^22 distinct units of one text."""
     texts = [" ".join(np.base_repr(i, 36) for i in range(a, a + 400_000)).encode() for a in range(0, 1_200_000, 400_000)]

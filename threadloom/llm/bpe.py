@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialize, read_table
-from threadloom.llm.encoding import BATCH_BYTES, TABLE_BYTES, TABLE_UNITS, Table, Units, pieces, ragged, slices
+from threadloom.llm.encoding import TABLE_BYTES, TABLE_UNITS, Table, Units, pieces, ragged, slices
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES, BATCH_BYTES = 8_000_000, 2_000_000
 BUCKETS_A_PARTITION = 4
 
 
@@ -78,7 +78,7 @@ class Block:
 
     def add(self, texts: list[bytes]):
         """The words of each text: how many, and their numbers."""
-        parts = [x for t in texts for x in (pieces(t) if len(t) > 2 * BATCH_BYTES else [t])]
+        parts = [x for t in texts for x in (pieces(t, BATCH_BYTES) if len(t) > 2 * BATCH_BYTES else [t])]
         counts, refs = [], []
         for a, b in slices(parts, len(parts) + 1, 2 * BATCH_BYTES):
             u = Units(parts[a:b])
@@ -87,7 +87,7 @@ class Block:
             self.size += len(u.data)
         counts = np.concatenate(counts)
         if len(parts) > len(texts):
-            own = [len(pieces(t)) if len(t) > 2 * BATCH_BYTES else 1 for t in texts]
+            own = [len(pieces(t, BATCH_BYTES)) if len(t) > 2 * BATCH_BYTES else 1 for t in texts]
             counts = np.add.reduceat(counts, np.cumsum(own) - own)
         return counts, np.concatenate(refs)
 
@@ -117,7 +117,7 @@ def blocks_of(batches, block_bytes: int):
     number, block = TaskContext.get().partitionId() << 24, Block()
     for batch in batches:
         texts = [t or b"" for t in batch.column(1).to_pylist()]
-        for a, b in slices(texts):
+        for a, b in slices(texts, most=BATCH_BYTES):
             counts, refs = block.add(texts[a:b])
             yield number, block, batch.column(0).slice(a, b - a), counts, refs
             if block.size >= block_bytes:

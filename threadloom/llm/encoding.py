@@ -14,10 +14,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What the table holds before it is emptied; a bound on memory, not on what is encoded.
-TABLE_UNITS, TABLE_BYTES = 1 << 20, 64 << 20
-BATCH_TEXTS, BATCH_BYTES = 1000, 2_000_000
+TABLE_UNITS, TABLE_BYTES = 1_000_000, 64 << 20  # so many that its arrays need not grow beyond 2**20 units
+BATCH_TEXTS, BATCH_BYTES = 1000, 500_000  # numpy takes some 50 bytes for one of a text
 
 _SPACE, _BREAK, _LETTER, _MARK, _PLAIN = (np.zeros(256, bool) for _ in range(5))
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -39,9 +41,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash, never 0, of each of the consecutive runs of bytes that make up data."""
-    place = np.arange(len(data), dtype=np.uint64) - np.repeat(begin, end - begin).astype(np.uint64)
+    x = np.arange(len(data), dtype=np.uint64)
+    x -= np.repeat(begin.astype(np.uint64), end - begin)
+    x <<= np.uint64(8)
+    x += data
+    x += np.uint64(1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixed(data + (place << np.uint64(8)) + np.uint64(1)), out=total[1:])
+    np.cumsum(mixed(x), out=total[1:])
     return mixed(total[end] - total[begin] + (end - begin).astype(np.uint64)) | np.uint64(1)
 
 
@@ -315,14 +321,25 @@ def pieces(text: bytes, most: int = BATCH_BYTES, stretch: int = 1 << 16) -> list
 
 def slices(texts, count: int = BATCH_TEXTS, most: int = BATCH_BYTES):
     """Index ranges with a bounded number of texts and, but for a longer single text, of bytes."""
+    return runs([len(t) for t in texts], count, most)
+
+
+def runs(sizes: list[int], count: int = BATCH_TEXTS, most: int = BATCH_BYTES):
+    """slices() of texts whose sizes are known."""
     begin = size = 0
-    for i, t in enumerate(texts):
-        if i > begin and (i - begin >= count or size + len(t) > most):
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin >= count or size + n > most):
             yield begin, i
             begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def text_slices(column: pa.Array):
+    """(begin, end, texts) of a binary column, nulls as empty texts; only one slice at a time is copied out of Arrow."""
+    for a, b in runs(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield a, b, [t or b"" for t in column.slice(a, b - a).to_pylist()]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import read_table
+from threadloom.llm.common import give_back, read_table
 
 # First code points of script ranges, in order, with the script that starts there.
 SCRIPTS = (
@@ -67,13 +67,17 @@ class Words:
         self.script = script[chars[(self.start + self.end - 1) // 2]]
         size = self.end - self.start
         # Words are told apart by a 64-bit hash: the sum of mixed (character, place) pairs.
-        place = np.arange(len(chars), dtype=np.uint64)
-        place -= np.repeat(np.append(self.start, 0), np.append(np.diff(np.append(0, self.end)), len(chars) - (self.end[-1] if len(self.end) else 0))).astype(np.uint64)
-        mixed = (chars.astype(np.uint64) + (place << np.uint64(21)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.arange(len(chars), dtype=np.uint64)
+        mixed -= np.repeat(np.append(self.start, 0).astype(np.uint64), np.append(np.diff(np.append(0, self.end)), len(chars) - (self.end[-1] if len(self.end) else 0)))
+        mixed <<= np.uint64(21)
+        mixed += chars
+        mixed += np.uint64(1)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(32)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(mixed, out=total[1:])
         _, at, self.word = np.unique(total[self.end] - total[self.start], return_index=True, return_inverse=True)
         # The distinct words, a blank before and after each.
         n = size[at]
@@ -262,8 +266,12 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = 0.2, text_col
         m = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            got = [x for a, b in chunks(texts) for x in m.label(texts[a:b])]
-            yield batch.filter(pa.array([g[0] != "und" and g[1] >= least_score for g in got], pa.bool_()))
+            known = []
+            for a, b in chunks(texts):
+                known += [lang != "und" and score >= least_score for lang, score, _ in m.label(texts[a:b])]
+            del texts
+            yield batch.filter(pa.array(known, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, read_table, scratch
-from threadloom.llm.encoding import encoder_of, shared_tokenizer, slices
+from threadloom.llm.common import give_back, materialize, read_table, scratch
+from threadloom.llm.encoding import encoder_of, shared_tokenizer, text_slices
 
 SEQUENCE = 1024
 END_ID = 0
@@ -151,10 +151,9 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
         ranks = np.zeros(window, np.int64)
         encoder = encoder_of(*shared.value)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b, texts in text_slices(batch.column(1)):
                 out = []
-                for ids in encoder.encode(texts[a:b]):
+                for ids in encoder.encode(texts):
                     raw = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()
                     n = len(raw) // 4
                     full, rest = divmod(n, window)
@@ -167,6 +166,7 @@ def encode(docs: DataFrame, tokenizer_path: str, window: int, id_col: str, text_
                     [batch.column(0).slice(a, b - a), pa.array(c[0], pa.int32()), *[pa.array(x, pa.int64()) for x in c[1:6]], pa.array(c[6], pa.list_(pa.int64())), pa.array(c[7], pa.int64()), pa.array(c[8], pa.binary())],
                     ["doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "rest_crc", "ids"],
                 )
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, part int, row long, n long, rest long, rank long, windows long, crcs array<long>, rest_crc long, ids binary")
