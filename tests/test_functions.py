@@ -384,3 +384,13 @@ def test_failures_touched_by_a_retry(spark):
         ledger.retry_scopes(lost, jobs, runs).collect()
     plan = ledger.retry_scopes(f.where("failure_id IN (1, 8)").withColumn("scope_key", F.lit("weird")), jobs, runs).first()
     assert (plan["scope"], plan["include_comments"], plan["include_reviews"], plan["include_review_threads"], plan["failure_ids"]) == ("default", True, True, False, [1, 8])
+
+
+def test_equal_failures_each_have_their_repository(spark):
+    from threadloom.operators import ledger
+
+    row = [(1, "org/a", "comments", "", None), (1, "org/a", "comments", "", None), (1, "org/a", None, "open", None), (1, "org/a", None, "open", "own"), (2, "org/a", "comments", "", None), (None, "no target", None, None, None)]
+    failures = spark.createDataFrame(row * 2, "run_id int, target string, family string, scope_key string, repository string")
+    jobs = spark.createDataFrame([(1, "org/a", "comments", "open", 4, "second"), (1, "org/a", "comments", "closed", 3, "first"), (3, "org/a", "comments", "open", 1, "other")], "run_id int, target string, family string, scope_key string, job_no int, repo_id string")
+    got = sorted(map(str, (r["found"] for r in ledger.repository_of_failures(failures, jobs).collect())))
+    assert got == sorted(["first"] * 4 + ["second"] * 2 + ["own"] * 2 + ["org/a"] * 2 + ["None"] * 2)

@@ -125,17 +125,17 @@ def resolve(failures: DataFrame, done: DataFrame, run_id: int) -> DataFrame:
 
 def repository_of_failures(failures: DataFrame, jobs: DataFrame) -> DataFrame:
     """failures with `found`: their own repository, else that of the first fitting job of the run, else their target
-    where it reads as owner/name; null where none does."""
+    where it reads as owner/name; null where none does. Failures that are equal in all columns each stay a row."""
     mine = jobs.select("run_id", F.col("target").alias("_target"), F.col("family").alias("_family"), F.col("scope_key").alias("_scope"), F.col("job_no").alias("_job"), F.col("repo_id").alias("_repo"))
-    keyed = failures.withColumn("_id", F.xxhash64(*failures.columns))
-    rows = keyed.alias("f").join(
+    asked = ["run_id", "target", "family", "scope_key"]
+    fitting = failures.where("repository IS NULL").select(*asked).distinct().alias("f").join(
         mine.alias("j"),
         (F.col("f.run_id") == F.col("j.run_id")) & (F.col("f.target") == F.col("_target")) & (F.col("f.family").isNull() | (F.col("f.family") == F.col("_family"))) & ((F.col("f.scope_key") == "") | (F.col("f.scope_key") == F.col("_scope"))),
-        "left",
-    ).select("f.*", "_job", "_repo")
-    first = rows.groupBy(*failures.columns, "_id").agg(F.min_by("_repo", "_job").alias("_repo"))
+    )
+    first = fitting.groupBy(*[F.col(f"f.{c}").alias(f"_{c}_of") for c in asked]).agg(F.min_by("_repo", "_job").alias("_repo"))
+    rows = failures.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}_of")) for c in asked], "left")
     parsed = F.when(F.col("target").rlike(r"^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$"), F.col("target"))
-    return first.select(*failures.columns, F.coalesce("repository", "_repo", parsed).alias("found"))
+    return rows.select(*failures.columns, F.coalesce("repository", "_repo", parsed).alias("found"))
 
 
 def jobs_of_repositories(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
