@@ -124,6 +124,21 @@ def test_an_aborted_write_leaves_nothing(tmp_path):
     assert not list(tmp_path.rglob("*.json"))
 
 
+def test_short_chains_share_partitions(spark, tmp_path):
+    rows = spark.range(300).selectExpr("'r' AS repo_id", "'pulls' AS kind", "id AS thread_id", "cast(NULL AS string) AS state", "cast(NULL AS bigint) AS updated_at_us", "to_json(named_struct('number', id)) AS record")
+    pages.land(rows, str(tmp_path / "l"), [F.col("record")])
+    read = pages.read_pages(spark, str(tmp_path / "l"), "pulls")
+    assert read.rdd.getNumPartitions() == 1
+    got = [(r["thread_id"], r["page_index"], json.loads(r["record"])["number"], r["url"].split("/")[-2]) for r in read.collect()]
+    assert sorted(got) == [(i, 0, i, str(i)) for i in range(300)]
+
+
+def test_long_chains_are_split_and_pages_of_unknown_size_count_whole():
+    at = lambda n, kind, thread, **more: [(i, {"repo_id": "r", "kind": kind, "thread_id": thread, "url": f"u{i}", "file": "f", **more}) for i in range(n)]
+    parts = pages.partitions_of([at(5, "a", 1), at(1, "b", 2), [], at(3, "c", 3, at=0, bytes=10), at(1, "d", 4, at=0, bytes=3 * pages.PAGE_BYTES), at(1, "e", 5, at=0, bytes=1)], 2)
+    assert [[(r.thread_id, [p[0] for p in r.pages]) for r in x.runs] for x in parts] == [[(1, [0, 1])], [(1, [2, 3])], [(1, [4]), (2, [0])], [(3, [0, 1, 2])], [(4, [0])], [(5, [0])]]
+
+
 # Scans
 
 EVENTS = "repo_id bigint, sequence bigint, arrival bigint, action string, threads bigint, cursor string, status string, at_us bigint"

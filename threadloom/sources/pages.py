@@ -1,9 +1,10 @@
 """Landed provider pages as a Spark data source: batch and stream readers, and a writer.
 
-A landing folder holds one JSON file for each page (its address, the address of the next page and the body as the provider
-sent it) and manifests, JSON lines that name the pages. A manifest is written once, after its pages, so a page without one is not
+A landing folder holds pages (each one's address, the address of the next page and the body as the provider sent it) in files of one JSON
+line for each page, and manifests, JSON lines that name the pages with their files and places there; a page without a place is a file of its own. A manifest is written once, after its pages, so a page without one is not
 there yet. Readers plan from manifests alone: pages form chains by their next addresses, one chain for each page that is marked as the
-first of a walk; a chain is read up to the first page that hasn't landed, and pages behind the gap wait for it. Partitions are runs of consecutive pages, so a repository of any size is read by many tasks.
+first of a walk; a chain is read up to the first page that hasn't landed, and pages behind the gap wait for it. Partitions are runs of consecutive pages, so a repository of any size is read by many tasks;
+short chains share a partition, so tasks grow with the bytes of pages and not with the number of threads.
 
 What is wanted is said by options (repo_id, kind, state, since_us) and applied when partitions are planned. Filters of a query are not
 taken over: Spark 4.1.2 keeps what a plan has pushed into a Python source for later plans of the same DataFrame. Pages outside them are never opened: a manifest knows the states
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +54,13 @@ class Scope:
     state: str | None = None
     since_us: int | None = None
 
+    def holds(self, page: dict) -> bool:
+        """Whether the collection of a page is asked for."""
+        return (self.repositories is None or page["repo_id"] in self.repositories) and (self.kinds is None or page["kind"] in self.kinds)
+
     def wants(self, page: dict) -> bool:
         return (
-            (self.repositories is None or page["repo_id"] in self.repositories)
-            and (self.kinds is None or page["kind"] in self.kinds)
+            self.holds(page)
             and (self.state is None or self.state in page["states"])
             and (self.since_us is None or (page["newest_us"] is not None and page["newest_us"] >= self.since_us))
         )
@@ -74,8 +78,8 @@ def scope_of(options: dict) -> Scope:
     return Scope(names("repo_id"), names("kind"), None if state in (None, "all") else state, int(options["since_us"]) if options.get("since_us") else None)
 
 
-def manifest(path: str) -> list[dict]:
-    """The pages of all manifests in the order in which they landed, each address of a collection once."""
+def manifest(path: str, scope: Scope = Scope()) -> list[dict]:
+    """The pages of all manifests in the order in which they landed, each address of a collection once; collections outside the scope are left out."""
     from pyarrow.fs import FileSelector, FileType
 
     fs, base = files_of(path)
@@ -85,6 +89,8 @@ def manifest(path: str) -> list[dict]:
         with fs.open_input_stream(name) as stream:
             for line in stream.read().decode().splitlines():
                 page = json.loads(line)
+                if not scope.holds(page):
+                    continue
                 key = (page["repo_id"], page["kind"], page["thread_id"], page["url"])
                 if key not in seen:
                     seen.add(key)
@@ -112,21 +118,43 @@ def chains(pages: list[dict]) -> dict[str, list[dict]]:
     return out
 
 
+#: What a page of unknown size counts as in a partition, and how many small pages count as one at most.
+PAGE_BYTES, SMALL_PAGES = 1 << 18, 64
+
+
 @dataclass
-class PageRun(InputPartition):
-    """Consecutive pages of one chain: (index, file, address) of each."""
+class PageRun:
+    """Consecutive pages of one chain: (index, address, file, offset, bytes) of each; without an offset a page is its whole file."""
 
     repo_id: str
     kind: str
     thread_id: int | None
-    pages: tuple[tuple[int, str, str], ...]
+    pages: list[tuple[int, str, str, int | None, int | None]]
 
 
-def runs(pages: list[tuple[int, dict]], size: int) -> Iterator[PageRun]:
-    for at in range(0, len(pages), size):
-        part = pages[at : at + size]
-        first = part[0][1]
-        yield PageRun(first["repo_id"], first["kind"], first["thread_id"], tuple((i, p["file"], p["url"]) for i, p in part))
+@dataclass
+class PageRuns(InputPartition):
+    """What one task reads: a run of a long chain, or those of several short ones."""
+
+    runs: list[PageRun]
+
+
+def partitions_of(found: Iterable[list[tuple[int, dict]]], size: int) -> list[PageRuns]:
+    """The wanted (index, page) of each chain, dealt in order into partitions of `size` pages, or of more small ones."""
+    out, room = [], 0.0
+    for chain in found:
+        run = None
+        for i, p in chain:
+            weight = 1.0 if p.get("bytes") is None else max(p["bytes"] / PAGE_BYTES, 1 / SMALL_PAGES)
+            if not out or room < weight:
+                out.append(PageRuns([]))
+                run, room = None, max(float(size), weight)
+            if run is None:
+                run = PageRun(p["repo_id"], p["kind"], p["thread_id"], [])
+                out[-1].runs.append(run)
+            run.pages.append((i, p["url"], p["file"], p.get("at"), p.get("bytes")))
+            room -= weight
+    return out
 
 
 def items_of(kind: str, body) -> list[dict]:
@@ -158,18 +186,30 @@ def micros(text: str | None) -> int | None:
     return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) if at.tzinfo else None
 
 
-def read_run(path: str, run: PageRun, scope: Scope):
+def read_runs(path: str, part: PageRuns, scope: Scope):
+    """The records of a partition's pages; pages of one file that follow each other are read through one opening of it."""
     fs, base = files_of(path)
-    for index, name, url in run.pages:
-        with fs.open_input_stream(f"{base}/{name}") as stream:
-            try:
-                page = json.loads(stream.read())
-            except ValueError as e:
-                raise PageError(f"{name} is not JSON") from e
-        for i, item in enumerate(items_of(run.kind, page["body"])):
-            state, at = item.get("state"), micros(item.get("updated_at") or item.get("updatedAt"))
-            if scope.keeps(state, at):
-                yield run.repo_id, run.kind, run.thread_id, url, index, i, state, at, json.dumps(item, ensure_ascii=False, separators=(",", ":"))
+    name = held = None
+    try:
+        for run in part.runs:
+            for index, url, file, at, size in run.pages:
+                if file != name:
+                    if held:
+                        held.close()
+                    name, held = file, fs.open_input_file(f"{base}/{file}")
+                try:
+                    page = json.loads(held.read() if at is None else held.read_at(size, at))
+                except ValueError as e:
+                    raise PageError(f"{file} is not JSON") from e
+                if at is None:
+                    name = None
+                for i, item in enumerate(items_of(run.kind, page["body"])):
+                    state, when = item.get("state"), micros(item.get("updated_at") or item.get("updatedAt"))
+                    if scope.keeps(state, when):
+                        yield run.repo_id, run.kind, run.thread_id, url, index, i, state, when, json.dumps(item, ensure_ascii=False, separators=(",", ":"))
+    finally:
+        if held:
+            held.close()
 
 
 class PageReader(DataSourceReader):
@@ -177,10 +217,10 @@ class PageReader(DataSourceReader):
         self.path, self.scope, self.size = options["path"], scope_of(options), int(options.get("pages_per_partition", 16))
 
     def partitions(self):
-        return [r for chain in chains(manifest(self.path)).values() if (wanted := [(i, p) for i, p in enumerate(chain) if self.scope.wants(p)]) for r in runs(wanted, self.size)]
+        return partitions_of(([(i, p) for i, p in enumerate(chain) if self.scope.wants(p)] for chain in chains(manifest(self.path, self.scope)).values()), self.size)
 
     def read(self, partition):
-        yield from read_run(self.path, partition, self.scope) if partition else ()
+        yield from read_runs(self.path, partition, self.scope) if partition else ()
 
 
 class PageStreamReader(DataSourceStreamReader):
@@ -195,10 +235,10 @@ class PageStreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         found = chains(manifest(self.path))
-        return [r for name, n in end.items() for wanted in [[(i, found[name][i]) for i in range(start.get(name, 0), n) if self.scope.wants(found[name][i])]] if wanted for r in runs(wanted, self.size)]
+        return partitions_of(([(i, found[name][i]) for i in range(start.get(name, 0), n) if self.scope.wants(found[name][i])] for name, n in end.items()), self.size)
 
     def read(self, partition):
-        yield from read_run(self.path, partition, self.scope)
+        yield from read_runs(self.path, partition, self.scope)
 
     def commit(self, end):
         pass
@@ -210,36 +250,46 @@ class Landed(WriterCommitMessage):
 
 
 class PageWriter(DataSourceWriter):
-    """Consecutive rows of one address become one page; a page is seen once the commit has written the manifest."""
+    """Consecutive rows of one address become one page; the pages of a task that follow each other in a repository and kind lie in one
+    file. A page is seen once the commit has written the manifest."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def write(self, rows):
         fs, base = files_of(self.path)
-        done, held, key = [], [], None
+        done, held, key, name, out = [], [], None, None, None
 
         def flush():
+            nonlocal name, out
             repo, kind, thread, url, following, first = key
-            name = f"{repo}/{kind}/{uuid.uuid4().hex}.json"
-            fs.create_dir(f"{base}/{repo}/{kind}", recursive=True)
+            if out is None or not name.startswith(f"{repo}/{kind}/"):
+                if out is not None:
+                    out.close()
+                name = f"{repo}/{kind}/{uuid.uuid4().hex}.json"
+                fs.create_dir(f"{base}/{repo}/{kind}", recursive=True)
+                out = fs.open_output_stream(f"{base}/{name}")
             body = [json.loads(r["record"]) for r in held]
             for step in reversed(NESTED.get(kind, ())):
                 body = {step: body}
-            with fs.open_output_stream(f"{base}/{name}") as out:
-                out.write(json.dumps({"url": url, "next": following, "body": body}, ensure_ascii=False).encode())
+            raw, at = json.dumps({"url": url, "next": following, "body": body}, ensure_ascii=False).encode(), out.tell()
+            out.write(raw + b"\n")
             times = [r["updated_at_us"] for r in held if r["updated_at_us"] is not None]
-            done.append({"repo_id": repo, "kind": kind, "thread_id": thread, "url": url, "next": following, "first": first, "file": name, "items": len(held), "states": sorted({r["state"] for r in held if r["state"]}), "newest_us": max(times, default=None)})
-
-        for row in rows:
-            own = (row["repo_id"], row["kind"], row["thread_id"], row["url"], row["next"], bool(row["first"]))
-            if own != key:
-                if held:
-                    flush()
-                held, key = [], own
-            held.append(row)
-        if held:
-            flush()
+            done.append({"repo_id": repo, "kind": kind, "thread_id": thread, "url": url, "next": following, "first": first, "file": name, "at": at, "bytes": len(raw), "items": len(held), "states": sorted({r["state"] for r in held if r["state"]}), "newest_us": max(times, default=None)})
+
+        try:
+            for row in rows:
+                own = (row["repo_id"], row["kind"], row["thread_id"], row["url"], row["next"], bool(row["first"]))
+                if own != key:
+                    if held:
+                        flush()
+                    held, key = [], own
+                held.append(row)
+            if held:
+                flush()
+        finally:
+            if out is not None:
+                out.close()
         return Landed(done)
 
     def commit(self, messages):
@@ -249,9 +299,8 @@ class PageWriter(DataSourceWriter):
 
     def abort(self, messages):
         fs, base = files_of(self.path)
-        for m in messages:
-            for p in m.pages if m else []:
-                fs.delete_file(f"{base}/{p['file']}")
+        for name in {p["file"] for m in messages if m for p in m.pages}:
+            fs.delete_file(f"{base}/{name}")
 
 
 def write_manifest(path: str, pages: list[dict]) -> None:
