@@ -139,6 +139,23 @@ def test_long_chains_are_split_and_pages_of_unknown_size_count_whole():
     assert [[(r.thread_id, [p[0] for p in r.pages]) for r in x.runs] for x in parts] == [[(1, [0, 1])], [(1, [2, 3])], [(1, [4]), (2, [0])], [(3, [0, 1, 2])], [(4, [0])], [(5, [0])]]
 
 
+def test_pages_of_a_task_lie_in_one_file(spark, tmp_path):
+    """Texts with line ends and letters of several bytes, in pages of three kinds and two repositories."""
+    writer, rows = pages.PageWriter({"path": str(tmp_path)}), []
+    for repo, kind in (("q", "comments"), ("r", "comments"), ("r", "review_threads")):
+        for thread in range(4):
+            rows += [{"repo_id": repo, "kind": kind, "thread_id": thread, "url": f"u{i // 2}", "next": "u1" if i < 2 else None, "first": i < 2, "state": None, "updated_at_us": None, "record": json.dumps({"body": f"é\n{thread}.{i}"})} for i in range(3)]
+    writer.commit([writer.write(iter(rows))])
+    assert len(pages.manifest(str(tmp_path))) == 24 and len(list(tmp_path.rglob("*.json"))) == 3
+    for kind, repos in (("comments", ("q", "r")), ("review_threads", ("r",))):
+        got = pages.read_pages(spark, str(tmp_path), kind).collect()
+        want = [(repo, t, i // 2, i % 2, f"é\n{t}.{i}") for repo in repos for t in range(4) for i in range(3)]
+        assert sorted((r["repo_id"], r["thread_id"], r["page_index"], r["item_index"], json.loads(r["record"])["body"]) for r in got) == want
+    assert {p["kind"] for p in pages.manifest(str(tmp_path), pages.scope_of({"kind": "comments", "repo_id": "q"}))} == {"comments"}
+    writer.abort([writer.write(iter(rows))])
+    assert len(list(tmp_path.rglob("*.json"))) == 3
+
+
 # Scans
 
 EVENTS = "repo_id bigint, sequence bigint, arrival bigint, action string, threads bigint, cursor string, status string, at_us bigint"
