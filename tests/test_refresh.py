@@ -124,3 +124,16 @@ def test_sync_from_landed_pages(spark, tmp_path):
     assert rf.sync_repositories(r, found, "h", names).stages["sync"].touched == 3
     assert {k: v[7] for k, v in table(r, "threads").items()} == {100: "t3", 101: "t4", 102: "t2"}
     assert rf.sync_repositories(r, found, "h", names).stages["sync"].touched == 0
+
+
+def test_a_text_is_written_once_and_nothing_stays_staged(spark, first, tmp_path):
+    """A refresh publishes the threads, then documents with their vectors in one version; a failed one keeps what it rendered."""
+    held = first.store.manifest["version"]
+    first.run(threads(spark, (7, {"body": "another body", "updated_at_us": 500})), ("sync", "embeddings"))
+    assert first.store.manifest["version"] == held + 2
+    first.embed = None
+    report = first.run(threads(spark, (7, {"body": "a third", "updated_at_us": 600}), (8, {"updated_at_us": 600})), ("sync", "embeddings"))
+    assert report.stages["embeddings"].status == "failed" and [table(first, "documents")[i][4] for i in (7, 8)] == [600, 600]
+    first.embed = embed
+    assert first.run(stages=("embeddings",)).stages["embeddings"].touched == 1 and all(d[1] == d[2] for d in table(first, "documents").values())
+    assert not (tmp_path / "a" / rf.STAGED).exists()

@@ -37,8 +37,8 @@ def review_thread_section(path: Column, resolved: Column, outdated: Column) -> C
     return F.concat(F.lit("Review thread on "), F.coalesce(path, F.lit("unknown path")), F.lit(" ("), F.when(resolved, "resolved").otherwise("unresolved"), F.lit(", "), F.when(outdated, "outdated").otherwise("current"), F.lit(")"))
 
 
-def render(threads: DataFrame, comments: DataFrame | None = None, complete: DataFrame | None = None, recipe: str = "original_body", version: int = 1) -> DataFrame:
-    """thread_id, title, text, dedupe_text, content_hash.
+def render(threads: DataFrame, comments: DataFrame | None = None, complete: DataFrame | None = None, recipe: str = "original_body", version: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """thread_id, title, text, dedupe_text, content_hash, and the columns of threads to keep.
 
     With comments and complete (thread ids whose comments are complete and not stale) the text is enriched with the
     comments of authors that are no bots, by time and identity.
@@ -57,7 +57,7 @@ def render(threads: DataFrame, comments: DataFrame | None = None, complete: Data
     text = F.concat_ws("\n\n", F.when(F.col("title") != "", F.concat(F.lit("# "), "title")), nonempty(F.col("body")), labels, said)
     rows = rows.withColumn("text", text)
     digest = content_hash(F.lit(recipe), F.lit(version), F.col("host"), F.col("repo_id"), F.col("thread_id").cast("string"), F.col("number"), F.col("title"), F.col("text"))
-    return rows.select("thread_id", "title", "text", dedupe_text(F.col("text")).alias("dedupe_text"), digest.alias("content_hash"))
+    return rows.select("thread_id", "title", "text", dedupe_text(F.col("text")).alias("dedupe_text"), digest.alias("content_hash"), *keep)
 
 
 def child_sections(comments: DataFrame, reviews: DataFrame, review_threads: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ A stage that fails is recorded and the others still run; the outcome is that of
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -43,6 +44,8 @@ def schema(buckets: int = 64) -> list[Migration]:
 #: A task's error as Spark reports it, where the task could not reach the service: the line that names the exception.
 UNREACHABLE = re.compile(r"^ {0,2}(?:\w+\.)*(?:Connection\w*|Timeout)Error\b", re.MULTILINE)
 STAGES = ("sync", "embeddings", "clusters")
+#: The folder in the archive that holds what a stage needs only while it runs.
+STAGED = "_staged"
 
 
 @dataclass
@@ -61,12 +64,6 @@ class Report:
     remaining: tuple[str, ...] = ()
 
 
-def unlike(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """Rows of new that old doesn't hold with all values equal."""
-    digest = lambda: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in new.columns])
-    return new.withColumn("_d", digest()).join(old.select(key, digest().alias("_d")), [key, "_d"], "left_anti").drop("_d")
-
-
 class Refresh:
     def __init__(self, store: Store, embed: Service | Callable[[list[str]], list] | None, max_bytes: int = 2000, threshold: float = 0.8, cross_kind: float = 0.9, fanout: int = 16, most: int = 40):
         self.store, self.embed, self.max_bytes = store, embed, max_bytes
@@ -84,7 +81,10 @@ class Refresh:
         report = Report()
         for name in (s for s in STAGES if s in stages):
             try:
-                report.stages[name] = Stage("complete", work[name]())
+                try:
+                    report.stages[name] = Stage("complete", work[name]())
+                finally:
+                    self.store.files.remove(f"{self.store.path}/{STAGED}")
             except (ConnectionError, TimeoutError) as e:
                 report.stages[name] = Stage("deferred", failure=str(e))
             except KeyboardInterrupt as e:
@@ -97,42 +97,59 @@ class Refresh:
         report.outcome, report.remaining = made["outcome"], tuple(x for x in made["remaining"].split(",") if x)
         return report
 
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """rows as they are now, in compressed files that go when the stage ends."""
+        path = f"{self.store.path}/{STAGED}/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return self.store.spark.read.schema(rows.schema).parquet(path)
+
     def sync(self, incoming: DataFrame) -> int:
         """Threads that are new, or differ and are no older than those stored."""
         held = self.store.read("threads")
-        new = unlike(incoming.select(*held.columns), held, "thread_id")
-        older = held.select("thread_id", F.col("updated_at_us").alias("_at"))
-        changed = _kept(new.join(older, "thread_id", "left").where("_at IS NULL OR updated_at_us >= _at").drop("_at"))
+        digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in held.columns])
+        older = held.select("thread_id", digest.alias("_was"), F.col("updated_at_us").alias("_at"))
+        new = incoming.select(*held.columns, digest.alias("_is")).join(older, "thread_id", "left")
+        changed = self._staged(new.where("_was IS NULL OR (_was <> _is AND (_at IS NULL OR updated_at_us >= _at))").select(*held.columns))
         n = changed.count()
         if n:
             self.store.merge("threads", changed)
         return n
 
     def embeddings(self) -> int:
-        """Documents that were rendered anew, and the vectors of those whose text is another."""
+        """Documents that were rendered anew, and the vectors of those whose text is another.
+
+        Both are written at once, so a text is written once; where embedding fails, what was rendered is kept without vectors.
+        """
         threads, held = self.store.read("threads"), self.store.read("documents")
-        now = held.select("thread_id", F.col("source_updated_at_us").alias("updated_at_us"))
-        stale = threads.join(now, ["thread_id", "updated_at_us"], "left_anti")
-        made = documents.render(stale).join(stale.select("thread_id", F.col("updated_at_us").alias("source_updated_at_us")), "thread_id")
-        made = made.join(held.select("thread_id", "embedded_hash"), "thread_id", "left").select(*held.columns)
-        made = _kept(made)
+        now = held.select("thread_id", "embedded_hash", F.col("source_updated_at_us").alias("_at"))
+        stale = threads.join(now, "thread_id", "left").where(F.coalesce(F.col("_at") != F.col("updated_at_us"), F.lit(True)))
+        made = documents.render(stale, keep=("embedded_hash", "updated_at_us")).withColumnRenamed("updated_at_us", "source_updated_at_us")
+        made = self._staged(made.select(*held.columns))
         n = made.count()
-        if n:
-            self.store.merge("documents", made)
-        wanted = _kept(self.store.read("documents").where("embedded_hash IS NULL OR embedded_hash <> content_hash"))
-        if wanted.isEmpty():
+        outdated = "embedded_hash IS NULL OR embedded_hash <> content_hash"
+        left = held.where(outdated).join(made.select("thread_id"), "thread_id", "left_anti").select(*held.columns)
+        wanted = made.where(outdated).unionByName(left)
+        m = wanted.count()
+        if not m:
+            if n:
+                self.store.merge("documents", made)
             return n
-        if self.embed is None:
-            raise RuntimeError("no embedding service")
-        vectors = _kept(embedded(documents.chunks_of(wanted, self.max_bytes), self.embed))
+        try:
+            if self.embed is None:
+                raise RuntimeError("no embedding service")
+            vectors = self._staged(embedded(documents.chunks_of(wanted, self.max_bytes), self.embed))
+        except Exception:
+            if n:
+                self.store.merge("documents", made)
+            raise
         write = Write(self.store)
         # All chunks of a document are replaced together; a document without text has none.
         ids = wanted.select("thread_id")
         marks = ids.select("thread_id", F.lit(-1).alias("chunk_index"), F.lit(None).cast("int").alias("chunk_count"), F.lit(None).cast("string").alias("chunk_hash"), F.lit(None).cast("array<double>").alias("vector"))
         write.merge("vectors", vectors.unionByName(marks), lambda old, new: old.join(new.select("thread_id").distinct(), "thread_id", "left_anti").select(*old.columns).unionByName(new.where("chunk_index >= 0").select(*old.columns)))
-        write.merge("documents", wanted.withColumn("embedded_hash", F.col("content_hash")))
+        write.merge("documents", made.unionByName(left).withColumn("embedded_hash", F.col("content_hash")))
         write.commit()
-        return n + wanted.count()
+        return n + m
 
     def clusters(self) -> int:
         """The repositories whose clusters were built anew."""

@@ -245,7 +245,7 @@ class Write:
         stray = F.when(F.col("_bucket").isin(*map(int, mine)), F.col("_bucket")).otherwise(F.raise_error(F.lit(f"a rule of {name} made rows of other buckets")).cast("int"))
         folder = f"{name}/{uuid.uuid4().hex}"
         dealt = counted.withColumn("_bucket", bucket).withColumn("_bucket", stray).repartition(min(len(mine), 4096), "_bucket")
-        dealt.sortWithinPartitions("_bucket", *table.keys).write.partitionBy("_bucket").parquet(f"{self.store.path}/{folder}")
+        dealt.sortWithinPartitions("_bucket", *table.keys).write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.store.path}/{folder}")
         for i, c in enumerate(checks):
             if seen.get[f"c{i}"]:
                 self.found[c.name] = self.found.get(c.name, 0) + seen.get[f"c{i}"]
